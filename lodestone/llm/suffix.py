@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import U64, chunks, cut, mix, parts, planes, powers, prefix_sums, span_hash, unplanes, utf8
+from .common import CHUNK, U64, chunks, cut, mix, parts, planes, powers, prefix_sums, span_hash, unplanes, utf8
 
 KMER = 32
 #: Bytes of text whose anchors share a bucket, and suffixes in a sorting bucket: they bound a task's memory.
@@ -116,6 +116,22 @@ def _found(batches, width: int, buckets: int, flush: int = 400_000):
         yield emit()
 
 
+def _packed(batches):
+    """Texts compressed for the shuffles."""
+    for part in chunks(batches):
+        data, off = utf8(part.column("text"))
+        z = [pa.compress(data[a:b].tobytes(), "zstd", asbytes=True) if b > a else b"" for a, b in zip(off[:-1], off[1:], strict=True)]
+        rest = [k for k in part.schema.names if k != "text"]
+        yield pa.record_batch([pa.array(z, pa.binary()), pa.array(np.diff(off)), *(part.column(k) for k in rest)], ["z", "n_bytes", *rest])
+
+
+def _opened(part) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of packed texts and where each row's bytes start and end."""
+    sizes = part.column("n_bytes").to_numpy(zero_copy_only=False)
+    raw = b"".join(bytes(pa.decompress(z.as_buffer(), n, "zstd")) for z, n in zip(part.column("z"), sizes.tolist(), strict=True) if n)
+    return np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum(sizes)])
+
+
 def _pieces(data, off, width):
     """A chunk as it is, or one very long document in overlapping pieces (each window lies in one piece)."""
     if len(off) != 2 or off[1] <= PIECE:
@@ -183,8 +199,8 @@ def _suffixes(width: int):
     """The suffixes at the wanted anchors, with their left sides reversed."""
 
     def run(batches):
-        for part in chunks(batches):
-            data, off = utf8(part.column("text"))
+        for part in chunks(batches, "z", CHUNK // 2):
+            data, off = _opened(part)
             n = len(data)
             wanted = part.column("wanted")
             sizes = wanted.value_lengths().to_numpy(zero_copy_only=False)
@@ -206,6 +222,8 @@ def _suffixes(width: int):
     return run
 
 
+PACKED = "z binary, n_bytes long, id long"
+
 SUFFIX = "lead binary, tail binary, left binary, doc long, at long, lo short, hi short"
 
 
@@ -311,8 +329,8 @@ def utf8_free(column, n: int, size: int) -> np.ndarray:
 
 def _kept(with_text: bool, carried: bool = False):
     def run(batches):
-        for part in chunks(batches):
-            data, off = utf8(part.column("text"))
+        for part in chunks(batches, "z", CHUNK // 2):
+            data, off = _opened(part)
             spans = part.column("spans")
             n_removed, n_spans, shas, texts = [], [], [], []
             for i in range(part.num_rows):
@@ -364,7 +382,7 @@ def removed_spans(docs: DataFrame, id_col: str, text_col: str, width: int = 100)
     gone = settled.where(~F.col("suffix")).select("doc", "s", "e")
     wanted = settled.where("suffix").groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("s", "lo", "hi")).alias("wanted"))
     n = settled.where("suffix").count()
-    suffixes = rows.join(wanted, "id").mapInArrow(_suffixes(width), SUFFIX)
+    suffixes = rows.mapInArrow(_packed, PACKED).join(wanted, "id").mapInArrow(_suffixes(width), SUFFIX)
     by_range = suffixes.repartitionByRange(max(parts(spark), n // BUCKET_ROWS + 1), "lead", "doc", "at")
     compared = cut(by_range.mapInArrow(_bucket(width), "doc long, s long, e long, digest binary"))
     within = compared.where("digest is null").select("doc", "s", "e")
@@ -384,6 +402,8 @@ def dedup_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = T.StructType([T.StructField("id", T.LongType()), *(T.StructField(k, T.LongType()) for k in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
     out = out.add("kept_text", T.StringType()) if with_text else out
     out = out.add("row", rows.schema["row"].dataType) if carry else out
-    done = rows.join(spans, "id", "left").mapInArrow(_kept(with_text, bool(carry)), out)
+    packed = T.StructType([T.StructField("z", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("id", T.LongType())])
+    packed = packed.add("row", rows.schema["row"].dataType) if carry else packed
+    done = rows.mapInArrow(_packed, packed).join(spans, "id", "left").mapInArrow(_kept(with_text, bool(carry)), out)
     own = [F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text]
     return done.select(*own, *(F.col("row").getField(c).alias(c) for c in carry or []))

@@ -275,8 +275,11 @@ def _common(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bucket(width: int):
-    """Sort one bucket's suffixes; the intervals that go, and digests of windows of the groups at its edges."""
+def _bucket(width: int, buckets: int):
+    """Sort one bucket's suffixes; the intervals that go, and digests of windows of the groups at its edges.
+
+    Digests leave in packed blocks, dealt by their first bytes.
+    """
 
     def run(batches):
         table = pa.Table.from_batches(list(batches))
@@ -314,10 +317,43 @@ def _bucket(width: int):
                 d_row.append(r)
                 d_off.append(o)
         k = np.flatnonzero(omax >= 0)
+        none = pa.nulls(len(k), pa.int32()), pa.nulls(len(k), pa.binary())
+        yield pa.record_batch([pa.array(doc[k]), pa.array(at[k] - omax[k]), pa.array(at[k] - omin[k] + width), *none], ["doc", "s", "e", "bucket", "block"])
         r, o = np.array(d_row, np.int64), np.array(d_off, np.int64)
-        s = np.concatenate([at[k] - omax[k], at[r] - o])
-        e = np.concatenate([at[k] - omin[k] + width, at[r] - o + width])
-        yield pa.record_batch([pa.array(np.concatenate([doc[k], doc[r]])), pa.array(s), pa.array(e), pa.array([None] * len(k) + digests, pa.binary())], ["doc", "s", "e", "digest"])
+        raw = np.frombuffer(b"".join(digests), U64).reshape(-1, 2)
+        bucket = (raw[:, 0] % U64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.flatnonzero(np.diff(np.append(-1, bucket[order])))
+        ids, blocks = [], []
+        for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
+            z = order[a:b]
+            ids.append(int(bucket[z[0]]))
+            blocks.append(b"".join([planes(raw[z, 0]), planes(raw[z, 1]), planes(doc[r[z]]), planes(at[r[z]] - o[z])]))
+        gone = pa.nulls(len(ids), pa.int64())
+        yield pa.record_batch([gone, gone, gone, pa.array(ids, pa.int32()), pa.array(blocks, pa.binary())], ["doc", "s", "e", "bucket", "block"])
+
+    return run
+
+
+def _across(width: int):
+    """Windows of a digest bucket that are not the first of their digest."""
+
+    def run(key, table):
+        cols = [[], [], [], []]
+        for raw in table.column("block"):
+            raw = raw.as_py()
+            n = len(raw) // 32
+            for i, kind in enumerate((U64, U64, np.int64, np.int64)):
+                cols[i].append(unplanes(raw[8 * n * i : 8 * n * (i + 1)], kind))
+        a, b, doc, s = (np.concatenate(x) for x in cols)
+        order = np.lexsort((s, doc, b, a))
+        a, b, doc, s = a[order], b[order], doc[order], s[order]
+        later = np.zeros(len(a), bool)
+        later[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+        twin = np.zeros(len(a), bool)
+        twin[1:] = later[1:] & (doc[1:] == doc[:-1]) & (s[1:] == s[:-1])
+        k = later & ~twin
+        return pa.table({"doc": doc[k], "s": s[k], "e": s[k] + width})
 
     return run
 
@@ -384,10 +420,10 @@ def removed_spans(docs: DataFrame, id_col: str, text_col: str, width: int = 100)
     n = settled.where("suffix").count()
     suffixes = rows.mapInArrow(_packed, PACKED).join(wanted, "id").mapInArrow(_suffixes(width), SUFFIX)
     by_range = suffixes.repartitionByRange(max(parts(spark), n // BUCKET_ROWS + 1), "lead", "doc", "at")
-    compared = cut(by_range.mapInArrow(_bucket(width), "doc long, s long, e long, digest binary"))
-    within = compared.where("digest is null").select("doc", "s", "e")
-    first = compared.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc", "s")).alias("first"))
-    across = compared.where("digest is not null").join(first, "digest").where("struct(doc, s) > first").select("doc", "s", "e")
+    pool = parts(spark)
+    compared = cut(by_range.mapInArrow(_bucket(width, pool), "doc long, s long, e long, bucket int, block binary"))
+    within = compared.where("bucket is null").select("doc", "s", "e")
+    across = compared.where("bucket is not null").groupBy("bucket").applyInArrow(_across(width), "doc long, s long, e long")
     return gone.unionAll(within).unionAll(across)
 
 

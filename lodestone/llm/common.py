@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 #: Bytes of text that are tokenised at once; a longer document makes a chunk of its own.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -153,6 +153,11 @@ def parts(spark) -> int:
 
 
 def table(spark, sf_dir: str, name: str):
+    """A table of the corpus; rows go to Python workers in batches that fit beside a full heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= 2_000:
+        spark.conf.set(key, "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -33,7 +33,7 @@ KMER = 32
 #: Bytes of text whose anchors share a bucket, and suffixes in a sorting bucket: they bound a task's memory.
 BUCKET_BYTES, BUCKET_ROWS = 16 << 20, 40_000
 #: Texts over this many bytes are cut into overlapping pieces while anchors are sought.
-PIECE = 4 << 20
+PIECE = 1 << 20
 HEAD = [("hk", U64), ("hc", U64), ("doc", np.int64), ("at", np.int64), ("lo", np.uint8), ("hi", np.uint8)]
 
 
@@ -70,7 +70,7 @@ def anchors(data: np.ndarray, off: np.ndarray, width: int):
     return at, lead[at], start[first], start[last], sums
 
 
-def _found(batches, width: int, buckets: int, flush: int = 400_000):
+def _found(batches, width: int, buckets: int, flush: int = 250_000):
     """Packed blocks of anchors by bucket."""
     held: list[tuple[np.ndarray, ...]] = []
 

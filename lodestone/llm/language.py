@@ -30,7 +30,7 @@ SAMPLE, LANGUAGES = 1_000, 256
 #: Nats that a change of language costs; buckets of each table; most nats that a word can weigh.
 PENALTY, BITS, CLIP = 10.0, 17, 12.0
 BLOCK = 64
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 #: Code-point ranges of scripts (fixed values); other letters have a script of their own.
 SCRIPTS = [
@@ -113,9 +113,9 @@ class Model:
         counts = np.zeros((4, 1 << BITS, n), np.float32)
         scripts = np.zeros((len(NAMES), n))
         weight = np.zeros(n)
-        for a in range(0, len(texts), 200):
-            w = Letters(pa.array(texts[a : a + 200], pa.string()))
-            lang = of[a : a + 200][w.doc]
+        for a in range(0, len(texts), 100):
+            w = Letters(pa.array(texts[a : a + 100], pa.string()))
+            lang = of[a : a + 100][w.doc]
             per = np.repeat(lang, w.size)
             for k, (g, own) in enumerate([*((g, per) for g in w.grams), (w.word, lang)]):
                 counts[k] += np.bincount(g * n + own, minlength=n << BITS).reshape(-1, n).astype(np.float32)

@@ -27,7 +27,7 @@ SAMPLE, VOCABULARY = 2_000, 20_000
 WINDOW, STRIDE = 32, 16
 WORD, CHAR, HIDDEN, ATTEND, CHAR_BITS = 6, 4, 8, 8, 12
 EPOCHS, BATCH, RATE = 8, 128, 0.01
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def sigmoid(x):
@@ -228,6 +228,19 @@ def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a[0]), float(a[1])
 
 
+def _grouped(texts: list, size: int = CHUNK):
+    """Runs of texts with about ``size`` characters."""
+    out, n = [], 0
+    for t in texts:
+        if out and n + len(t or "") > size:
+            yield out
+            out, n = [], 0
+        out.append(t)
+        n += len(t or "")
+    if out:
+        yield out
+
+
 def fit(texts: list[str | None], y: list[int], seed: int = 1) -> Network | float:
     """A trained network; a share, if only one class was seen."""
     y = np.array(y, np.float32)
@@ -236,11 +249,16 @@ def fit(texts: list[str | None], y: list[int], seed: int = 1) -> Network | float
     hold = np.arange(len(y)) % 4 == 3  # documents for calibration
     if hold.sum() < 20 or y[hold].min() == y[hold].max():
         hold = np.zeros(len(y), bool)
-    w = Words(pa.array([t for t, h in zip(texts, hold, strict=True) if not h], pa.string()))
-    ly = y[~hold]
-    word, number = np.unique(w.hash, return_inverse=True)
-    pairs = np.unique(number * len(w.n) + w.doc) if len(word) else np.zeros(0, np.int64)
-    of, doc = pairs // max(len(w.n), 1), pairs % max(len(w.n), 1)
+    own_texts, ly = [t for t, h in zip(texts, hold, strict=True) if not h], y[~hold]
+    hashes, sizes = [], []
+    for part in _grouped(own_texts):
+        w = Words(pa.array(part, pa.string()))
+        hashes.append(w.hash)
+        sizes.append(w.n)
+    first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    word, number = np.unique(np.concatenate(hashes), return_inverse=True)
+    docs = len(own_texts)
+    of, doc = np.divmod(np.unique(number * docs + np.repeat(np.arange(docs), np.diff(first))), docs)
     bad = np.bincount(of, weights=ly[doc], minlength=len(word))
     good = np.bincount(of, minlength=len(word)) - bad
     odds = np.log((bad + 0.5) / (ly.sum() + 1)) - np.log((good + 0.5) / ((1 - ly).sum() + 1))
@@ -248,20 +266,28 @@ def fit(texts: list[str | None], y: list[int], seed: int = 1) -> Network | float
     keep = np.flatnonzero(bad + good >= 3)
     keep = np.sort(keep[np.argsort(-(bad + good)[keep], kind="stable")[:VOCABULARY]])
     net = Network(word[keep], odds[keep], seed)
-    start, own = windows(w.first)
-    size = np.minimum(w.first[1:][own] - start, WINDOW)
+    start, own = windows(first)
+    size = np.minimum(first[1:][own] - start, WINDOW)
     high = np.concatenate([odds[number], [-9.0]]) if len(word) else np.array([-9.0])
     t = np.arange(WINDOW)[None]
     suspicion = np.concatenate([high[np.where(t < size[a : a + 8192, None], start[a : a + 8192, None] + t, len(high) - 1)].max(1) for a in range(0, len(start), 8192)])
     order = np.lexsort((start, -suspicion, own))
-    first = np.searchsorted(own[order], np.arange(len(w.n)))
-    chosen = order[first]
-    count = np.diff(np.append(first, len(order)))
-    other = order[first + (np.random.default_rng(seed).random(len(count)) * count).astype(np.int64)]
-    chosen = np.concatenate([chosen, other[(ly == 0) & (count > 1)]])
-    net.train(w, start[chosen], size[chosen], ly[own[chosen]])
-    cw, cy = (Words(pa.array([t for t, h in zip(texts, hold, strict=True) if h], pa.string())), y[hold]) if hold.any() else (w, ly)
-    net.calibration = _platt(net.document_logits(cw), cy)
+    at = np.searchsorted(own[order], np.arange(docs))
+    count = np.diff(np.append(at, len(order)))
+    other = order[at + (np.random.default_rng(seed).random(docs) * count).astype(np.int64)]
+    chosen = np.sort(np.concatenate([order[at], other[(ly == 0) & (count > 1)]]))
+    pieces, base, done = [], 0, 0
+    for part in _grouped(own_texts):
+        w = Words(pa.array(part, pa.string()), hashes=False)
+        to = np.searchsorted(own[chosen], done + len(part))
+        for k in chosen[len(pieces) : to]:
+            s, n = start[k] - base, size[k]
+            pieces.append(w.low[w.start[s] : w.end[s + n - 1]].tobytes().decode() if n else "")
+        base, done = base + len(w.start), done + len(part)
+    w = Words(pa.array(pieces, pa.string()))
+    net.train(w, w.first[:-1], w.n, ly[own[chosen]])
+    calibrate, cy = ([t for t, h in zip(texts, hold, strict=True) if h], y[hold]) if hold.any() else (own_texts, ly)
+    net.calibration = _platt(np.concatenate([net.document_logits(Words(pa.array(part, pa.string()))) for part in _grouped(calibrate)]), cy)
     return net
 
 

@@ -1 +1 @@
-
+"""Reusable operators on DataFrames."""

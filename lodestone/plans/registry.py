@@ -1,6 +1,13 @@
-"""The registered queries of the reference's operators, and their SQL."""
+"""The registered queries of the library's operators, and their SQL."""
 
 from __future__ import annotations
 
+from . import classify, keyed, ordered, textual
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+for _module in (textual, keyed, ordered, classify):
+    for _name, (_query, _sql) in _module.TABLE.items():
+        QUERIES[_name] = _query
+        if _sql:
+            ORACLE[_name] = _sql

@@ -12,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from ..shipping import ship
+
 #: Bytes of text that are tokenised at once; a longer document makes a chunk of its own.
 CHUNK = 1 << 19
 
@@ -154,6 +156,7 @@ def parts(spark) -> int:
 
 def table(spark, sf_dir: str, name: str):
     """A table of the corpus; rows go to Python workers in batches that fit beside a full heap."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= 2_000:
         spark.conf.set(key, "2000")

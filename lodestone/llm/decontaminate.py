@@ -145,7 +145,7 @@ def _search(block, n_block, slop, whole):
             rows = list(_runs(ws, part, slop))
             ids = part.column("id")
             if not whole:
-                yield pa.record_batch([ids, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.string()))], ["id", "n_words", "runs", "items"])
+                yield pa.record_batch([ids, part.column("key"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.string()))], ["id", "key", "n_words", "runs", "items"])
                 continue
             yield _report(ids, rows)
 
@@ -210,9 +210,12 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="
     if len(windows) == 1:
         out = rows.mapInArrow(_search(shared, 0, slop, True), final)
     else:
-        found = [rows.mapInArrow(_search(shared, b, slop, False), f"id {kind}, n_words long, runs array<long>, items array<string>") for b in range(len(windows))]
+        keyed = rows.withColumn("key", F.xxhash64("text"))
+        found = [keyed.mapInArrow(_search(shared, b, slop, False), f"id {kind}, key long, n_words long, runs array<long>, items array<string>") for b in range(len(windows))]
         every = found[0]
         for x in found[1:]:
             every = every.unionAll(x)
-        out = every.groupBy("id").agg(F.max("n_words").alias("n_words"), F.collect_list("runs").alias("runs"), F.collect_list("items").alias("items")).mapInArrow(_merged, final)
+        each = every.groupBy("id", "key").agg(F.max("n_words").alias("n_words"), F.collect_list("runs").alias("runs"), F.collect_list("items").alias("items"), F.count("*").alias("n"))
+        copies = each.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("n") / len(windows)).cast("int"))))  # repeated rows
+        out = copies.select("id", "n_words", "runs", "items").mapInArrow(_merged, final)
     return out.withColumnRenamed("id", id_col)

@@ -198,10 +198,16 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, per_lang: int = SAMPLE) -> Model:
     """A model from at most ``per_lang`` labelled documents of each language, those with the smallest id hashes."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.lit(True) if learn is None else learn))
-    langs = [r[0] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()]
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    chosen = rows.where(F.col(lang_col).isin(langs)).select(id_col, lang_col).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_lang).select(F.col(id_col).alias("_id"))
-    some = rows.join(F.broadcast(chosen.distinct()), rows[id_col] == F.col("_id"), "left_semi").select(id_col, text_col, lang_col)
+    rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    # a share of each language's ids that holds enough of them goes on to be ranked, so that no task ranks a frequent language
+    share = F.lit(0.0)
+    for k, n in counts.items():
+        share = F.when(F.col("lang") == k, min(1.0, (2.0 * per_lang + 200) / n)).otherwise(share)
+    u = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
+    order = Window.partitionBy("lang").orderBy("u", "id")
+    chosen = rows.select("id", "lang", u.alias("u")).where(F.col("u") < share).withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang).select("id").distinct()
+    some = rows.join(F.broadcast(chosen), "id", "left_semi").where(F.col("lang").isin(list(counts)))
     got = sorted(((r[0], r[1], r[2]) for r in some.toLocalIterator()), key=lambda r: (str(r[0]), r[2], r[1]))
     return Model([r[1] for r in got], [r[2] for r in got])
 

@@ -9,7 +9,7 @@ template and the length of the span against the template's.
 Besides, the places of four base phrases are counted as they stand.
 
 Cases: a null text is empty and has no words; repeated rows each get their row if their texts are equal (an id
-stands for one text); an empty table gives no rows; columns other than the named ones are ignored.
+stands for one text); rows without an id get the base labels only; an empty table gives no rows; columns other than the named ones are ignored.
 """
 
 from __future__ import annotations

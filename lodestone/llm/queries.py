@@ -36,13 +36,14 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    texts, y = toxicity.sample(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic", remainder("doc_id", 5) != 0)
-    scored = toxicity.score(docs, toxicity.fit(texts, y))
+    sample = toxicity.sample(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic", remainder("doc_id", 5) != 0)
+    scored = toxicity.score(docs, toxicity.fit(*sample))
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.probabilities(table(spark, sf_dir, "documents"))
+    found = mixing.probabilities(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "source", "lang", "topic", "tokens", *(F.round(c, 6).alias(c) for c in ("weight", "p", "repeat")), "sampled")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,4 +99,27 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_z
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
-ORACLE = {"op1_decontamination": _OP1, "op2_suffix_dedup": _OP2, "op9_maxscore": _OP9}
+
+
+def _op7() -> str:
+    """The raking written out, one step after another."""
+    marks = " ".join(f"WHEN contains(text, '{m}') THEN '{n}'" for n, m in mixing.TOPICS)
+    steps = [
+        f"""d AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, CASE WHEN text IS NULL OR text = '' THEN 'empty' {marks} WHEN length(text) > {mixing.LONG} THEN 'long' ELSE 'prose' END AS topic,
+CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f]+')) AS BIGINT) AS tokens FROM documents)""",
+        "c AS (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS t, 1.0::DOUBLE AS w FROM d GROUP BY ALL)",
+        "total AS (SELECT sum(t) AS total FROM c)",
+    ]
+    for m in mixing.MARGINS:
+        steps.append(f"to_{m} AS (SELECT {m}, pow(t, {mixing.TARGETS[m]}) / sum(pow(t, {mixing.TARGETS[m]})) OVER () AS share FROM (SELECT {m}, sum(t) AS t FROM c GROUP BY {m}))")
+    last = "c"
+    for k in range(mixing.ROUNDS):
+        for m in mixing.MARGINS:
+            steps.append(f"r{k}_{m} AS MATERIALIZED (SELECT x.source, x.lang, x.topic, t, CASE WHEN now > 0 THEN w * share * total / now ELSE w END AS w FROM (SELECT *, sum(w * t) OVER (PARTITION BY {m}) AS now FROM {last}) x JOIN to_{m} y ON x.{m} = y.{m}, total)")
+            last = f"r{k}_{m}"
+    return f"""WITH {", ".join(steps)}
+SELECT doc_id, source, lang, topic, tokens, round(w, 6) AS weight, round(least(1.0, w * {mixing.FRACTION}), 6) AS p, round(CASE WHEN w > 0 THEN w * {mixing.FRACTION} / least(1.0, w * {mixing.FRACTION}) ELSE 0 END, 6) AS repeat,
+CAST(('0x' || substr(md5('{mixing.SEED}|' || doc_id), 1, 12)) AS BIGINT) / 281474976710656.0 < least(1.0, w * {mixing.FRACTION}) AS sampled FROM d JOIN {last} USING (source, lang, topic)"""
+
+
+ORACLE = {"op1_decontamination": _OP1, "op2_suffix_dedup": _OP2, "op7_mixing": _op7(), "op9_maxscore": _OP9}

@@ -15,8 +15,8 @@
    across buckets by a 128-bit digest.
 
 Cases: a null text is empty; texts under ``width`` bytes lose nothing; matches never cross documents; rows that
-repeat an id and its text count as one document and each get its row; an empty table gives no rows; columns
-other than the named ones are ignored.
+repeat an id and its text count as one document and each get its row; rows without an id lose nothing and
+nothing is compared with them; an empty table gives no rows; columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -282,15 +282,20 @@ def _bucket(width: int, buckets: int):
     """
 
     def run(batches):
-        table = pa.Table.from_batches(list(batches))
-        n = table.num_rows
-        if not n:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
             return
+        table = pa.Table.from_batches(batches)
+        n = table.num_rows
         column = lambda k, size: utf8_free(table.column(k), n, size)
         right = np.concatenate([column("lead", KMER), column("tail", width - KMER)], axis=1)
         left = column("left", width - KMER)
         doc, at, lo, hi = (table.column(k).to_numpy().astype(np.int64) for k in ("doc", "at", "lo", "hi"))
         rank = np.lexsort((at, doc))
+        own = np.ones(n, bool)  # repeated rows give a suffix each; one stands for them
+        own[1:] = (doc[rank[1:]] != doc[rank[:-1]]) | (at[rank[1:]] != at[rank[:-1]])
+        rank = rank[own]
+        n = len(rank)
         right, left, doc, at, lo, hi = (x[rank] for x in (right, left, doc, at, lo, hi))
         order, order_l = multikey_quicksort(right), multikey_quicksort(left)
         lcp, lcp_l = _common(right, order), _common(left, order_l)
@@ -411,6 +416,7 @@ def removed_spans(docs: DataFrame, id_col: str, text_col: str, width: int = 100)
         raise ValueError(f"width must lie between {KMER + 1} and 255")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.where("id is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(2 * parts(spark), int(total // BUCKET_BYTES) + 1)
     blocks = rows.mapInArrow(lambda b: _found(b, width, buckets), "bucket int, block binary")
@@ -443,3 +449,14 @@ def dedup_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     done = rows.mapInArrow(_packed, packed).join(spans, "id", "left").mapInArrow(_kept(with_text, bool(carry)), out)
     own = [F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text]
     return done.select(*own, *(F.col("row").getField(c).alias(c) for c in carry or []))
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100) -> DataFrame:
+    """The documents with repeated bytes taken out of their text, all columns in place; those of which nothing is left go."""
+    spans = removed_spans(docs, id_col, text_col, width).groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*(c for c in docs.columns if c != text_col)).alias("row"))
+    packed = T.StructType([T.StructField("z", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("id", T.LongType()), T.StructField("row", rows.schema["row"].dataType)])
+    out = T.StructType([T.StructField("id", T.LongType()), *(T.StructField(k, T.LongType()) for k in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())])
+    done = rows.mapInArrow(_packed, packed).join(spans, "id", "left").mapInArrow(_kept(True, True), out.add("row", rows.schema["row"].dataType))
+    left = done.where("kept_text <> '' OR n_bytes = 0")
+    return left.select(*(F.col("kept_text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))

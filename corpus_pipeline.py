@@ -17,31 +17,43 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.llm import decontaminate, language, mixing, order_minhash, suffix
-from lodestone.llm.common import checkpoint_dir, table, without
+from lodestone.llm.common import checkpoint_dir, cut, table, without
+
+
+def _own(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs)
     found = language.identify(docs, model)
     kept = without(docs, found.where("lang_pred = 'und' OR score = 0").select("doc_id"), "doc_id")
-    blank = language.identify(docs.where("lang is null"), model).groupBy(F.col("doc_id").alias("_id")).agg(F.min("lang_pred").alias("_lang"))
-    if docs.where("lang is null").limit(1).count():
-        kept = kept.join(blank, kept["doc_id"] == blank["_id"], "left").withColumn("lang", F.coalesce("lang", "_lang")).drop("_id", "_lang")
-    return kept
+    if not docs.where("lang is null").limit(1).count():
+        return kept
+    key, value = _own(docs, "key"), _own(docs, "lang")
+    blank = language.identify(docs.where("lang is null"), model).groupBy(F.col("doc_id").alias(key)).agg(F.min("lang_pred").alias(value))
+    named = kept.join(blank, kept["doc_id"] == blank[key], "left")
+    return named.select(*(F.coalesce(kept[c], F.when(F.col(value) != "und", F.col(value))).alias(c) if c == "lang" else kept[c] for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = order_minhash.near_duplicates(docs)
-    return without(docs, found.where("not kept").select("doc_id"), "doc_id").dropDuplicates(["doc_id"])
+    kept = without(docs, found.where("not kept").select("doc_id"), "doc_id")
+    again = cut(kept.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias(_own(docs, "again"))))
+    if not again.limit(1).count():
+        return kept
+    more = kept.join(again, kept["doc_id"] == again[again.columns[0]], "left_semi").dropDuplicates(["doc_id"])
+    return without(kept, again, "doc_id").unionByName(more)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    done = suffix.dedup_repeats(docs, with_text=True, carry=others).where("kept_text <> '' OR n_bytes = 0")
-    done = done.withColumn("text", F.col("kept_text"))
+    done = suffix.without_repeats(docs)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(*docs.columns)
+    return done
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 #: White space as the collapse rule takes it: ASCII, separators of Unicode, information separators, NEL.
-SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
+SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+#: What the rule changes: runs, and single characters other than a space (a lone space is not worth a match).
+_RUNS = rf"{SPACE}{{2,}}|[\s\x1c-\x1f\x85\p{{Z}}&&[^ ]]"
 #: Ligatures and their letters (fixed values).
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
 
 
 def collapse(c: Column) -> Column:
     """White space runs become one space, edges go."""
-    return F.trim(F.regexp_replace(c, SPACE, " "))
+    return F.trim(F.regexp_replace(c, _RUNS, " "))
 
 
 def expand_ligatures(c: Column) -> Column:
@@ -23,7 +25,7 @@ def expand_ligatures(c: Column) -> Column:
 
 def dehyphenate(c: Column) -> Column:
     """A hyphen between letters or digits goes, with the white space after it."""
-    return F.regexp_replace(c, r"(?U)(?<=[\p{L}\p{N}])-\s*(?=[\p{L}\p{N}])", "")
+    return F.when(c.contains("-"), F.regexp_replace(c, r"(?U)(?<=[\p{L}\p{N}])-\s*(?=[\p{L}\p{N}])", "")).otherwise(c)
 
 
 def name_key(c: Column, alnum: bool = False) -> Column:

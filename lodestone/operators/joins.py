@@ -44,18 +44,18 @@ def tier3(c: Column) -> Column:
 def grounded(quotes: DataFrame, bodies: DataFrame, quote_id: str, quote: str, body_id: str, body: str) -> DataFrame:
     """(body id, quote id, tier): quotes that a body holds exactly, after white space, or after ligatures and hyphens.
 
-    Each tier's match is also a match of the normalised texts, whose inner words then agree. So quotes are joined by
-    the hash of their second to fifth normalised word to all such four words of the bodies (no text is compared with
-    all quotes); quotes of under six words go through a containment join, broadcast if they are few.
+    Each tier's match is also a match of the normalised texts, whose inner words then agree. So quotes are joined by their
+    longest inner word to the distinct words of the bodies (no text is compared with all quotes); quotes of
+    under three words go through a containment join, broadcast if they are few.
     """
     q = quotes.select(F.col(quote_id).alias("qid"), F.col(quote).alias("q")).where("q is not null and trim(q) <> ''").withColumn("qn", tier3(F.col("q"))).withColumn("qw", F.split("qn", " "))
     b = bodies.select(F.col(body_id).alias("bid"), F.col(body).alias("b")).where("b is not null").withColumn("bn", tier3(F.col("b")))
-    long = q.where(F.size("qw") >= 6).withColumn("gram", F.xxhash64(F.array_join(F.slice("qw", 2, 4), " ")))
-    words = F.split("bn", " ")
-    grams = b.select("bid", words.alias("w")).where(F.size("w") >= 4).select("bid", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i, 4), " ")))).alias("gram"))
+    longest = F.array_max(F.transform(F.slice("qw", F.lit(2), F.size("qw") - 2), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    long = q.where(F.size("qw") >= 3).withColumn("gram", longest)
+    grams = b.select("bid", F.explode(F.array_distinct(F.split("bn", " "))).alias("gram"))
     pairs = grams.join(small(long.select("gram", "qid")), "gram").select("bid", "qid").distinct()
     found = pairs.join(q, "qid").join(b, "bid").where(F.col("bn").contains(F.col("qn")))
-    short = b.join(small(q.where(F.size("qw") < 6)), F.col("bn").contains(F.col("qn")))
+    short = b.join(small(q.where(F.size("qw") < 3)), F.col("bn").contains(F.col("qn")))
     both = found.select("bid", "qid", "q", "b").unionByName(short.select("bid", "qid", "q", "b"))
     tier = F.when(F.col("b").contains(F.col("q")), "exact").when(collapse(F.col("b")).contains(collapse(F.col("q"))), "whitespace").otherwise("normalized")
     return both.select(F.col("bid").alias(body_id), F.col("qid").alias(quote_id), tier.alias("tier"))

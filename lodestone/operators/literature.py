@@ -11,28 +11,36 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.text import collapse, name_key
 
 
-def title_ratio(a: Column, b: Column) -> Column:
-    """Similarity of two titles by longest matching blocks (Ratcliff and Obershelp), which no built-in function gives."""
+def title_ratio(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Similarity of two titles by longest matching blocks (Ratcliff and Obershelp), which no built-in function gives.
+
+    Below ``least`` it is 0; pairs whose lengths or letters rule it out are not aligned.
+    """
+
+    def one(p: str | None, q: str | None) -> float:
+        m = SequenceMatcher(None, p or "", q or "", autojunk=False)
+        if m.real_quick_ratio() < least or m.quick_ratio() < least:
+            return 0.0
+        r = m.ratio()
+        return r if r >= least else 0.0
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, p or "", q or "", autojunk=False).ratio() for p, q in zip(x, y, strict=True)], dtype="float64")
+        return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
 
     return run(a, b)
 
 
-def fuzzy_titles(left: DataFrame, right: DataFrame, key: str, title: str, other: str, least: float = 0.82) -> DataFrame:
-    """(key, match, ratio): the best title of the other side at ``least`` or more; equal normalised titles are 1.
+def answer_titles(asked: DataFrame, answers: DataFrame, keys: list[str], title: str, answer: str, found: str, least: float = 0.82) -> DataFrame:
+    """(keys, match, ratio): of the answers to each asked title, found under the same keys, the best at ``least`` or more.
 
-    Candidates share a word that at most one title in twenty holds, so no table is compared with all of another.
+    Equal normalised titles are 1, blank ones never match, ties go to the smaller answer.
     """
-    l = left.select(F.col(key).alias("k"), name_key(F.col(title), True).alias("t"))  # noqa: E741
-    r = right.select(F.col(other).alias("o"), name_key(F.col(title), True).alias("u"))
-    words = r.select("o", F.explode(F.array_distinct(F.split("u", " "))).alias("w")).where("w <> ''")
-    rare = words.groupBy("w").count().join(F.broadcast(r.agg(F.count("*").alias("n"))), F.col("count") <= F.greatest(F.lit(2), F.col("n") / 20)).select("w")
-    pairs = l.select("k", F.explode(F.array_distinct(F.split("t", " "))).alias("w")).join(words.join(rare, "w"), "w").select("k", "o").distinct()
-    scored = pairs.join(l, "k").join(r, "o").withColumn("ratio", F.when(F.col("t") == F.col("u"), 1.0).otherwise(title_ratio(F.col("t"), F.col("u"))))
-    return scored.where(F.col("ratio") >= least).groupBy("k").agg(F.max_by("o", F.struct("ratio", -F.col("o"))).alias("match"), F.max("ratio").alias("ratio")).withColumnRenamed("k", key)
+    l = asked.select(*keys, name_key(F.col(title), True).alias("_t")).where("_t <> ''")  # noqa: E741
+    r = answers.select(*keys, F.col(answer).alias("_o"), name_key(F.col(found), True).alias("_u")).where("_u <> ''")
+    both = l.join(r, keys).withColumn("ratio", F.when(F.col("_t") == F.col("_u"), 1.0).otherwise(title_ratio(F.col("_t"), F.col("_u"), least)))
+    best = F.min(F.struct((-F.col("ratio")).alias("r"), F.col("_o")))
+    return both.where(F.col("ratio") >= least).groupBy(*keys).agg(best.alias("_b")).select(*keys, F.col("_b._o").alias("match"), (-F.col("_b.r")).alias("ratio"))
 
 
 def overlap_score(name: Column, target: Column) -> Column:

@@ -122,9 +122,9 @@ def regex_rule_table(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", joins.rule_table(F.col("p_name"), _RULES, "other").alias("rule"))
 
 
-@query(TABLE, "SELECT doc_id, sha256(text) AS digest, regexp_replace(regexp_replace(lower(substr(text, 1, 40)), '[^a-z0-9]+', '-', 'g'), '^[-]+|[-]+$', '', 'g') AS slug, lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') || '_' || regexp_replace(regexp_replace(substr(text, 1, 30), '[^a-zA-Z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g') AS file FROM documents")
+@query(TABLE, "SELECT doc_id, sha256(text) AS digest, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^[-]+|[-]+$', '', 'g') AS slug, lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') || '_' || substr(regexp_replace(regexp_replace(text, '[^a-zA-Z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 120) AS file FROM documents")
 def text_keys(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), T.slugify(F.substring("text", 1, 40)).alias("slug"), T.safe_file_name(F.substring("text", 1, 30), F.col("doc_id") % 1000).alias("file"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), T.slugify(F.col("text")).alias("slug"), T.safe_file_name(F.col("text"), F.col("doc_id") % 1000).alias("file"))
 
 
 @query(TABLE, "SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host, CASE WHEN contains(url, '?') THEN 'query' WHEN url LIKE '%/' THEN 'folder' ELSE 'page' END AS kind, TRY_CAST(regexp_extract(url, '(\\d+)', 1) AS INT) AS number FROM pages")

@@ -1,5 +1,7 @@
 """Titles, quotes, sections, names and rounds."""
 
+from difflib import SequenceMatcher
+
 from pyspark.sql import functions as F
 
 from lodestone.operators import literature as L
@@ -10,10 +12,10 @@ def one(spark, column, **values):
 
 
 def test_titles(spark):
-    a = spark.createDataFrame([(1, "Effects of Zinc on Sleep"), (2, "Entirely other words"), (3, None)], "k long, title string")
-    b = spark.createDataFrame([(10, "Effects of zinc on sleep."), (11, "Effect of zinc on the sleep"), (12, "Something else")], "o long, title string")
-    got = {r.k: (r.match, r.ratio) for r in L.fuzzy_titles(a, b, "k", "title", "o").collect()}
-    assert got == {1: (10, 1.0)}
+    a = spark.createDataFrame([(1, "Effects of Zinc on Sleep"), (2, "Entirely other words"), (3, None), (4, "Zinc and sleep quality")], "k long, title string")
+    b = spark.createDataFrame([(1, 10, "Effects of zinc on sleep."), (1, 11, "Effect of zinc on the sleep"), (2, 12, "Something else"), (3, 13, None), (4, 15, "zinc and sleeps quality"), (4, 14, "zinc and sleeps quality")], "k long, o long, found string")
+    got = {r.k: (r.match, round(r.ratio, 6)) for r in L.answer_titles(a, b, ["k"], "title", "o", "found").collect()}
+    assert got == {1: (10, 1.0), 4: (14, round(SequenceMatcher(None, "zinc and sleep quality", "zinc and sleeps quality").ratio(), 6))}
     t = "A randomised trial of iron in young adults"
     assert one(spark, L.title_like(F.col("q"), F.lit(t)), q="a randomised trial of iron in young") is True
     assert one(spark, L.title_like(F.col("q"), F.lit(t)), q="young adults") is False

@@ -45,6 +45,23 @@ def deltas(df: DataFrame, order: str, total: str) -> DataFrame:
     return out.withColumn("zero_rounds", F.col("_n") - F.coalesce(last, F.lit(0))).drop("_n")
 
 
+def places(df: DataFrame, keys: list[str], order: list[str], bucket: Column, name: str = "place") -> DataFrame:
+    """Each row's number from 1 among the rows of its keys (none: all rows) by ``order``, without ordering a key in one task.
+
+    ``bucket`` never falls as ``order`` rises, such as the hour of a time or the quotient of an id. Rows are numbered
+    within their bucket; the numbers of rows in earlier buckets, counted before the shuffle, are added. Null keys are a key.
+    """
+    rows = df.withColumn("_b", bucket)
+    counts = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_b").alias("_at"), F.coalesce(earlier, F.lit(0)).alias("_before"))
+    numbered = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order)))
+    same = F.col("_b").eqNullSafe(F.col("_at"))
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return numbered.join(before, same).withColumn(name, F.col("_i") + F.col("_before")).select(*df.columns, name)
+
+
 def attempts(df: DataFrame, key: str, order: list[str], previous: DataFrame | None = None) -> DataFrame:
     """Attempt numbers of each key from 1, or from the largest number that ``previous`` has, plus 1."""
     out = df.withColumn("attempt", F.row_number().over(Window.partitionBy(key).orderBy(*order)))

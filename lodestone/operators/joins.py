@@ -46,7 +46,7 @@ def grounded(quotes: DataFrame, bodies: DataFrame, quote_id: str, quote: str, bo
 
     Each tier's match is also a match of the normalised texts, whose inner words then agree. So quotes are joined by their
     longest inner word to the distinct words of the bodies (no text is compared with all quotes); quotes of
-    under three words go through a containment join, broadcast if they are few.
+    under three words, a stated set, meet all bodies in blocks of about BROADCAST_ROWS.
     """
     q = quotes.select(F.col(quote_id).alias("qid"), F.col(quote).alias("q")).where("q is not null and trim(q) <> ''").withColumn("qn", tier3(F.col("q"))).withColumn("qw", F.split("qn", " "))
     b = bodies.select(F.col(body_id).alias("bid"), F.col(body).alias("b")).where("b is not null").withColumn("bn", tier3(F.col("b")))
@@ -55,8 +55,12 @@ def grounded(quotes: DataFrame, bodies: DataFrame, quote_id: str, quote: str, bo
     grams = b.select("bid", F.explode(F.array_distinct(F.split("bn", " "))).alias("gram"))
     pairs = grams.join(small(long.select("gram", "qid")), "gram").select("bid", "qid").distinct()
     found = pairs.join(q, "qid").join(b, "bid").where(F.col("bn").contains(F.col("qn")))
-    short = b.join(small(q.where(F.size("qw") < 3)), F.col("bn").contains(F.col("qn")))
-    both = found.select("bid", "qid", "q", "b").unionByName(short.select("bid", "qid", "q", "b"))
+    both = found.select("bid", "qid", "q", "b")
+    brief = q.where(F.size("qw") < 3)
+    blocks = -(-brief.count() // BROADCAST_ROWS)
+    for i in range(blocks):
+        block = F.broadcast(brief.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i))
+        both = both.unionByName(b.join(block, F.col("bn").contains(F.col("qn"))).select("bid", "qid", "q", "b"))
     tier = F.when(F.col("b").contains(F.col("q")), "exact").when(collapse(F.col("b")).contains(collapse(F.col("q"))), "whitespace").otherwise("normalized")
     return both.select(F.col("bid").alias(body_id), F.col("qid").alias(quote_id), tier.alias("tier"))
 

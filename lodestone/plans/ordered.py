@@ -40,16 +40,16 @@ def round_deltas(spark, sf_dir):
     return folds.deltas(days, "day", "total")
 
 
-@query(TABLE, "SELECT p_brand, p_partkey, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 25 AS batch FROM part")
+@query(TABLE, "SELECT p_partkey, (row_number() OVER (ORDER BY p_partkey) - 1) // 25 AS batch FROM part")
 def row_batches(spark, sf_dir):
-    w = Window.partitionBy("p_brand").orderBy("p_partkey")
-    return read(spark, sf_dir, "part").select("p_brand", "p_partkey", F.floor((F.row_number().over(w) - 1) / 25).alias("batch"))
+    rows = folds.places(read(spark, sf_dir, "part").select("p_partkey"), [], ["p_partkey"], F.floor(F.col("p_partkey") / 100_000))
+    return rows.select("p_partkey", F.floor((F.col("place") - 1) / 25).alias("batch"))
 
 
-@query(TABLE, "SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS INT) AS attempt FROM events")
+@query(TABLE, "SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS BIGINT) AS attempt FROM events")
 def attempt_numbers(spark, sf_dir):
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    return read(spark, sf_dir, "events").select("event_id", "user_id", F.row_number().over(w).alias("attempt"))
+    events = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    return folds.places(events, ["user_id", "event_type"], ["ts", "event_id"], F.to_date("ts"), "attempt").select("event_id", "user_id", "attempt")
 
 
 _PRIORITY = ["error", "purchase", "signup", "click", "view"]

@@ -143,3 +143,13 @@ def test_state_stream(spark, tmp_path):
         events.run_state(stream, str(tmp_path / "state"), "id", ["ts"]).awaitTermination()
         assert spark.read.parquet(str(tmp_path / f"state/v{k}")).count() == 2
     assert {(r.id, r.status) for r in spark.read.parquet(str(tmp_path / "state/v1")).collect()} == {(1, "done"), (2, "queued")}
+
+
+def test_places(spark):
+    rows = [(k, t, i) for i, (k, t) in enumerate([("a", 5), ("a", 1), (None, 3), ("b", 2), ("a", 5), ("a", 12), (None, 30), ("a", 30)])]
+    df = spark.createDataFrame(rows, "k string, t int, i int")
+    got = {r.i: r.place for r in folds.places(df, ["k"], ["t", "i"], F.floor(F.col("t") / 10)).collect()}
+    want = {r[2]: 1 + sum(o[0] == r[0] and (o[1], o[2]) < (r[1], r[2]) for o in rows) for r in rows}
+    assert got == want
+    assert sorted(r.place for r in folds.places(df, [], ["t", "i"], F.floor(F.col("t") / 10)).collect()) == list(range(1, 9))
+    assert folds.places(df.limit(0), ["k"], ["t"], F.col("t")).count() == 0

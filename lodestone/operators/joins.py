@@ -48,19 +48,21 @@ def grounded(quotes: DataFrame, bodies: DataFrame, quote_id: str, quote: str, bo
     longest inner word to the distinct words of the bodies (no text is compared with all quotes); quotes of
     under three words, a stated set, meet all bodies in blocks of about BROADCAST_ROWS.
     """
-    q = quotes.select(F.col(quote_id).alias("qid"), F.col(quote).alias("q")).where("q is not null and trim(q) <> ''").withColumn("qn", tier3(F.col("q"))).withColumn("qw", F.split("qn", " "))
-    b = bodies.select(F.col(body_id).alias("bid"), F.col(body).alias("b")).where("b is not null").withColumn("bn", tier3(F.col("b")))
+    # never null, so that Spark adds no null test that normalises every text once more
+    plain = lambda c: F.coalesce(tier3(F.col(c)), F.lit(""))
+    q = quotes.select(F.col(quote_id).alias("qid"), F.col(quote).alias("q")).where("q is not null and trim(q) <> ''").withColumn("qn", plain("q")).withColumn("qw", F.split("qn", " "))
+    raw = bodies.select(F.col(body_id).alias("bid"), F.col(body).alias("b")).where("b is not null")
     longest = F.array_max(F.transform(F.slice("qw", F.lit(2), F.size("qw") - 2), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     long = q.where(F.size("qw") >= 3).withColumn("gram", longest)
-    grams = b.select("bid", F.explode(F.array_distinct(F.split("bn", " "))).alias("gram"))
-    pairs = grams.join(small(long.select("gram", "qid")), "gram").select("bid", "qid").distinct()
-    found = pairs.join(q, "qid").join(b, "bid").where(F.col("bn").contains(F.col("qn")))
-    both = found.select("bid", "qid", "q", "b")
+    grams = raw.select("bid", F.explode(F.array_distinct(F.split(plain("b"), " "))).alias("gram"))
+    tried = grams.join(small(long.select("gram", "qid")), "gram").groupBy("bid").agg(F.collect_set("qid").alias("qids"))
+    some = raw.join(tried, "bid").withColumn("bn", plain("b")).select("bid", "b", "bn", F.explode("qids").alias("qid"))
+    both = some.join(small(long.select("qid", "q", "qn")), "qid").where(F.col("bn").contains(F.col("qn"))).select("bid", "qid", "q", "b")
     brief = q.where(F.size("qw") < 3)
     blocks = -(-brief.count() // BROADCAST_ROWS)
     for i in range(blocks):
         block = F.broadcast(brief.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i))
-        both = both.unionByName(b.join(block, F.col("bn").contains(F.col("qn"))).select("bid", "qid", "q", "b"))
+        both = both.unionByName(raw.withColumn("bn", plain("b")).join(block, F.col("bn").contains(F.col("qn"))).select("bid", "qid", "q", "b"))
     tier = F.when(F.col("b").contains(F.col("q")), "exact").when(collapse(F.col("b")).contains(collapse(F.col("q"))), "whitespace").otherwise("normalized")
     return both.select(F.col("bid").alias(body_id), F.col("qid").alias(quote_id), tier.alias("tier"))
 

@@ -58,7 +58,7 @@ _PLACES = [
 
 @query(TABLE, f"""SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY tier, v, p, idx, url) AS INT) AS rank, url, tier FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, url ORDER BY tier, v, p, idx) AS k
 FROM (SELECT *, CASE version WHEN 'publishedVersion' THEN 0 WHEN 'submittedVersion' THEN 2 ELSE 3 END AS v, NOT is_pdf AS p FROM (SELECT {', '.join(_PLACES)} FROM lineitem))) WHERE k = 1""")
-def open_locations(spark, sf_dir):
+def access_locations(spark, sf_dir):
     return E.locations(read(spark, sf_dir, "lineitem").selectExpr(*_PLACES), "l_orderkey")
 
 

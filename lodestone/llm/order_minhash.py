@@ -6,9 +6,10 @@
 2. Documents with the same words are one class at once; the smallest id stands for them.
 3. Representatives are range-partitioned by (sketch, next sketch, id), so that a sketch that very many documents
    share is spread over tasks, and read in blocks of bounded size. In a block, documents of which at least
-   ``AGREE`` sketches agree are candidates: all pairs in a small cluster, otherwise each member with the
-   cluster's smallest id and with the member before it; a cluster that goes on in the next block passes its
-   leaders on. All pairs of a large group are never formed.
+   ``AGREE`` sketches agree are candidates: all pairs in a small group, otherwise at first each member with its
+   cluster's smallest id and with the member before it. Large groups are then completed: blocks of a group meet
+   in pairs, across partitions, and all agreeing pairs whose documents are not yet in one class are tried, the best
+   of each document first. Only pairs inside a class are never formed.
 4. Candidates are aligned word by word inside a band: similarity = 1 - edit distance / words of the longer.
    Pairs at ``SIMILARITY`` or more are links; connected components of links are the classes, found by label
    passing with pointer jumping, with distributed checkpoints and only counts on the driver.
@@ -26,8 +27,10 @@ from pyspark.sql import DataFrame, functions as F
 from .common import U64, Words, chunks, cut, mix, parts
 
 SHINGLE, SKETCHES, TAKE, AGREE, SIMILARITY = 5, 32, 3, 3, 0.8
-#: Rows of a block of a group, members of a cluster that are paired in full, leaders that are passed on.
-BLOCK, SMALL, CARRY = 2048, 12, 64
+#: Rows of a block of a group, rows of a group that is paired in full at once, leaders that are passed on, rows of a block when groups are completed.
+BLOCK, SMALL, CARRY, WIDE = 2048, 64, 64, 4096
+#: Partners of a row and block in the rounds that complete the groups; the last takes all.
+PARTNERS = (4, 64, None)
 #: Rows of a partition of sketches.
 ROWS = 100_000
 
@@ -125,41 +128,39 @@ def _dealt(batches):
             yield pa.record_batch([pa.array(m.reshape(-1).view(np.int64)), pa.array(np.roll(m, -1, 1).reshape(-1).view(np.int64)), pa.array(ids), own], ["sketch", "next", "id", "brief"])
 
 
+def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many sketches agree, for each of the rows ``x`` with each of ``y``."""
+    out = np.zeros((len(x), len(y)), np.uint8)
+    for k in range(SKETCHES):
+        out += x[:, k, None] == y[None, :, k]
+    return out
+
+
 def _clusters(ids: np.ndarray, brief: np.ndarray):
-    """Candidate pairs of a block, and its leaders' rows. Rows are in ascending order of id."""
+    """First pairs of a block, and its leaders' rows: all pairs of a small block, else each leader with its members."""
     n = len(ids)
+    if n <= SMALL:
+        x, y = np.nonzero(np.triu(_alike(brief, brief) >= AGREE, 1))
+        return [np.stack([x, y])], np.arange(n)
     pairs, leaders = [], []
     open_ = np.arange(n)
     while len(open_):
         lead = open_[0]
         same = (brief[open_] == brief[lead]).sum(1) >= AGREE
-        members = open_[same]
+        same[0] = True
+        rest = open_[same][1:]
         leaders.append(lead)
-        if len(members) > 1:
-            rest = members[1:]
-            pairs.append(np.stack([np.full(len(rest), lead), rest]))
-            if len(members) <= SMALL:
-                x, y = np.triu_indices(len(rest), 1)
-                pairs.append(np.stack([rest[x], rest[y]]))
-            else:
-                pairs.append(np.stack([rest[:-1], rest[1:]]))
-        # documents that agree with a member but not with the leader keep that link
-        others = open_[~same]
-        if len(members) > 1 and len(others):
-            for z in range(0, len(others), 256):
-                own = others[z : z + 256]
-                for y in members[1 : 1 + SMALL]:
-                    link = own[(brief[own] == brief[y]).sum(1) >= AGREE]
-                    if len(link):
-                        pairs.append(np.stack([np.full(len(link), y), link]))
-        open_ = others
+        pairs.append(np.stack([np.full(len(rest), lead), rest]))
+        pairs.append(np.stack([rest[:-1], rest[1:]]))
+        open_ = open_[~same]
     return pairs, np.array(leaders, np.int64)
 
 
 def _candidates(batches):
-    """Candidate pairs of one range of (sketch, next, id), block by block."""
+    """First pairs of one range of (sketch, next, id), block by block; (sketch, null) for groups whose pairs are not all among them."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     carry_key, carry_ids, carry_brief = None, np.zeros(0, np.int64), np.zeros((0, SKETCHES), np.uint8)
+    first = True
 
     def block(key, ids, brief):
         nonlocal carry_key, carry_ids, carry_brief
@@ -169,43 +170,113 @@ def _candidates(batches):
         ids, brief = ids[order], brief[order]
         pairs, leaders = _clusters(ids, brief)
         carry_key, carry_ids, carry_brief = key, ids[leaders[:CARRY]], brief[leaders[:CARRY]]
-        if pairs:
-            a, b = np.concatenate(pairs, axis=1)
-            return ids[np.minimum(a, b)], ids[np.maximum(a, b)]
-        return None
+        a, b = np.concatenate(pairs, axis=1)
+        return ids[np.minimum(a, b)], ids[np.maximum(a, b)]
 
     def settle(last: bool):
+        nonlocal first
         key, ids, brief = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
         edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(edge, len(key)))
-        out = []
+        hot = size > SMALL
+        hot[0] |= first or carry_key == key[0]  # a group may go on in another partition or batch
+        hot[-1] = True
+        first = False
         if not last:  # the last group may go on in the next batch
             held.append((key[edge[-1] :], ids[edge[-1] :], brief[edge[-1] :]))
             if len(held[0][0]) < BLOCK:
-                edge, size = edge[:-1], size[:-1]
+                edge, size, hot = edge[:-1], size[:-1], hot[:-1]
             else:
                 held.clear()
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for at, n in zip(edge, size, strict=True):
             if n < 2 and carry_key != key[at]:
                 continue
             for z in range(at, at + n, BLOCK):
-                if (got := block(key[at], ids[z : min(z + BLOCK, at + n)], brief[z : min(z + BLOCK, at + n)])) is not None:
-                    out.append(got)
-        if not out:
-            return None
+                out.append(block(key[at], ids[z : min(z + BLOCK, at + n)], brief[z : min(z + BLOCK, at + n)]))
         a, b = (np.concatenate(x) for x in zip(*out, strict=True))
         both = np.unique(np.stack([a, b], 1), axis=0)
-        return pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+        more = np.unique(key[edge[hot]])
+        return pa.record_batch([pa.array(np.append(both[:, 0], more)), pa.array(np.append(both[:, 1], more), mask=np.arange(len(both) + len(more)) >= len(both))], ["a", "b"])
 
     for batch in batches:
         n = batch.num_rows
         if n:
             held.append((batch.column("sketch").to_numpy(), batch.column("id").to_numpy(), np.frombuffer(b"".join(x.as_buffer() for x in batch.column("brief")), np.uint8).reshape(n, SKETCHES)))
-            if sum(len(x[0]) for x in held) >= 8 * BLOCK and (got := settle(False)) is not None:
-                yield got
-    if held and (got := settle(True)) is not None:
-        yield got
+            if sum(len(x[0]) for x in held) >= 8 * BLOCK:
+                yield settle(False)
+    if held:
+        yield settle(True)
+
+
+def _blocked(rows: DataFrame) -> DataFrame:
+    """Rows (sketch, id, label, brief) of groups with several labels, a copy for each pair of blocks that a row meets.
+
+    Rows of a label with more than ``WIDE`` rows have blocks of their own, which never meet each other.
+    """
+    size = rows.groupBy("sketch", "label").agg(F.count("*").alias("n"))
+    size = size.withColumn("own", F.when(F.col("n") > WIDE, F.col("label")))
+    size = size.groupBy("sketch", "own").agg(F.sum("n").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    size = size.withColumn("blocks", F.ceil(F.col("n") / WIDE).cast("int"))
+    group = size.groupBy("sketch").agg(F.collect_list(F.struct("own", "blocks")).alias("all"), F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("sketch", "all")
+    named = F.concat(F.coalesce(F.col("label").cast("string"), F.lit("-")), F.lit(":"))
+    joined = rows.join(group, "sketch")
+    own = F.filter("all", lambda e: e["own"] == F.col("label"))
+    is_own = F.size(own) > 0
+    mine = F.when(is_own, own[0]["blocks"]).otherwise(F.filter("all", lambda e: e["own"].isNull())[0]["blocks"])
+    place = F.concat(F.when(is_own, named).otherwise("-:"), F.pmod(F.xxhash64("id"), mine).cast("string"))
+    met = F.filter("all", lambda e: ~is_own | e["own"].isNull() | (e["own"] != F.col("label")))
+    names = F.flatten(F.transform(met, lambda e: F.transform(F.sequence(F.lit(0), e["blocks"] - 1), lambda k: F.concat(F.coalesce(e["own"].cast("string"), F.lit("-")), F.lit(":"), k.cast("string")))))
+    out = joined.select("sketch", "id", "label", "brief", place.alias("mine"), F.explode(names).alias("other"))
+    return out.select(F.xxhash64("sketch", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"), "id", "label", "brief")
+
+
+def _crossed(most: int | None):
+    """Agreeing pairs with different labels of each pair of blocks; of each left row the ``most`` best, with (null, null) if that leaves some out."""
+
+    def pairs(rows):
+        left, right, ids, label, brief = (np.concatenate(x) for x in zip(*rows, strict=True))
+        x, y = np.flatnonzero(left), np.flatnonzero(right)
+        same = bool((left & right).any())
+        for z in range(0, len(x), 256):
+            own = x[z : z + 256]
+            alike = _alike(brief[own], brief[y])
+            alike[(alike < AGREE) | (label[own][:, None] == label[y][None])] = 0
+            if same:
+                alike[ids[own][:, None] >= ids[y][None]] = 0
+            over = most is not None and len(y) > most and bool(((alike > 0).sum(1) > most).any())
+            if over:
+                best = np.argpartition(-alike.astype(np.int16), most - 1, axis=1)[:, :most]
+                keep = np.zeros(alike.shape, bool)
+                np.put_along_axis(keep, best, True, axis=1)
+                alike[~keep] = 0
+            i, j = np.nonzero(alike)
+            a, b = ids[own[i]], ids[y[j]]
+            low, high = np.minimum(a, b), np.maximum(a, b)
+            gone = np.arange(len(low) + over) >= len(low)
+            yield pa.record_batch([pa.array(np.append(low, [0] * over).astype(np.int64), mask=gone), pa.array(np.append(high, [0] * over).astype(np.int64), mask=gone)], ["a", "b"])
+
+    def run(batches):
+        held, now = [], None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            key = batch.column("key").to_numpy()
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right", "id", "label")]
+            cols.append(np.frombuffer(b"".join(x.as_buffer() for x in batch.column("brief")), np.uint8).reshape(n, SKETCHES))
+            edge = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), n)
+            for at, to in zip(edge[:-1], edge[1:], strict=True):
+                if held and key[at] != now:
+                    yield from pairs(held)
+                    held = []
+                now = key[at]
+                held.append([c[at:to] for c in cols])
+        if held:
+            yield from pairs(held)
+
+    return run
 
 
 def _worded(batches):
@@ -234,6 +305,17 @@ def _unshared(a: np.ndarray, b: np.ndarray) -> int:
     return max(len(a), len(b)) - int(np.minimum(na[x], nb[y]).sum())
 
 
+def _unmatched(a: np.ndarray, b: np.ndarray, t: int) -> int:
+    """A lower bound of an edit distance of at most ``t``: words of the longer that the other lacks within t places."""
+    if len(a) < len(b):
+        a, b = b, a
+    place = np.sort(b.astype(np.int64) << 31 | np.arange(len(b)))
+    own = a.astype(np.int64) << 31
+    at = np.arange(len(a))
+    k = np.searchsorted(place, own | np.maximum(at - t, 0))
+    return int(((k == len(place)) | (place[np.minimum(k, len(place) - 1)] > (own | at + t))).sum())
+
+
 def _banded(pairs: list[tuple[np.ndarray, np.ndarray]], t: int) -> np.ndarray:
     """Cost of the best alignment inside diagonals -t..t, all pairs at once: the edit distance, if that is at most t; never less than it."""
     la, lb = np.array([len(a) for a, _ in pairs]), np.array([len(b) for _, b in pairs])
@@ -277,7 +359,7 @@ def similarities(pairs: list[tuple[np.ndarray, np.ndarray]], least: float = SIMI
         if not len(x) or not len(y):
             d = max(len(x), len(y))
             out[i] = 1 - d / longer if longer and d <= most else -1 if longer else 1
-        elif abs(len(x) - len(y)) <= most and _unshared(x, y) <= most:
+        elif abs(len(x) - len(y)) <= most and _unshared(x, y) <= most and _unmatched(x, y, most) <= most:
             wait.append((i, x, y, most, longer))
     band = 8
     while wait:
@@ -363,13 +445,36 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     spark = docs.sparkSession
     heads = cut(heads.select("id", "sketches"))
     n = heads.count() * SKETCHES
-    dealt = heads.mapInArrow(_dealt, "sketch long, next long, id long, brief binary").repartitionByRange(max(parts(spark), n // ROWS + 1), "sketch", "next", "id").sortWithinPartitions("sketch", "next", "id")
-    pairs = cut(dealt.mapInArrow(_candidates, "a long, b long").distinct())
+    dealt = heads.mapInArrow(_dealt, "sketch long, next long, id long, brief binary")
+    ranged = dealt.repartitionByRange(max(parts(spark), n // ROWS + 1), "sketch", "next", "id").sortWithinPartitions("sketch", "next", "id")
+    first = cut(ranged.mapInArrow(_candidates, "a long, b long").distinct())
+    tried, hot = first.where("b is not null"), first.where("b is null").select(F.col("a").alias("sketch"))
+    found = _aligned(rows, tried, least)
+    if not hot.limit(1).count():
+        return sketched, found
+    hot = cut(dealt.select("sketch", "id", "brief").join(hot, "sketch", "left_semi"))
+    for most in PARTNERS:
+        label = components(found).withColumnRenamed("id", "_id")
+        named = hot.join(label, F.col("id") == F.col("_id"), "left").select("sketch", "id", "brief", F.coalesce("label", "id").alias("label"))
+        width = max(parts(spark), hot.count() // ROWS + 1)
+        met = _blocked(cut(named)).repartition(width, "key").sortWithinPartitions("key")
+        crossed = cut(met.mapInArrow(_crossed(most), "a long, b long").distinct())
+        more = cut(crossed.where("a is not null").join(tried, ["a", "b"], "left_anti"))
+        if more.limit(1).count():
+            found = cut(found.unionAll(_aligned(rows, more, least)))
+            tried = tried.unionAll(more)
+        if not crossed.where("a is null").limit(1).count():
+            break
+    return sketched, found
+
+
+def _aligned(rows: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """The links (a, b, similarity) among the pairs (a, b) of ids of ``rows``."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     worded = cut(rows.join(wanted, "id", "left_semi").mapInArrow(_worded, "id long, words binary").dropDuplicates(["id"]))
     first = pairs.join(worded.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
     second = first.join(worded.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
-    return sketched, cut(second.mapInArrow(_verified(least), "a long, b long, similarity double"))
+    return cut(second.mapInArrow(_verified(least), "a long, b long, similarity double"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:

@@ -230,3 +230,19 @@ def test_pipeline(spark):
         w = words(r.text)
         assert not any(tuple(w[k : k + 10]) in windows for k in range(len(w) - 9))
         assert r.n_chars == len(r.text) and r.source == docs[r.doc_id].source
+
+
+def test_order_minhash_completes_large_groups(spark):
+    rng = random.Random(4)
+    sections = [[f"s{k}w{rng.randrange(10**6)}" for _ in range(25)] for k in range(8)]
+    ids, rows, want = rng.sample(range(1000), 1000), [], []
+    for _ in range(500):
+        text = [w for s in rng.sample(range(8), 8) for w in sections[s]]
+        near = list(text)
+        for at in rng.sample(range(200), 7):
+            near[at] = f"x{rng.randrange(10**6)}"
+        want.append((ids.pop(), ids.pop()))
+        rows += [(want[-1][0], " ".join(text)), (want[-1][1], " ".join(near))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs).collect()}
+    assert [p for p in want if got[p[0]] != got[p[1]]] == []

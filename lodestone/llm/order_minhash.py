@@ -1,12 +1,12 @@
 """Near-duplicate classes by Order MinHash, verified by banded alignment.
 
-1. Each document's 5-word strings are labelled with their occurrence number. For each of ``SKETCHES`` hash
+1. Each document's ``SHINGLE``-word strings are labelled with their occurrence number. For each of ``SKETCHES`` hash
    functions the ``TAKE`` strings with the smallest values are taken in text order; the hash of that sequence is a
    sketch. It agrees for documents that share the strings and their order, as edit-similar texts do.
 2. Documents with the same words are one class at once; the smallest id stands for them.
 3. Representatives are range-partitioned by (sketch, next sketch, id), so that a sketch that very many documents
    share is spread over tasks, and read in blocks of bounded size. In a block, documents of which at least
-   ``AGREE`` sketches agree are candidates: all pairs in a small group, otherwise at first each member with its
+   ``AGREE`` sketches agree (one, so that pairs at the threshold are found too) are candidates: all pairs in a small group, otherwise at first each member with its
    cluster's smallest id and with the member before it. Large groups are then completed: blocks of a group meet
    in pairs, across partitions, and all agreeing pairs whose documents are not yet in one class are tried, the best
    of each document first. Only pairs inside a class are never formed.
@@ -14,7 +14,7 @@
    Pairs at ``SIMILARITY`` or more are links; connected components of links are the classes, found by label
    passing with pointer jumping, with distributed checkpoints and only counts on the driver.
 
-Cases: texts without words (null, empty) belong to no group and are classes of their own; texts of fewer than five words are
+Cases: texts without words (null, empty) belong to no group and are classes of their own; texts of fewer words than a string are
 one string; repeated rows share a class; rows without an id are kept, with no class; an empty table gives no rows; columns other than the named ones are ignored.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import U64, Words, chunks, cut, mix, parts
 
-SHINGLE, SKETCHES, TAKE, AGREE, SIMILARITY = 5, 32, 3, 3, 0.8
+SHINGLE, SKETCHES, TAKE, AGREE, SIMILARITY = 3, 32, 2, 1, 0.8
 #: Rows of a block of a group, rows of a group that is paired in full at once, leaders that are passed on, rows of a block when groups are completed.
 BLOCK, SMALL, CARRY, WIDE = 2048, 64, 64, 4096
 #: Partners of a row and block in the rounds that complete the groups; the last takes all.

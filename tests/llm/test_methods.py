@@ -246,3 +246,17 @@ def test_order_minhash_completes_large_groups(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs).collect()}
     assert [p for p in want if got[p[0]] != got[p[1]]] == []
+
+
+@pytest.mark.parametrize("rate", [0.1, 0.15, 0.2])
+def test_order_minhash_recall_by_edit_similarity(spark, rate):
+    rng = random.Random(6)
+    rows = []
+    for k in range(0, 200, 2):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        near = list(text)
+        for at in rng.sample(range(200), round(rate * 200)):
+            near[at] = f"x{rng.randrange(10**6)}"
+        rows += [(k, " ".join(text)), (k + 1, " ".join(near))]
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[k + 1] == k for k in range(0, 200, 2)) >= 95

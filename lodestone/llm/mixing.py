@@ -3,7 +3,9 @@
 Documents are counted into cells (source, language, topic). The cells' token weights are raked in turn to the target
 shares of sources, languages and topics: in each step a cell's weight is multiplied by target / current share of its
 margin, a window sum over the margin. The raked weight times the sampling fraction is a document's inclusion
-probability; where it would exceed 1, it is 1 and the rest stays as the document's repetition weight. A
+probability; where it would exceed 1, it is 1 and the rest stays as the document's repetition weight. ``sample``
+does not repeat documents: there a cell's weight stops where its probability is 1 and the raking moves what is over
+to the other cells of the margins; only a margin that has too few tokens in all stays below its target. A
 document is sampled if a number in [0, 1) from the MD5 of its id and the seed lies below its probability, so
 the sample does not depend on partitioning and repeats exactly.
 
@@ -60,8 +62,8 @@ def _target(cells: DataFrame, margin: str, target) -> DataFrame:
     return raw.crossJoin(F.broadcast(whole)).select(margin, F.when(F.col("whole") > 0, F.col("s") / F.col("whole")).otherwise(0.0).alias("share"))
 
 
-def raked(cells: DataFrame, targets=None, rounds: int = ROUNDS) -> DataFrame:
-    """The cells (source, lang, topic, tokens) with a column weight, whose token-weighted margins meet the targets."""
+def raked(cells: DataFrame, targets=None, rounds: int = ROUNDS, most: float | None = None) -> DataFrame:
+    """The cells (source, lang, topic, tokens) with a column weight, ``most`` at most, whose token-weighted margins meet the targets."""
     targets = TARGETS | (targets or {})
     out = cells.withColumn("weight", F.lit(1.0))
     for m in MARGINS:
@@ -72,6 +74,8 @@ def raked(cells: DataFrame, targets=None, rounds: int = ROUNDS) -> DataFrame:
         for m in MARGINS:
             now = F.sum(F.col("weight") * F.col("tokens")).over(Window.partitionBy(m))
             out = out.withColumn("now", now).withColumn("weight", F.when(F.col("now") > 0, F.col("weight") * F.col(f"to_{m}") * F.col("total") / F.col("now")).otherwise(F.col("weight"))).drop("now")
+            if most is not None:
+                out = out.withColumn("weight", F.least("weight", F.lit(float(most))))
         if k % 5 == 4:
             out = cut(out)
     return out.drop("total")
@@ -102,7 +106,14 @@ def probabilities(docs: DataFrame, id_col="doc_id", text_col="text", source_col=
     )
 
 
-def sample(docs: DataFrame, id_col="doc_id", **how) -> DataFrame:
-    """The sampled documents, with their own columns."""
-    chosen = probabilities(docs, id_col, **how).where("sampled").select(F.col(id_col).alias("_chosen")).distinct()
-    return docs.join(chosen, docs[id_col] == chosen["_chosen"], "left_semi")
+def sample(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", lang_col="lang", targets=None, fraction: float = FRACTION, seed: str = SEED, rounds: int = 2 * ROUNDS) -> DataFrame:
+    """The sampled documents, with their own columns; rows without an id are drawn by their text, source and language."""
+    text, none = F.col("text").cast("string"), F.lit("(none)")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"))
+    drawn = F.coalesce("id", F.concat_ws("|", F.lit(""), F.md5(F.coalesce(text, F.lit(""))), "source", "lang"))
+    rows = rows.select("own", drawn.alias("id"), F.coalesce("source", none).alias("source"), F.coalesce("lang", none).alias("lang"), topic_of(text).alias("topic"))
+    cells = cut(described(docs, id_col, text_col, source_col, lang_col).groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
+    fitted = cut(raked(cells, targets, rounds, 1 / fraction if fraction > 0 else None).select(*MARGINS, "weight"))
+    fitted = F.broadcast(fitted) if fitted.count() <= CELLS else fitted
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("id"))), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    return rows.join(fitted, list(MARGINS), "left").where(u < F.coalesce("weight", F.lit(1.0)) * fraction).select("own.*")

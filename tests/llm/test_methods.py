@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import cotraining, language, licences, order_minhash, queries, suffix, toxicity
+from lodestone.llm import cotraining, language, licences, mixing, order_minhash, queries, suffix, toxicity
 from test_queries import TABLES, rows as comparable
 
 SMALL, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -260,3 +260,14 @@ def test_order_minhash_recall_by_edit_similarity(spark, rate):
         rows += [(k, " ".join(text)), (k + 1, " ".join(near))]
     got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(got[k + 1] == k for k in range(0, 200, 2)) >= 95
+
+
+def test_mixed_shares_meet_targets(spark):
+    counts = {("a", "de"): 200, ("a", "en"): 9800, ("b", "de"): 2000, ("b", "en"): 2000}
+    kinds = [k for k, n in counts.items() for _ in range(n)]
+    rows = [(None if i % 50 == 0 else i, f"some words here {i}", lang, source, 20) for i, (source, lang) in enumerate(kinds)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = mixing.sample(docs, targets={"source": {"a": 0.8, "b": 0.2}, "lang": {"de": 0.2, "en": 0.8}}).collect()
+    assert abs(sum(r.lang == "de" for r in got) / len(got) - 0.2) < 0.01
+    assert abs(sum(r.source == "b" for r in got) / len(got) - 0.2) < 0.01
+    assert abs(len(got) - 7000) < 200 and 100 < sum(r.doc_id is None for r in got) < 180

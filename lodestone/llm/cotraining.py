@@ -2,11 +2,13 @@
 
 The text view sees shares of hashed byte trigrams of the whole text. The metadata view sees what is known without
 reading it: source, language, length, lines and characters in a line, each hashed or binned. Both are logistic
-regressions. In each round a view labels the unlabelled pool; its most confident documents of either class, in the
-proportion of the classes, join the training rows of the other view. At the end each view is calibrated on
+regressions. In each round a view scores all unlabelled documents; its most confident documents of either class, in the
+proportion of the classes and from all strata (buckets of source and language) in turn, join the training rows of the
+other view. At the end each view is calibrated on
 labelled rows that neither was trained on, and the two calibrated logits are combined by a logistic fit on them.
 
-Fitting takes at most ``LABELLED`` labelled and ``POOL`` unlabelled documents; all documents are scored.
+Fitting takes at most ``LABELLED`` labelled documents and, a round and view, ``TAKE`` unlabelled ones or one of each stratum
+and class, if that is more; all unlabelled documents compete for these places.
 
 Cases: null source, language or length have a bucket of their own; a null text counts as empty and is scored by its
 metadata and an empty trigram profile; with labels of one class only, every score is that class; with none, 0.5;
@@ -17,12 +19,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import chunks, utf8
+from .common import chunks, cut, utf8
 
-#: Documents in the labelled sample and in the unlabelled pool, at most.
-LABELLED, POOL = 3_000, 3_000
+#: Documents in the labelled sample, at most.
+LABELLED = 3_000
 ROUNDS, TAKE, BITS, META = 3, 200, 10, 128
 SCALE = 256.0
 
@@ -97,7 +99,7 @@ class Logistic:
 class CoTrained:
     """The two views, their calibration and their combination."""
 
-    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray):
+    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, most_confident):
         from .toxicity import _platt
 
         self.prior = float(y.mean()) if len(y) else 0.5
@@ -107,25 +109,17 @@ class CoTrained:
         hold = np.arange(len(y)) % 4 == 3
         if hold.sum() < 20 or y[hold].min() == y[hold].max():
             hold = np.zeros(len(y), bool)
-        x, px = [text[~hold], meta[~hold]], [pool_text, pool_meta]
+        x = [text[~hold], meta[~hold]]
         rows = [(x[0], y[~hold]), (x[1], y[~hold])]
-        left = [np.arange(len(pool_text)), np.arange(len(pool_text))]  # of the pool, not yet given to the view
-        for _ in range(ROUNDS + 1):
+        taken: list[list[int]] = [[], []]
+        for k in range(ROUNDS + 1):
             self.views = [Logistic(*rows[0], 1e-3), Logistic(*rows[1], 1e-3)]
-            if not len(pool_text) or _ == ROUNDS:
+            if k == ROUNDS:
                 break
-            for giver, taker in ((0, 1), (1, 0)):
-                if not len(left[taker]):
-                    continue
-                q = self.views[giver].logit(px[giver][left[taker]])
-                order = np.argsort(q, kind="stable")
-                good = max(1, round(TAKE * self.prior))
-                low, high = order[: max(1, TAKE - good)], order[::-1][:good]
-                low, high = low[q[low] < -1], high[q[high] > 1]
-                took = left[taker][np.concatenate([low, high])]
-                label = np.concatenate([np.zeros(len(low)), np.ones(len(high))])
-                rows[taker] = (np.concatenate([rows[taker][0], px[taker][took]]), np.concatenate([rows[taker][1], label]))
-                left[taker] = np.setdiff1d(left[taker], took)
+            for taker, (ids, more, label) in enumerate(most_confident(self.views, taken, self.prior)):
+                if len(ids):
+                    rows[taker] = (np.concatenate([rows[taker][0], more]), np.concatenate([rows[taker][1], label]))
+                    taken[taker] += ids
         ct, cm, cy = (text[hold], meta[hold], y[hold]) if hold.any() else (text, meta, y)
         logits = [self.views[0].logit(ct), self.views[1].logit(cm)]
         self.calibration = [_platt(q, cy) for q in logits]
@@ -164,22 +158,63 @@ def _scored(shared):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", source_col="source", lang_col="lang", chars_col="n_chars", labelled: int = LABELLED, pool: int = POOL) -> CoTrained:
-    """A model from the documents with the smallest id hashes among the labelled and among the others."""
-    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
-    first = lambda df, n: df.orderBy(F.xxhash64("_id"), "_id").limit(n)
-    ids = docs.select(F.col(id_col).alias("_id")).where("_id is not null")
-    some = first(known.join(ids, "_id", "left_semi"), labelled)
-    others = first(ids.distinct().join(known, "_id", "left_anti"), pool).withColumn("_y", F.lit(-1))
+def _confident(shared):
+    """The documents that a view is sure of: id, stratum, taker, class, confidence."""
+
+    def run(batches):
+        views, taken = shared.value
+        gone = [np.array(t, np.int64) for t in taken]
+        for part in chunks(batches):
+            data, off = utf8(part.column("text"))
+            meta = part.column("meta").flatten().to_numpy(zero_copy_only=False).reshape(-1, 5)
+            ids = part.column("id").to_numpy()
+            both = _mean_weight(data, off, views[0].weight) + views[0].offset, views[1].weight[meta].sum(1) + views[1].offset
+            for taker, q in ((1, both[0]), (0, both[1])):
+                at = np.flatnonzero((np.abs(q) > 1) & ~np.isin(ids, gone[taker]))
+                yield pa.record_batch([pa.array(ids[at]), pa.array(meta[at, 0].astype(np.int64) * META + meta[at, 1]), pa.array(np.full(len(at), taker, np.int32)), pa.array((q[at] > 0).astype(np.int32)), pa.array(np.abs(q[at]))], ["id", "stratum", "taker", "y", "sure"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", source_col="source", lang_col="lang", chars_col="n_chars", labelled: int = LABELLED) -> CoTrained:
+    """A model from the labelled documents with the smallest id hashes and the unlabelled ones that the views are surest of."""
+    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     meta = F.array(*meta_columns(docs, id_col, text_col, source_col, lang_col, chars_col))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), meta.alias("meta")).join(F.broadcast(some.unionAll(others)), F.col("id") == F.col("_id")).select("id", F.col("_y").alias("y"), "text", "meta")
-    got = rows.mapInArrow(_features, "id long, y int, profile binary, meta array<int>").dropDuplicates(["id"]).collect()
-    got.sort(key=lambda r: (r[0] * 0x9E3779B97F4A7C15) & (2**64 - 1))
-    y = np.array([r[1] for r in got], np.int64)
-    text = np.stack([np.frombuffer(r[2], np.float16) for r in got]).astype(np.float32) if got else np.zeros((0, 1 << BITS), np.float32)
-    onehot = _onehot(np.array([r[3] for r in got], np.int64).reshape(-1, 5))
-    own = y >= 0
-    return CoTrained(text[own], onehot[own], y[own].astype(np.float32), text[~own], onehot[~own])
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), meta.alias("meta")).where("id is not null")
+    some = known.join(rows.select(F.col("id").alias("_id")), "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(labelled)
+
+    def features(wanted: DataFrame):
+        """ids, profiles, one-hot metadata and labels of the wanted (_id, _y), in a fixed order."""
+        own = rows.join(F.broadcast(wanted), F.col("id") == F.col("_id")).select("id", F.col("_y").alias("y"), "text", "meta")
+        got = own.mapInArrow(_features, "id long, y int, profile binary, meta array<int>").dropDuplicates(["id"]).collect()
+        got.sort(key=lambda r: (r[0] * 0x9E3779B97F4A7C15) & (2**64 - 1))
+        text = np.stack([np.frombuffer(r[2], np.float16) for r in got]).astype(np.float32) if got else np.zeros((0, 1 << BITS), np.float32)
+        return [r[0] for r in got], text, _onehot(np.array([r[3] for r in got], np.int64).reshape(-1, 5)), np.array([r[1] for r in got], np.float32)
+
+    def most_confident(views, taken, prior):
+        spark = docs.sparkSession
+        shared = spark.sparkContext.broadcast((views, taken))
+        sure = rows.mapInArrow(_confident(shared), "id long, stratum long, taker int, y int, sure double")
+        sure = sure.join(known.select(F.col("_id").alias("id")), "id", "left_anti")
+        place = F.row_number().over(Window.partitionBy("taker", "y", "stratum").orderBy(F.desc("sure"), "id"))
+        found = cut(sure.withColumn("place", place).where(F.col("place") <= TAKE))
+        strata = found.select("stratum").distinct().count()
+        good = max(1, round(TAKE * prior))
+        out = []
+        for taker in (0, 1):
+            chosen: dict[int, int] = {}
+            for y, n in ((0, max(1, TAKE - good)), (1, good)):
+                for r in found.where((F.col("taker") == taker) & (F.col("y") == y)).orderBy("place", F.desc("sure"), "id").limit(max(n, strata)).collect():
+                    chosen.setdefault(r.id, y)
+            if not chosen:
+                out.append(([], None, None))
+                continue
+            ids, text, onehot, label = features(spark.createDataFrame(list(chosen.items()), "_id long, _y int"))
+            out.append((ids, (text, onehot)[taker], label))
+        return out
+
+    _, text, onehot, y = features(some)
+    return CoTrained(text, onehot, y, most_confident)
 
 
 def classify(docs: DataFrame, model: CoTrained, id_col="doc_id", text_col="text", source_col="source", lang_col="lang", chars_col="n_chars", threshold: float = 0.5) -> DataFrame:

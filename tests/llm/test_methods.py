@@ -271,3 +271,17 @@ def test_mixed_shares_meet_targets(spark):
     assert abs(sum(r.lang == "de" for r in got) / len(got) - 0.2) < 0.01
     assert abs(sum(r.source == "b" for r in got) / len(got) - 0.2) < 0.01
     assert abs(len(got) - 7000) < 200 and 100 < sum(r.doc_id is None for r in got) < 180
+
+
+def test_cotraining_reaches_rare_sources(spark):
+    rng = random.Random(3)
+    good, bad = ["clear", "useful", "lesson", "study"], ["click", "buy", "spam", "cheap"]
+    rows = []
+    for k in range(12_000):
+        of = good if k % 2 else bad
+        rows.append((k, " ".join(rng.choice(of) for _ in range(30)), "en", "rare" if k in (7001, 7002) else "hot", 150))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, quality int")
+    model = cotraining.fit(docs, labels)
+    rare = docs.select(cotraining.meta_columns(docs, "doc_id", "text", "source", "lang", "n_chars")[0].alias("m"), "source").where("source = 'rare'").first().m
+    assert model.views[1].weight[rare] != 0

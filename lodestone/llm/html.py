@@ -9,7 +9,8 @@
    that has none of them falls back on its own best container.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments inside the container
-are left out; headings of the article stay. The winners of hosts travel to the workers if they take up no
+are left out; headings of the article stay. An element that is noise only as a form or by a part of a class or id
+("has-sidebar") and holds most of the page's text outside links is a wrapper and no noise. The winners of hosts travel to the workers if they take up no
 more than ``BROADCAST`` bytes; beyond, pages are joined to them by host.
 
 Cases: null html is empty and gives an empty text; a page without tags is one block; unclosed tags, comments
@@ -26,8 +27,8 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Paths kept for a host, and the largest table of winners that is sent to every worker.
-WINNERS, BROADCAST = 3, 32 << 20
+#: Share of a host's votes with which a path is kept, and the largest table of winners that is sent to every worker.
+SHARE, BROADCAST = 0.01, 32 << 20
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
@@ -43,6 +44,7 @@ _SPACE = re.compile(r"\s+")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input embed param source track area link meta base col".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOISE_TAGS = frozenset("nav footer aside form header head menu button dialog fieldset frameset legend option".split())
+WRAPPERS = frozenset("form fieldset".split())  # noise unless they hold most of the page
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices "
     "overlay pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
@@ -56,31 +58,35 @@ ENDS_P = frozenset("address article aside blockquote details div dl fieldset fig
 
 
 class Node:
-    __slots__ = ("tag", "path", "up", "noise", "score", "bonus", "at")
+    __slots__ = ("tag", "path", "up", "noise", "soft", "score", "bonus", "at", "inside")
 
-    def __init__(self, tag, path, up, noise, bonus, at):
-        self.tag, self.path, self.up, self.noise, self.bonus, self.at = tag, path, up, noise, bonus, at
+    def __init__(self, tag, path, up, noise, soft, bonus, at):
+        self.tag, self.path, self.up, self.noise, self.soft, self.bonus, self.at = tag, path, up, noise, soft, bonus, at
+        self.inside = up is not None and (up.inside or up.tag in ("article", "main"))  # an article
         self.score = 0.0
 
 
 def _made(tag: str, attrs: str, up: Node, at: int) -> Node:
-    noise, bonus, classes = tag in NOISE_TAGS, 25.0 if tag in ("article", "main") else 0.0, ""
+    inside = up.inside or up.tag in ("article", "main")
+    noise, soft = tag in NOISE_TAGS and tag not in WRAPPERS and not (inside and tag == "header"), tag in WRAPPERS
+    bonus, classes = 25.0 if tag in ("article", "main") else 0.0, ""
     if attrs and "=" in attrs or "hidden" in attrs:
         a = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTR.findall(attrs)}
         names = a.get("class", "").lower().split()
         words = {w for k in (*names, a.get("id", "").lower()) for w in re.split(r"[^a-z]+", k) if w}
         if tag not in ("html", "body", "article", "main"):
-            noise |= bool(words & NOISE_WORDS)
+            noise |= any(k in NOISE_WORDS for k in (*names, a.get("id", "").lower()))
+            soft |= bool((words - {"header"} if inside else words) & NOISE_WORDS)
         noise |= a.get("role", "").lower() in NOISE_ROLES or "hidden" in attrs.split() or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "")
         bonus += 10.0 * bool(words & GOOD_WORDS) + 25.0 * (a.get("role") in ("main", "article"))
         if names:
             classes = "." + ".".join(sorted({re.sub(r"\d+", "#", k) for k in names}))
-    return Node(tag, f"{up.path}>{tag}{classes}"[-400:], up, up.noise or noise, bonus, at)
+    return Node(tag, f"{up.path}>{tag}{classes}"[-400:], up, noise, soft, bonus, at)
 
 
 def read(page: str):
     """The page's blocks, (container, text, characters in links), in page order; the containers."""
-    root = Node("", "", None, False, 0.0, 0)
+    root = Node("", "", None, False, False, 0.0, 0)
     nodes, stack, blocks = [root], [root], []
     text: list[str] = []
     link = links = 0
@@ -140,9 +146,26 @@ def read(page: str):
             rest = rest[:k]
         put(rest)
     flush()
+    _quiet(blocks, nodes)
     return blocks, nodes
 
 
+def _quiet(blocks, nodes):
+    """Settle which containers are noise: their own, unless they wrap most of the page's text, and all that stands in such."""
+    if any(n.soft and not n.noise for n in nodes):
+        total = 0
+        for node, t, links in blocks:
+            gain = max(len(t) - 2 * links, 0)
+            total += gain
+            while node is not None:
+                node.score += gain
+                node = node.up
+        for n in nodes:
+            n.noise |= n.soft and n.score * 2 <= total
+    for n in nodes:  # those above come first
+        n.noise |= n.up is not None and n.up.noise
+
+
 #: A block's own element is no container if it only holds a paragraph.
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption caption summary address center".split())
 
@@ -216,11 +239,13 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
-def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html", winners: int = WINNERS) -> DataFrame:
-    """host, paths: the container paths with the most votes, best first."""
+def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html", share: float = SHARE) -> DataFrame:
+    """host, paths: the container paths with at least ``share`` of the host's votes, most votes first."""
     votes = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html")).mapInArrow(_votes, "host string, path string, votes long, score double")
     total = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("score").alias("score"))
-    ranked = total.groupBy("host").agg(F.slice(F.sort_array(F.collect_list(F.struct("votes", F.round("score", 3).alias("score"), "path")), False), 1, winners).alias("best"))
+    least = total.groupBy("host").agg((F.sum("votes") * share).alias("least"))
+    total = total.join(least, "host").where("votes >= least")
+    ranked = total.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("votes", F.round("score", 3).alias("score"), "path")), False).alias("best"))
     return ranked.select("host", F.col("best.path").alias("paths"))
 
 

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import cotraining, language, licences, mixing, order_minhash, queries, suffix, toxicity
+from lodestone.llm import cotraining, html, language, licences, mixing, order_minhash, queries, suffix, toxicity
 from test_queries import TABLES, rows as comparable
 
 SMALL, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -285,3 +285,18 @@ def test_cotraining_reaches_rare_sources(spark):
     model = cotraining.fit(docs, labels)
     rare = docs.select(cotraining.meta_columns(docs, "doc_id", "text", "source", "lang", "n_chars")[0].alias("m"), "source").where("source = 'rare'").first().m
     assert model.views[1].weight[rare] != 0
+
+
+@pytest.mark.parametrize("wrapper", ['<div class="has-sidebar">', '<div id="page" class="no-sidebar">', '<div class="content-with-nav">', "<form>"])
+def test_html_wrappers(wrapper):
+    end = "</form>" if wrapper == "<form>" else "</div>"
+    page = f'<body>{wrapper}<nav><a href="/">home</a></nav><article><div class="post-header"><h1>Title</h1></div><p>{"some words " * 30}</p></article><div class="cookie-box">We use cookies.</div>{end}</body>'
+    got = html.main_text(page, [])
+    assert got.startswith("Title\nsome words") and "cookies" not in got and "home" not in got
+
+
+def test_html_templates_of_a_host(spark):
+    body = "text of the page " * 20
+    rows = [(k, "http://h/x", f'<body><div class="t{"abcde"[k % 5]}"><p>{body}</p></div></body>') for k in range(20)]
+    got = html.host_paths(spark.createDataFrame(rows, "page_id long, url string, html string")).first()
+    assert len(got.paths) == 5

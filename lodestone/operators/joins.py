@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import collapse, dehyphenate, expand_ligatures
 
@@ -89,9 +89,15 @@ def rule_table(c: Column, rules: list[tuple[str, str]], default: str | None = No
     return out
 
 
-def renamed(df: DataFrame, slug: str, taken: DataFrame, order: str, most: int = 50) -> DataFrame:
-    """New slugs for rows whose slug is taken: the first free of _generated, _generated_2, ..."""
-    hit = df.join(taken.select(F.col(slug).alias("_t")).distinct(), F.col(slug) == F.col("_t"), "left_semi")
-    tries = hit.select(slug, order, F.posexplode(F.concat(F.array(F.concat(F.col(slug), F.lit("_generated"))), F.transform(F.sequence(F.lit(2), F.lit(most)), lambda i: F.concat(F.col(slug), F.lit("_generated_"), i.cast("string"))))).alias("_pos", "new"))
-    free = tries.join(taken.select(F.col(slug).alias("new")).distinct(), "new", "left_anti")
-    return free.groupBy(slug).agg(F.min_by("new", "_pos").alias("new_slug"))
+def renamed(df: DataFrame, slug: str, taken: DataFrame, order: str) -> DataFrame:
+    """New slugs for rows whose slug is taken: the first free of _generated, _generated_2, ... without an end."""
+    names = taken.select(F.col(slug).alias("_t")).distinct()
+    hit = df.join(names, F.col(slug) == F.col("_t"), "left_semi").groupBy(slug).agg(F.min(order).alias("_o")).select(slug)
+    form = r"(?s)^(.*)_generated(?:_([1-9][0-9]{0,17}))?\z"
+    number = F.regexp_extract("_t", form, 2)
+    used = names.where(F.col("_t").rlike(form)).select(F.regexp_extract("_t", form, 1).alias("_base"), F.when(number == "", 1).otherwise(F.try_to_number(number, F.lit("9" * 18))).cast("long").alias("_n"), (number == "1").alias("_odd"))
+    used = used.where("not _odd").join(hit.select(F.col(slug).alias("_base")), "_base", "left_semi")
+    run = used.withColumn("_k", F.row_number().over(Window.partitionBy("_base").orderBy("_n"))).groupBy("_base").agg(F.count_if(F.col("_n") == F.col("_k")).alias("_full"))
+    first = F.coalesce("_full", F.lit(0)) + 1
+    name = F.concat(F.col(slug), F.lit("_generated"), F.when(first > 1, F.concat(F.lit("_"), first.cast("string"))).otherwise(""))
+    return hit.join(run, F.col(slug) == F.col("_base"), "left").select(slug, name.alias("new_slug"))

@@ -153,3 +153,11 @@ def test_places(spark):
     assert got == want
     assert sorted(r.place for r in folds.places(df, [], ["t", "i"], F.floor(F.col("t") / 10)).collect()) == list(range(1, 9))
     assert folds.places(df.limit(0), ["k"], ["t"], F.col("t")).count() == 0
+
+
+def test_renamed_without_an_end(spark):
+    names = ["a", "a_generated", "b", "b_generated", "b_generated_3", "c", "d", "d_generated_1", "d_generated_2"] + [f"a_generated_{k}" for k in range(2, 81)]
+    taken = spark.createDataFrame([(n,) for n in names], "slug string")
+    new = spark.createDataFrame([(n, k) for k, n in enumerate(["a", "b", "c", "d", "e", "a_generated"])], "slug string, k long")
+    got = {r.slug: r.new_slug for r in joins.renamed(new, "slug", taken, "k").collect()}
+    assert got == {"a": "a_generated_81", "b": "b_generated_2", "c": "c_generated", "d": "d_generated", "a_generated": "a_generated_generated"}

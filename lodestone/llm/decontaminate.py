@@ -92,7 +92,7 @@ def _matches(ws: Windows, term: np.ndarray, doc: np.ndarray, slop: int) -> tuple
             k = np.minimum(np.searchsorted(keys, t * n + want), max(len(keys) - 1, 0))
             ok = (t < 0) | (keys[k] == t * n + want)
         else:
-            k = np.searchsorted(keys, t * n + np.maximum(want - slop, 0))
+            k = np.searchsorted(keys, t * n + np.maximum(want - slop, np.searchsorted(doc, home)))  # in the window's own document
             found = np.minimum(k, len(keys) - 1)
             p = keys[found] - t * n
             ok = (t < 0) | ((k < len(keys)) & (p >= 0) & (p <= want + slop) & (p < n - 1))

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import cotraining, html, language, licences, mixing, order_minhash, queries, suffix, toxicity
+from lodestone.llm import cotraining, decontaminate, html, language, licences, mixing, order_minhash, queries, suffix, toxicity
 from test_queries import TABLES, rows as comparable
 
 SMALL, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -300,3 +300,18 @@ def test_html_templates_of_a_host(spark):
     rows = [(k, "http://h/x", f'<body><div class="t{"abcde"[k % 5]}"><p>{body}</p></div></body>') for k in range(20)]
     got = html.host_paths(spark.createDataFrame(rows, "page_id long, url string, html string")).first()
     assert len(got.paths) == 5
+
+
+def test_proximity_with_several_documents_in_a_chunk(spark):
+    rng = random.Random(8)
+    item = "alpha beta gamma delta".split()
+    texts = ["x y z beta q", "alpha beta gamma delta"] + [" ".join(rng.choice([*item, "u", "v"]) for _ in range(rng.randint(3, 9))) for _ in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.contaminated for r in decontaminate.decontaminate(docs, bench, n=4, slop=3).collect()}
+    def near(w):
+        at = {t: [i for i, x in enumerate(w) if x == t] for t in item}
+        counts = Counter(x for t in texts for x in t.split())
+        lead = min(range(4), key=lambda j: (counts[item[j]], j))
+        return any(all(any(abs(p - (s - lead + j)) <= 3 for p in at[t]) for j, t in enumerate(item)) for s in at[item[lead]])
+    assert got == {i: near(t.split()) for i, t in enumerate(texts)}

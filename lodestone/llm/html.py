@@ -14,12 +14,14 @@ are left out; headings of the article stay. An element that is noise only as a f
 more than ``BROADCAST`` bytes; beyond, pages are joined to them by host.
 
 Cases: null html is empty and gives an empty text; a page without tags is one block; unclosed tags, comments
-and scripts end with the page; rows with a null or odd url vote under the empty host; repeated rows each get
-their row; columns other than the named ones are ignored.
+and scripts end with the page; rows with a null or odd url vote under the empty host; repeated rows, rows without an id and
+rows that share an id each get their row; very long pages are read whole; containers with equal scores are told apart by
+their place, paths with equal votes by score and name; an empty table gives no rows; columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections import defaultdict
@@ -27,8 +29,8 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Share of a host's votes with which a path is kept, and the largest table of winners that is sent to every worker.
-SHARE, BROADCAST = 0.01, 32 << 20
+#: Share of a host's votes with which a path is kept, the largest table of winners that is sent to every worker, characters of a path that is written out.
+SHARE, BROADCAST, LONGEST = 0.01, 32 << 20, 1_000
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
@@ -54,6 +56,8 @@ GOOD_WORDS = frozenset("article body content entry main post story text".split()
 CLOSES = {  # an opening tag ends these open elements
     "p": {"p"}, "li": {"p", "li"}, "dt": {"p", "dt", "dd"}, "dd": {"p", "dt", "dd"}, "tr": {"p", "td", "th", "tr"}, "td": {"p", "td", "th"}, "th": {"p", "td", "th"},
 }
+#: A block's own element is no container if it only holds a paragraph.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption caption summary address center".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 
 
@@ -76,12 +80,21 @@ def _made(tag: str, attrs: str, up: Node, at: int) -> Node:
         words = {w for k in (*names, a.get("id", "").lower()) for w in re.split(r"[^a-z]+", k) if w}
         if tag not in ("html", "body", "article", "main"):
             noise |= any(k in NOISE_WORDS for k in (*names, a.get("id", "").lower()))
-            soft |= bool((words - {"header"} if inside else words) & NOISE_WORDS)
+            parts = (words - {"header"} if inside else words) & NOISE_WORDS
+            soft |= bool(parts) and not (inside and tag in LEAVES)  # a paragraph of the article, "share-price", is told by a whole name only
         noise |= a.get("role", "").lower() in NOISE_ROLES or "hidden" in attrs.split() or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "")
         bonus += 10.0 * bool(words & GOOD_WORDS) + 25.0 * (a.get("role") in ("main", "article"))
         if names:
             classes = "." + ".".join(sorted({re.sub(r"\d+", "#", k) for k in names}))
-    return Node(tag, f"{up.path}>{tag}{classes}"[-400:], up, noise, soft, bonus, at)
+    return Node(tag, _step(up.path, f">{tag}{classes}"), up, noise, soft, bonus, at)
+
+
+def _step(path: str, step: str) -> str:
+    """The path one step further; a long one is told by a digest of all of it and its end, so that different containers keep different paths."""
+    out = path + step
+    if len(out) <= LONGEST:
+        return out
+    return f"#{hashlib.blake2b(out.encode('utf-8', 'surrogatepass'), digest_size=12).hexdigest()}{step[-200:]}"
 
 
 def read(page: str):
@@ -166,10 +179,6 @@ def _quiet(blocks, nodes):
         n.noise |= n.up is not None and n.up.noise
 
 
-#: A block's own element is no container if it only holds a paragraph.
-LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption caption summary address center".split())
-
-
 def best(blocks, nodes) -> Node:
     """The container with the highest score; the root where no block qualifies."""
     for node in nodes:
@@ -240,7 +249,11 @@ def host_of(url):
 
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html", share: float = SHARE) -> DataFrame:
-    """host, paths: the container paths with at least ``share`` of the host's votes, most votes first."""
+    """host, paths: the container paths with at least ``share`` of the host's votes, most votes first; 1 / share of them at most.
+
+    Votes are counted by host and path, and the share is taken before any path is gathered, so that a host with very
+    many paths makes no large array.
+    """
     votes = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html")).mapInArrow(_votes, "host string, path string, votes long, score double")
     total = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("score").alias("score"))
     least = total.groupBy("host").agg((F.sum("votes") * share).alias("least"))
@@ -262,6 +275,13 @@ def _extracted(shared):
     return run
 
 
+def _with_paths(rows: DataFrame, winners: DataFrame, salts: int = 64) -> DataFrame:
+    """The rows with their host's paths; each host is dealt over ``salts`` tasks, since one may hold a third of all pages."""
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("id", F.length("html")), F.lit(salts)).cast("int"))
+    wide = winners.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.join(wide, ["host", "_salt"], "left").drop("_salt")
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast: int = BROADCAST) -> DataFrame:
     """One row for each page: id, url, text, n_chars."""
     from .common import cut
@@ -273,5 +293,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     if size <= broadcast:
         shared = pages.sparkSession.sparkContext.broadcast({r.host: r.paths for r in winners.toLocalIterator()})
     else:
-        shared, rows = None, rows.join(winners, "host", "left")
+        shared, rows = None, _with_paths(rows, winners)
     return rows.mapInArrow(_extracted(shared), f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col)

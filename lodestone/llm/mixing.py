@@ -12,6 +12,9 @@ the sample does not depend on partitioning and repeats exactly.
 Targets: a mapping value -> share for a margin, or a power (0: uniform, 1: as found) of the shares found. Values
 that a mapping lacks keep the share they have relative to each other in what the mapping leaves over.
 
+Very long texts count with all their tokens; equal draws of equal ids are alike; rows without an id are drawn by text,
+source and language in ``sample``.
+
 Cases: null source or language is the value '(none)'; a null or empty text has no tokens, its cell is raked by the
 other documents' tokens and it gets their probability, or 1 if it has none to lean on; repeated rows are each
 sampled alike; an empty table gives no rows; columns other than the named ones are passed through by ``sample``.
@@ -47,6 +50,11 @@ def tokens_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^ \\t\\n\\r\\f]+")), F.lit(0)).cast("long")
 
 
+def _one_task(cells: DataFrame) -> DataFrame:
+    """A small cell table in one partition, so that its windows need no exchange; a larger one as it is."""
+    return cells.coalesce(1) if cells.count() <= CELLS else cells
+
+
 def _target(cells: DataFrame, margin: str, target) -> DataFrame:
     """(margin, share): shares over the values found, summing to 1."""
     found = cells.groupBy(margin).agg(F.sum("tokens").cast("double").alias("t"))
@@ -69,7 +77,7 @@ def raked(cells: DataFrame, targets=None, rounds: int = ROUNDS, most: float | No
     for m in MARGINS:
         out = out.join(_target(cells, m, targets[m]).withColumnRenamed("share", f"to_{m}"), m)
     total = cells.agg(F.sum("tokens").cast("double").alias("total"))
-    out = cut(out.crossJoin(F.broadcast(total)))
+    out = _one_task(cut(out.crossJoin(F.broadcast(total))))
     for k in range(rounds):
         for m in MARGINS:
             now = F.sum(F.col("weight") * F.col("tokens")).over(Window.partitionBy(m))
@@ -77,20 +85,33 @@ def raked(cells: DataFrame, targets=None, rounds: int = ROUNDS, most: float | No
             if most is not None:
                 out = out.withColumn("weight", F.least("weight", F.lit(float(most))))
         if k % 5 == 4:
-            out = cut(out)
+            out = _one_task(cut(out))
     return out.drop("total")
 
 
-def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+def margin_errors(fitted: DataFrame) -> DataFrame:
+    """(margin, value, share, target, error) of raked cells: how far each margin's token share is from its target."""
+    out = None
+    for m in MARGINS:
+        now = fitted.groupBy(F.col(m).alias("value")).agg(F.sum(F.col("weight") * F.col("tokens")).alias("t"), F.first(f"to_{m}").alias("target"))
+        all_ = fitted.agg(F.sum(F.col("weight") * F.col("tokens")).alias("all"))
+        one = now.crossJoin(F.broadcast(all_)).select(F.lit(m).alias("margin"), "value", (F.col("t") / F.col("all")).alias("share"), "target")  # the right side is one row
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("error", F.abs(F.col("share") - F.col("target")))
+
+
+def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None) -> DataFrame:
+    """The documents' cells. ``topic`` is a column with given or learned topics; without one the marker rules decide."""
     text = F.col(text_col).cast("string")
+    topic = topic_of(text) if topic is None else F.coalesce(topic.cast("string"), F.lit("(none)"))
     return docs.select(
-        F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("(none)")).alias("source"), F.coalesce(F.col(lang_col).cast("string"), F.lit("(none)")).alias("lang"), topic_of(text).alias("topic"), tokens_of(text).alias("tokens")
+        F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("(none)")).alias("source"), F.coalesce(F.col(lang_col).cast("string"), F.lit("(none)")).alias("lang"), topic.alias("topic"), tokens_of(text).alias("tokens")
     )
 
 
-def probabilities(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", lang_col="lang", targets=None, fraction: float = FRACTION, seed: str = SEED, rounds: int = ROUNDS) -> DataFrame:
-    """One row for each document: id, source, lang, topic, tokens, weight, p, repeat and sampled."""
-    rows = cut(described(docs, id_col, text_col, source_col, lang_col))
+def probabilities(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", lang_col="lang", targets=None, fraction: float = FRACTION, seed: str = SEED, rounds: int = ROUNDS, topic: Column | None = None) -> DataFrame:
+    """One row for each document: id, source, lang, topic, tokens, weight, p, repeat and sampled. A null id is drawn as the text ''."""
+    rows = cut(described(docs, id_col, text_col, source_col, lang_col, topic))
     cells = cut(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
     fitted = cut(raked(cells, targets, rounds).select(*MARGINS, "weight"))
     fitted = F.broadcast(fitted) if fitted.count() <= CELLS else fitted

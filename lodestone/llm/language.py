@@ -1,16 +1,20 @@
 """Language identification of mixed-language text.
 
-Words are runs of letters. The script of a word's letters (code-point ranges) leaves the languages that were
+Words are runs of letters and of the marks on them. The script of a word's first letter (code-point ranges) leaves the languages that were
 seen to use the script; character 2-, 3- and 4-grams and the word itself, counted by language in a bounded
 sample of labelled documents and smoothed, score each word for each candidate. Viterbi decoding with a penalty for a
 change of language labels every word of the whole text; the document's language is the one with most letters.
 
-Decoding runs over blocks of words at once: each block gives the best score from any entry language to any exit
-language, the blocks of a document are chained, and the paths are traced back in all blocks together.
+With up to ``PAIRED`` languages decoding runs over blocks of words at once, as many as ``WORK`` bytes hold: each block gives
+the best score from any entry language to any exit language, the blocks of a document are chained, and the paths are
+traced back in all blocks together. With more languages all documents of a chunk are decoded word by word, with one
+state per language and one switch per word, so that memory grows with the languages and not with their square. All
+languages found are learned; the tables of n-grams shrink so that the model takes ``MODEL`` bytes at most.
 
 Cases: a null text, or one without letters, is ``und`` with score 0; texts of no known language get the language that
-was most frequent, with score 0; ties go to the smaller language name; repeated rows each get their row; with no
-labelled row every text is ``und``; an empty table gives no rows; columns other than the named ones are ignored.
+was most frequent, with score 0; ties go to the smaller language name; repeated rows, rows without an id and rows that
+share an id each get their row; very long texts are decoded whole; with no labelled row every text is ``und``; an empty
+table gives no rows; columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +27,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import U64, chunks, mix, utf8
+from .common import U64, chunks, cut, mix, utf8
 
-#: Labelled documents of each language that the model is fitted on, at most, and languages that it learns, at most.
-SAMPLE, LANGUAGES = 1_000, 256
+#: Labelled documents of each language that the model is fitted on, at most.
+SAMPLE = 1_000
+#: Bytes of the model; languages that are decoded in blocks, and bytes of their tables at a time.
+MODEL, PAIRED, WORK = 256 << 20, 32, 32 << 20
 #: Nats that a change of language costs; buckets of each table; most nats that a word can weigh.
 PENALTY, BITS, CLIP = 10.0, 17, 12.0
 BLOCK = 64
@@ -41,24 +47,24 @@ SCRIPTS = [
 NAMES = ["other", *dict.fromkeys(s for _, _, s in SCRIPTS)]
 
 
+MARK = 255
+
+
 @functools.cache
 def letters() -> np.ndarray:
-    """For each code point: 0 if it is no letter or mark, else 1 + the number of its script."""
-    out = np.zeros(0x110000, np.uint8)
-    for lo, hi in ((0, 0x3400), (0xA000, 0xABFF), (0xF900, 0x1F000)):
-        out[lo:hi] = [unicodedata.category(chr(c))[0] == "L" for c in range(lo, hi)]
-    for lo, hi in ((0x3400, 0xA000), (0xAC00, 0xD7A4), (0x20000, 0x323B0)):  # blocks of letters
-        out[lo:hi] = 1
+    """For each code point: 0 if it is no letter, ``MARK`` if it is a mark, else 1 + the number of its script."""
+    kind = {"L": 1, "M": MARK}
+    out = np.array([kind.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)], np.uint8)
     for lo, hi, name in SCRIPTS:
         at = out[lo : hi + 1]
-        at[at > 0] = 1 + NAMES.index(name)
+        at[at == 1] = 1 + NAMES.index(name)
     return out
 
 
 class Letters:
     """The words of a chunk: runs of letters of lower-cased text, with their n-gram buckets."""
 
-    def __init__(self, column):
+    def __init__(self, column, bits: int = BITS):
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
         low = pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
@@ -73,6 +79,13 @@ class Letters:
         off = np.searchsorted(at, off)
         is_letter = script > 0
         n = len(c)
+        if (script == MARK).any():  # marks that no letter of the text stands before are none
+            place = np.arange(n)
+            begin = np.zeros(n, np.int64)
+            begin[off[:-1][off[:-1] < n]] = off[:-1][off[:-1] < n]
+            begin = np.maximum.accumulate(np.maximum(begin, np.where(script == 0, place + 1, 0)))
+            seen = np.maximum.accumulate(np.where(is_letter & (script != MARK), place, -1))
+            is_letter &= seen >= begin
         before, after = np.zeros(n, bool), np.zeros(n, bool)
         if n:
             before[1:], after[:-1] = is_letter[:-1], is_letter[1:]
@@ -94,13 +107,13 @@ class Letters:
             past[back:] = c[:-back] + U64(1)
             past[place < back] = U64(0)
             h = h * U64(0x9E3779B97F4A7C15) + past
-            grams.append((mix(h + U64(back)) >> U64(64 - BITS)).astype(np.int64))
+            grams.append((mix(h + U64(back)) >> U64(64 - bits)).astype(np.int64))
         self.grams = grams
         if len(c):
             word = np.add.reduceat(mix(c * U64(0xD6E8FEB86659FD93) + place.astype(U64)), self.at)
         else:
             word = np.zeros(0, U64)
-        self.word = (mix(word) >> U64(64 - BITS)).astype(np.int64)
+        self.word = (mix(word) >> U64(64 - bits)).astype(np.int64)
 
 
 class Model:
@@ -109,21 +122,25 @@ class Model:
     def __init__(self, texts: list[str], langs: list[str]):
         self.langs = sorted(set(langs))
         n = len(self.langs)
-        of = np.array([self.langs.index(x) for x in langs], np.int64)
-        counts = np.zeros((4, 1 << BITS, n), np.float32)
+        self.bits = max(BITS - max(0, (16 * n << BITS) // MODEL).bit_length(), 12)
+        if 16 * n << self.bits > MODEL:
+            raise ValueError(f"{n} languages are more than a model of {MODEL} bytes can hold")
+        number = {x: k for k, x in enumerate(self.langs)}
+        of = np.array([number[x] for x in langs], np.int64)
+        counts = np.zeros((4, 1 << self.bits, n), np.float32)
         scripts = np.zeros((len(NAMES), n))
         weight = np.zeros(n)
         for a in range(0, len(texts), 100):
-            w = Letters(pa.array(texts[a : a + 100], pa.string()))
+            w = Letters(pa.array(texts[a : a + 100], pa.string()), self.bits)
             lang = of[a : a + 100][w.doc]
             per = np.repeat(lang, w.size)
             for k, (g, own) in enumerate([*((g, per) for g in w.grams), (w.word, lang)]):
-                counts[k] += np.bincount(g * n + own, minlength=n << BITS).reshape(-1, n).astype(np.float32)
+                counts[k] += np.bincount(g * n + own, minlength=n << self.bits).reshape(-1, n).astype(np.float32)
             scripts += np.bincount(w.script * n + lang, minlength=len(NAMES) * n).reshape(-1, n)
             weight += np.bincount(lang, minlength=n)
         total = counts.sum(1, keepdims=True)
-        p = np.log((counts + 0.3) / (total + 0.3 * 2**12))
-        self.table = (p - p.mean(2, keepdims=True)).astype(np.float32)
+        p = np.log((counts + np.float32(0.3)) / (total + np.float32(0.3 * 2**12)))
+        self.table = p - p.mean(2, keepdims=True) if n else p
         share = scripts / np.maximum(scripts.sum(0, keepdims=True), 1)
         self.uses = share >= 0.02  # scripts of a language
         self.known = self.uses.any(1)
@@ -146,10 +163,59 @@ class Model:
 
 def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
     """The best label of each word; first: where each document's words begin, and one more."""
-    count = np.diff(first)
     n_words, n = scores.shape
     if not n_words or n == 1:
         return np.zeros(n_words, np.int64)
+    if n > PAIRED:
+        return _by_word(scores, first, penalty)
+    out = np.zeros(n_words, np.int64)
+    blocks = np.cumsum(-(-np.diff(first) // BLOCK))
+    most = max(1, WORK // (BLOCK * (n * n + 2 * n) + 4 * n * n))
+    a = 0
+    while a < len(first) - 1:  # documents whose blocks the working memory holds, one at least
+        b = max(a + 1, int(np.searchsorted(blocks, (blocks[a - 1] if a else 0) + most, "right")))
+        if blocks[b - 1] - (blocks[a - 1] if a else 0) > most:
+            out[first[a] : first[b]] = _by_word(scores[first[a] : first[b]], first[a : b + 1] - first[a], penalty)
+        else:
+            out[first[a] : first[b]] = _by_block(scores[first[a] : first[b]], first[a : b + 1] - first[a], penalty)
+        a = b
+    return out
+
+
+def _by_word(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
+    """All documents in step, one word at a time; for each word and language one bit, and the language of a switch."""
+    count = np.diff(first)
+    docs = np.argsort(-count, kind="stable")
+    docs = docs[count[docs] > 0]
+    n_words, n = scores.shape
+    active = np.searchsorted(-count[docs], -np.arange(int(count.max(initial=0))), "left")
+    stay, source = np.zeros((n_words, n), bool), np.zeros(n_words, np.int64)
+    at = first[:-1][docs]
+    v = scores[at].copy()
+    for t in range(1, len(active)):
+        on = int(active[t])
+        now, row = v[:on], at[:on] + t
+        top = now.argmax(1)
+        change = now[np.arange(on), top] - np.float32(penalty)
+        keep = now >= change[:, None]
+        stay[row], source[row] = keep, top
+        v[:on] = np.where(keep, now, change[:, None]) + scores[row]
+    state = v.argmax(1)
+    out = np.zeros(n_words, np.int64)
+    for t in range(len(active) - 1, -1, -1):
+        on = int(active[t])
+        row = at[:on] + t
+        out[row] = state[:on]
+        if t:
+            state[:on] = np.where(stay[row, state[:on]], state[:on], source[row])
+    return out
+
+
+def _by_block(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
+    count = np.diff(first)
+    n_words, n = scores.shape
+    if not n_words:
+        return np.zeros(0, np.int64)
     n_blocks = -(-count // BLOCK)
     begin = np.concatenate([[0], np.cumsum(n_blocks)])
     doc = np.repeat(np.arange(len(count)), n_blocks)
@@ -199,15 +265,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A model from at most ``per_lang`` labelled documents of each language, those with the smallest id hashes."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.lit(True) if learn is None else learn))
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    counts = rows.groupBy("lang").count()
     # a share of each language's ids that holds enough of them goes on to be ranked, so that no task ranks a frequent language
-    share = F.lit(0.0)
-    for k, n in counts.items():
-        share = F.when(F.col("lang") == k, min(1.0, (2.0 * per_lang + 200) / n)).otherwise(share)
+    share = cut(counts.select("lang", F.least(F.lit(1.0), F.lit(2.0 * per_lang + 200) / F.col("count")).alias("share")))
     u = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     order = Window.partitionBy("lang").orderBy("u", "id")
-    chosen = rows.select("id", "lang", u.alias("u")).where(F.col("u") < share).withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang).select("id").distinct()
-    some = rows.join(F.broadcast(chosen), "id", "left_semi").where(F.col("lang").isin(list(counts)))
+    drawn = rows.select("id", "lang", u.alias("u")).join(F.broadcast(share), "lang").where(F.col("u") < F.col("share"))
+    chosen = drawn.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang).select("id").distinct()
+    some = rows.join(F.broadcast(chosen), "id", "left_semi")
     got = sorted(((r[0], r[1], r[2]) for r in some.toLocalIterator()), key=lambda r: (str(r[0]), r[2], r[1]))
     return Model([r[1] for r in got], [r[2] for r in got])
 
@@ -218,7 +283,7 @@ def _labelled(shared, penalty: float, with_spans: bool):
         names = [*model.langs, "und"]
         n = len(model.langs)
         for part in chunks(batches, size=CHUNK):
-            w = Letters(part.column("text"))
+            w = Letters(part.column("text"), model.bits)
             rows = np.full(part.num_rows, n)
             score = np.zeros(part.num_rows)
             label = np.zeros(len(w.size), np.int64)
@@ -236,12 +301,16 @@ def _labelled(shared, penalty: float, with_spans: bool):
                 score = np.where(any_ & seen, np.take_along_axis(good, best, 1)[:, 0] / np.maximum(size.sum(1), 1), 0.0)
             cols = [part.column("id"), pa.array([names[k] for k in rows], pa.string()), pa.array(np.clip(score, 0, 1))]
             head = ["id", "lang_pred", "score"]
+            cols.append(part.column("key"))
+            head.append("key")
             if with_spans:
-                spans = []
-                for a, b in zip(w.first[:-1], w.first[1:], strict=True):
-                    edge = [a, *(np.flatnonzero(np.diff(label[a:b])) + a + 1), b] if b > a else []
-                    spans.append([{"lang": names[label[i]] if n else "und", "start": int(i - a), "end": int(j - a)} for i, j in zip(edge[:-1], edge[1:], strict=True)])
-                cols.append(pa.array(spans, pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))))
+                new = np.ones(len(label), bool)
+                new[1:] = (label[1:] != label[:-1]) | (w.doc[1:] != w.doc[:-1])
+                start = np.flatnonzero(new)
+                end = np.append(start[1:], len(label))[: len(start)]
+                base = w.first[:-1][w.doc[start]] if len(start) else start
+                span = pa.StructArray.from_arrays([pa.array(names, pa.string()).take(pa.array(label[start] if n else np.zeros(len(start), np.int64))), pa.array((start - base).astype(np.int32)), pa.array((end - base).astype(np.int32))], ["lang", "start", "end"])
+                cols.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(start, w.first).astype(np.int32)), span))
                 head.append("spans")
             yield pa.record_batch(cols, head)
 
@@ -249,9 +318,10 @@ def _labelled(shared, penalty: float, with_spans: bool):
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = PENALTY, with_spans: bool = False) -> DataFrame:
-    """One row for each document: id, lang_pred, score and, if asked for, spans of words by language."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    """One row for each document: id, lang_pred, score, key (a hash of the text) and, if asked for, spans of words by language."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("key"))
     kind = rows.schema["id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = f"id {kind}, lang_pred string, score double" + ", spans array<struct<lang:string,start:int,end:int>>" * with_spans
+    out = f"id {kind}, lang_pred string, score double, key long" + ", spans array<struct<lang:string,start:int,end:int>>" * with_spans
     return rows.mapInArrow(_labelled(shared, penalty, with_spans), out).withColumnRenamed("id", id_col)

@@ -13,8 +13,13 @@ def remainder(id_col: str, n: int):
     return F.crc32(F.col(id_col).cast("string")) % n
 
 
+#: Words by which a word of a near match may stand from its place.
+NEAR = 2
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=NEAR)
+    return found.drop("items", "near", "key")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +53,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = language.identify(docs, language.fit(docs, learn=remainder("doc_id", 4) != 2))
-    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    found = language.identify(docs, language.fit(docs, learn=remainder("doc_id", 4) != 2), with_spans=True)
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "spans")
 
 
 def op9_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,9 +80,17 @@ sizes AS (SELECT DISTINCT n FROM win),
 g AS (SELECT doc_id, n, i, list_slice(w, i, i + n - 1) AS g FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
 hit AS (SELECT g.doc_id, g.i, g.n, win.item_id FROM g JOIN win ON g.n = win.n AND g.g = win.g),
 words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id),
+post AS (SELECT doc_id, w[i + 1] AS t, i AS p FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM d)),
+need AS (SELECT row_number() OVER (ORDER BY item_id, g) AS win, item_id, n, g FROM win),
+terms AS (SELECT win, item_id, n, j, g[j + 1] AS t FROM (SELECT *, unnest(range(0, n)) AS j FROM need)),
+freq AS (SELECT t, count(*) AS c FROM post WHERE t IN (SELECT t FROM terms) GROUP BY t),
+lead AS (SELECT win, item_id, n, j, t FROM (SELECT terms.*, row_number() OVER (PARTITION BY win ORDER BY coalesce(c, 0), j) AS k FROM terms LEFT JOIN freq USING (t)) WHERE k = 1),
+tries AS (SELECT win, item_id, n, doc_id, p - j AS s, j AS own FROM lead JOIN post USING (t)),
+met AS (SELECT DISTINCT x.win, x.item_id, x.n, x.doc_id, x.s, terms.j FROM tries x JOIN terms ON terms.win = x.win JOIN post ON post.doc_id = x.doc_id AND post.t = terms.t AND post.p BETWEEN x.s + terms.j - {NEAR} AND x.s + terms.j + {NEAR}),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (SELECT win, item_id, doc_id, s FROM met GROUP BY win, item_id, n, doc_id, s HAVING count(*) = n) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 _OP2 = """

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import html as entities
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 #: White space as the collapse rule takes it: ASCII, separators of Unicode, information separators, NEL.
@@ -12,6 +16,11 @@ _RUNS = rf"{SPACE}{{2,}}|[\s\x1c-\x1f\x85\p{{Z}}&&[^ ]]"
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapse(c: Column) -> Column:
     """White space runs become one space, edges go."""
     return F.trim(F.regexp_replace(c, _RUNS, " "))
@@ -93,11 +102,84 @@ def first_number(c: Column) -> Column:
     return F.when(s != "", s.cast("double"))
 
 
-def format_amount(c: Column, digits: int = 6) -> Column:
-    """Whole numbers without a point, others with at most ``digits`` decimals and no trailing zeros."""
-    whole = c == F.floor(c)
-    rounded = F.regexp_replace(F.round(c.cast("decimal(38,12)"), digits).cast("string"), r"\.?0+$", "")
-    return F.when(whole, c.cast("decimal(38,0)").cast("string")).otherwise(rounded)
+def format_amount(c: Column) -> Column:
+    """Rounded to 6 decimals; whole numbers without a point, others with 6 significant digits, no trailing zeros, and an exponent below 1e-4 or from 1e6 on. Ties of the number as written round away from zero."""
+    x = F.round(c.cast("double"), 6)
+    told = F.format_string("%.5e", F.abs(x))  # d.ddddde+xx, as the exact value of the double rounds
+    digits, power = F.concat(F.substring(told, 1, 1), F.substring(told, 3, 5)), F.substring(told, 9, 5).cast("int")
+    bare = lambda s: F.regexp_replace(F.regexp_replace(s, r"(\..*?)0+$", "$1"), r"\.$", "")
+    fixed = F.when(power >= 0, bare(F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.lit(6))))).otherwise(bare(F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)))
+    far = F.concat(bare(F.substring(told, 1, 7)), F.substring(told, 8, 5))
+    plain = F.when((power < -4) | (power >= 6), far).otherwise(fixed)
+    return F.when(x == F.floor(x), F.format_string("%.0f", x)).otherwise(F.concat(F.when(x < 0, "-").otherwise(""), plain))
+
+
+def folded(c: Column, ascii_only: bool = False) -> Column:
+    """NFKD without marks (or only its ASCII characters), lower case: there is no built-in decomposition, so in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        def one(x):
+            if x is None:
+                return None
+            x = unicodedata.normalize("NFKD", x)
+            kept = (k for k in x if ord(k) < 128) if ascii_only else (k for k in x if not unicodedata.combining(k))
+            return "".join(kept).casefold()
+
+        return s.map(one)
+
+    return run(c)
+
+
+def name_key_folded(c: Column, ascii_only: bool = False, underscores: bool = False) -> Column:
+    """ASCII letters and digits of the folded name, other characters as one space; underscores separate words in any case."""
+    x = folded(F.replace(c, F.lit("_"), F.lit(" ")) if underscores else c, ascii_only)
+    return F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))
+
+
+def bare_key(c: Column) -> Column:
+    """Only the letters and digits of the name, lower case."""
+    return F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
+
+
+def query_for(source: Column, query: Column) -> Column:
+    """The boolean query as a service takes it: whole for PubMed and Europe PMC; without NOT clauses and AND for the web search; without operators, brackets and quotes for the others."""
+    q = collapse(query)
+    plain = strip_negative_clauses(q)
+    words = collapse(F.regexp_replace(F.regexp_replace(plain, r"(?i)\b(?:AND|OR|NOT)\b", " "), r'[()"]', " "))
+    return F.when(source.isin("pubmed", "europe_pmc"), q).when(source == "firecrawl", F.regexp_replace(plain, r"(?i)\bAND\b", " ")).otherwise(words)
+
+
+def utc_text(at) -> str:
+    """A moment as ISO 8601 in UTC: one literal for a whole run, never a clock inside a plan."""
+    from datetime import UTC
+
+    return (at if at.tzinfo else at.replace(tzinfo=UTC)).astimezone(UTC).isoformat()
+
+
+def run_id(at) -> str:
+    """A run's name from its moment, fit for a path."""
+    return utc_text(at).replace(":", "-").replace(".", "-")
+
+
+def random_uuid(seed: int | None = None) -> Column:
+    """A version 4 UUID for each row; with a seed the same for the same partitioning. Compared results take ``uuid5`` instead."""
+    return F.uuid() if seed is None else F.uuid(F.lit(seed))
+
+
+def unescaped(c: Column) -> Column:
+    """Character references decoded, in Arrow batches; texts without an ampersand do not leave the JVM's form."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: entities.unescape(x) if x and "&" in x else x)
+
+    return run(c)
+
+
+def text_of_markup(c: Column) -> Column:
+    """Tags become spaces, character references are decoded, white space is collapsed."""
+    return collapse(unescaped(F.regexp_replace(c, "<[^>]+>", " ")))
 
 
 def clamp(c: Column, low: float, high: float, places: int = 2) -> Column:

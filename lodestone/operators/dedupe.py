@@ -44,3 +44,23 @@ def require_unique(df: DataFrame, key: str, what: str) -> DataFrame:
     if bad:
         raise ValueError(f"duplicate_{what}:{','.join(bad)}")
     return df
+
+
+def citations(df: DataFrame, order: str = "seq", fill: list[str] | None = None) -> DataFrame:
+    """Citations by DOI, else PMID, else title without regard to case: the first row stays, its blanks in ``fill`` are filled from later rows.
+
+    Each later row that has an abstract, a page summary or a body adds a sentence with its source to the selection reason.
+    """
+    from ..functions.text import normalize_doi
+
+    fill = [c for c in (fill or ["abstract", "page_summary", "body_text", "doi", "pmid", "url"]) if c in df.columns]
+    blank = lambda c: F.nullif(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(""))
+    key = F.coalesce(normalize_doi(F.col("doi")), F.concat(F.lit("pmid:"), blank("pmid")), F.lower(F.trim("title")))
+    rest = [c for c in df.columns if c not in (order, "selection_reason", *fill)]
+    told = F.coalesce(*(blank(c) for c in ("abstract", "page_summary", "body_text") if c in df.columns), F.lit(None).cast("string")).isNotNull()
+    note = F.struct(F.col(order).alias("o"), F.concat(F.lit("Merged additional metadata from "), F.col("source"), F.lit(".")).alias("t"))
+    first = F.min_by(F.struct(*rest, F.col("selection_reason")), order)
+    out = df.groupBy(key.alias("key")).agg(F.min(order).alias(order), first.alias("_f"), *(F.min_by(c, F.when(blank(c).isNotNull(), F.col(order))).alias(c) for c in fill), F.array_sort(F.collect_list(F.when(told, note))).alias("_notes"), F.count("*").alias("n_rows"))
+    later = F.transform(F.filter("_notes", lambda n: n["o"] > F.col(order)), lambda n: n["t"])
+    reason = F.nullif(F.concat_ws(" ", F.nullif(F.trim("_f.selection_reason"), F.lit("")), F.nullif(F.array_join(later, " "), F.lit(""))), F.lit(""))
+    return out.select("key", order, *(F.col(f"_f.{c}").alias(c) for c in rest), *fill, reason.alias("selection_reason"), "n_rows")

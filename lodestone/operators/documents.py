@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import html as entities
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import collapse
+from ..functions.text import let, truncate_words
 
 
 def article_test(text: Column, markers: list[str], denials: list[str], least: int = 1500, needed: int = 2) -> dict[str, Column]:
@@ -31,44 +32,67 @@ def cut_last_heading(text: Column, heading: str, share: float = 0.45) -> Column:
     return F.when((before != "") & (F.length(before) >= F.length(text) * share), before).otherwise(text)
 
 
-def flexible_heading(label: str) -> str:
-    """A pattern that also matches a heading set with spaced letters."""
-    return r"\s*".join(label)
+#: Elements whose text is not shown, and kinds of descriptions (fixed values).
+HIDDEN = ["script", "style", "noscript", "svg", "nav", "footer", "header", "form"]
+DESCRIPTIONS = ["description", "og:description", "twitter:description"]
+
+_PARTS = re.compile(
+    r"""<!--.*?(?:-->|\Z) | <![^>]*> | <\?[^>]*>
+    | <(?P<raw>script|style)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)
+    | <(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^'">])*)>
+    | (?P<text>[^<]+|<)""",
+    re.S | re.I | re.X,
+)
+_ATTRIBUTE = re.compile(r"""([a-z:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+
+
+def shown(page: str, descriptions: bool):
+    """The collapsed texts between tags outside hidden elements, in page order, with meta descriptions where they stand."""
+    inside: list[str] = []  # open hidden elements
+    for part in _PARTS.finditer(page):
+        name = (part["name"] or "").lower()
+        if part["text"]:
+            if not inside:
+                yield False, " ".join(entities.unescape(part["text"]).split())
+        elif name in HIDDEN and not part["end"]:
+            inside.append(name)
+        elif name in HIDDEN and name in inside:
+            while inside.pop() != name:
+                pass
+        elif name == "meta" and descriptions:
+            a = {k.lower(): entities.unescape(x or y or z) for k, x, y, z in _ATTRIBUTE.findall(part["attrs"])}
+            if (a.get("name") or a.get("property") or "").lower() in DESCRIPTIONS:
+                yield True, " ".join(a.get("content", "").split())
 
 
-SKIPPED = frozenset("script style noscript svg nav footer header form".split())
+def visible(page: str | None, least: int = 20, most: int | None = 1200) -> str | None:
+    """Meta descriptions and visible chunks of at least ``least`` characters, in page order, without repeats."""
+    if not page:
+        return None
+    out = " ".join(dict.fromkeys(t for meta, t in shown(page, True) if t and (meta or len(t) >= least)))
+    return (out if most is None else out[:most].strip()) or None
 
 
-class _Visible(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.skip, self.meta, self.chunks = 0, [], []
+def body_text(page: Column, least: int = 2, most: int = 250_000) -> Column:
+    """The visible text of a page, repeats kept, cut at a word; an article if ``article_test`` says so."""
 
-    def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        if tag in SKIPPED:
-            self.skip += 1
-        elif tag == "meta" and (a.get("name") or a.get("property") or "").lower() in ("description", "og:description"):
-            self.meta.append(a.get("content") or "")
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: " ".join(t for _, t in shown(x, False) if len(t) >= least) if x else None)
 
-    def handle_endtag(self, tag):
-        if tag in SKIPPED and self.skip:
-            self.skip -= 1
+    return truncate_words(run(page), most)
 
-    def handle_data(self, data):
-        if not self.skip:
-            self.chunks.append(" ".join(data.split()))
 
+def article_body(page: Column, markers: list[str], denials: list[str]) -> Column:
+    """The body text of a page that passes the article test; null otherwise."""
+    return let(body_text(page), lambda text: F.when(article_test(text, markers, denials)["is_article"], text))
 
-def visible(page: str | None, least: int = 20, most: int | None = 1200) -> str | None:
-    """Meta descriptions, then visible chunks of at least ``least`` characters, without repeats."""
-    if not page:
-        return None
-    p = _Visible()
-    p.feed(page)
-    p.close()
-    out = " ".join(dict.fromkeys([*(m for m in p.meta if m), *(c for c in p.chunks if len(c) >= least)]))
-    return (out if most is None else out[:most].strip()) or None
+
+def backfilled(rows: DataFrame, page: str, abstract: str = "abstract", summary: str = "page_summary") -> DataFrame:
+    """Rows with neither abstract nor summary get the summary of their landing page."""
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    wanted = F.when(blank(abstract) & blank(summary), F.col(page))
+    return rows.withColumn(summary, F.coalesce(F.when(~blank(summary), F.col(summary)), visible_text(wanted)))
 
 
 def visible_text(page: Column, least: int = 20, most: int | None = 1200) -> Column:
@@ -104,8 +128,3 @@ def from_inverted_index(index: Column) -> Column:
     """The text of a map word -> positions: words by (position, word), joined with spaces."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
     return F.array_join(F.transform(F.array_sort(pairs), lambda s: s["w"]), " ")
-
-
-def sanitized(body: Column, steps: list[Column], least: int = 500) -> Column:
-    """The first of the steps that leaves at least ``least`` characters, else the body."""
-    return F.coalesce(*(F.when(F.length(s) >= least, s) for s in steps), collapse(body))

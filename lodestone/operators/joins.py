@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import collapse, dehyphenate, expand_ligatures
 
-#: Rows of a table that may be broadcast after they were counted.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes of a table that may be broadcast after they were counted.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``most`` rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows and ``size`` bytes; else as it is, for a shuffled join."""
+    if df.limit(most + 1).count() > most:
+        return df
+    held = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if held <= size else df
 
 
 def candidate_lookup(df: DataFrame, key: str, candidates: Column, index: DataFrame, on: str, value: str) -> DataFrame:

@@ -165,7 +165,9 @@ def identity_inserts(spark, sf_dir):
     return A.identities(parts.where("p_brand = 'Brand#1' AND p_size < 5"), parts.select("p_partkey", "p_name"), "p_name", "p_partkey")
 
 
-@query(TABLE, None)
+@query(TABLE, """WITH f AS (SELECT l_orderkey, l_returnflag AS flag, CAST(l_suppkey AS VARCHAR) AS s, min((l_linenumber, l_partkey, l_suppkey)) AS p FROM lineitem GROUP BY ALL),
+b AS (SELECT l_orderkey, coalesce(list(s ORDER BY p) FILTER (WHERE flag = 'A'), []) AS a, coalesce(list(s ORDER BY p) FILTER (WHERE flag = 'N'), [])[1:2] AS n, coalesce(list(s ORDER BY p) FILTER (WHERE flag = 'R'), [])[1:2] AS r FROM f GROUP BY 1)
+SELECT l_orderkey, CAST(to_json([a[1:2], list_filter(n, lambda x: NOT list_contains(a, x)), list_filter(r, lambda x: NOT list_contains(a, x) AND NOT list_contains(n, x))]) AS VARCHAR) AS kept FROM b""")
 def limited_buckets(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(_listed("A").alias("a"), _listed("N").alias("n"), _listed("R").alias("r"))
     return rows.select("l_orderkey", F.to_json(A.limited_fold(F.col("a"), [F.col("n"), F.col("r")], 2)).alias("kept"))

@@ -115,14 +115,14 @@ def overlay_merge(spark, sf_dir):
 
 @query(
     TABLE,
-    """WITH idx AS (SELECT split_part(p_name, ' ', 2) AS cand, min(p_partkey) AS target FROM part WHERE p_partkey % 7 = 0 GROUP BY 1),
+    """WITH idx AS (SELECT split_part(p_name, ' ', 2) AS cand, min(p_partkey) AS target FROM part GROUP BY 1),
 t AS (SELECT p_partkey, CAST(u.pos AS INT) AS pos, u.cand FROM part, LATERAL (VALUES (0, p_name), (1, split_part(p_name, ' ', 1)), (2, split_part(p_name, ' ', 2))) u(pos, cand))
 SELECT p_partkey, arg_min(target, pos) AS target, min(pos) AS pos FROM t JOIN idx USING (cand) GROUP BY p_partkey""",
 )
 def ordered_candidate_lookup(spark, sf_dir):
     part = read(spark, sf_dir, "part")
     word = lambda n: F.split_part("p_name", F.lit(" "), F.lit(n))
-    index = part.where("p_partkey % 7 = 0").groupBy(word(2).alias("cand")).agg(F.min("p_partkey").alias("target"))
+    index = part.groupBy(word(2).alias("cand")).agg(F.min("p_partkey").alias("target"))
     return joins.candidate_lookup(part, "p_partkey", F.array("p_name", word(1), word(2)), index, "cand", "target")
 
 
@@ -169,11 +169,13 @@ def union_partition(spark, sf_dir):
     return c.unionByName(s)
 
 
-@query(TABLE, "SELECT p_name AS slug, p_name || '_generated' || CASE WHEN EXISTS (SELECT 1 FROM part q WHERE q.p_name = p.p_name || '_generated') THEN '_2' ELSE '' END AS new_slug FROM (SELECT DISTINCT p_name FROM part WHERE p_partkey % 5 = 0) p WHERE p_name IN (SELECT p_name FROM part WHERE p_partkey % 3 = 0)")
+@query(TABLE, """WITH taken AS (SELECT p_name AS t FROM part WHERE p_size > 25 UNION SELECT p_name || '_generated' FROM part WHERE p_type = 'ECONOMY' AND p_size > 25)
+SELECT slug, slug || '_generated' || CASE WHEN slug || '_generated' IN (SELECT t FROM taken) THEN '_2' ELSE '' END AS new_slug FROM (SELECT DISTINCT p_name AS slug FROM part WHERE p_size <= 25) WHERE slug IN (SELECT t FROM taken)""")
 def slug_renames(spark, sf_dir):
     part = read(spark, sf_dir, "part").withColumnRenamed("p_name", "slug")
-    new = part.where("p_partkey % 5 = 0").groupBy("slug").agg(F.min("p_partkey").alias("k"))
-    return joins.renamed(new, "slug", part.where("p_partkey % 3 = 0").select("slug"), "k")
+    old = part.where("p_size > 25")
+    taken = old.select("slug").unionByName(old.where("p_type = 'ECONOMY'").select(F.concat("slug", F.lit("_generated")).alias("slug")))
+    return joins.renamed(part.where("p_size <= 25").groupBy("slug").agg(F.min("p_partkey").alias("k")), "slug", taken, "k")
 
 
 @query(TABLE, "SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS n_done, CASE WHEN count(*) = 0 THEN 0 ELSE round(100.0 * count(*) FILTER (o_orderstatus = 'F') / count(*), 2) END AS pct FROM orders GROUP BY o_custkey")

@@ -11,7 +11,11 @@ from .base import query, read
 TABLE: dict = {}
 
 
-@query(TABLE, None)
+# Each bucket's distinct items in order; a bucket keeps the first two that no earlier one has kept.
+@query(TABLE, """WITH f AS (SELECT l_orderkey, l_returnflag AS flag, 's' || l_suppkey % 5 AS slug, min((l_linenumber, l_partkey, 's' || l_suppkey % 5)) AS p FROM lineitem GROUP BY ALL),
+b AS (SELECT l_orderkey, coalesce(list(slug ORDER BY p) FILTER (WHERE flag = 'A'), []) AS a, coalesce(list(slug ORDER BY p) FILTER (WHERE flag = 'N'), []) AS n, coalesce(list(slug ORDER BY p) FILTER (WHERE flag = 'R'), []) AS r FROM f GROUP BY 1),
+k AS (SELECT *, a[1:2] AS ka FROM b), m AS (SELECT *, list_filter(n, lambda x: NOT list_contains(ka, x))[1:2] AS kn FROM k)
+SELECT l_orderkey, CAST(to_json([ka, kn, list_filter(r, lambda x: NOT list_contains(ka, x) AND NOT list_contains(kn, x))[1:2]]) AS VARCHAR) AS kept FROM m""")
 def bucket_quota_fold(spark, sf_dir):
     items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", F.concat(F.lit("s"), (F.col("l_suppkey") % 5).cast("string")).alias("slug"), "l_linenumber", "l_partkey")
     listed = lambda flag: F.transform(F.array_sort(F.collect_list(F.when(F.col("l_returnflag") == flag, F.struct("l_linenumber", "l_partkey", "slug")))), lambda s: s["slug"])
@@ -72,9 +76,10 @@ def event_tumbling_counts(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy(hour.alias("hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query(TABLE, None)
+@query(TABLE, "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_stream_watermark(spark, sf_dir):
-    return stream.windowed_counts_of_files(spark, f"{sf_dir}/events.parquet")
+    found = stream.windowed_counts_of_files(spark, f"{sf_dir}/events.parquet")
+    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query(TABLE, "SELECT doc_id, tag, value FROM (SELECT d.doc_id, unnest(['lang', 'source', 'quality', 'toxic']) AS tag, unnest([lang, source, CAST(quality AS VARCHAR), CAST(toxic AS VARCHAR)]) AS value FROM documents d JOIN labels l ON d.doc_id = l.doc_id) WHERE value IS NOT NULL")

@@ -33,7 +33,8 @@ def evidence_top(spark, sf_dir):
     return L.per_group_top(read(spark, sf_dir, "orders"), "o_custkey", [*L.evidence_order(level, F.col("o_totalprice")), F.col("o_orderkey")], 3).select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-@query(TABLE, None)
+@query(TABLE, """WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, 600 - coalesce(sum(CASE WHEN coalesce(text, '') <> '' THEN length(text) + 2 END) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM conversations)
+SELECT conv_id, coalesce(CAST(to_json(list({'name': role, 'text': substr(text, 1, CAST(rest AS BIGINT) - 2)} ORDER BY turn, role, text) FILTER (WHERE text <> '' AND rest > 2)) AS VARCHAR), '[]') AS context FROM t GROUP BY conv_id""")
 def section_budgets(spark, sf_dir):
     turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     sections = F.transform("t", lambda s: F.struct(s["role"].alias("name"), F.coalesce(s["text"], F.lit("")).alias("text")))

@@ -67,3 +67,68 @@ def enriched(rows: DataFrame, key: str, lookups: list[DataFrame], columns: list[
     base = rows.select(key, *columns)
     filled = overlay(base, key, [base, *lookups], columns)
     return rows.drop(*columns).join(filled, key)
+
+
+# Fixed formats: the answers of the two PubMed calls that matter, and of the web search.
+PUBMED_RESULT = "result map<string,string>"
+PUBMED_ITEM = "title string, pubdate string, articleids array<struct<idtype:string,value:string>>"
+WEB_SEARCH = "data array<struct<title:string,url:string,description:string>>"
+
+
+def pubmed_citations(answers: DataFrame) -> DataFrame:
+    """The same columns as ``citations`` from stored PubMed answers: rows of source ``pubmed`` (a summary) and ``pubmed_abstracts`` (XML).
+
+    A summary is a map from PMID to record, with the order under ``uids``. Abstracts join by page and PMID; a page whose
+    abstracts did not come keeps its records.
+    """
+    from .files import pubmed_abstracts
+
+    page = ["query", "page"]
+    ok = answers.where("status = 200")
+    found = ok.where("source = 'pubmed'").select(*page, F.from_json("payload", PUBMED_RESULT)["result"].alias("r"))
+    each = found.select(*page, F.posexplode(F.from_json(F.col("r")["uids"], "array<string>")).alias("pos", "pmid"), "r")
+    item = F.from_json(F.col("r")[F.col("pmid")], PUBMED_ITEM)
+    doi = F.get(F.filter(item["articleids"], lambda a: a["idtype"] == "doi"), F.lit(0))["value"]
+    rows = each.select(F.lit("pubmed").alias("source"), *page, "pos", normalize_doi(doi).alias("doi"), "pmid", F.coalesce(F.nullif(item["title"], F.lit("")), F.concat(F.lit("PubMed record "), F.col("pmid"))).alias("title"), year_of(item["pubdate"]).alias("year"))
+    texts = ok.where("source = 'pubmed_abstracts'").select(*page, F.explode(pubmed_abstracts(F.col("payload"))).alias("a")).select(*page, F.col("a.pmid").alias("pmid"), F.col("a.abstract").alias("abstract"))
+    return rows.join(texts.dropDuplicates([*page, "pmid"]), [*page, "pmid"], "left").select("source", *page, "pos", "doi", "pmid", "title", "year", "abstract")
+
+
+def web_citations(answers: DataFrame) -> DataFrame:
+    """Citations of a stored web search: only its first page counts, results need a title and an address."""
+    rows = answers.where("source = 'firecrawl' AND status = 200 AND page = 0").select("source", "query", "page", F.posexplode(F.from_json("payload", WEB_SEARCH)["data"]).alias("pos", "r"))
+    none = F.lit(None).cast("string")
+    kept = rows.where("coalesce(r.title, '') <> '' AND coalesce(r.url, '') <> ''")
+    return kept.select("source", "query", "page", "pos", none.alias("doi"), none.alias("pmid"), F.col("r.title").alias("title"), F.lit(None).cast("int").alias("year"), F.col("r.description").alias("abstract"))
+
+
+PRIMARY, FALLBACK = ["pubmed", "europe_pmc", "openalex", "crossref"], ["semantic_scholar", "firecrawl"]
+
+
+def candidate_page(answers: DataFrame, page: int, page_size: int, queries: int, mode: str = "all") -> tuple[DataFrame, DataFrame]:
+    """Citations of one page from the connectors of ``mode`` (primary, fallback, all), and the failures.
+
+    A query gets p // n results, and one more for the first p % n. A connector whose page failed is cut off at the first
+    query that failed: what its earlier queries brought stays, later ones do not count.
+    """
+    names = {"primary": PRIMARY, "fallback": FALLBACK, "all": PRIMARY + FALLBACK}[mode]
+    own = F.when(F.col("source") == "pubmed_abstracts", "pubmed").otherwise(F.col("source"))
+    rows = answers.where((F.col("page") == page) & own.isin(names))
+    failed = rows.where("status <> 200 AND source <> 'pubmed_abstracts'")
+    stop = failed.groupBy("source").agg(F.min("query").alias("stop"))
+    found = None
+    for name in names:
+        one = pubmed_citations(rows) if name == "pubmed" else web_citations(rows) if name == "firecrawl" else citations(rows, name)
+        found = one if found is None else found.unionByName(one)
+    share = F.lit(page_size // queries) + (F.col("query") < page_size % queries).cast("int")
+    kept = found.where(F.col("pos") < share).join(F.broadcast(stop), "source", "left").where("stop IS NULL OR query < stop").drop("stop")  # one row a connector
+    return kept, failures(failed)
+
+
+def refilled(primary: DataFrame, fallback: DataFrame, key: str, wanted: int) -> DataFrame:
+    """Primary citations, and where they are fewer than ``wanted``, as many fallback ones with other keys as are missing, by place."""
+    short = wanted - primary.count()
+    if short <= 0:
+        return primary
+    rest = fallback.join(primary.select(key), key, "left_anti")
+    return primary.unionByName(rest.orderBy("query", "pos", key).limit(short).select(*primary.columns))

@@ -114,3 +114,99 @@ def xml_text(xml: Column) -> Column:
 def pdf_status(content: Column) -> Column:
     """``pdf`` where the bytes carry the magic number, else ``pdf_parse_failed``; extracting text needs a library that is not part of this environment."""
     return F.when(F.substring(content, 1, 4) == F.encode(F.lit("%PDF"), "utf-8"), "pdf").otherwise("pdf_parse_failed")
+
+
+def pubmed_abstracts(xml: Column) -> Column:
+    """An array of (pmid, abstract) of a PubMed answer in XML; sections of an abstract are joined by spaces."""
+
+    @F.pandas_udf("array<struct<pmid:string,abstract:string>>")
+    def run(s: pd.Series) -> pd.Series:
+        from xml.etree import ElementTree
+
+        def one(x):
+            if not x or "<!ENTITY" in x:
+                return []
+            try:
+                root = ElementTree.fromstring(x)
+            except ElementTree.ParseError:
+                return []
+            out = []
+            for article in root.iter("PubmedArticle"):
+                text = " ".join(" ".join(" ".join(part.itertext()).split()) for part in article.iter("AbstractText")).strip()
+                number = article.findtext(".//PMID")
+                if number and text:
+                    out.append({"pmid": number.strip(), "abstract": text})
+            return out
+
+        return s.map(one)
+
+    return run(xml)
+
+
+def archived_article(content: Column) -> Column:
+    """The XML text of the ``.nxml`` member with the shortest name in a tar.gz; null where there is none."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        import io
+        import tarfile
+
+        def one(raw):
+            try:
+                with tarfile.open(fileobj=io.BytesIO(raw), mode="r:gz") as archive:
+                    names = [m for m in archive.getmembers() if m.isfile() and m.name.endswith(".nxml")]
+                    return archive.extractfile(min(names, key=lambda m: len(m.name))).read().decode("utf-8", "replace") if names else None
+            except (tarfile.TarError, OSError, EOFError, TypeError):
+                return None
+
+        return s.map(one)
+
+    return run(content)
+
+
+def demo_corpus(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """Citations of a bundled corpus, one JSON document for each subject: subject_id, subject and the citation's fields."""
+    docs = spark.read.option("multiLine", "true").json(path)
+    rows = docs.where(F.lower(F.trim("nutrient.name")) == name.strip().lower())
+    return rows.select(F.col("nutrient.id").alias("subject_id"), F.col("nutrient.name").alias("subject"), F.explode("citations").alias("c")).select("subject_id", "subject", "c.*")
+
+
+def pdf_text(content: Column) -> Column:
+    """struct(text, status): the text of a PDF's uncompressed and deflated text operators, ``pdf_parse_failed`` where that gives none.
+
+    Reads literal strings shown by Tj, TJ and ' in the page streams, which covers text in simple encodings; encrypted
+    files and composite fonts fail, with the status that says so.
+    """
+
+    @F.pandas_udf("struct<text:string,status:string>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        import re
+        import zlib
+
+        stream = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
+        shown = re.compile(rb"\((?:[^()\\]|\\.)*\)\s*(?:Tj|')|\[(?:[^\]\\]|\\.)*\]\s*TJ|T\*|Td|TD|ET", re.S)
+        literal = re.compile(rb"\(((?:[^()\\]|\\.)*)\)", re.S)
+        escape = re.compile(rb"\\([nrtbf()\\]|[0-7]{1,3}|\r?\n)")
+        plain = {b"n": b"\n", b"r": b" ", b"t": b" ", b"b": b"", b"f": b" "}
+
+        def one(raw):
+            if not raw or raw[:4] != b"%PDF" or b"/Encrypt" in raw:
+                return None
+            out = []
+            for m in stream.finditer(raw):
+                try:
+                    data = zlib.decompress(m[1])
+                except zlib.error:
+                    data = m[1]
+                if b"BT" not in data:
+                    continue
+                for op in shown.finditer(data):
+                    parts = [escape.sub(lambda e: plain.get(e[1], b"") if e[1] in plain else bytes([int(e[1], 8) & 255]) if e[1].isdigit() else e[1] if e[1] in b"()\\" else b"", x) for x in literal.findall(op[0])]
+                    out.append(b"".join(parts).decode("latin-1") if parts else " ")
+            text = " ".join("".join(out).split())
+            return text or None
+
+        texts = s.map(one)
+        return pd.DataFrame({"text": texts, "status": texts.map(lambda t: "pdf" if t else "pdf_parse_failed")})
+
+    return run(content)

@@ -24,14 +24,39 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
     return timed.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-def windowed_counts_of_files(spark: SparkSession, path: str) -> DataFrame:
-    """The same as a stream over the files of ``path``, run to the end; windows that the watermark closed."""
+def work_folder(spark: SparkSession) -> str:
+    """A new folder below the cluster's shared checkpoint folder; in local mode without one, a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        import tempfile
+
+        base = tempfile.mkdtemp(prefix="lodestone-stream-")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def windowed_counts_of_files(spark: SparkSession, path: str, late: str = "10 minutes") -> DataFrame:
+    """The same as a stream over the files of ``path``, run to the end, with every window.
+
+    The stream appends windows that the watermark has closed to files. Those that it leaves open are counted from the
+    events after the watermark, which a filter on their time reads.
+    """
     folder, _, name = path.rpartition("/")
     stream = spark.readStream.schema(SCHEMA).option("pathGlobFilter", name).parquet(folder)
-    view = f"_counts_{uuid.uuid4().hex}"
-    run = windowed_counts(stream).writeStream.outputMode("append").format("memory").queryName(view).trigger(availableNow=True).start()
+    work = work_folder(spark)
+    run = windowed_counts(stream, late=late).writeStream.outputMode("append").format("parquet").option("path", f"{work}/closed").option("checkpointLocation", f"{work}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(view)
+    closed = spark.read.schema("start timestamp, event_type string, n long, total double").parquet(f"{work}/closed")
+    marks = [p["eventTime"]["watermark"] for p in run.recentProgress if "watermark" in p.get("eventTime", {})]
+    events = spark.read.schema(SCHEMA).option("pathGlobFilter", name).parquet(folder)
+    if marks:  # windows of an hour that end after the watermark hold events from an hour before it at most
+        mark = F.to_timestamp(F.lit(max(marks)))
+        events = events.where(F.col("ts").cast("timestamp") >= mark - F.expr("INTERVAL 1 HOUR"))
+        rest = windowed_counts(events).where(F.col("start") + F.expr("INTERVAL 1 HOUR") > mark)
+    else:
+        rest = windowed_counts(events)
+    return closed.unionByName(rest.join(closed.select("start", "event_type"), ["start", "event_type"], "left_anti"))
 
 
 def upsert(current: DataFrame | None, batch: DataFrame, key: str, order: list[str]) -> DataFrame:

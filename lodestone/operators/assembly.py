@@ -126,3 +126,37 @@ def band_status(amount: Column, unit: Column, upper: Column, upper_unit: Column,
     known = amount.isNotNull() & F.coalesce(F.trim(unit) != "", F.lit(False))
     above = F.coalesce((unit == upper_unit) & (amount >= upper), F.lit(False))
     return F.when(excluded, "not_applicable").when(~known, "needs_meaningful_review").when(above, "needs_meaningful_review_non_monotonic").otherwise("draft_meaningful_baseline")
+
+
+#: Texts of migrated thresholds (fixed values).
+NO_THRESHOLD = "No meaningful threshold set; needs reference-backed meaningful-dose review."
+NO_SUPPLEMENT = "Not yet reviewed; populate after supplement-dose reference review."
+
+
+def migrated_thresholds(rows: DataFrame, reference: DataFrame, name: str = "canonical_bioactive_name") -> DataFrame:
+    """Rows of the old three-column threshold schema in the new one: amount, unit, basis, source and status, each for meaningful and supplement doses.
+
+    ``reference`` (name, reference_type, threshold_notes, source) gives context; columns that a row lacks are blank, and a
+    value that the new schema already has stays.
+    """
+    wanted = [f"{k}_threshold_{c}" for k in ("meaningful", "supplement") for c in ("amount", "unit", "basis", "source")]
+    wanted += ["meaningful_review_status", "supplement_review_status", "threshold_basis", "source", "review_status", "notes"]
+    blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) if c in rows.columns else F.lit("")
+    told = reference.select(F.col(name).alias("_n"), *(F.coalesce(F.trim(c), F.lit("")).alias(f"_{c}") for c in ("reference_type", "threshold_notes", "source")))
+    flat = rows.select(F.col(name), *(blank(c).alias(c) for c in wanted)).join(told, F.col(name) == F.col("_n"), "left").fillna("", ["_reference_type", "_threshold_notes", "_source"])
+    first = lambda *cells: F.coalesce(*(F.nullif(c, F.lit("")) for c in cells), F.lit(""))
+    trimmed = lambda c: F.regexp_replace(c, "^[; ]+|[; ]+$", "")
+    has = lambda k: (F.col(f"{k}_threshold_amount") != "") & (F.col(f"{k}_threshold_unit") != "")
+    context = (F.col("_reference_type") != "") | (F.col("_threshold_notes") != "")
+    about = lambda head: trimmed(F.concat(F.lit(f"{head}; reference context: "), F.col("_reference_type"), F.lit("; "), F.col("_threshold_notes")))
+    drafted = F.when(context, about("Draft meaningful threshold from existing table")).otherwise(trimmed(F.concat(F.lit("Draft meaningful threshold from existing table; previous basis: "), F.col("threshold_basis"))))
+    basis = F.when(has("meaningful"), drafted).when(context, about("No meaningful threshold set")).otherwise(NO_THRESHOLD)
+    amount = F.col("meaningful_threshold_amount").try_cast("double")
+    upper = F.col("supplement_threshold_amount").try_cast("double")
+    status = band_status(F.when(has("meaningful"), amount), F.col("meaningful_threshold_unit"), upper, F.col("supplement_threshold_unit"), F.col(name) == "Ph")
+    return flat.select(
+        name, "meaningful_threshold_amount", "meaningful_threshold_unit", first(F.col("meaningful_threshold_basis"), basis).alias("meaningful_threshold_basis"), first(F.col("meaningful_threshold_source"), F.col("_source"), F.col("source")).alias("meaningful_threshold_source"),
+        first(F.col("meaningful_review_status"), status).alias("meaningful_review_status"), "supplement_threshold_amount", "supplement_threshold_unit",
+        F.when(has("supplement"), first(F.col("supplement_threshold_basis"), F.col("threshold_basis"))).otherwise(NO_SUPPLEMENT).alias("supplement_threshold_basis"), F.when(has("supplement"), first(F.col("supplement_threshold_source"), F.col("source"))).otherwise("").alias("supplement_threshold_source"),
+        first(F.col("supplement_review_status"), F.when(has("supplement"), F.col("review_status")).otherwise(""), F.lit("needs_supplement_dose_review")).alias("supplement_review_status"), "notes",
+    )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
@@ -53,3 +55,36 @@ def write_bundle(folder: str, tables: dict[str, DataFrame]) -> dict[str, str]:
 def updated_counts(counts: Column, updates: Column) -> Column:
     """A map with entries replaced."""
     return F.map_concat(F.map_filter(counts, lambda k, _: ~F.map_contains_key(updates, k)), updates)
+
+
+def write_document(spark: SparkSession, value, path: str) -> None:
+    """One JSON document, two spaces deep, with a newline at its end; it appears as a whole. For results that fit the driver, such as summaries."""
+    jvm = spark._jvm
+    target, work = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.tmp")
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = system.create(work, True)
+    try:
+        out.write(bytearray((json.dumps(value, ensure_ascii=False, indent=2) + "\n").encode()))
+    finally:
+        out.close()
+    if system.exists(target):
+        system.delete(target, False)
+    system.rename(work, target)
+
+
+#: What each Markdown listing shows of a row: title, heading and the fields below it (fixed formats).
+LISTINGS = {
+    "sources": ("Sources", "title", {"ID": "id", "DOI": "doi", "PMID": "pmid", "Year": "year", "URL": "url"}),
+    "rejected_sources": ("Rejected sources", "title", {"ID": "id", "Code": "rejection_code", "Failed requirement": "failed_requirement", "Confidence": "confidence"}),
+    "raw_texts": ("Raw texts", "source_id", {"Status": "status", "Method": "stage", "Path": "url"}),
+    "proposed_claims": ("Proposed claims", "statement", {"ID": "id", "Citation": "citation_id", "Effect": "proposed_effect_label", "Dose or exposure": "dose_or_exposure"}),
+    "validation": ("Validation", "statement", {"Claim": "proposed_claim_id", "Verdict": "verdict", "Accepted": "accepted", "Scope": "scope"}),
+    "audit": ("Audit", "claim", {"Issues": "issues", "Next step": "action"}),
+}
+
+
+def listing(df: DataFrame, kind: str) -> DataFrame:
+    """The Markdown blocks of a listing; columns that the table lacks show as none."""
+    title, heading, fields = LISTINGS[kind]
+    shown = lambda c: (F.concat_ws(", ", F.col(c)) if df.schema[c].dataType.typeName() == "array" else F.col(c)) if c in df.columns else F.lit(None).cast("string")
+    return markdown_lines(df, title, shown(heading), {k: shown(c) for k, c in fields.items()})

@@ -12,8 +12,8 @@ from pyspark.sql import Row, functions as F
 
 from lodestone import stages
 from lodestone.functions import text as T
-from lodestone.operators import claims, documents, evidence, exports, papers
-from lodestone.sources import connectors, files, http, resolvers
+from lodestone.operators import assembly, claims, documents, evidence, exports, papers
+from lodestone.sources import connectors, files, http, resolvers, sinks
 from lodestone.streaming import events
 
 
@@ -195,6 +195,23 @@ def test_final_export(spark, tmp_path):
     assert exports.checked(merges.unionAll(merges.where("id = '1'")))[1].where("problem = 'duplicate_canonical_beverage_id:1'").count() == 2
 
 
+def test_documents_and_listings(spark, tmp_path):
+    for value in ({"a": [1, None], "é": "x"}, []):
+        sinks.write_document(spark, value, f"{tmp_path}/s.json")
+        assert (tmp_path / "s.json").read_text() == json.dumps(value, ensure_ascii=False, indent=2) + "\n"
+    rows = spark.createDataFrame([("T", "1", ["a", "b"])], "claim string, id string, issues array<string>")
+    assert sinks.listing(rows, "audit").first().block == "## T\n\n- Issues: a, b\n- Next step: none"
+
+
+def test_migrated_thresholds(spark):
+    old = spark.createDataFrame([("Zinc", "1.1", "mg", "40", "mg", "DV", "src", "reviewed"), ("Iron", "", "", "", "", "", "", ""), ("Ph", "1", "pH", "", "", "b", "s", ""), ("Salt", "9", "g", "5", "g", "x", "", "")], "canonical_bioactive_name string, meaningful_threshold_amount string, meaningful_threshold_unit string, supplement_threshold_amount string, supplement_threshold_unit string, threshold_basis string, source string, review_status string")
+    reference = spark.createDataFrame([("Iron", "RDA", "18 mg", "book")], "canonical_bioactive_name string, reference_type string, threshold_notes string, source string")
+    got = {r[0]: r for r in assembly.migrated_thresholds(old, reference).collect()}
+    assert got["Zinc"].meaningful_threshold_basis == "Draft meaningful threshold from existing table; previous basis: DV" and got["Zinc"].supplement_review_status == "reviewed" and got["Zinc"].supplement_threshold_source == "src"
+    assert got["Iron"].meaningful_threshold_basis == "No meaningful threshold set; reference context: RDA; 18 mg" and got["Iron"].meaningful_threshold_source == "book" and got["Iron"].supplement_review_status == "needs_supplement_dose_review"
+    assert [got[n].meaningful_review_status for n in ("Zinc", "Iron", "Ph", "Salt")] == ["draft_meaningful_baseline", "needs_meaningful_review", "not_applicable", "needs_meaningful_review_non_monotonic"]
+
+
 def test_stages_and_bridge(spark, tmp_path):
     spark.createDataFrame([(1, "a", "u"), (2, None, None)], "source_id long, abstract string, page_summary string").write.parquet(f"{tmp_path}/in/sources.parquet")
     spark.createDataFrame([(1, "resolved", 1, "found", "u", "body"), (1, "publisher_page", 1, "blocked", "v", None)], "source_id long, stage string, rank int, status string, url string, text string").write.json(f"{tmp_path}/in/attempts.jsonl")

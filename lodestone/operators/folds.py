@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 def quota_fold(buckets: Column, limit: int) -> Column:
     """Buckets (array of arrays of strings) visited in order: repeats of kept items go, each bucket keeps ``limit``.
 
-    An item that the quota cuts is not marked as seen, so a later bucket may keep it.
+    An item that the quota cuts is not marked as seen, so a later bucket may keep it. A row's buckets are one record's lists
+    and stand in one cell; what is kept, and so searched, is at most the quota times the buckets.
     """
     empty = F.array().cast("array<string>")
 

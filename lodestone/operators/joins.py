@@ -26,7 +26,7 @@ def candidate_lookup(df: DataFrame, key: str, candidates: Column, index: DataFra
 
 
 def nest_matches(probe: DataFrame, build: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
-    """Each probe row with the array of its matches in order, and their number."""
+    """Each probe row with the array of its matches in order, and their number. A key's matches are one cell: they must fit a row."""
     nested = build.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *[f for f in fields if f not in order]))).alias("matches"))
     return probe.join(nested, key, "left").withColumn("match_count", F.coalesce(F.size("matches"), F.lit(0)))
 

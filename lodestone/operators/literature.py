@@ -34,11 +34,16 @@ def title_ratio(a: Column, b: Column, least: float = 0.0) -> Column:
 def answer_titles(asked: DataFrame, answers: DataFrame, keys: list[str], title: str, answer: str, found: str, least: float = 0.82) -> DataFrame:
     """(keys, match, ratio): of the answers to each asked title, found under the same keys, the best at ``least`` or more.
 
-    Equal normalised titles are 1, blank ones never match, ties go to the smaller answer.
+    Equal normalised titles are 1, blank ones never match, ties go to the smaller answer. Pairs that are equal or too
+    different in length do not reach Python.
     """
     l = asked.select(*keys, name_key(F.col(title), True).alias("_t")).where("_t <> ''")  # noqa: E741
     r = answers.select(*keys, F.col(answer).alias("_o"), name_key(F.col(found), True).alias("_u")).where("_u <> ''")
-    both = l.join(r, keys).withColumn("ratio", F.when(F.col("_t") == F.col("_u"), 1.0).otherwise(title_ratio(F.col("_t"), F.col("_u"), least)))
+    pairs = l.join(r, keys)
+    size = lambda c: F.length(c).cast("double")
+    could = 2 * F.least(size("_t"), size("_u")) >= least * (size("_t") + size("_u"))  # no ratio is above this
+    unlike = pairs.where((F.col("_t") != F.col("_u")) & could).withColumn("ratio", title_ratio(F.col("_t"), F.col("_u"), least))
+    both = pairs.where(F.col("_t") == F.col("_u")).withColumn("ratio", F.lit(1.0)).unionByName(unlike)
     best = F.min(F.struct((-F.col("ratio")).alias("r"), F.col("_o")))
     return both.where(F.col("ratio") >= least).groupBy(*keys).agg(best.alias("_b")).select(*keys, F.col("_b._o").alias("match"), (-F.col("_b.r")).alias("ratio"))
 
@@ -97,9 +102,14 @@ def expand_rounds(page: Callable[[int], DataFrame], key: str, target: int, most_
 
     Each round's rows are checkpointed; only their number comes to the driver.
     """
+    from ..streaming.events import work_folder
+
     found, news = None, []
     for k in range(most_rounds):
         rows = page(k).dropDuplicates([key])
+        context = rows.sparkSession.sparkContext
+        if not context._jsc.sc().getCheckpointDir().isDefined():
+            context.setCheckpointDir(work_folder(rows.sparkSession))
         fresh = rows if found is None else rows.join(found.select(key), key, "left_anti")
         fresh = fresh.checkpoint()
         news.append(fresh.count())

@@ -6,10 +6,11 @@ worker, so ``interval`` is for one worker: set it to the service's limit times t
 
 from __future__ import annotations
 
+import re
 import time
+from calendar import timegm
 from collections.abc import Callable, Iterator
-from datetime import UTC, datetime
-from email.utils import parsedate_to_datetime
+from email.utils import parsedate_tz
 from urllib.parse import urlparse
 
 #: Attempts, first delay and longest delay in seconds, statuses worth another attempt, least seconds between calls (fixed values).
@@ -18,19 +19,20 @@ RETRIED = frozenset({429, 500, 502, 503, 504})
 INTERVALS = {"eutils.ncbi.nlm.nih.gov": 0.4, "api.semanticscholar.org": 1.0}
 
 
-def delay(attempt: int, retry_after: str | None, now: datetime | None = None) -> float:
-    """Seconds to wait after a failed attempt (from 0): what the service asks for, in seconds or as a date, else doubling."""
-    if retry_after:
-        try:
-            return min(LONGEST, max(0.0, float(retry_after)))
-        except ValueError:
-            try:
-                at = parsedate_to_datetime(retry_after)
-                at = at if at.tzinfo else at.replace(tzinfo=UTC)
-                return min(LONGEST, max(0.0, (at - (now or datetime.now(UTC))).total_seconds()))
-            except (TypeError, ValueError):
-                pass
-    return min(LONGEST, BACKOFF * 2**attempt)
+def asked_for(header: str | None, now: float) -> float | None:
+    """Seconds that a Retry-After header names, as a number or as a date (UTC unless it says otherwise); None if it names none."""
+    if header is None:
+        return None
+    if re.fullmatch(r"\s*[-+]?\d+(\.\d*)?\s*", header):
+        return float(header)
+    date = parsedate_tz(header)
+    return None if date is None else timegm(date[:6] + (0, 0, 0)) - (date[9] or 0) - now
+
+
+def delay(attempt: int, retry_after: str | None, now: float | None = None) -> float:
+    """Seconds to wait after a failed attempt (from 0): what the service asks for, else doubling; never more than ``LONGEST``."""
+    wait = asked_for(retry_after, time.time() if now is None else now)
+    return max(0.0, min(LONGEST, BACKOFF * 2**attempt if wait is None else wait))
 
 
 class Fetcher:

@@ -178,7 +178,7 @@ def test_fetcher():
     assert f.get("https://h/x") == (200, b"ok") and slept == [3.0, 3.0] and f.get("https://h/y") == (200, b"ok") and slept[-1] == 0.5
     bad = http.Fetcher(lambda u: (503, {}, None), {}, clock=lambda: clock[0], sleep=sleep)
     assert bad.get("https://h/x") == (503, None) and slept[-3:] == [1.0, 2.0, 4.0] and bad.get("https://h/z") == (0, None)
-    assert http.delay(9, None) == 10.0 and http.delay(0, "Thu, 01 Jan 2024 00:00:05 GMT", datetime(2024, 1, 1, tzinfo=UTC)) == 5.0 and http.delay(1, "junk") == 2.0
+    assert http.delay(9, None) == 10.0 and http.delay(0, "Thu, 01 Jan 2024 01:00:05 +0100", datetime(2024, 1, 1, tzinfo=UTC).timestamp()) == 5.0 and http.delay(0, "Thu, 01 Jan 2024 00:00:05 GMT", datetime(2024, 1, 1, tzinfo=UTC).timestamp()) == 5.0 and http.delay(1, "junk") == 2.0
 
 
 def test_final_export(spark, tmp_path):

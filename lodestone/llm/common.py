@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..shipping import ship
 
@@ -133,20 +133,29 @@ def unplanes(raw: bytes, kind) -> np.ndarray:
 
 
 def checkpoint_dir(spark) -> None:
-    """Make ``checkpoint()`` usable: the cluster's shared folder, or a temporary one where none is set (tests)."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    """Make ``checkpoint()`` usable: the cluster's shared folder, or in local mode (tests), where none is set, a temporary one."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if not context.master.split("[")[0] == "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="lodestone-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
+        context.setCheckpointDir(folder)
 
 
 def cut(df):
-    """Write ``df`` to the shared checkpoint folder and go on from there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared checkpoint folder and go on from there.
+
+    A checkpoint keeps the size that Spark estimated for its plan. Joins multiply such estimates, so that a loop would
+    square them in each round, up to numbers of millions of digits; the rows are taken without it.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    done = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().logical().rdd(), done.schema(), False), spark)
 
 
 def parts(spark) -> int:
@@ -164,12 +173,35 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(df: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame | None]:
+    """``df`` with the ids in ``columns`` as numbers in their order, and the names of the numbers; whole numbers stay as they are (None)."""
+    if all(isinstance(df.schema[c].dataType, T.IntegralType) for c in columns):
+        return df, None
+    ids = None
+    for c in columns:
+        one = df.select(F.col(c).alias("_name"))
+        ids = one if ids is None else ids.unionByName(one)
+    ids = cut(ids.where("_name is not null").distinct().orderBy("_name"))
+    shape = T.StructType([T.StructField("_name", ids.schema["_name"].dataType), T.StructField("_number", T.LongType())])
+    names = cut(df.sparkSession.createDataFrame(ids.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1])), shape))
+    return renumbered(df, names, columns, "_name", "_number"), names
+
+
+def renumbered(df: DataFrame, names: DataFrame | None, columns, of: str = "_number", to: str = "_name") -> DataFrame:
+    """``df`` with the ids in ``columns`` looked up in ``names``; as it is where there are none."""
+    for c in columns if names is not None else ():
+        side = names.select(F.col(of).alias("_of"), F.col(to).alias("_to"))
+        df = df.join(side, df[c] == side["_of"], "left").select(*(F.col("_to").alias(c) if x == c else df[x] for x in df.columns))
+    return df
+
+
 #: Ids that may be broadcast to take rows out.
 IDS = 1_000_000
 
 
-def without(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``df`` whose id is not in the one column of ``ids``; a small ``ids`` moves, not ``df``."""
-    gone = cut(ids.toDF("_gone").distinct())
+def without(df: DataFrame, gone: DataFrame, id_col: str, key: Column) -> DataFrame:
+    """The rows of ``df`` of which (id, key) is not among the two columns of ``gone``; a null id equals a null id. A small ``gone`` moves, not ``df``."""
+    gone = cut(gone.toDF("_gone", "_gone_key").distinct())
     gone = F.broadcast(gone) if gone.count() <= IDS else gone
-    return df.join(gone, df[id_col] == gone["_gone"], "left_anti")
+    left = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(id_col).alias("_id"), key.alias("_key"))
+    return left.join(gone, (F.col("_key") == F.col("_gone_key")) & F.col("_id").eqNullSafe(F.col("_gone")), "left_anti").select("row.*")

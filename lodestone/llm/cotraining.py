@@ -12,14 +12,15 @@ and class, if that is more; all unlabelled documents compete for these places.
 
 Cases: null source, language or length have a bucket of their own; a null text counts as empty and is scored by its
 metadata and an empty trigram profile; with labels of one class only, every score is that class; with none, 0.5;
-repeated rows each get their row; an empty table gives no rows; columns other than the named ones are ignored.
+repeated rows, rows without an id and rows that share an id each get their row; ids may be of any type; an empty table
+gives no rows; columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import chunks, cut, utf8
 
@@ -176,11 +177,17 @@ def _confident(shared):
     return run
 
 
+def _number(df: DataFrame, id_col: str):
+    """A whole number for an id: itself, or a 64-bit hash of another type, which only picks the sample."""
+    c = F.col(id_col)
+    return c.cast("long") if isinstance(df.schema[id_col].dataType, T.IntegralType) else F.when(c.isNotNull(), F.xxhash64(c))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", source_col="source", lang_col="lang", chars_col="n_chars", labelled: int = LABELLED) -> CoTrained:
     """A model from the labelled documents with the smallest id hashes and the unlabelled ones that the views are surest of."""
-    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
+    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(_number(labels, id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     meta = F.array(*meta_columns(docs, id_col, text_col, source_col, lang_col, chars_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), meta.alias("meta")).where("id is not null")
+    rows = docs.select(_number(docs, id_col).alias("id"), F.col(text_col).cast("string").alias("text"), meta.alias("meta")).where("id is not null")
     some = known.join(rows.select(F.col("id").alias("_id")), "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(labelled)
 
     def features(wanted: DataFrame):

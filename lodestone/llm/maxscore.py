@@ -24,9 +24,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import cut
+from .common import cut, numbered, renumbered
 
 #: Queries sent to the workers at a time, rows of a shard, rows whose scores start the thresholds.
 BLOCK, SHARD, SEED = 16_384, 4_096, 1_024
@@ -178,6 +178,10 @@ def _local(queries, k: int):
 
 def top_k(queries: DataFrame, rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, block: int = BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best rows other than its own, ties to the smaller id."""
+    if not isinstance(rows.schema[id_col].dataType, T.IntegralType):  # one numbering for both
+        _, names = numbered(rows.select(id_col).unionByName(queries.select(id_col)), id_col)
+        of = lambda df: renumbered(df.select(id_col, vector_col), names, [id_col], "_name", "_number")
+        return renumbered(top_k(of(queries), of(rows), id_col, vector_col, k, block), names, ["query_id", "vec_id"])
     spark = rows.sparkSession
     take = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where("id is not null")
     some = take(rows).limit(SEED).collect()

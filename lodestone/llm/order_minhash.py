@@ -3,19 +3,22 @@
 1. Each document's ``SHINGLE``-word strings are labelled with their occurrence number. For each of ``SKETCHES`` hash
    functions the ``TAKE`` strings with the smallest values are taken in text order; the hash of that sequence is a
    sketch. It agrees for documents that share the strings and their order, as edit-similar texts do.
-2. Documents with the same words are one class at once; the smallest id stands for them.
-3. Representatives are range-partitioned by (sketch, next sketch, id), so that a sketch that very many documents
-   share is spread over tasks, and read in blocks of bounded size. In a block, documents of which at least
-   ``AGREE`` sketches agree (one, so that pairs at the threshold are found too) are candidates: all pairs in a small group, otherwise at first each member with its
-   cluster's smallest id and with the member before it. Large groups are then completed: blocks of a group meet
-   in pairs, across partitions, and all agreeing pairs whose documents are not yet in one class are tried, the best
-   of each document first. Only pairs inside a class are never formed.
-4. Candidates are aligned word by word inside a band: similarity = 1 - edit distance / words of the longer.
-   Pairs at ``SIMILARITY`` or more are links; connected components of links are the classes, found by label
-   passing with pointer jumping, with distributed checkpoints and only counts on the driver.
-
-Cases: texts without words (null, empty) belong to no group and are classes of their own; texts of fewer words than a string are
-one string; repeated rows share a class; rows without an id are kept, with no class; an empty table gives no rows; columns other than the named ones are ignored.
+2. Documents with the same words are one class at once; a representative stands for them.
+3. Rows (sketch, representative) are range-partitioned by both, so that a sketch that very many documents share is
+   spread over tasks. At first each member of a group is a candidate with the group's first. Groups are then
+   completed in rounds: of their members that are not yet in one class, all pairs are candidates unless lengths and
+   outlines (counts of words in ``BINS`` bins) prove that they are no link. Large groups meet block by block, across
+   tasks; earlier rounds only try each member's nearest partners, the last tries all. So every pair that agrees on a
+   sketch is in one class in the end, or aligned, or proven to be below the threshold.
+4. Candidates are aligned word by word (64-bit hashes) inside a band: similarity = 1 - edit distance / words of the
+   longer. Pairs at ``SIMILARITY`` or more are links; connected components of links are the classes, found by
+   pointing to the smallest neighbour and contracting, with distributed checkpoints and only counts on the driver.
+
+A sketch takes strings of three words, not five: two texts of edit similarity 0.8 share too few five-word strings.
+
+Cases: texts without words (null, empty) belong to no group, are classes of their own and are kept; texts of fewer words than a string are
+one string; repeated rows share a class and are kept or not alike; rows that share an id are judged each by its own text; rows without an id take part, and
+are kept if no row of their class has one; very long texts are read whole; ids may be of any type that has an order; ties go to the smaller id, then the smaller digest; an empty table gives no rows; columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -24,15 +27,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, Words, chunks, cut, mix, parts
+from .common import IDS, U64, Words, chunks, cut, mix, numbered, parts, ranges, renumbered
 
-SHINGLE, SKETCHES, TAKE, AGREE, SIMILARITY = 3, 32, 2, 1, 0.8
-#: Rows of a block of a group, rows of a group that is paired in full at once, leaders that are passed on, rows of a block when groups are completed.
-BLOCK, SMALL, CARRY, WIDE = 2048, 64, 64, 4096
+SHINGLE, SKETCHES, TAKE, SIMILARITY = 3, 32, 2, 0.8
+#: Bins of an outline, rows of a group that is paired at once, rows of a block when groups are completed, pairs held at a time.
+BINS, SMALL, WIDE, PAIRS = 768, 64, 4096, 25_000
 #: Partners of a row and block in the rounds that complete the groups; the last takes all.
-PARTNERS = (4, 64, None)
-#: Rows of a partition of sketches.
-ROWS = 100_000
+PARTNERS = (2, None)
+#: Links that one task may label.
+EDGES = 1_000_000
+#: Rows of a partition of sketches, and rows of it that are read at a time.
+ROWS, RANGE = 100_000, 16_384
 
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=U64) * U64(0xD6E8FEB86659FD93)) | U64(1)
 
@@ -98,123 +103,101 @@ def sketches(w: Words) -> np.ndarray:
     return out
 
 
+def outlines(w: Words) -> np.ndarray:
+    """How many words of a document fall into each of ``BINS`` hash bins, at most 255."""
+    bin_ = (w.hash >> U64(32)) % U64(BINS)
+    return np.minimum(np.bincount(w.doc * BINS + bin_.astype(np.int64), minlength=BINS * len(w.n)), 255).astype(np.uint8).reshape(-1, BINS)
+
+
+def _rows(m: np.ndarray) -> pa.Array:
+    """A binary value for each row of a matrix."""
+    n, size = m.shape[0], m.shape[1] * m.itemsize
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * np.int32(size)), pa.py_buffer(np.ascontiguousarray(m).tobytes())])
+
+
+def _matrix(column, width: int, kind=np.uint8) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_buffer() for x in column), kind).reshape(len(column), width)
+
+
+def _wholes(w: Words) -> pa.Array:
+    """A digest of each text's words in their order, 128 bits and their number; null where there are none."""
+    some = np.flatnonzero(w.n > 0)
+    out = np.zeros((len(w.n), 3), U64)
+    out[:, 2] = w.n
+    if len(some):
+        place = (np.arange(len(w.hash)) - np.repeat(w.first[:-1], w.n)).astype(U64)
+        for k, seed in enumerate((U64(0x2545F4914F6CDD1D), U64(0x9E6C63D0876A9A47))):
+            out[some, k] = np.add.reduceat(mix(w.hash ^ mix(place + seed)), w.first[:-1][some])
+    return pa.array([f"{a:016x}{b:016x}{n:x}" if n else None for a, b, n in out.tolist()], pa.string())
+
+
 def _sketched(batches):
     for part in chunks(batches):
         w = Words(part.column("text"))
-        m = sketches(w)
-        sums = np.zeros((2, len(w.n)), U64)
-        if len(w.hash):
-            place = (np.arange(len(w.hash)) - np.repeat(w.first[:-1], w.n)).astype(U64)
-            some = np.flatnonzero(w.n > 0)
-            for k, seed in enumerate((U64(0x2545F4914F6CDD1D), U64(0x9E6C63D0876A9A47))):
-                sums[k, some] = np.add.reduceat(mix(w.hash ^ mix(place + seed)), w.first[:-1][some])
-        whole = [f"{a:016x}{b:016x}{n:x}" if n else None for a, b, n in zip(*sums.tolist(), w.n.tolist(), strict=True)]
-        raw = m.astype(">u8").tobytes()
-        size = 8 * SKETCHES
-        yield pa.record_batch([part.column("id"), pa.array(whole, pa.string()), pa.array([raw[i * size : (i + 1) * size] for i in range(len(w.n))], pa.binary())], ["id", "whole", "sketches"])
+        yield pa.record_batch([part.column("id"), part.column("key"), _wholes(w), pa.array(w.n.astype(np.int32)), _rows(outlines(w)), _rows(sketches(w).astype(">u8"))], ["id", "key", "whole", "n", "outline", "sketches"])
 
 
 def _dealt(batches):
-    """A row for each sketch: itself, the next, the id, and a byte of every sketch."""
+    """A row (sketch, id) for each sketch."""
     for batch in batches:
         for a in range(0, batch.num_rows, 2000):
             part = batch.slice(a, 2000)
-            n = part.num_rows
-            m = np.frombuffer(b"".join(x.as_buffer() for x in part.column("sketches")), ">u8").reshape(n, SKETCHES).astype(U64)
-            brief = (m >> U64(40)).astype(np.uint8)
-            raw = brief.tobytes()
-            ids = np.repeat(part.column("id").to_numpy(zero_copy_only=False), SKETCHES)
-            own = pa.array([raw[i * SKETCHES : (i + 1) * SKETCHES] for i in range(n)], pa.binary()).take(pa.array(np.repeat(np.arange(n), SKETCHES)))
-            yield pa.record_batch([pa.array(m.reshape(-1).view(np.int64)), pa.array(np.roll(m, -1, 1).reshape(-1).view(np.int64)), pa.array(ids), own], ["sketch", "next", "id", "brief"])
-
-
-def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How many sketches agree, for each of the rows ``x`` with each of ``y``."""
-    out = np.zeros((len(x), len(y)), np.uint8)
-    for k in range(SKETCHES):
-        out += x[:, k, None] == y[None, :, k]
-    return out
+            m = _matrix(part.column("sketches"), SKETCHES, ">u8").astype(U64)
+            yield pa.record_batch([pa.array(m.reshape(-1).view(np.int64)), part.column("node").take(pa.array(np.repeat(np.arange(part.num_rows), SKETCHES)))], ["sketch", "id"])
 
 
-def _clusters(ids: np.ndarray, brief: np.ndarray):
-    """First pairs of a block, and its leaders' rows: all pairs of a small block, else each leader with its members."""
-    n = len(ids)
-    if n <= SMALL:
-        x, y = np.nonzero(np.triu(_alike(brief, brief) >= AGREE, 1))
-        return [np.stack([x, y])], np.arange(n)
-    pairs, leaders = [], []
-    open_ = np.arange(n)
-    while len(open_):
-        lead = open_[0]
-        same = (brief[open_] == brief[lead]).sum(1) >= AGREE
-        same[0] = True
-        rest = open_[same][1:]
-        leaders.append(lead)
-        pairs.append(np.stack([np.full(len(rest), lead), rest]))
-        pairs.append(np.stack([rest[:-1], rest[1:]]))
-        open_ = open_[~same]
-    return pairs, np.array(leaders, np.int64)
-
-
-def _candidates(batches):
-    """First pairs of one range of (sketch, next, id), block by block; (sketch, null) for groups whose pairs are not all among them."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    carry_key, carry_ids, carry_brief = None, np.zeros(0, np.int64), np.zeros((0, SKETCHES), np.uint8)
-    first = True
+def _first_pairs(batches):
+    """Of a sorted range of (sketch, id): each group's first id with the others, as (sketch null, a, b); rows (sketch, id, null) of groups with further pairs.
+
+    A group that goes on in the next batch keeps its first id; one at an end of the range may go on in another task.
+    """
+    key, lead = None, None
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def block(key, ids, brief):
-        nonlocal carry_key, carry_ids, carry_brief
-        if carry_key == key:
-            ids, brief = np.append(carry_ids, ids), np.concatenate([carry_brief, brief])
-        order = np.unique(ids, return_index=True)[1]
-        ids, brief = ids[order], brief[order]
-        pairs, leaders = _clusters(ids, brief)
-        carry_key, carry_ids, carry_brief = key, ids[leaders[:CARRY]], brief[leaders[:CARRY]]
-        a, b = np.concatenate(pairs, axis=1)
-        return ids[np.minimum(a, b)], ids[np.maximum(a, b)]
-
-    def settle(last: bool):
-        nonlocal first
-        key, ids, brief = (np.concatenate(x) for x in zip(*held, strict=True))
+    def settle(first: bool, last: bool):
+        nonlocal key, lead
+        sketch, ids = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        size = np.diff(np.append(edge, len(key)))
-        hot = size > SMALL
-        hot[0] |= first or carry_key == key[0]  # a group may go on in another partition or batch
-        hot[-1] = True
-        first = False
-        if not last:  # the last group may go on in the next batch
-            held.append((key[edge[-1] :], ids[edge[-1] :], brief[edge[-1] :]))
-            if len(held[0][0]) < BLOCK:
-                edge, size, hot = edge[:-1], size[:-1], hot[:-1]
-            else:
-                held.clear()
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for at, n in zip(edge, size, strict=True):
-            if n < 2 and carry_key != key[at]:
-                continue
-            for z in range(at, at + n, BLOCK):
-                out.append(block(key[at], ids[z : min(z + BLOCK, at + n)], brief[z : min(z + BLOCK, at + n)]))
-        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-        both = np.unique(np.stack([a, b], 1), axis=0)
-        more = np.unique(key[edge[hot]])
-        return pa.record_batch([pa.array(np.append(both[:, 0], more)), pa.array(np.append(both[:, 1], more), mask=np.arange(len(both) + len(more)) >= len(both))], ["a", "b"])
+        new = np.append(True, sketch[1:] != sketch[:-1])
+        edge = np.flatnonzero(new)
+        size = np.diff(np.append(edge, len(sketch)))
+        head = ids[edge].copy()
+        goes_on = not first and key == sketch[0]
+        if goes_on:
+            head[0] = lead
+        open_ = size > 2
+        open_[0] |= first or goes_on
+        open_[-1] = True
+        key, lead = sketch[-1], head[-1]
+        mine = np.repeat(head, size)
+        pair = np.unique(np.stack([mine, ids], 1)[mine != ids], axis=0)
+        row = np.repeat(open_, size)
+        k = int(row.sum())
+        gone = np.arange(k + len(pair)) >= k
+        return pa.record_batch(
+            [pa.array(np.append(sketch[row], np.zeros(len(pair), np.int64)), mask=gone), pa.array(np.append(ids[row], np.minimum(pair[:, 0], pair[:, 1]))), pa.array(np.append(np.zeros(k, np.int64), np.maximum(pair[:, 0], pair[:, 1])), mask=~gone)], ["sketch", "a", "b"]
+        )
 
+    first = True
     for batch in batches:
-        n = batch.num_rows
-        if n:
-            held.append((batch.column("sketch").to_numpy(), batch.column("id").to_numpy(), np.frombuffer(b"".join(x.as_buffer() for x in batch.column("brief")), np.uint8).reshape(n, SKETCHES)))
-            if sum(len(x[0]) for x in held) >= 8 * BLOCK:
-                yield settle(False)
+        if batch.num_rows:
+            held.append((batch.column("sketch").to_numpy(), batch.column("id").to_numpy()))
+            if sum(len(x[0]) for x in held) >= RANGE:
+                yield settle(first, False)
+                first = False
     if held:
-        yield settle(True)
+        yield settle(first, True)
 
 
 def _blocked(rows: DataFrame) -> DataFrame:
-    """Rows (sketch, id, label, brief) of groups with several labels, a copy for each pair of blocks that a row meets.
+    """Rows (key, sketch, left, right, id, label) of groups with several labels, a copy for each pair of blocks that a row meets.
 
     Rows of a label with more than ``WIDE`` rows have blocks of their own, which never meet each other.
     """
+    mixed = cut(rows.groupBy("sketch").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("sketch", "n"))
+    rows = rows.join(mixed.select("sketch"), "sketch")
+    if not mixed.where(F.col("n") > WIDE).limit(1).count():
+        return rows.select(F.col("sketch").alias("key"), "sketch", F.lit(True).alias("left"), F.lit(True).alias("right"), "id", "label")
     size = rows.groupBy("sketch", "label").agg(F.count("*").alias("n"))
     size = size.withColumn("own", F.when(F.col("n") > WIDE, F.col("label")))
     size = size.groupBy("sketch", "own").agg(F.sum("n").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
@@ -228,53 +211,117 @@ def _blocked(rows: DataFrame) -> DataFrame:
     place = F.concat(F.when(is_own, named).otherwise("-:"), F.pmod(F.xxhash64("id"), mine).cast("string"))
     met = F.filter("all", lambda e: ~is_own | e["own"].isNull() | (e["own"] != F.col("label")))
     names = F.flatten(F.transform(met, lambda e: F.transform(F.sequence(F.lit(0), e["blocks"] - 1), lambda k: F.concat(F.coalesce(e["own"].cast("string"), F.lit("-")), F.lit(":"), k.cast("string")))))
-    out = joined.select("sketch", "id", "label", "brief", place.alias("mine"), F.explode(names).alias("other"))
-    return out.select(F.xxhash64("sketch", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"), "id", "label", "brief")
-
-
-def _crossed(most: int | None):
-    """Agreeing pairs with different labels of each pair of blocks; of each left row the ``most`` best, with (null, null) if that leaves some out."""
-
-    def pairs(rows):
-        left, right, ids, label, brief = (np.concatenate(x) for x in zip(*rows, strict=True))
-        x, y = np.flatnonzero(left), np.flatnonzero(right)
-        same = bool((left & right).any())
-        for z in range(0, len(x), 256):
-            own = x[z : z + 256]
-            alike = _alike(brief[own], brief[y])
-            alike[(alike < AGREE) | (label[own][:, None] == label[y][None])] = 0
-            if same:
-                alike[ids[own][:, None] >= ids[y][None]] = 0
-            over = most is not None and len(y) > most and bool(((alike > 0).sum(1) > most).any())
-            if over:
-                best = np.argpartition(-alike.astype(np.int16), most - 1, axis=1)[:, :most]
-                keep = np.zeros(alike.shape, bool)
-                np.put_along_axis(keep, best, True, axis=1)
-                alike[~keep] = 0
-            i, j = np.nonzero(alike)
-            a, b = ids[own[i]], ids[y[j]]
-            low, high = np.minimum(a, b), np.maximum(a, b)
-            gone = np.arange(len(low) + over) >= len(low)
-            yield pa.record_batch([pa.array(np.append(low, [0] * over).astype(np.int64), mask=gone), pa.array(np.append(high, [0] * over).astype(np.int64), mask=gone)], ["a", "b"])
+    out = joined.select("sketch", "id", "label", place.alias("mine"), F.explode(names).alias("other"))
+    return out.select(F.xxhash64("sketch", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "sketch", (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"), "id", "label")
+
+
+def _far(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, least: float) -> np.ndarray:
+    """The distance of the outlines, row by row; -1 where it, or the lengths, show that the texts are no link.
+
+    One edit changes the outline by 2 at most, and a link has at most (1 - least) * longer edits, so none is lost.
+    """
+    longer = np.maximum(nx, ny)
+    d = np.abs(x.astype(np.int16) - y).sum(1)
+    most = (1 - least) * longer + 1e-6
+    return np.where((d <= 2 * most) & (np.abs(nx.astype(np.int64) - ny) <= most), d, -1)
+
+
+def _crossed(most: int | None, least: float):
+    """Pairs with different labels that may be links, of each pair of blocks; of each row the ``most`` nearest, with (null, null) if that leaves some out.
+
+    A pair that agrees on several sketches belongs to the group of the first of them, so that it is found once.
+    """
+
+    def best(x, y, d):
+        """Pairs in which one is among the ``most`` nearest of the other, and whether others are left out."""
+        if most is None or not len(x):
+            return x, y, d, False
+        row, at = np.append(x, y), np.tile(np.arange(len(x)), 2)
+        order = np.lexsort((np.tile(d, 2), row))
+        row, at = row[order], at[order]
+        new = np.append(True, row[1:] != row[:-1])
+        rank = np.arange(len(row)) - np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))
+        keep = np.unique(at[rank < most])
+        return x[keep], y[keep], d[keep], len(keep) < len(x)
+
+    def pairs(cols, edge):
+        """Pairs of all groups; ``edge``: where each begins, and one more."""
+        sketch, left, right, ids, label, n, outline, sketches_ = cols
+        size = np.diff(edge)
+        held, over, count = [(np.zeros(0, np.int64),) * 3], False, 0
+
+        def nearest():
+            nonlocal held, over, count
+            x, y, d, more = best(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            held, over, count = [(x, y, d)], over or more, len(x)
+
+        def tried(x, y):
+            nonlocal count
+            ok = (label[x] != label[y]) & ((left[x] & right[y]) | (right[x] & left[y])) & (ids[x] != ids[y])
+            x, y = x[ok], y[ok]
+            d = _far(outline[x], outline[y], n[x], n[y], least)
+            ok = d >= 0
+            x, y, d = x[ok], y[ok], d[ok]
+            first = (sketches_[x] == sketches_[y]).argmax(1)
+            ok = sketches_[x, first] == sketch[x]
+            held.append((x[ok], y[ok], d[ok].astype(np.int64)))
+            count += int(ok.sum())
+            if count > 20 * PAIRS and most is not None:
+                nearest()
+
+        small = np.repeat(size <= SMALL, size)
+        at = np.flatnonzero(small)
+        after = (np.repeat(edge[1:], size) - np.arange(edge[-1]) - 1)[at]
+        z = np.append(np.searchsorted(np.cumsum(after), np.arange(0, int(after.sum()), PAIRS), "left"), len(at))
+        for a, b in zip(z[:-1], z[1:], strict=True):
+            if b > a:
+                tried(np.repeat(at[a:b], after[a:b]), ranges(at[a:b] + 1, after[a:b]))
+        for g in np.flatnonzero(size > SMALL):
+            own = np.arange(edge[g], edge[g + 1])
+            own = own[np.argsort(n[own], kind="stable")]  # a partner is not longer than a link allows
+            to = np.searchsorted(n[own], n[own] / least + 1e-6, "right")
+            after = to - np.arange(len(own)) - 1
+            z = np.append(np.searchsorted(np.cumsum(after), np.arange(0, int(after.sum()), PAIRS), "left"), len(own))
+            for a, b in zip(z[:-1], z[1:], strict=True):
+                if b > a:
+                    tried(np.repeat(own[a:b], after[a:b]), own[ranges(np.arange(a, b) + 1, after[a:b])])
+        nearest()
+        x, y = held[0][:2]
+        low, high = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+        both = np.unique(np.stack([low, high], 1), axis=0)
+        gone = np.arange(len(both) + over) >= len(both)
+        return pa.record_batch([pa.array(np.append(both[:, 0], [0] * over).astype(np.int64), mask=gone), pa.array(np.append(both[:, 1], [0] * over).astype(np.int64), mask=gone)], ["a", "b"])
 
     def run(batches):
-        held, now = [], None
+        held: list[tuple] = []
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            if not batch.num_rows:
                 continue
             key = batch.column("key").to_numpy()
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right", "id", "label")]
-            cols.append(np.frombuffer(b"".join(x.as_buffer() for x in batch.column("brief")), np.uint8).reshape(n, SKETCHES))
-            edge = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), n)
-            for at, to in zip(edge[:-1], edge[1:], strict=True):
-                if held and key[at] != now:
-                    yield from pairs(held)
-                    held = []
-                now = key[at]
-                held.append([c[at:to] for c in cols])
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("sketch", "left", "right", "id", "label", "n")]
+            held.append((key, *cols, _matrix(batch.column("outline"), BINS), _matrix(batch.column("sketches"), SKETCHES, ">u8").astype(U64).view(np.int64)))
+            if held[0][0][0] == key[-1]:  # one group so far
+                continue
+            key, *cols = (np.concatenate(x) for x in zip(*held, strict=True))
+            edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            held = [(key[edge[-1] :], *(c[edge[-1] :] for c in cols))]
+            yield pairs([c[: edge[-1]] for c in cols], edge)
         if held:
-            yield from pairs(held)
+            key, *cols = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield pairs(cols, np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)))
+
+    return run
+
+
+def _likely(least: float):
+    """The pairs that their outlines do not rule out."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                d = _far(_matrix(batch.column("oa"), BINS), _matrix(batch.column("ob"), BINS), batch.column("na").to_numpy(), batch.column("nb").to_numpy(), least)
+                ok = pa.array(d >= 0)
+                yield pa.record_batch([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
 
     return run
 
@@ -282,8 +329,7 @@ def _crossed(most: int | None):
 def _worded(batches):
     for part in chunks(batches):
         w = Words(part.column("text"))
-        h = (w.hash >> U64(32)).astype(np.uint32)
-        yield pa.record_batch([part.column("id"), pa.array([h[w.first[i] : w.first[i + 1]].tobytes() for i in range(len(w.n))], pa.binary())], ["id", "words"])
+        yield pa.record_batch([part.column("id"), pa.array([w.hash[w.first[i] : w.first[i + 1]].tobytes() for i in range(len(w.n))], pa.binary())], ["id", "words"])
 
 
 def _trim(a: np.ndarray, b: np.ndarray):
@@ -297,12 +343,16 @@ def _trim(a: np.ndarray, b: np.ndarray):
     return a[: len(a) - k], b[: len(b) - k]
 
 
+def _coded(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words as small numbers, equal where the words are."""
+    code = np.unique(np.concatenate([a, b]), return_inverse=True)[1].astype(np.int32)
+    return code[: len(a)], code[len(a) :]
+
+
 def _unshared(a: np.ndarray, b: np.ndarray) -> int:
     """A lower bound of the edit distance: words of the longer that the other lacks, counted with repeats."""
-    u, na = np.unique(a, return_counts=True)
-    v, nb = np.unique(b, return_counts=True)
-    _, x, y = np.intersect1d(u, v, assume_unique=True, return_indices=True)
-    return max(len(a), len(b)) - int(np.minimum(na[x], nb[y]).sum())
+    n = max(int(a.max()), int(b.max())) + 1
+    return max(len(a), len(b)) - int(np.minimum(np.bincount(a, minlength=n), np.bincount(b, minlength=n)).sum())
 
 
 def _unmatched(a: np.ndarray, b: np.ndarray, t: int) -> int:
@@ -323,7 +373,7 @@ def _banded(pairs: list[tuple[np.ndarray, np.ndarray]], t: int) -> np.ndarray:
     left = np.zeros((top, len(pairs), 1), np.int32)
     right = np.full((len(pairs), int(max(lb.max(), top)) + 2 * t + 2), -1, left.dtype)
     for i, (a, b) in enumerate(pairs):
-        left[: len(a), i, 0], right[i, t : t + len(b)] = (a >> 1).astype(np.int32), (b >> 1).astype(np.int32)
+        left[: len(a), i, 0], right[i, t : t + len(b)] = a, b
     c = np.arange(2 * t + 1, dtype=np.int32)
     far = np.int32(1 << 28)
     now = np.broadcast_to(np.where(c >= t, c - t, far).astype(np.int32), (len(pairs), 2 * t + 1)).copy()
@@ -359,8 +409,10 @@ def similarities(pairs: list[tuple[np.ndarray, np.ndarray]], least: float = SIMI
         if not len(x) or not len(y):
             d = max(len(x), len(y))
             out[i] = 1 - d / longer if longer and d <= most else -1 if longer else 1
-        elif abs(len(x) - len(y)) <= most and _unshared(x, y) <= most and _unmatched(x, y, most) <= most:
-            wait.append((i, x, y, most, longer))
+        elif abs(len(x) - len(y)) <= most:
+            x, y = _coded(x, y)
+            if _unshared(x, y) <= most and _unmatched(x, y, most) <= most:
+                wait.append((i, x, y, most, longer))
     band = 8
     while wait:
         wait.sort(key=lambda p: len(p[1]))
@@ -383,7 +435,7 @@ def _verified(least: float):
         for batch in batches:
             for z in range(0, batch.num_rows, 1024):
                 part = batch.slice(z, 1024)
-                pairs = [tuple(np.frombuffer(x.as_buffer(), np.uint32) for x in p) for p in zip(part.column("wa"), part.column("wb"), strict=True)]
+                pairs = [tuple(np.frombuffer(x.as_buffer(), U64) for x in p) for p in zip(part.column("wa"), part.column("wb"), strict=True)]
                 s = similarities(pairs, least)
                 ok = s >= least
                 yield pa.record_batch([part.column("a").filter(pa.array(ok)), part.column("b").filter(pa.array(ok)), pa.array(s[ok])], ["a", "b", "similarity"])
@@ -391,7 +443,7 @@ def _verified(least: float):
     return run
 
 
-def _forest(batches, most: int = 1 << 20):
+def _forest(batches, most: int = 1 << 20, roots: bool = False):
     """Links of a partition without those that close a circle: each node with the smallest of its part. Components stay as they are."""
     root: dict[int, int] = {}
 
@@ -406,7 +458,7 @@ def _forest(batches, most: int = 1 << 20):
     def emit():
         pairs = [(find(x), x) for x in root]
         root.clear()
-        a, b = np.array([p for p in pairs if p[0] != p[1]], np.int64).reshape(-1, 2).T
+        a, b = np.array([p for p in pairs if roots or p[0] != p[1]], np.int64).reshape(-1, 2).T
         return pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
     for batch in batches:
@@ -420,71 +472,122 @@ def _forest(batches, most: int = 1 << 20):
         yield emit()
 
 
+def _labelled_all(batches):
+    """Every node of few links with the smallest of its component."""
+    return _forest(batches, 4 * EDGES, True)
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(id, label): the smallest id of each node's connected component, for links (a, b)."""
-    links = links.select("a", "b").mapInArrow(_forest, "a long, b long")
-    both = cut(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    while True:
-        near = both.join(label.select(F.col("id").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a").alias("id")).agg(F.min("l").alias("l"))
-        better = label.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "l").alias("label"))
-        jump = better.select(F.col("id").alias("label"), F.col("label").alias("to"))
-        step = cut(better.join(jump, "label").select("id", "old", F.col("to").alias("label")))
-        changed = step.where("label <> old").limit(1).count()
-        label = step.select("id", "label")
-        if not changed:
-            return label
-
-
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY):
-    """The documents' sketches (id, whole, sketches) and the verified links (a, b, similarity) between representatives."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.where("id is not null")
-    sketched = cut(rows.mapInArrow(_sketched, "id long, whole string, sketches binary"))
-    heads = sketched.where("whole is not null").groupBy("whole").agg(F.min("id").alias("id"), F.first("sketches").alias("sketches"))
-    spark = docs.sparkSession
-    heads = cut(heads.select("id", "sketches"))
-    n = heads.count() * SKETCHES
-    dealt = heads.mapInArrow(_dealt, "sketch long, next long, id long, brief binary")
-    ranged = dealt.repartitionByRange(max(parts(spark), n // ROWS + 1), "sketch", "next", "id").sortWithinPartitions("sketch", "next", "id")
-    first = cut(ranged.mapInArrow(_candidates, "a long, b long").distinct())
-    tried, hot = first.where("b is not null"), first.where("b is null").select(F.col("a").alias("sketch"))
-    found = _aligned(rows, tried, least)
-    if not hot.limit(1).count():
-        return sketched, found
-    hot = cut(dealt.select("sketch", "id", "brief").join(hot, "sketch", "left_semi"))
+    """(id, label): the smallest id of each node's connected component, for links (a, b).
+
+    Each task first reduces its links to a forest. Up to ``EDGES`` links that are left (16 bytes each) one task
+    labels. Beyond, each round every node points to its smallest neighbour, pointers are followed to their roots, and
+    the links are contracted to links between roots, until none is left; a node with very many neighbours is only
+    ever on the side of a join that Spark splits, or is reduced by partial aggregates.
+    """
+    edges = cut(links.select("a", "b").coalesce(parts(links.sparkSession)).mapInArrow(_forest, "a long, b long"))
+    if edges.limit(EDGES + 1).count() <= EDGES:
+        return cut(edges.coalesce(1).mapInArrow(_labelled_all, "a long, b long").select(F.col("b").alias("id"), F.col("a").alias("label")))
+    edges = cut(edges.distinct())
+    label = None
+    while edges.limit(1).count():
+        parent = cut(edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("up")))  # a < b
+        while True:
+            above = parent.select(F.col("id").alias("up"), F.col("up").alias("top"))
+            step = cut(parent.join(above, "up", "left").select("id", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")))
+            parent = step.select("id", "up")
+            if not step.where("moved").limit(1).count():
+                break
+        top = lambda c: parent.select(F.col("id").alias(c), F.col("up").alias(f"top_{c}"))
+        joined = edges.join(top("a"), "a", "left").select(F.coalesce("top_a", "a").alias("a"), "b").join(top("b"), "b", "left").select("a", F.coalesce("top_b", "b").alias("b"))
+        edges = cut(joined.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        if label is None:
+            label = parent.select("id", F.col("up").alias("label"))
+        else:
+            moved = label.withColumnRenamed("label", "up").join(parent.select(F.col("id").alias("up"), F.col("up").alias("label")), "up", "left")
+            label = cut(moved.select("id", F.coalesce("label", "up").alias("label")).unionByName(parent.withColumnRenamed("up", "label")))
+    if label is None:
+        return links.select(F.col("a").alias("id"), F.col("a").alias("label")).limit(0)
+    return cut(label.unionByName(label.select("label").distinct().select(F.col("label").alias("id"), "label")))
+
+
+def representatives(rows: DataFrame) -> DataFrame:
+    """node, id, key, whole, n, outline, sketches: one row for all documents with the same words, of rows with these columns.
+
+    ``id`` and ``key`` are those of the first, by id (null last) and key. ``node`` is that id, or, where ids repeat or lack,
+    a number below all ids.
+    """
+    first = F.min(F.struct(F.col("id").isNull().alias("lacks"), "id", "key")).alias("_first")
+    heads = rows.where("whole is not null").groupBy("whole").agg(first, *(F.first(c).alias(c) for c in ("n", "outline", "sketches")))
+    heads = cut(heads.select("_first.id", "_first.key", "whole", "n", "outline", "sketches"))
+    clash = heads.groupBy("id").agg(F.count("*").alias("copies")).where("copies > 1 OR id IS NULL")
+    if not clash.limit(1).count():
+        return heads.withColumn("node", F.col("id"))
+    odd = cut(heads.select("id", "whole").join(clash, heads["id"].eqNullSafe(clash["id"]), "left_semi").orderBy("id", "whole"))
+    low = heads.agg(F.coalesce(F.min("id"), F.lit(0))).first()[0]
+    numbered = odd.select("whole").rdd.zipWithIndex().map(lambda r: (r[0][0], low - 1 - r[1])).toDF("whole string, number long")
+    return cut(heads.join(numbered, "whole", "left").withColumn("node", F.coalesce("number", "id")).drop("number"))
+
+
+def classes(heads: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(id, label) of the representatives that have a link, by their nodes: the smallest node of the class."""
+    spark = heads.sparkSession
+    count = heads.count() * SKETCHES
+    dealt = heads.select("node", "sketches").mapInArrow(_dealt, "sketch long, id long")
+    ranged = dealt.repartitionByRange(max(parts(spark), count // ROWS + 1), "sketch", "id").sortWithinPartitions("sketch", "id")
+    first = cut(ranged.mapInArrow(_first_pairs, "sketch long, a long, b long"))
+    shape = heads.select("node", "n", "outline", "sketches")
+    of = lambda x: shape.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("outline").alias(f"o{x}"))
+    star = first.where("sketch IS NULL").select("a", "b").distinct()
+    tried = cut(star.join(of("a"), "a").join(of("b"), "b").mapInArrow(_likely(least), "a long, b long"))
+    found = _aligned(heads, rows, tried, least)
+    label = components(found)
+    hot = first.where("sketch IS NOT NULL").select("sketch", F.col("a").alias("id"))
+    width = max(parts(spark), hot.count() // ROWS + 1)
     for most in PARTNERS:
-        label = components(found).withColumnRenamed("id", "_id")
-        named = hot.join(label, F.col("id") == F.col("_id"), "left").select("sketch", "id", "brief", F.coalesce("label", "id").alias("label"))
-        width = max(parts(spark), hot.count() // ROWS + 1)
-        met = _blocked(cut(named)).repartition(width, "key").sortWithinPartitions("key")
-        crossed = cut(met.mapInArrow(_crossed(most), "a long, b long").distinct())
+        named = hot.join(label.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select("sketch", "id", F.coalesce("label", "id").alias("label"))
+        met = _blocked(cut(named)).join(shape.withColumnRenamed("node", "id"), "id").repartition(width, "key").sortWithinPartitions("key")
+        crossed = cut(met.mapInArrow(_crossed(most, least), "a long, b long").distinct())
         more = cut(crossed.where("a is not null").join(tried, ["a", "b"], "left_anti"))
         if more.limit(1).count():
-            found = cut(found.unionAll(_aligned(rows, more, least)))
+            extra = _aligned(heads, rows, more, least)
+            if extra.limit(1).count():
+                found = found.unionAll(extra)
+                label = components(found)
             tried = tried.unionAll(more)
         if not crossed.where("a is null").limit(1).count():
             break
-    return sketched, found
+    return label
 
 
-def _aligned(rows: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """The links (a, b, similarity) among the pairs (a, b) of ids of ``rows``."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    worded = cut(rows.join(wanted, "id", "left_semi").mapInArrow(_worded, "id long, words binary").dropDuplicates(["id"]))
+def _aligned(heads: DataFrame, rows: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """The links (a, b, similarity) among the pairs (a, b) of nodes."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = cut(heads.select("node", F.col("id").alias("_id"), F.col("key").alias("_key")).join(wanted, "node", "left_semi"))
+    wanted = F.broadcast(wanted) if wanted.count() <= IDS else wanted
+    some = rows.join(wanted, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")))
+    worded = some.select(F.col("node").alias("id"), "text").mapInArrow(_worded, "id long, words binary")
+    worded = cut(worded.groupBy("id").agg(F.first("words").alias("words")))
     first = pairs.join(worded.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
     second = first.join(worded.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
     return cut(second.mapInArrow(_verified(least), "a long, b long, similarity double"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """One row for each document: id, class_id (the smallest id of its class), n_links (of its representative), kept."""
-    sketched, found = links(docs, id_col, text_col, least)
-    component = components(found)
-    count = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    heads = sketched.where("whole is not null").groupBy("whole").agg(F.min("id").alias("head"))
-    named = heads.join(component.withColumnRenamed("id", "head"), "head", "left").join(count.withColumnRenamed("id", "head"), "head", "left")
-    label = F.coalesce("label", "head", "id")
-    out = sketched.select("id", "whole").join(named, "whole", "left").select(F.col("id").alias(id_col), label.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (label == F.col("id")).alias("kept"))
-    lone = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias(id_col), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
-    return out.unionByName(lone)
+    """One row for each document: id, key (a hash of its text), class_id (the smallest id of its class), kept (the class's first by id, digest of the words and key)."""
+    docs, names = numbered(docs.select(id_col, text_col), id_col)
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("key"))
+    sketched = cut(rows.mapInArrow(_sketched, "id long, key long, whole string, n int, outline binary, sketches binary"))
+    heads = representatives(sketched)
+    label = classes(heads, rows, least)
+    named = heads.select("node", "id", "key", "whole").join(label.withColumnRenamed("id", "node"), "node", "left").select(F.coalesce("label", "node").alias("label"), "id", "key", "whole")
+    named = cut(named)
+    many = named.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("lacks"), "id", "whole", "key")).alias("top"), F.count("*").alias("size")).where("size > 1").select("label", "top")
+    own = lambda c: F.when(F.col("top").isNull(), F.col(c)).otherwise(F.col(f"top.{c}"))
+    named = named.join(many, "label", "left").select(F.col("whole").alias("_whole"), own("id").alias("class_id"), own("key").alias("first_key"))
+    out = sketched.select("id", "key", "whole").join(named, F.col("whole") == F.col("_whole"), "left")
+    lone = F.col("whole").isNull()
+    kept = lone | (F.col("id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("first_key")))
+    found = out.select(F.col("id").alias(id_col), "key", F.when(lone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), kept.alias("kept"))
+    return renumbered(found, names, [id_col, "class_id"])

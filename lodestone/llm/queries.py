@@ -13,6 +13,11 @@ def remainder(id_col: str, n: int):
     return F.crc32(F.col(id_col).cast("string")) % n
 
 
+def held_out(id_col: str, n: int, fold: int):
+    """Whether a row is in the fold that nothing is learned from; a row without an id is never learned from."""
+    return F.coalesce(remainder(id_col, n) == fold, F.lit(True)).alias("held_out")
+
+
 #: Words by which a word of a near match may stand from its place.
 NEAR = 2
 
@@ -43,7 +48,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sample = toxicity.sample(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic", remainder("doc_id", 5) != 0)
     scored = toxicity.score(docs, toxicity.fit(*sample))
-    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", held_out("doc_id", 5, 0), "score", "predicted")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +59,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.fit(docs, learn=remainder("doc_id", 4) != 2), with_spans=True)
-    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "spans")
+    return found.select("doc_id", held_out("doc_id", 4, 2), "lang_pred", "score", "spans")
 
 
 def op9_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:

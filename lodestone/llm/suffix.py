@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import CHUNK, U64, chunks, cut, mix, parts, planes, powers, prefix_sums, span_hash, unplanes, utf8
+from .common import CHUNK, U64, chunks, cut, mix, numbered, parts, planes, powers, prefix_sums, renumbered, span_hash, unplanes, utf8
 
 KMER = 32
 #: Bytes of text whose anchors share a bucket, and suffixes in a sorting bucket: they bound a task's memory.
@@ -442,6 +442,7 @@ def dedup_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     kept_text drops the rest of a character that a removed string cuts in two.
     """
+    docs, names = numbered(docs, id_col)
     spans = removed_spans(docs, id_col, text_col, width).groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     row = [F.struct(*carry).alias("row")] if carry else []
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *row)
@@ -452,15 +453,16 @@ def dedup_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     packed = packed.add("row", rows.schema["row"].dataType) if carry else packed
     done = rows.mapInArrow(_packed, packed).join(spans, "id", "left").mapInArrow(_kept(with_text, bool(carry)), out)
     own = [F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text]
-    return done.select(*own, *(F.col("row").getField(c).alias(c) for c in carry or []))
+    return renumbered(done.select(*own, *(F.col("row").getField(c).alias(c) for c in carry or [])), names, [id_col])
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100) -> DataFrame:
     """The documents with repeated bytes taken out of their text, all columns in place; those of which nothing is left go."""
+    docs, names = numbered(docs, id_col)
     spans = removed_spans(docs, id_col, text_col, width).groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*(c for c in docs.columns if c != text_col)).alias("row"))
     packed = T.StructType([T.StructField("z", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("id", T.LongType()), T.StructField("row", rows.schema["row"].dataType)])
     out = T.StructType([T.StructField("id", T.LongType()), *(T.StructField(k, T.LongType()) for k in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())])
     done = rows.mapInArrow(_packed, packed).join(spans, "id", "left").mapInArrow(_kept(True, True), out.add("row", rows.schema["row"].dataType))
     left = done.where("kept_text <> '' OR n_bytes = 0")
-    return left.select(*(F.col("kept_text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
+    return renumbered(left.select(*(F.col("kept_text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns)), names, [id_col])

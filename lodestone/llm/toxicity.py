@@ -17,6 +17,8 @@ without labels); repeated rows each get their row; an empty table gives no rows;
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -341,11 +343,14 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     order = Window.partitionBy("_y").orderBy("_u", "_id")
     chosen = known.withColumn("_u", u).where(F.col("_u") < share).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_class).select("_id", "_y")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("_id")).select("id", "text", "_y")
-    got = sorted((r for r in rows.toLocalIterator()), key=lambda r: (hash_of(r[0]), r[0], r[1] or ""))
+    got = sorted((r for r in rows.toLocalIterator()), key=lambda r: (hash_of(r[0]), str(r[0]), r[1] or ""))
     return [r[1] for r in got], [r[2] for r in got], counts.get(1, 0) / max(sum(counts.values()), 1)
 
 
-def hash_of(i: int) -> int:
+def hash_of(i) -> int:
+    """The place of an id in the sample's order; ids of another type than whole numbers go by a digest of their text."""
+    if not isinstance(i, int):
+        i = int.from_bytes(hashlib.blake2b(str(i).encode(), digest_size=8).digest(), "little", signed=True)
     return int(mix(np.array([i], np.int64).astype(U64))[0])
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,12 +114,19 @@ def test_mixing(odd, none):
     assert len(got) == odd.count() and all(0 <= r.p <= 1 for r in got)
     assert mixing.probabilities(none).count() == 0 and mixing.sample(none).count() == 0
     assert mixing.sample(odd, fraction=1e9).columns == odd.columns
+    docs = odd.sparkSession.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    cells = mixing.described(docs, topic=F.col("source")).groupBy(*mixing.MARGINS).agg(F.sum("tokens").alias("tokens"))
+    assert cells.where("topic = source").count() == cells.count()
+    cells = mixing.described(docs).groupBy(*mixing.MARGINS).agg(F.sum("tokens").alias("tokens"))
+    assert mixing.margin_errors(mixing.raked(cells)).agg(F.max("error")).first()[0] < 1e-3
 
 
 def test_licences(odd, none):
     got = {r.doc_id: r for r in licences.scan(odd).collect()}
     assert got[12].base_labels == "mit" and got[12].first_word == 1 and got[0].n_words == 0 and got[0].labels == "" and got[0].first_word is None
     assert licences.scan(none).count() == 0
+    twice = odd.limit(1).sparkSession.createDataFrame([(1, "released under the MIT license"), (1, "nothing here at all"), (None, "released under the MIT license"), (None, None), (1, "released under the MIT license")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.labels, r.n_spans) for r in licences.scan(twice).collect()) == [("1", "", 0), ("1", "mit", 1), ("1", "mit", 1), ("None", "", 0), ("None", "mit", 1)]
 
 
 def test_maxscore(spark):
@@ -130,15 +138,80 @@ def test_maxscore(spark):
     assert maxscore.top_k(df.limit(0), df).count() == 0 and maxscore.top_k(df.where("vec_id = 0"), df.limit(0)).count() == 0
 
 
+def test_maxscore_bounds():
+    rng = np.random.default_rng(4)
+    v = np.where(rng.random((2000, 40)) < 0.05, rng.integers(1, 500, (2000, 40)), 0)
+    shard = maxscore.Shard(np.arange(2000), v)
+    probed = []
+    for q in v[:50]:
+        true = np.sort(v @ q)[::-1]
+        floor = true[5]
+        rows, score = shard.search(q, -1, floor, 5)
+        assert sorted(score[score >= floor]) == sorted(true[true >= floor])
+        lists = shard.essential(q, floor)
+        probed.append(1.0 if lists is None else len(shard.candidates(q, floor)) / 2000)
+    assert np.mean(probed) < 0.25  # sparse vectors: most rows stand in no essential list
+    for _ in range(200):  # any threshold, dense vectors, ties
+        n, d = int(rng.integers(1, 60)), int(rng.integers(1, 6))
+        v, q = rng.integers(-4, 5, (n, d)), rng.integers(-4, 5, d)
+        floor = float(rng.integers(-30, 30))
+        score = v @ q
+        rows, got = maxscore.Shard(np.arange(n), v).search(q, -1, floor, 3)
+        assert set(np.flatnonzero(score >= floor)) <= set(rows.tolist()) and (got == score[rows]).all()
+
+
+def test_maxscore_huge(spark):
+    rows = [(0, [1e300, 1.0]), (1, [1e300, 2.0]), (2, [-1e300, 0.0]), (3, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = maxscore.top_k(df.where("vec_id % 50 = 0"), df).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 2**63 - 1), (3, 2**63 - 1), (2, -(2**63))]
+
+
 def test_html(spark):
     rows = [(1, "http://h/1", None), (2, None, ""), (3, "odd", "<p>a &amp; b<p>c  d"), (4, "http://h/2", "plain text"), (5, "http://h/3", "<div><script>x<p>y"), (6, "http://h/4", "<article><h1>T</h1><p>one</p><div class='comments'><p>no</p></div></article><footer>f</footer>"), (6, "http://h/4", "<article><p>one")]
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, host string, id string")
     got = [(r.page_id, r.text, r.n_chars) for r in html.extract(df).collect()]
     assert sorted(got) == [(1, "", 0), (2, "", 0), (3, "a & b\nc d", 9), (4, "plain text", 10), (5, "", 0), (6, "T\none", 5), (6, "one", 3)]
     assert sorted((r.page_id, r.text, r.n_chars) for r in html.extract(df, broadcast=0).collect()) == sorted(got)
+    deep = "<div class='" + "x" * 300 + "'>"
+    assert len({n.path for n in html.read(deep * 30 + "<p>t</p>")[1]}) == 32  # long paths stay different
+    assert html.main_text("<article><p>one</p><p class='share-price'>two</p><p class='share'>no</p></article>", []) == "one\ntwo"
+    long = "<article>" + "<p>word word</p>" * 50_000 + "</article>"
+    assert html.main_text(long, []).count("\n") == 49_999
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_text_ids(spark):
+    rng = random.Random(12)
+    prose = [" ".join(f"w{rng.randrange(10**5)}" for _ in range(50)) for _ in range(3)]
+    rows = [("b", prose[0]), ("a", prose[0] + " tail"), ("c", prose[1]), (None, prose[2])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id string, text string, lang string, source string, n_chars long")
+    assert sorted((str(r.doc_id), str(r.class_id), r.kept) for r in order_minhash.near_duplicates(docs).collect()) == [("None", "None", True), ("a", "a", True), ("b", "a", False), ("c", "c", True)]
+    removed = {r.doc_id: r.n_removed for r in suffix.dedup_repeats(docs).collect()}
+    assert removed["a"] == 0 and removed["b"] == len(prose[0].encode()) and removed[None] == 0
+    assert {r.doc_id for r in suffix.without_repeats(docs).collect()} == {"a", "c", None}
+    assert {r.doc_id for r in decontaminate.decontaminate(docs, docs.select(F.col("doc_id").alias("item_id"), "text").limit(1)).where("contaminated").collect()} <= {"a", "b"}
+    labels = spark.createDataFrame([("a", 1, 0), ("b", 0, 1), ("c", 1, 0)], "doc_id string, quality int, toxic int")
+    assert cotraining.classify(docs, cotraining.fit(docs, labels)).count() == 4
+    assert toxicity.score(docs, toxicity.fit(*toxicity.sample(docs, labels, "doc_id", "text", "toxic", F.lit(True)))).count() == 4
+    vectors = spark.createDataFrame([("q", [1.0, 0.0]), ("x", [2.0, 0.0]), ("y", [2.0, 1.0])], "vec_id string, embedding array<double>")
+    assert [(r.query_id, r.vec_id, r.score) for r in maxscore.top_k(vectors.where("vec_id = 'q'"), vectors).orderBy("rank").collect()] == [("q", "x", 131072), ("q", "y", 131072)]
+
+
+def test_stages_judge_rows_by_their_own_text(spark):
+    rng = random.Random(2)
+    prose = [" ".join(rng.choice("the of and to in is that for on with".split()) + f"{rng.randrange(10**4)}" for _ in range(80)) for _ in range(4)]
+    item = " ".join(r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").limit(1).collect())
+    rows = [(None, prose[0]), (None, prose[0]), (1, prose[0]), (1, prose[1]), (1, prose[2]), (None, item), (1, item), (2, "12 34"), (None, "!!"), (None, prose[3])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    left = lambda name: sorted((str(r.doc_id), r.text) for r in stages[name](spark, docs, DATA).collect())
+    assert left("language") == sorted((str(i), t) for i, t in rows if t not in ("12 34", "!!"))
+    assert left("decontamination") == sorted((str(i), t) for i, t in rows if t != item)
+    assert left("near_duplicates") == sorted([("1", t) for t in prose[:3]] + [("1", item), ("2", "12 34"), ("None", "!!"), ("None", prose[3])])
+    assert [r.text for r in stages["near_duplicates"](spark, docs.where("text = '!!'").unionAll(docs.where("text = '!!'")), DATA).collect()] == ["!!"]
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_stage(spark, odd, none, name):
     stage = dict(corpus_pipeline.STAGES)[name]

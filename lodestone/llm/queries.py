@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import cotraining, decontaminate, html, language, licences, maxscore, mixing, order_minhash, suffix, toxicity
+from . import collocations, cotraining, decontaminate, html, language, licences, maxscore, mixing, order_minhash, suffix, toxicity
 from .common import table
 
 
@@ -71,7 +71,11 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_html_extraction, op4_quality_cotraining, op5_order_minhash, op6_toxicity, op7_mixing, op8_language, op9_maxscore, op10_licences)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_html_extraction, op4_quality_cotraining, op5_order_minhash, op6_toxicity, op7_mixing, op8_language, op9_maxscore, op10_licences, op13_collocations)}
 
 #: Words as the contracts define them.
 _WORDS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -117,6 +121,20 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_z
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
+_OP13 = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+p AS (SELECT lang, regexp_extract_all(x, '[^ \t]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')) AS x FROM t)),
+g AS (SELECT lang, list_slice(w, i, i + m - 1) AS w, count(*) AS f FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, range(1, 5) AS s(m) WHERE len(w) >= m) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE len(w) = 1 GROUP BY lang),
+c AS (SELECT lang, w, f AS a FROM g WHERE len(w) > 1 AND f >= 30),
+k AS (SELECT lang, w, a, unnest(range(1, len(w))) AS k FROM c),
+s AS (SELECT k.lang, k.w, k.a, k.k, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * k.a // (x.f + y.f) AS BIGINT) AS score FROM k JOIN g x ON x.lang = k.lang AND x.w = k.w[1 : k.k] JOIN g y ON y.lang = k.lang AND y.w = k.w[k.k + 1 :]),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, w ORDER BY score, k) AS i FROM s) WHERE i = 1),
+inner_ AS (SELECT lang, list_slice(w, i, i + m - 1) AS w, max(a) AS longer FROM (SELECT lang, w, a, m, unnest(range(1, len(w) - m + 2)) AS i FROM c, range(2, 4) AS z(m) WHERE len(w) > m) GROUP BY ALL),
+free AS (SELECT b.lang, array_to_string(b.w, ' ') AS phrase, a, l, r, score FROM best b LEFT JOIN inner_ i ON i.lang = b.lang AND i.w = b.w WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM free)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
 
 
 def _op7() -> str:
@@ -140,4 +158,4 @@ SELECT doc_id, source, lang, topic, tokens, round(w, 6) AS weight, round(least(1
 CAST(('0x' || substr(md5('{mixing.SEED}|' || doc_id), 1, 12)) AS BIGINT) / 281474976710656.0 < least(1.0, w * {mixing.FRACTION}) AS sampled FROM d JOIN {last} USING (source, lang, topic)"""
 
 
-ORACLE = {"op1_decontamination": _OP1, "op2_suffix_dedup": _OP2, "op7_mixing": _op7(), "op9_maxscore": _OP9}
+ORACLE = {"op1_decontamination": _OP1, "op2_suffix_dedup": _OP2, "op7_mixing": _op7(), "op9_maxscore": _OP9, "op13_collocations": _OP13}

@@ -122,6 +122,21 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(start - (ends - count), count)
 
 
+def same_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray, where: np.ndarray, number: np.ndarray) -> bool:
+    """Whether every stretch has the bytes of the stretch ``where[number]``, in steps of bounded memory."""
+    size = end - start
+    if (size != size[where][number]).any():
+        return False
+    done = np.cumsum(size)
+    at = 0
+    while at < len(start):
+        to = max(int(np.searchsorted(done, (done[at - 1] if at else 0) + (1 << 20), "right")), at + 1)
+        if (data[ranges(start[at:to], size[at:to])] != data[ranges(start[where][number[at:to]], size[at:to])]).any():
+            return False
+        at = to
+    return True
+
+
 def planes(a: np.ndarray) -> bytes:
     """An integer array with its bytes in planes, so that the codec of the shuffle packs high zero bytes."""
     return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import collocations, cotraining, decontaminate, html, language, licences, maxscore, mixing, order_minhash, suffix, toxicity
+from . import bpe, collocations, cotraining, decontaminate, html, language, licences, maxscore, mixing, order_minhash, suffix, toxicity
 from .common import table
 
 
@@ -71,11 +71,19 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_html_extraction, op4_quality_cotraining, op5_order_minhash, op6_toxicity, op7_mixing, op8_language, op9_maxscore, op10_licences, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_html_extraction, op4_quality_cotraining, op5_order_minhash, op6_toxicity, op7_mixing, op8_language, op9_maxscore, op10_licences, op12_byte_bpe, op13_collocations)}
 
 #: Words as the contracts define them.
 _WORDS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, collocations, cotraining, decontaminate, html, language, licences, maxscore, mixing, order_minhash, suffix, toxicity
+from . import bpe, collocations, conversations, cotraining, decontaminate, html, language, licences, maxscore, mixing, order_minhash, suffix, toxicity
 from .common import table
 
 
@@ -71,6 +71,11 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damaged(turns), turns.select("conv_id"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -83,7 +88,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_html_extraction, op4_quality_cotraining, op5_order_minhash, op6_toxicity, op7_mixing, op8_language, op9_maxscore, op10_licences, op12_byte_bpe, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_html_extraction, op4_quality_cotraining, op5_order_minhash, op6_toxicity, op7_mixing, op8_language, op9_maxscore, op10_licences, op11_conversation_repair, op12_byte_bpe, op13_collocations)}
 
 #: Words as the contracts define them.
 _WORDS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -129,6 +134,31 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_z
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
+_OP11 = r"""
+WITH RECURSIVE tab AS (SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)),
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+crc AS (SELECT src.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda x: CAST(ord(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS fold FROM src, tab),
+dam AS (SELECT conv_id, turn, CASE fold WHEN 4 THEN 'user' ELSE role END AS role, CASE fold WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE fold WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM crc WHERE fold <> 0),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM dam),
+flt AS (SELECT *, CASE WHEN body = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS f, left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS b FROM num),
+cnt AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 1) AS blank, count(*) FILTER (f = 2) AS duplicate, count(*) FILTER (f = 3) AS truncated, count(*) FILTER (i > 1 AND b || r NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM flt GROUP BY conv_id),
+dp AS (
+SELECT conv_id, 0::BIGINT AS i, {'c': 0::BIGINT, 'a': ''} AS v0, {'c': 1000000000::BIGINT, 'a': ''} AS v1, {'c': 1000000000::BIGINT, 'a': ''} AS v2, {'c': 1000000000::BIGINT, 'a': ''} AS v3 FROM cnt
+UNION ALL
+SELECT conv_id, i, {'c': v0.c + 2, 'a': v0.a || 'D'},
+ CASE WHEN r = 's' AND f IN (0, 3) THEN least({'c': v1.c + 2, 'a': v1.a || 'D'}, {'c': v0.c + t, 'a': v0.a || 'K'}) ELSE {'c': v1.c + 2, 'a': v1.a || 'D'} END,
+ CASE WHEN f IN (0, 3) THEN least({'c': u.c + 2, 'a': u.a || 'D'}, {'c': v0.c + t + ru, 'a': v0.a || eu}, {'c': v1.c + t + ru, 'a': v1.a || eu}, {'c': w.c + t + ru, 'a': w.a || eu}) ELSE {'c': u.c + 2, 'a': u.a || 'D'} END,
+ CASE WHEN f IN (0, 3) THEN least({'c': w.c + 2, 'a': w.a || 'D'}, {'c': u.c + t + ra, 'a': u.a || ea}) ELSE {'c': w.c + 2, 'a': w.a || 'D'} END
+FROM (SELECT *, least(v3, {'c': u.c + 5, 'a': u.a || 'I'}) AS w FROM (SELECT dp.conv_id, flt.i, v0, v1, v3, flt.f, flt.r, CASE flt.f WHEN 3 THEN 5 ELSE 0 END AS t, CASE flt.r WHEN 'u' THEN 0 ELSE 1 END AS ru, CASE flt.r WHEN 'u' THEN 'K' ELSE 'R' END AS eu, CASE flt.r WHEN 'a' THEN 0 ELSE 1 END AS ra, CASE flt.r WHEN 'a' THEN 'K' ELSE 'R' END AS ea,
+ least(v2, {'c': v0.c + 5, 'a': v0.a || 'I'}, {'c': v1.c + 5, 'a': v1.a || 'I'}, {'c': v3.c + 5, 'a': v3.a || 'I'}) AS u FROM dp JOIN flt ON flt.conv_id IS NOT DISTINCT FROM dp.conv_id AND flt.i = dp.i + 1))),
+best AS (SELECT conv_id, least(v0, v3, {'c': v2.c + 5, 'a': v2.a || 'I'}, {'c': v1.c + 10, 'a': v1.a || 'II'}) AS v FROM dp JOIN cnt USING (conv_id) WHERE i = n),
+eds AS (SELECT conv_id, j, v.a[j] AS e, count(*) FILTER (v.a[j] <> 'I') OVER (PARTITION BY conv_id ORDER BY j) AS i, count(*) FILTER (v.a[j] <> 'D') OVER (PARTITION BY conv_id ORDER BY j) AS m FROM (SELECT *, unnest(range(1, len(v.a) + 1)) AS j FROM best)),
+tur AS (SELECT eds.conv_id, j, e, m, role, text, r, max(CASE WHEN m = 1 AND e = 'K' AND r = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY eds.conv_id) AS s FROM eds LEFT JOIN flt ON e <> 'I' AND flt.conv_id IS NOT DISTINCT FROM eds.conv_id AND flt.i = eds.i WHERE e <> 'D'),
+rep AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (m - 1 - s) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE e WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS x FROM tur GROUP BY conv_id)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(v.c, 0) AS BIGINT) AS cost, coalesce(v.a, '') AS audit, sha256(coalesce(x, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN cnt ON cnt.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN rep ON rep.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
 _OP13 = r"""
 WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
 p AS (SELECT lang, regexp_extract_all(x, '[^ \t]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')) AS x FROM t)),
@@ -166,4 +196,4 @@ SELECT doc_id, source, lang, topic, tokens, round(w, 6) AS weight, round(least(1
 CAST(('0x' || substr(md5('{mixing.SEED}|' || doc_id), 1, 12)) AS BIGINT) / 281474976710656.0 < least(1.0, w * {mixing.FRACTION}) AS sampled FROM d JOIN {last} USING (source, lang, topic)"""
 
 
-ORACLE = {"op1_decontamination": _OP1, "op2_suffix_dedup": _OP2, "op7_mixing": _op7(), "op9_maxscore": _OP9, "op13_collocations": _OP13}
+ORACLE = {"op1_decontamination": _OP1, "op2_suffix_dedup": _OP2, "op7_mixing": _op7(), "op9_maxscore": _OP9, "op11_conversation_repair": _OP11, "op13_collocations": _OP13}

@@ -6,12 +6,13 @@ of neighbours in the array whose common prefix (LCP) has n words or more are the
 lengths the counts. Counts of shards meet by key in Spark:
 
 1. words, by their text: n of each language, and which words are frequent;
-2. pairs of frequent words, by a 64-bit hash: which pairs may be frequent (a collision only lets more pass);
-3. phrases of 2 to 4 words all of whose pairs may be frequent, by their text.
+2. pairs, then triples, all of whose parts may be frequent, by a hash: which may be frequent themselves;
+3. phrases of 2 to 4 words all of whose parts may be frequent, by their text.
 
-No phrase can be more frequent than its parts, so nothing that reaches ``LEAST`` is lost on the way. What is known of
-words and pairs travels as a bitmap of ``BITS`` bits, whatever the corpus; on a very large one more positions pass it,
-and the counts stay the same. Cuts, containment and ranks are joins and aggregates over the frequent phrases.
+No phrase can be more frequent than its parts, so nothing that reaches ``LEAST`` is lost on the way; where hashes meet,
+more passes and is counted by its text. What is known of words, pairs and triples travels as bitmaps of ``BITS`` bits,
+whatever the corpus; on a very large one more phrases pass them, and the counts stay the same. Cuts, containment and
+ranks are joins and aggregates over the frequent phrases.
 
 Cases: null, empty and wordless texts have no words; a null language counts as ``und``; repeated rows count each time;
 a very long text is taken in shards that end at the end of a piece; ties of scores go to the more frequent phrase, then
@@ -25,9 +26,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import LOWER, U64, cut, mix, parts, prefix_sums, ranges, span_hash, utf8
+from .common import LOWER, U64, cut, mix, parts, prefix_sums, ranges, same_bytes, span_hash, utf8
 
-#: Bytes of text in a shard, about; bits of a bitmap (a power of two); words of the longest phrase.
+#: Bytes of text in a shard, about; bits of a bitmap (a power of two, 2**32 at most); words of the longest phrase.
 SHARD, BITS, LONGEST = 1 << 22, 1 << 26, 4
 _ENDS, _GAPS = np.zeros(256, bool), np.zeros(256, bool)
 _ENDS[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -70,14 +71,14 @@ class Shard:
         after = np.zeros(len(low), bool)
         after[:-1] = inside[1:] & ~first[1:]
         start, end = np.flatnonzero(inside & (~before | first)), np.flatnonzero(inside & ~after) + 1
-        piece = np.searchsorted(at, start, "right") - 1
+        piece = (np.cumsum(first) - 1)[start]
         names, lang = np.unique(langs.astype(str), return_inverse=True) if len(langs) else (np.zeros(0, str), np.zeros(0, int))
         self.langs = names.tolist()
         salt = np.array([_salt(x) for x in self.langs], U64)
         lang = lang[piece]
         key = mix(span_hash(prefix_sums(low), start, end) * U64(0xD6E8FEB86659FD93) + salt[lang]) if len(start) else np.zeros(0, U64)
         self.hash, where, self.id = np.unique(key, return_index=True, return_inverse=True)
-        if not _same(low, start, end, lang, where, self.id):  # two words with one hash: told apart by their bytes
+        if (lang != lang[where][self.id]).any() or not same_bytes(low, start, end, where, self.id):  # two words with one hash: told apart by their bytes
             known: dict = {}
             self.id = np.array([known.setdefault((c, low[a:b].tobytes()), len(known)) for c, a, b in zip(lang.tolist(), start.tolist(), end.tolist())])
             where = np.unique(self.id, return_index=True)[1]
@@ -91,78 +92,89 @@ class Shard:
         np.cumsum(size, out=off[1:])
         self.words = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(off), pa.py_buffer(raw)])
 
-    def keep(self, places: np.ndarray, joined: np.ndarray) -> None:
-        """Go on with some places; ``joined`` says at which of all places the phrase may go on to the next one."""
-        at = np.flatnonzero(places)
-        self.id = self.id[at]
-        follows = np.zeros(len(at), bool)
-        follows[:-1] = at[1:] == at[:-1] + 1
-        self.last = ~(follows & joined[at] & ~self.last[at])
+    def narrow(self, bits: list, n: int, least: int = 0) -> None:
+        """Go on with the places of phrases of ``least`` (``n``) words or more that may be frequent as far as the bitmaps tell.
+
+        ``may[m]`` says of every place whether the phrase of m words from there, m <= n, may be frequent.
+        """
+        h = self.hash[self.id]
+        may, grams = [None, _has(bits[0], h)], h
+        for m in range(2, n + 1):
+            ok = np.zeros(len(h), bool)
+            ok[: 1 - m] = may[-1][: 1 - m] & may[-1][1 : len(h) + 2 - m]
+            if m == 2:
+                ok[:-1] &= ~self.last[:-1]
+            if m <= len(bits):
+                grams = _longer(grams, h, m)
+                ok[: len(grams)] &= _has(bits[m - 1], grams)
+            may.append(ok)
+        joined = may[min(2, n)]
+        cover = np.zeros(len(h), bool)
+        for k in range(least or n):
+            cover[k:] |= may[least or n][: len(h) - k]
+        self.at = np.flatnonzero(cover)
+        self.may, ends, self.id = may, self.last, self.id[self.at]
+        self.last = np.ones(len(self.at), bool)
+        self.last[:-1] = (self.at[1:] != self.at[:-1] + 1) | ~joined[self.at[:-1]] | ends[self.at[:-1]]
+
+    def counts(self, sizes) -> list[tuple[np.ndarray, np.ndarray]]:
+        """A place and the count of each phrase of each size, from one suffix array."""
+        left = _left(self.last)
+        order, common = suffixes(self.id, left, max(sizes))
+        return [intervals(order, common, left, n) for n in sizes]
 
 
 def _salt(lang: str) -> int:
     return int(span_hash(prefix_sums(np.frombuffer(lang.encode() or b"\0", np.uint8)), np.array([0]), np.array([len(lang.encode()) or 1]))[0])
 
 
-def _same(low, start, end, lang, where, number) -> bool:
-    """Whether all places of an id hold the same bytes, in steps of bounded memory."""
-    size = end - start
-    if (size != size[where][number]).any() or (lang != lang[where][number]).any():
-        return False
-    done = np.cumsum(size)
-    at = 0
-    while at < len(start):
-        to = max(int(np.searchsorted(done, (done[at - 1] if at else 0) + (1 << 20), "right")), at + 1)
-        if (low[ranges(start[at:to], size[at:to])] != low[ranges(start[where][number[at:to]], size[at:to])]).any():
-            return False
-        at = to
-    return True
-
-
-def suffixes(ids: np.ndarray, last: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def suffixes(ids: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes in the order of their first ``depth`` words, and the words (at most ``depth``) that each shares with the one before it.
 
     Prefix doubling: the rank of 2w words is the rank of the pair (rank of w words here, rank of w words w places on);
-    beyond the end of a piece the rank is 0, the least.
+    beyond the end of a piece the rank is 0, the least. ``left``: words up to the end of the piece.
     """
     n = len(ids)
-    left = np.minimum(_left(last), depth)  # words up to the end of the piece
-    rank, width = ids.astype(np.int64) + 1, 1
+    key, width = ids.astype(np.int64) + 1, 1
+    order = np.argsort(key)
     while width < depth:
+        rank = np.zeros(n, np.int64)
+        found = key[order]
+        rank[order] = np.cumsum(np.append(True, found[1:] != found[:-1])) if n else found
         beyond = np.zeros(n, np.int64)
         beyond[: n - width] = rank[width:]
         beyond[left <= width] = 0
-        _, rank = np.unique(rank * (int(rank.max(initial=0)) + 1) + beyond, return_inverse=True)
-        rank = rank.astype(np.int64) + 1
+        key = rank * (n + 1) + beyond
+        order = np.argsort(key)
         width *= 2
-    order = np.argsort(rank, kind="stable")
     common = np.zeros(n, np.int64)
-    same = np.ones(max(n - 1, 0), bool)
     a, b = order[:-1], order[1:]
     for k in range(depth):
-        same &= (left[a] > k) & (left[b] > k)
-        same[same] &= ids[a[same] + k] == ids[b[same] + k]
-        common[1:] += same
+        same = (left[a] > k) & (left[b] > k)
+        a, b = a[same], b[same]
+        here = np.flatnonzero(same) if not k else here[same]
+        same = ids[a + k] == ids[b + k]
+        a, b, here = a[same], b[same], here[same]
+        common[here + 1] = k + 1
     return order, common
 
 
 def _left(last: np.ndarray) -> np.ndarray:
     """Words from each place to the end of its piece, itself among them."""
     ends = np.flatnonzero(last)
-    return ends[np.searchsorted(ends, np.arange(len(last)))] - np.arange(len(last)) + 1 if len(last) else np.zeros(0, np.int64)
+    return np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(len(last)) + 1
 
 
-def intervals(order: np.ndarray, common: np.ndarray, last: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def intervals(order: np.ndarray, common: np.ndarray, left: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """A place and the count of each n-gram: the LCP intervals of ``n`` words."""
-    long = _left(last)[order] >= n
-    heads = np.flatnonzero(long & (common < n))
-    upto = np.append(heads[1:], len(order))
-    return order[heads], np.add.reduceat(long, heads)[: len(heads)] if len(heads) else upto[:0]
+    long = np.flatnonzero(left[order] >= n)
+    heads = np.flatnonzero(common[long] < n)
+    return order[long[heads]], np.diff(heads, append=len(long))
 
 
 def _bitmap(hashes: DataFrame, bits: int = BITS) -> np.ndarray:
-    """A bitmap of a column ``h`` of hashes, at most ``bits`` / 64 numbers on the driver."""
-    place = F.shiftrightunsigned("h", 64 - int(bits).bit_length() + 1)
+    """A bitmap of a column ``h`` of the upper halves of hashes, at most ``bits`` / 64 numbers on the driver."""
+    place = F.shiftrightunsigned("h", 32 - int(bits).bit_length() + 1)
     rows = hashes.select(place.alias("b")).select(F.shiftright("b", 6).alias("at"), F.expr("shiftleft(1L, cast(b & 63 AS INT))").alias("bit"))
     found = rows.groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
     out = np.zeros(bits // 64, np.int64)
@@ -175,10 +187,14 @@ def _has(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[(at >> U64(6)).astype(np.int64)] >> (at & U64(63)).astype(np.int64)) & 1 > 0
 
 
-def _pairs(s: Shard) -> np.ndarray:
-    """The hash of the pair of words that begins at each place, with the place after it (the last of a piece: of no use)."""
-    h = s.hash[s.id]
-    return mix(h[:-1] * U64(3) + mix(h[1:]))
+def _longer(grams: np.ndarray, words: np.ndarray, m: int) -> np.ndarray:
+    """Hashes of the phrases of ``m`` words from those of one word less and those of the words."""
+    n = max(len(words) - m + 1, 0)
+    return mix(grams[:n] * U64(3) + mix(words[m - 1 :]))
+
+
+def _upper(h: np.ndarray) -> np.ndarray:
+    return (h >> U64(32)).astype(np.uint32).view(np.int32)
 
 
 def _text(s: Shard, places: np.ndarray, n: int) -> pa.Array:
@@ -193,51 +209,45 @@ def _rows(s: Shard, places: np.ndarray, counts: np.ndarray, n: int, extra: dict
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """Every word of every language: lang, phrase, size (1), h (its hash), n."""
+    """Every word of every language: lang, phrase, size (1), h (the upper half of its hash), n."""
 
     def found(batches):
         for x in shards(batches):
             s = Shard(*x)
-            order, common = suffixes(s.id, s.last, 1)
-            places, counts = intervals(order, common, s.last, 1)
-            yield _rows(s, places, counts, 1, {"h": pa.array(s.hash[s.id[places]].view(np.int64))})
+            [(places, counts)] = s.counts([1])
+            yield _rows(s, places, counts, 1, {"h": pa.array(_upper(s.hash[s.id[places]]))})
 
-    rows = docs.mapInArrow(found, "lang string, phrase string, size int, n long, h long")
+    rows = docs.mapInArrow(found, "lang string, phrase string, size int, n long, h int")
     return rows.groupBy("lang", "phrase", "size", "h").agg(F.sum("n").alias("n"))
 
 
-def count_pairs(docs: DataFrame, words: np.ndarray) -> DataFrame:
-    """Pairs of words in the bitmap, by hash: h, n."""
+def count_hashes(docs: DataFrame, bits: list, n: int) -> DataFrame:
+    """Phrases of ``n`` words whose parts may be frequent, by the upper half of a hash: h, n."""
 
     def found(batches):
         for x in shards(batches):
             s = Shard(*x)
-            s.keep(_has(words, s.hash[s.id]), np.ones(len(s.id), bool))
-            order, common = suffixes(s.id, s.last, 2)
-            places, counts = intervals(order, common, s.last, 2)
-            h = _pairs(s)[places] if len(places) else np.zeros(0, U64)
-            yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "n": pa.array(counts.astype(np.int64))})
+            words = s.hash[s.id]
+            s.narrow(bits, n)
+            [(places, counts)] = s.counts([n])
+            h = words
+            for m in range(2, n + 1):
+                h = _longer(h, words, m)
+            yield pa.RecordBatch.from_pydict({"h": pa.array(_upper(h[s.at[places]])), "n": pa.array(counts.astype(np.int32))})
 
-    return docs.mapInArrow(found, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(found, "h int, n int").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def count_phrases(docs: DataFrame, words: np.ndarray, pairs: np.ndarray, longest: int = LONGEST) -> DataFrame:
-    """Phrases of 2 to ``longest`` words all of whose pairs are in the bitmap: lang, phrase, size, n."""
+def count_phrases(docs: DataFrame, bits: list, longest: int = LONGEST) -> DataFrame:
+    """Phrases of 2 to ``longest`` words that may be frequent: lang, phrase, size, n."""
 
     def found(batches):
         for x in shards(batches):
             s = Shard(*x)
-            known = _has(words, s.hash[s.id])
-            s.keep(known, np.ones(len(s.id), bool))
-            go = np.zeros(len(s.id), bool)
-            go[:-1] = _has(pairs, _pairs(s)) & ~s.last[:-1] if len(s.id) else False
-            back = np.zeros(len(s.id), bool)
-            back[1:] = go[:-1]
-            s.keep(go | back, go)
-            order, common = suffixes(s.id, s.last, longest)
-            for n in range(2, longest + 1):
-                places, counts = intervals(order, common, s.last, n)
-                yield _rows(s, places, counts, n)
+            s.narrow(bits, longest, 2)
+            for n, (places, counts) in zip(range(2, longest + 1), s.counts(range(2, longest + 1))):
+                may = s.may[n][s.at[places]]
+                yield _rows(s, places[may], counts[may], n)
 
     rows = docs.mapInArrow(found, "lang string, phrase string, size int, n long")
     return rows.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
@@ -249,9 +259,10 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     words = cut(count_words(docs))
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     known = words.where(F.col("n") >= least)
-    word_bits = _bitmap(known.select("h"))
-    pair_bits = _bitmap(count_pairs(docs, word_bits).where(F.col("n") >= least).select("h"))
-    phrases = count_phrases(docs, word_bits, pair_bits, longest).where(F.col("n") >= least)
+    bits = [_bitmap(known.select("h"))]
+    for n in range(2, longest):
+        bits.append(_bitmap(count_hashes(docs, bits, n).where(F.col("n") >= least).select("h")))
+    phrases = count_phrases(docs, bits, longest).where(F.col("n") >= least)
     return cut(known.drop("h").unionByName(phrases)), totals
 
 

@@ -151,7 +151,7 @@ SELECT conv_id, i, {'c': v0.c + 2, 'a': v0.a || 'D'},
  CASE WHEN f IN (0, 3) THEN least({'c': w.c + 2, 'a': w.a || 'D'}, {'c': u.c + t + ra, 'a': u.a || ea}) ELSE {'c': w.c + 2, 'a': w.a || 'D'} END
 FROM (SELECT *, least(v3, {'c': u.c + 5, 'a': u.a || 'I'}) AS w FROM (SELECT dp.conv_id, flt.i, v0, v1, v3, flt.f, flt.r, CASE flt.f WHEN 3 THEN 5 ELSE 0 END AS t, CASE flt.r WHEN 'u' THEN 0 ELSE 1 END AS ru, CASE flt.r WHEN 'u' THEN 'K' ELSE 'R' END AS eu, CASE flt.r WHEN 'a' THEN 0 ELSE 1 END AS ra, CASE flt.r WHEN 'a' THEN 'K' ELSE 'R' END AS ea,
  least(v2, {'c': v0.c + 5, 'a': v0.a || 'I'}, {'c': v1.c + 5, 'a': v1.a || 'I'}, {'c': v3.c + 5, 'a': v3.a || 'I'}) AS u FROM dp JOIN flt ON flt.conv_id IS NOT DISTINCT FROM dp.conv_id AND flt.i = dp.i + 1))),
-best AS (SELECT conv_id, least(v0, v3, {'c': v2.c + 5, 'a': v2.a || 'I'}, {'c': v1.c + 10, 'a': v1.a || 'II'}) AS v FROM dp JOIN cnt USING (conv_id) WHERE i = n),
+best AS (SELECT conv_id, least(v0, v3, {'c': v2.c + 5, 'a': v2.a || 'I'}, {'c': v1.c + 10, 'a': v1.a || 'II'}) AS v FROM (SELECT dp.conv_id, i, n, v0, v1, v2, v3 FROM dp JOIN cnt ON cnt.conv_id IS NOT DISTINCT FROM dp.conv_id) WHERE i = n),
 eds AS (SELECT conv_id, j, v.a[j] AS e, count(*) FILTER (v.a[j] <> 'I') OVER (PARTITION BY conv_id ORDER BY j) AS i, count(*) FILTER (v.a[j] <> 'D') OVER (PARTITION BY conv_id ORDER BY j) AS m FROM (SELECT *, unnest(range(1, len(v.a) + 1)) AS j FROM best)),
 tur AS (SELECT eds.conv_id, j, e, m, role, text, r, max(CASE WHEN m = 1 AND e = 'K' AND r = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY eds.conv_id) AS s FROM eds LEFT JOIN flt ON e <> 'I' AND flt.conv_id IS NOT DISTINCT FROM eds.conv_id AND flt.i = eds.i WHERE e <> 'D'),
 rep AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (m - 1 - s) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE e WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS x FROM tur GROUP BY conv_id)

@@ -4,8 +4,8 @@
    window's anchor. Equal windows have their anchor at the same offset, so only suffixes at anchors (about 3 % of
    all) need sorting, each with the bytes before it that its windows take in.
 2. Anchors are dealt by the hash of their leading 32 bytes, in packed blocks. Anchors whose leading bytes are
-   alone in the corpus go. Copies with the same surroundings (all bytes of all windows of the anchor, told by 128 bits
-   of hashes) are settled here: all but the first are removed, the first stands for all. Copies within a block of
+   alone in the corpus go. Copies with the same surroundings (all bytes of all windows of the anchor, told by 64 bits
+   of hash where the leading bytes are equal) are settled here: all but the first are removed, the first stands for all. Copies within a block of
    a chunk's anchors are known to be gone when it is packed and are dealt evenly; so a bucket holds at most one anchor
    of a passage from each block of about 9 MB of text, however often it occurs.
 3. Where surroundings differ, the suffixes are range-partitioned by their leading bytes with sampled splitters
@@ -17,7 +17,7 @@
    across buckets by a 128-bit digest.
 
 Cases: a null text is empty; very long texts are cut into overlapping pieces; equal strings go by document, then place; texts under ``width`` bytes lose nothing; matches never cross documents; rows that
-repeat an id and its text count as one document and each get its row; rows without an id lose nothing and
+repeat an id and its text count as one document and each get its row; rows of other texts that share an id are documents of their own, in the order of the texts' hashes; rows without an id lose nothing and
 nothing is compared with them; an empty table gives no rows; columns other than the named ones are ignored.
 """
 
@@ -437,12 +437,25 @@ def removed_spans(docs: DataFrame, id_col: str, text_col: str, width: int = 100)
     return gone.unionAll(within).unionAll(across)
 
 
+def _apart(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """Where rows with different texts share an id, ``docs`` with numbers in the order of id and text in place of ids, and the ids of the numbers; else as it is."""
+    of = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_name"), F.xxhash64(F.col(text_col).cast("string")).alias("_key"))
+    if not of.groupBy("_name").agg((F.max("_key") != F.min("_key")).alias("mixed")).where("mixed").limit(1).count():
+        return docs, None
+    keys = cut(of.distinct().orderBy("_name", "_key"))
+    shape = T.StructType([*keys.schema.fields, T.StructField("_number", T.LongType())])
+    names = cut(docs.sparkSession.createDataFrame(keys.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])), shape))
+    found = docs.join(names, (docs[id_col] == names["_name"]) & (F.xxhash64(docs[text_col].cast("string")) == names["_key"]), "left")
+    return found.select(*(names["_number"].alias(c) if c == id_col else docs[c] for c in docs.columns)), names.select("_name", "_number")
+
+
 def dedup_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
     """One row for each document: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text and the columns in ``carry``.
 
     kept_text drops the rest of a character that a removed string cuts in two.
     """
     docs, names = numbered(docs, id_col)
+    docs, shared = _apart(docs, id_col, text_col)
     spans = removed_spans(docs, id_col, text_col, width).groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     row = [F.struct(*carry).alias("row")] if carry else []
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *row)
@@ -453,16 +466,17 @@ def dedup_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     packed = packed.add("row", rows.schema["row"].dataType) if carry else packed
     done = rows.mapInArrow(_packed, packed).join(spans, "id", "left").mapInArrow(_kept(with_text, bool(carry)), out)
     own = [F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text]
-    return renumbered(done.select(*own, *(F.col("row").getField(c).alias(c) for c in carry or [])), names, [id_col])
+    return renumbered(renumbered(done.select(*own, *(F.col("row").getField(c).alias(c) for c in carry or [])), shared, [id_col]), names, [id_col])
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100) -> DataFrame:
     """The documents with repeated bytes taken out of their text, all columns in place; those of which nothing is left go."""
     docs, names = numbered(docs, id_col)
+    docs, shared = _apart(docs, id_col, text_col)
     spans = removed_spans(docs, id_col, text_col, width).groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*(c for c in docs.columns if c != text_col)).alias("row"))
     packed = T.StructType([T.StructField("z", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("id", T.LongType()), T.StructField("row", rows.schema["row"].dataType)])
     out = T.StructType([T.StructField("id", T.LongType()), *(T.StructField(k, T.LongType()) for k in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())])
     done = rows.mapInArrow(_packed, packed).join(spans, "id", "left").mapInArrow(_kept(True, True), out.add("row", rows.schema["row"].dataType))
     left = done.where("kept_text <> '' OR n_bytes = 0")
-    return renumbered(left.select(*(F.col("kept_text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns)), names, [id_col])
+    return renumbered(renumbered(left.select(*(F.col("kept_text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns)), shared, [id_col]), names, [id_col])

@@ -8,8 +8,9 @@ change of language labels every word of the whole text; the document's language
 With up to ``PAIRED`` languages decoding runs over blocks of words at once, as many as ``WORK`` bytes hold: each block gives
 the best score from any entry language to any exit language, the blocks of a document are chained, and the paths are
 traced back in all blocks together. With more languages all documents of a chunk are decoded word by word, with one
-state per language and one switch per word, so that memory grows with the languages and not with their square. All
-languages found are learned; the tables of n-grams shrink so that the model takes ``MODEL`` bytes at most.
+state per language and one switch per word, so that memory grows with the languages and not with their square. The
+``LANGUAGES`` most frequent values of the language column are learned (the rest of a column with more is taken for dirt),
+and the tables of n-grams shrink so that the model takes ``MODEL`` bytes at most.
 
 Cases: a null text, or one without letters, is ``und`` with score 0; texts of no known language get the language that
 was most frequent, with score 0; ties go to the smaller language name; repeated rows, rows without an id and rows that
@@ -29,8 +30,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import U64, chunks, cut, mix, utf8
 
-#: Labelled documents of each language that the model is fitted on, at most.
-SAMPLE = 1_000
+#: Labelled documents of each language that the model is fitted on, at most, and of all languages; languages, at most.
+SAMPLE, SAMPLES, LANGUAGES = 1_000, 64_000, 4_096
 #: Bytes of the model; languages that are decoded in blocks, and bytes of their tables at a time.
 MODEL, PAIRED, WORK = 256 << 20, 32, 32 << 20
 #: Nats that a change of language costs; buckets of each table; most nats that a word can weigh.
@@ -262,17 +263,18 @@ def _by_block(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarr
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, per_lang: int = SAMPLE) -> Model:
-    """A model from at most ``per_lang`` labelled documents of each language, those with the smallest id hashes."""
+    """A model from at most ``per_lang`` labelled documents of each language, those with the smallest id hashes; ``SAMPLES`` texts at most come to the driver."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.lit(True) if learn is None else learn))
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = rows.groupBy("lang").count()
+    counts = cut(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES))
+    per_lang = max(min(per_lang, SAMPLES // max(counts.count(), 1)), 1)
     # a share of each language's ids that holds enough of them goes on to be ranked, so that no task ranks a frequent language
     share = cut(counts.select("lang", F.least(F.lit(1.0), F.lit(2.0 * per_lang + 200) / F.col("count")).alias("share")))
     u = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     order = Window.partitionBy("lang").orderBy("u", "id")
     drawn = rows.select("id", "lang", u.alias("u")).join(F.broadcast(share), "lang").where(F.col("u") < F.col("share"))
-    chosen = drawn.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang).select("id").distinct()
-    some = rows.join(F.broadcast(chosen), "id", "left_semi")
+    chosen = drawn.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang).select("id", "lang").distinct()
+    some = rows.join(F.broadcast(chosen), ["id", "lang"], "left_semi").select("id", "text", "lang")
     got = sorted(((r[0], r[1], r[2]) for r in some.toLocalIterator()), key=lambda r: (str(r[0]), r[2], r[1]))
     return Model([r[1] for r in got], [r[2] for r in got])
 

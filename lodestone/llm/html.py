@@ -9,8 +9,11 @@
    that has none of them falls back on its own best container.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments inside the container
-are left out; headings of the article stay. An element that is noise only as a form or by a part of a class or id
-("has-sidebar") and holds most of the page's text outside links is a wrapper and no noise. The winners of hosts travel to the workers if they take up no
+are left out; headings of the article stay. Signs are weighed against the text. An element that is noise only as a form or
+by a part of a class or id ("has-sidebar") is a wrapper if it holds most of the text that no other sign speaks against, and
+stays as a section of an article if it has paragraphs of its own. An element that is noise by a whole class or id
+("widget") or its role holds the article if hardly any text stands outside such elements; one that is named for readers'
+comments, consent or adverts only if none does. The winners of hosts travel to the workers if they take up no
 more than ``BROADCAST`` bytes; beyond, pages are joined to them by host.
 
 Cases: null html is empty and gives an empty text; a page without tags is one block; unclosed tags, comments
@@ -46,6 +49,7 @@ _SPACE = re.compile(r"\s+")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input embed param source track area link meta base col".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOISE_TAGS = frozenset("nav footer aside form header head menu button dialog fieldset frameset legend option".split())
+READERS = frozenset("comment comments disqus replies reply respond ad ads advert adverts advertisement advertising consent cookie cookies gdpr login newsletter signup subscribe".split())  # and other things that are long beside a short article
 WRAPPERS = frozenset("form fieldset".split())  # noise unless they hold most of the page
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices "
@@ -62,10 +66,11 @@ ENDS_P = frozenset("address article aside blockquote details div dl fieldset fig
 
 
 class Node:
-    __slots__ = ("tag", "path", "up", "noise", "soft", "score", "bonus", "at", "inside")
+    __slots__ = ("tag", "path", "up", "noise", "soft", "named", "score", "bonus", "at", "inside", "paragraphs")
 
-    def __init__(self, tag, path, up, noise, soft, bonus, at):
-        self.tag, self.path, self.up, self.noise, self.soft, self.bonus, self.at = tag, path, up, noise, soft, bonus, at
+    def __init__(self, tag, path, up, noise, soft, named, bonus, at):
+        self.tag, self.path, self.up, self.noise, self.soft, self.named, self.bonus, self.at = tag, path, up, noise, soft, named, bonus, at
+        self.paragraphs = 0
         self.inside = up is not None and (up.inside or up.tag in ("article", "main"))  # an article
         self.score = 0.0
 
@@ -73,20 +78,22 @@ class Node:
 def _made(tag: str, attrs: str, up: Node, at: int) -> Node:
     inside = up.inside or up.tag in ("article", "main")
     noise, soft = tag in NOISE_TAGS and tag not in WRAPPERS and not (inside and tag == "header"), tag in WRAPPERS
-    bonus, classes = 25.0 if tag in ("article", "main") else 0.0, ""
+    bonus, classes, named = 25.0 if tag in ("article", "main") else 0.0, "", 0  # named: 1 by a name or role, 2 for readers
     if attrs and "=" in attrs or "hidden" in attrs:
         a = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTR.findall(attrs)}
         names = a.get("class", "").lower().split()
         words = {w for k in (*names, a.get("id", "").lower()) for w in re.split(r"[^a-z]+", k) if w}
         if tag not in ("html", "body", "article", "main"):
-            noise |= any(k in NOISE_WORDS for k in (*names, a.get("id", "").lower()))
+            whole = {*names, a.get("id", "").lower()} & NOISE_WORDS
+            named = 2 if whole & READERS else int(bool(whole))
             parts = (words - {"header"} if inside else words) & NOISE_WORDS
             soft |= bool(parts) and not (inside and tag in LEAVES)  # a paragraph of the article, "share-price", is told by a whole name only
-        noise |= a.get("role", "").lower() in NOISE_ROLES or "hidden" in attrs.split() or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "")
+        named = named or int(a.get("role", "").lower() in NOISE_ROLES)
+        noise |= "hidden" in attrs.split() or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "")
         bonus += 10.0 * bool(words & GOOD_WORDS) + 25.0 * (a.get("role") in ("main", "article"))
         if names:
             classes = "." + ".".join(sorted({re.sub(r"\d+", "#", k) for k in names}))
-    return Node(tag, _step(up.path, f">{tag}{classes}"), up, noise, soft, bonus, at)
+    return Node(tag, _step(up.path, f">{tag}{classes}"), up, noise, soft, named, bonus, at)
 
 
 def _step(path: str, step: str) -> str:
@@ -99,7 +106,7 @@ def _step(path: str, step: str) -> str:
 
 def read(page: str):
     """The page's blocks, (container, text, characters in links), in page order; the containers."""
-    root = Node("", "", None, False, False, 0.0, 0)
+    root = Node("", "", None, False, False, 0, 0.0, 0)
     nodes, stack, blocks = [root], [root], []
     text: list[str] = []
     link = links = 0
@@ -163,22 +170,59 @@ def read(page: str):
     return blocks, nodes
 
 
+#: Text outside of named elements beside which one of them is no article: a share of its own, and characters for those of readers; characters and paragraphs of a section; rounds.
+OUTSIDE, READ, SECTION, ROUNDS = 0.1, 40, (150, 2), 8
+
+
 def _quiet(blocks, nodes):
-    """Settle which containers are noise: their own, unless they wrap most of the page's text, and all that stands in such."""
-    if any(n.soft and not n.noise for n in nodes):
+    """Settle which containers are noise: their own by their signs, weighed, and all that stands in such."""
+    signed = [n for n in nodes if not n.noise and (n.soft or n.named)]
+    if signed:
+        gains = [(node, max(len(t) - 2 * links, 0)) for node, t, links in blocks]
+        for n in nodes:
+            n.noise |= n.up is not None and n.up.noise
+        if any(n.named for n in signed):
+            _release(gains)
+        for n in nodes:  # those above come first
+            n.noise |= bool(n.named) or n.up is not None and n.up.noise
         total = 0
-        for node, t, links in blocks:
-            gain = max(len(t) - 2 * links, 0)
+        for node, gain in gains:
+            if node.noise:
+                continue
             total += gain
+            paragraph = node.tag in LEAVES and gain > 0
             while node is not None:
                 node.score += gain
+                node.paragraphs += paragraph
                 node = node.up
-        for n in nodes:
-            n.noise |= n.soft and n.score * 2 <= total
-    for n in nodes:  # those above come first
+        for n in signed:
+            section = n.inside and n.tag not in WRAPPERS and n.score >= SECTION[0] and n.paragraphs >= SECTION[1]
+            n.noise |= n.soft and n.score * 2 <= total and not section
+    for n in nodes:
         n.noise |= n.up is not None and n.up.noise
 
 
+def _release(gains):
+    """Take the sign from named elements that hold the article: hardly any text stands outside such elements."""
+    for _ in range(ROUNDS):  # one may stand in another
+        outside, held = 0, defaultdict(int)
+        for node, gain in gains:
+            if node.noise:
+                continue
+            top = None
+            while node is not None:
+                top = node if node.named else top
+                node = node.up
+            if top is None:
+                outside += gain
+            else:
+                held[top] += gain
+        found = [n for n, gain in held.items() if outside <= gain * OUTSIDE and (n.named < 2 or outside <= READ) and gain == max(held.values())]
+        if not found:
+            return
+        min(found, key=lambda n: (n.named, n.at)).named = 0
+
+
 def best(blocks, nodes) -> Node:
     """The container with the highest score; the root where no block qualifies."""
     for node in nodes:

@@ -222,4 +222,46 @@ def test_stage(spark, odd, none, name):
 
 
 def test_registered():
-    assert list(queries.QUERIES) == [f"op{i}_{n}" for i, n in enumerate("decontamination suffix_dedup html_extraction quality_cotraining order_minhash toxicity mixing language maxscore licences".split(), 1)]
+    assert list(queries.QUERIES) == [f"op{i}_{n}" for i, n in enumerate("decontamination suffix_dedup html_extraction quality_cotraining order_minhash toxicity mixing language maxscore licences conversation_repair byte_bpe collocations".split(), 1)]
+
+
+def test_repeats_of_rows_that_share_an_id(spark):
+    rng = random.Random(6)
+    text = lambda: "".join(rng.choice("abcdefgh ") for _ in range(600))
+    a, b, c = text(), text(), text()
+    for names in ({1: 1, 2: 2}, {1: "x", 2: "y"}):
+        docs = spark.createDataFrame([(names[1], a), (names[2], a[:300] + b), (names[2], c), (names[2], c)], f"doc_id {'long' if names[1] == 1 else 'string'}, text string")
+        got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix.dedup_repeats(docs).collect())
+        assert got == [(names[1], 600, 0), (names[2], 600, 0), (names[2], 600, 0), (names[2], 900, 300)]
+        left = dict(corpus_pipeline.STAGES)["repeats"](spark, docs, DATA).collect()
+        assert sorted((str(r.doc_id), r.text) for r in left) == sorted([(str(names[1]), a), (str(names[2]), b), (str(names[2]), c), (str(names[2]), c)])
+
+
+def test_languages_beyond_the_model(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    monkeypatch.setattr(language, "SAMPLES", 30)
+    docs = spark.createDataFrame([(i, f"wort{i % 7} sprache und rede", f"l{min(i % 40, 9)}") for i in range(400)], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert model.langs == ["l0", "l1", "l9"]
+
+
+_STORY = " ".join(f"Sentence number {i} says something about the matter at hand." for i in range(12))
+_ARTICLE = f"<h1>Title here</h1><p>{_STORY[:300]}</p><p>{_STORY[300:]}</p>"
+_READERS = "".join(f"<div class='comment'><p>Reader {i} thinks that this is all quite wrong and says so at length.</p></div>" for i in range(40))
+
+
+@pytest.mark.parametrize("outer", ['<div class="widget">', '<div id="search">', '<section class="content related">', '<div class="modal">', '<div class="post share">', '<div role="dialog">', '<div id="comments">', '<div class="notice">', '<div class="main reply">', '<div class="search"><div class="widget">'])
+def test_articles_in_elements_with_names_of_noise(outer):
+    want = "Title here\n" + _STORY[:300].strip() + "\n" + _STORY[300:].strip()
+    assert html.main_text(f"<body>{outer}{_ARTICLE}</div>", []) == want
+    assert html.main_text(f"<body><nav><a href=x>Home</a></nav>{outer}{_ARTICLE}</div><footer>Small print</footer>", []) == want
+
+
+def test_noise_beside_articles():
+    got = html.main_text(f"<body><div class='layout has-sidebar'><div class='text'>{_ARTICLE}</div></div><div id='comments'>{_READERS}</div>", [])
+    assert "Sentence number 11" in got and "Reader" not in got
+    section = "<section class='related-work'><h2>Related work</h2><p>One sentence about that thing and its use in practice today.</p><p>A second one says the same about another thing in many other words.</p><p>The third one.</p></section>"
+    got = html.main_text(f"<body><article>{_ARTICLE}{section}<div class='share'>Share this</div><div class='ad-slot'>Buy now</div></article><div id='comments'>{_READERS}</div>", [])
+    assert "The third one." in got and "Share" not in got and "Buy" not in got and "Reader" not in got
+    short = "<div class='x'><p>A short article of one sentence, no more than that.</p></div>"
+    assert html.main_text(f"<body>{short}<div id='comments'>{_READERS}</div><div class='cookie'><p>We use cookies. {_STORY[:240]}</p></div>", []) == "A short article of one sentence, no more than that."

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import stages
 from ..functions import text as T
-from ..operators import claims as C, dedupe, exports as X
+from ..operators import claims as C, dedupe, exports as X, nested
 from ..sources import resolvers
 from .base import query, read
 
@@ -284,7 +284,27 @@ def retrieval_cascade(spark, sf_dir):
 def nested_strings(spark, sf_dir):
     inner = F.struct(F.array(F.concat(F.lit(" "), F.replace("p_brand", F.lit("#"), F.lit('"#'))), F.lit(" ")).alias("list"), F.struct(F.col("p_type").alias("type"), F.col("p_size").alias("size")).alias("deep"))
     payload = F.to_json(F.struct(F.col("p_name").alias("name"), F.array(F.struct(F.lit("hidden").alias("x"))).alias("link"), inner.alias("inner")))
-    return read(spark, sf_dir, "part").select("p_partkey", resolvers.flattened(payload).alias("text"), resolvers.reached(payload, "$.inner.deep.type").alias("reached"))
+    rows = read(spark, sf_dir, "part").select("p_partkey", payload.alias("payload"))
+    reached = rows.select("p_partkey", resolvers.reached(F.col("payload"), "$.inner.deep.type").alias("reached"))
+    return nested.json_text(rows, "p_partkey", "payload").join(reached, "p_partkey")
+
+
+# Documents as answers of an article service: texts of up to 100,000 characters and more, 16 levels deep, with keys to skip on two levels.
+_LEVELS = 16
+_LONG = "CASE WHEN source = 'src0' THEN repeat(coalesce(text, '') || ' ', CAST(ceil(100000.0 / (length(coalesce(text, '')) + 1)) AS INT)) ELSE text END"
+
+
+@query(TABLE, rf"""WITH p AS (SELECT doc_id, json_object('head', json_object('coredata', json_object('title', 'hidden', 'link', ['hidden too']), 'lang', lang), 'link', 'gone', 'n_chars', n_chars, 'body', json_array(json_object('quote', 'say "no" \ ' || source || chr(10), 'text', {_LONG}), '  ', CAST('{'[' * _LEVELS}' || CAST(json_object('coredata', 'x', 'source', source) AS VARCHAR) || '{']' * _LEVELS}' AS JSON))) AS j FROM documents),
+t AS (SELECT doc_id, id, path, key, trim(regexp_replace(CAST(json_extract_string(atom, '$') AS VARCHAR), '[\s\x1c-\x1f\x85\pZ]+', ' ', 'g')) AS x FROM (SELECT p.doc_id, t.* FROM p, LATERAL json_tree(p.j) t) WHERE type = 'VARCHAR' AND NOT regexp_matches(fullkey, '\.(coredata|link)(\.|\[|$)'))
+SELECT doc_id, string_agg(x, ' ' ORDER BY id) AS text FROM t WHERE x <> '' GROUP BY doc_id""")
+def nested_payloads(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    head = F.struct(F.struct(F.lit("hidden").alias("title"), F.array(F.lit("hidden too")).alias("link")).alias("coredata"), "lang")
+    deep = F.struct(F.lit("x").alias("coredata"), "source")
+    item = F.to_json(F.struct(F.concat(F.lit('say "no" \\ '), F.col("source"), F.lit("\n")).alias("quote"), F.expr(_LONG).alias("text")))
+    body = F.concat(F.lit("["), item, F.lit(', "  ", ' + "[" * _LEVELS), F.to_json(deep), F.lit("]" * _LEVELS + "]"))
+    payload = F.concat(F.lit('{"head": '), F.to_json(head), F.lit(', "link": "gone", "n_chars": '), F.col("n_chars").cast("string"), F.lit(', "body": '), body, F.lit("}"))
+    return nested.json_text(docs.select("doc_id", payload.alias("payload")), "doc_id", "payload")
 
 
 @query(TABLE, """WITH c AS (SELECT *, CASE c_custkey % 3 WHEN 0 THEN '10.1/' || c_nationkey WHEN 1 THEN 'pmid:' || c_nationkey ELSE lower(c_mktsegment) END AS key, CASE WHEN c_custkey % 4 = 0 THEN 'about ' || c_name END AS abstract FROM customer),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import collapse, normalize_doi
+from ..functions.text import normalize_doi
 
 # Formats of the services (the fields that are used), versions by preference, ISSNs by journal code.
 _PLACE = "struct<url:string,url_for_pdf:string,url_for_landing_page:string,landing_page_url:string,pdf_url:string,version:string,host_type:string,license:string>"
@@ -18,7 +18,6 @@ CROSSREF = "link array<struct<URL:string,`content-type`:string>>, license array<
 VERSIONS = ["publishedVersion", "acceptedVersion", "submittedVersion"]
 ISSN = {"nu": "2072-6643"}
 MDPI_FORMS = [("", "publisher_page", "html"), ("/xml", "mdpi_xml", "xml"), ("/pdf?download=1", "mdpi_pdf", "pdf"), ("/pdf", "mdpi_pdf", "pdf")]
-SKIPPED_KEYS = ["coredata", "link"]
 
 
 def is_url(c: Column) -> Column:
@@ -111,11 +110,13 @@ def resolved(sources: DataFrame, answers: DataFrame) -> DataFrame:
     page = mdpi_page(F.col("doi"))
     no = F.lit(None).cast("string")
     own = F.concat(F.array(_candidate(F.concat(F.lit("pmc:"), F.nullif(F.col("pmcid"), F.lit(""))), "pmc_oa_xml", "pmc", no, 0)), F.array(*(_candidate(F.concat(page, F.lit(tail)), m, k, no, 1, i) for i, (tail, m, k) in enumerate(MDPI_FORMS))))
-    parsed = {"unpaywall": (UNPAYWALL, _unpaywall), "openalex": (OPENALEX, _openalex), "crossref": (CROSSREF, _crossref)}
-    of = F.lit(None).cast(_NONE)
-    for service, (schema, read) in parsed.items():
-        of = F.when(F.col("service") == service, read(F.from_json("payload", schema))).otherwise(of)
-    told = answers.join(sources.where(doi.isNotNull()).select("source_id"), "source_id", "left_semi").select("source_id", F.explode(of).alias("c"))
+    asked = answers.join(sources.where(doi.isNotNull()).select("source_id"), "source_id", "left_semi")
+    told = None
+    for service, schema, read in (("unpaywall", UNPAYWALL, _unpaywall), ("openalex", OPENALEX, _openalex), ("crossref", CROSSREF, _crossref)):
+        # one parse of each answer: a generator keeps the parsed value from being copied into the expressions above it
+        parsed = asked.where(F.col("service") == service).select("source_id", F.explode(F.array(F.from_json("payload", schema))).alias("p"))
+        found = parsed.select("source_id", F.explode(read(F.col("p"))).alias("c"))
+        told = found if told is None else told.unionByName(found)
     every = sources.select("source_id", F.explode(own).alias("c")).unionByName(told).select("source_id", "c.*").where("coalesce(url, '') <> ''")
     every = every.where(is_url(F.col("url")) | F.col("url").startswith("pmc:"))
     order = ["tier", "o0", "o1", "o2"]
@@ -158,21 +159,3 @@ def cascade(sources: DataFrame, attempts: DataFrame) -> DataFrame:
 def reached(payload: Column, path: str) -> Column:
     """The text at a path of a JSON document ($.a.b, indexes as [0]); null where it is absent or the document is broken."""
     return F.try_variant_get(F.try_parse_json(payload), path, "string")
-
-
-def flattened(payload: Column, depth: int = 12) -> Column:
-    """All strings of a JSON document in document order, collapsed and joined by spaces; values of skipped keys are left out.
-
-    Works on the text of the document: strings that a colon follows are keys, the others are values. The skipped keys'
-    values must be plain lists or objects of no more than ``depth`` levels.
-    """
-    text = payload
-    nested = r"[^\[\]{}\"]|\"(?:[^\"\\\\]|\\\\.)*\""
-    value = f"(?:{nested})*"
-    for _ in range(min(depth, 4)):
-        value = rf"(?:{nested}|[\[{{]{value}[\]}}])*"
-    skipped = "|".join(SKIPPED_KEYS)
-    text = F.regexp_replace(text, rf'"(?:{skipped})"\s*:\s*(?:[\[{{]{value}[\]}}]|"(?:[^"\\]|\\.)*"|[^,\]}}\s]+)\s*,?', "")
-    strings = F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\.)*"(?:\s*:)?'), F.lit(0))
-    plain = F.transform(F.filter(strings, lambda s: ~s.endswith(":")), lambda s: collapse(F.coalesce(F.get(F.from_json(F.concat(F.lit("["), s, F.lit("]")), "array<string>"), F.lit(0)), F.lit(""))))
-    return F.array_join(F.filter(plain, lambda s: s != ""), " ")

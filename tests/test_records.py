@@ -12,7 +12,7 @@ from pyspark.sql import Row, functions as F
 
 from lodestone import stages
 from lodestone.functions import text as T
-from lodestone.operators import assembly, claims, documents, evidence, exports, papers
+from lodestone.operators import assembly, claims, documents, evidence, exports, nested, papers
 from lodestone.sources import connectors, files, http, resolvers, sinks
 from lodestone.streaming import events
 
@@ -123,7 +123,8 @@ def test_resolver_order_and_distinct(spark):
 def test_json_reach_and_flatten(spark):
     doc = json.dumps({"a": {"b": [1, {"c": "x  y"}]}, "coredata": {"hidden": ["no", {"n": "no"}]}, "t": ["one", " ", {"k:": 'q"uote: '}], "link": "no"})
     assert one(spark, resolvers.reached(F.col("x"), "$.a.b[1].c"), x=doc) == "x  y" and one(spark, resolvers.reached(F.col("x"), "$.z"), x=doc) is None and one(spark, resolvers.reached(F.col("x"), "$.a"), x="{") is None
-    assert one(spark, resolvers.flattened(F.col("x")), x=doc) == 'x y one q"uote:'
+    df = spark.createDataFrame([(1, doc), (2, "{"), (3, None), (4, '"alone"'), (5, "[]")], "id long, x string")
+    assert {r.id: r.text for r in nested.json_text(df, "id", "x").collect()} == {1: 'x y one q"uote:', 2: None, 3: None, 4: "alone", 5: ""}
 
 
 def test_connectors(spark):

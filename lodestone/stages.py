@@ -182,7 +182,7 @@ def retrieve(sources, attempts):
 def sanitize(papers):
     from .operators import papers as P
 
-    out = papers.select("source_id", P.sanitized_paper(F.col("text"), F.col("title"), F.col("abstract")).alias("b")).select("source_id", "b.*")
+    out = P.sanitized(papers)
     return {"bodies": out.where("text IS NOT NULL").drop("preview"), "failures": out.where("text IS NULL").drop("text")}
 
 
@@ -190,7 +190,7 @@ def sanitize(papers):
 def context(bodies, most):
     from .operators import papers as P
 
-    return {"contexts": bodies.select("source_id", P.extraction_context(F.col("text"), most).alias("c")).select("source_id", "c.*")}
+    return {"contexts": P.extraction_contexts(bodies, most=most)}
 
 
 @stage("ground", ["quotes", "bodies"], ["grounded"])

@@ -62,46 +62,6 @@ def prose(n):
     return ("Participants consumed the supplement and outcomes were measured. " * (n // 60 + 1))[:n]
 
 
-def test_paper_cuts(spark):
-    c = F.col("x")
-    body = prose(900)
-    assert one(spark, papers.without_references(c), x=f"{body}\n2. References\nSmith J, x") == body.rstrip()
-    assert one(spark, papers.without_references(c), x=f"short\nReferences\n{body}") == f"short\nReferences\n{body}"
-    assert one(spark, papers.without_conclusion(c), x=f"{body}\nConclusions\nend") == body.rstrip() and one(spark, papers.without_conclusion(c), x=f"Conclusions\n{body}") == f"Conclusions\n{body}"
-    assert one(spark, papers.without_preamble(c), x=f"T Abstract some words. Introduction {body}") == f"Introduction {body}"
-    assert one(spark, papers.without_preamble(c), x="This is a preview of subscription content. Abstract a Introduction b").startswith("This")
-    assert one(spark, papers.from_introduction(c), x=f"head I N T R O D U C T I O N {body}").startswith("I N T R O") and one(spark, papers.from_introduction(c), x="Introduction short") is None
-    assert papers.spaced_heading("study design").replace(r"\s*", "").replace(r"\s+", " ") == "study design"
-    report = f"{'plain head words ' * 25} Methods {prose(1000)} Results {prose(900)} Discussion {prose(600)}"
-    assert one(spark, papers.from_structure(c), x=report).startswith("Methods") and one(spark, papers.from_sections(c), x=report).startswith("Methods")
-    assert one(spark, papers.from_structure(c), x=prose(4000)) is None
-
-
-def test_sanitized_paper(spark):
-    body = prose(1200)
-    rows = [
-        ("The Title", "An abstract of it.", f"The Title An abstract\nof it. {body}\nReferences\nSmith"),
-        ("The Title", None, f"THE TITLE journal Introduction {body}"),
-        (None, None, "too short to be quoted"),
-    ]
-    df = spark.createDataFrame(rows, "title string, abstract string, text string").select(papers.sanitized_paper(F.col("text"), F.col("title"), F.col("abstract")).alias("b")).select("b.*").collect()
-    assert [r.stage for r in df] == ["abstract_removed", "introduction", "failed"]
-    assert df[0].text == body.strip() and df[1].text.startswith("Introduction") and df[2].text is None and df[2].preview == "too short to be quoted"
-
-
-def test_extraction_context(spark):
-    c = F.col("x")
-    text = "Intro words\n\nIntroduction\nwhy\n\n2. Methods\n" + "m" * 60 + "\nResults\n" + "r" * 60 + "\nDiscussion\nso what\nReferences\nSmith"
-    whole = one(spark, papers.extraction_context(c), x=text)
-    assert whole.strategy == "complete_body_without_abstract_or_references" and not whole.truncated and whole.text.endswith("so what")
-    some = one(spark, papers.extraction_context(c, 120), x=text)
-    assert some.strategy == "section_priority" and some.sections == ["methods", "results"] and some.truncated
-    methods, results = "2. Methods\n" + "m" * 60, "Results\n" + "r" * 60
-    assert some.text == f"{methods}\n\n{results[: 120 - len(methods) - 2]}"
-    assert one(spark, papers.extraction_context(c, 100), x="Introduction\nwhy\nMethods\n" + "m" * 200).sections == ["methods"]
-    assert one(spark, papers.extraction_context(c, 20), x="no headings at all in this text").strategy == "body_prefix_fallback"
-
-
 def test_resolver_order_and_distinct(spark):
     sources = spark.createDataFrame([(1, "https://doi.org/10.3390/nu12030456", "PMC99"), (2, None, None)], "source_id long, doi string, pmcid string")
     place = lambda **k: {"url_for_pdf": None, "url_for_landing_page": None, "version": None} | k

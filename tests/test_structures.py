@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import nested
+from lodestone.operators import nested, papers
 
 
 def flat(value, skipped=("coredata", "link")):
@@ -43,4 +43,63 @@ def test_json_strings_against_a_walk(spark):
     assert nested.json_text(rows.limit(0), "id", "payload").count() == 0
 
 
-assert F is not None and pytest is not None
+
+
+def prose(n):
+    return ("Participants consumed the supplement and outcomes were measured. " * (n // 60 + 1))[:n]
+
+
+def sanitized(spark, text, title=None, abstract=None):
+    return papers.sanitized(spark.createDataFrame([(1, title, abstract, text)], "source_id long, title string, abstract string, text string")).first()
+
+
+def test_sanitized_papers(spark):
+    body = prose(1200)
+    rows = [
+        (1, "The Title", "An abstract of it.", f"The Title An abstract\nof it. {body}\nReferences\nSmith"),
+        (2, "The Title", None, f"THE TITLE journal Introduction {body}"), (3, None, None, "too short to be quoted"), (4, None, None, None),
+        (5, None, None, f"head I N T R O D U C T I O N {prose(900)}\n2. References\nSmith J, x"),
+        (6, None, None, f"T Abstract some words. Introduction {prose(900)}\nConclusions\nend of it"),
+        (7, None, None, f"{'plain head words ' * 25} Methods {prose(1000)} Results {prose(900)} Discussion {prose(600)}"),
+        (8, None, None, prose(4100)),
+        (9, None, None, f"Title 1. Zinc in the diet of adults We looked at it. {prose(700)} References Smith AB, and so on"),
+        (10, None, None, f"This is a preview of subscription content. Abstract a Introduction b {'word ' * 30}"),
+        (11, None, None, f"{'plain head words ' * 25} Results {prose(700)}\nConclusion {prose(600)}"),
+        (12, None, None, f"{'x ' * 200} Methods Results Discussion References {'y ' * 300}"),
+    ]
+    got = {r.source_id: r for r in papers.sanitized(spark.createDataFrame(rows, "source_id long, title string, abstract string, text string").repartition(3)).collect()}
+    assert {i: r.stage for i, r in got.items()} == {1: "abstract_removed", 2: "introduction", 3: "failed", 4: "failed", 5: "introduction", 6: "introduction", 7: "structure", 8: "failed", 9: "introduction", 10: "failed", 11: "sections", 12: "failed"}
+    assert got[1].text == body.strip() and got[2].text == f"Introduction {body}".strip() and got[3].preview == "too short to be quoted" and got[4].preview is None
+    assert got[5].text == f"I N T R O D U C T I O N {prose(900)}".strip() and got[6].text == f"Introduction {prose(900)}".strip()
+    assert got[7].text.startswith("Methods Part") and got[7].text.endswith(prose(600).strip()) and got[9].text == f"1. Zinc in the diet of adults We looked at it. {prose(700)}".strip()
+    assert got[11].text.startswith("Results") and got[8].preview.endswith("...") and len(got[8].preview) <= 4000
+    assert papers.sanitized(spark.createDataFrame(rows[:1], "source_id long, title string, abstract string, text string").limit(0)).count() == 0
+
+
+def test_papers_of_nothing_but_headings(spark):
+    """Ten thousand headings in a megabyte: linear, and the first start that results and a discussion follow."""
+    text = "".join(f"Participants {k} were seen and then some more of them took part in the trial as well. " for k in range(10_000)) + "Results good. " + "Discussion long. " * 200
+    got = sanitized(spark, text)
+    assert got.stage == "structure" and len(text) > 850_000 and got.text == text[text.index("Participants 4 ") :].strip()
+    lines = "Methods\nsome\n" * 20_000
+    context = papers.extraction_contexts(spark.createDataFrame([(1, lines)], "source_id long, text string")).first()
+    assert context.strategy == "section_priority" and context.truncated and set(context.sections) == {"methods"} and 44_990 <= len(context.text) <= 45_000
+
+
+def test_extraction_contexts(spark):
+    text = "Intro words\n\nIntroduction\nwhy\n\n2. Methods\n" + "m" * 60 + "\nResults\n" + "r" * 60 + "\nDiscussion\nso what\nReferences\nSmith"
+
+    def context(x, most=45_000):
+        return papers.extraction_contexts(spark.createDataFrame([(1, x)], "source_id long, text string"), most=most).first()
+
+    whole = context(text)
+    assert whole.strategy == "complete_body_without_abstract_or_references" and not whole.truncated and whole.text.endswith("so what")
+    some = context(text, 120)
+    assert some.strategy == "section_priority" and some.sections == ["methods", "results"] and some.truncated
+    methods, results = "2. Methods\n" + "m" * 60, "Results\n" + "r" * 60
+    assert some.text == f"{methods}\n\n{results[: 120 - len(methods) - 2]}"
+    assert context("Introduction\nwhy\nMethods\n" + "m" * 200, 100).sections == ["methods"]
+    assert context("no headings at all in this text", 20).strategy == "body_prefix_fallback"
+    assert context("Abstract in short. Introduction and more").text == "Introduction and more"
+    inline = context("Start. Methods Search terms were set. Authors' conclusions In short, " + "z" * 60, 50)
+    assert inline.sections == ["methods", "conclusions"] and inline.text.startswith("Methods Search terms were set.\n\nAuthors' ")

@@ -70,18 +70,50 @@ def grounded(quotes: DataFrame, bodies: DataFrame, quote_id: str, quote: str, bo
     return both.select(F.col("bid").alias(body_id), F.col("qid").alias(quote_id), tier.alias("tier"))
 
 
-def closure(pairs: dict[str, str]) -> dict[str, str]:
-    """Each alias with the end of its chain; raises on a circle. The map is a configuration, small by nature."""
-    out = {}
-    for k in pairs:
-        seen, x = {k}, pairs[k]
-        while x in pairs:
-            if x in seen:
-                raise ValueError(f"alias_cycle:{k}")
-            seen.add(x)
-            x = pairs[x]
-        out[k] = x
-    return out
+def closure(pairs: DataFrame, alias: str = "alias", target: str = "target") -> DataFrame:
+    """(alias, root, steps, status) of a table of aliases: the end of each chain, by doubling the pointers.
+
+    Each round looks up the rows that have not arrived at where they point to and goes on from there, so that a chain of n
+    steps takes log2 n rounds. What has not arrived after as many rounds as the longest possible chain needs goes in a
+    circle or runs into one: status ``cycle``, root and steps null. An alias with several targets takes the smallest and is
+    ``ambiguous``; others are ``resolved``. Null and blank aliases and targets are no aliases; one that points to itself is a
+    circle.
+    """
+    rows = pairs.select(F.col(alias).alias("alias"), F.col(target).alias("to")).where("coalesce(trim(alias), '') <> '' AND coalesce(trim(to), '') <> ''")
+    rows = rows.groupBy("alias").agg(F.min("to").alias("to"), (F.min("to") != F.max("to")).alias("several"))
+    known = rows.select(F.col("alias").alias("k"))
+    # ``done``: nothing stands for the target
+    rows = rows.join(known, F.col("to") == F.col("k"), "left").select("alias", "to", F.lit(1).cast("long").alias("steps"), F.col("k").isNull().alias("done"), "several")
+    rows = _saved(rows)
+    n = rows.count()
+    ready = []
+    for _ in range(max(n, 1).bit_length() + 1):
+        ready.append(rows.where("done"))
+        open_ = rows.where("not done")
+        if not open_.limit(1).count():
+            break
+        # a row that has arrived is looked up as well: all rows so far, arrived in any round
+        every = ready[0]
+        for r in ready[1:]:
+            every = every.unionByName(r)
+        ahead = every.unionByName(open_).select(F.col("alias").alias("at"), F.col("to").alias("next"), F.col("steps").alias("more"), F.col("done").alias("arrived"))
+        rows = _saved(open_.join(ahead, F.col("to") == F.col("at")).select("alias", F.col("next").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), F.col("arrived").alias("done"), "several"))
+    status = F.when(F.col("several"), "ambiguous").otherwise("resolved")
+    out = None
+    for r in ready:
+        one = r.select(F.col("alias").alias(alias), F.col("to").alias("root"), "steps", status.alias("status"))
+        out = one if out is None else out.unionByName(one)
+    circle = rows.where("not done").select(F.col("alias").alias(alias), F.lit(None).cast(rows.schema["to"].dataType).alias("root"), F.lit(None).cast("long").alias("steps"), F.lit("cycle").alias("status"))
+    return out.unionByName(circle)
+
+
+def _saved(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, so that a loop's plan stays short."""
+    from ..streaming.events import work_folder
+
+    path = work_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def rule_table(c: Column, rules: list[tuple[str, str]], default: str | None = None) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..operators import dedupe, joins
 from .base import query, read
@@ -149,17 +149,29 @@ def ambiguous_identity(spark, sf_dir):
     return read(spark, sf_dir, "documents").groupBy(F.md5(F.lower(F.trim("text"))).alias("key")).agg(n.alias("n_identities"), F.min("source").alias("_s")).select("key", "n_identities", F.when(F.col("n_identities") == 1, F.col("_s")).alias("source"))
 
 
-_PARENTS = {f"NATION_{i}": f"NATION_{i // 2}" for i in range(1, 25)}
-
-
 @query(
     TABLE,
     "WITH RECURSIVE p AS (SELECT n_name AS name, n_nationkey AS k FROM nation UNION ALL SELECT name, k // 2 FROM p WHERE k > 0) SELECT name, 'NATION_' || min(k) AS root FROM p GROUP BY name",
 )
 def alias_closure(spark, sf_dir):
-    ends = joins.closure(_PARENTS)
-    table = F.create_map(*(F.lit(x) for kv in ends.items() for x in kv))
-    return read(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.coalesce(F.try_element_at(table, F.col("n_name")), F.col("n_name")).alias("root"))
+    nation = read(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), "n_nationkey")
+    pairs = nation.where("n_nationkey > 0").select(F.col("name").alias("alias"), F.concat(F.lit("NATION_"), F.expr("n_nationkey div 2").cast("string")).alias("target"))
+    ends = joins.closure(pairs).select(F.col("alias").alias("name"), F.col("root").alias("end"))
+    return nation.join(ends, "name", "left").select("name", F.coalesce("end", "name").alias("root"))
+
+
+# An order is an alias of its customer's order before it; customers of one segment go in a circle, those of another give two targets.
+@query(TABLE, """WITH o AS (SELECT o_custkey, c_mktsegment AS s, o_orderkey, row_number() OVER w AS k, count(*) OVER (PARTITION BY o_custkey) AS n, first_value(o_orderkey) OVER w AS root, lag(o_orderkey) OVER w AS prev FROM orders JOIN customer ON c_custkey = o_custkey WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
+SELECT 'o' || o_orderkey AS alias, CASE WHEN s <> 'BUILDING' THEN CASE WHEN s = 'MACHINERY' THEN 'c' || o_custkey ELSE 'o' || root END END AS root, CASE WHEN s = 'MACHINERY' THEN 1 WHEN s <> 'BUILDING' THEN k - 1 END AS steps, CASE s WHEN 'BUILDING' THEN 'cycle' WHEN 'MACHINERY' THEN 'ambiguous' ELSE 'resolved' END AS status
+FROM o WHERE s IN ('BUILDING') OR k > 1""")
+def alias_chains(spark, sf_dir):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    customer = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("s"))
+    rows = read(spark, sf_dir, "orders").join(customer, "o_custkey").select("s", "o_custkey", "o_orderkey", F.lag("o_orderkey").over(w).alias("prev"), F.last("o_orderkey").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("end"))
+    name = lambda c: F.concat(F.lit("o"), F.col(c).cast("string"))
+    pairs = rows.select(name("o_orderkey").alias("alias"), F.when(F.col("prev").isNotNull(), name("prev")).when(F.col("s") == "BUILDING", name("end")).alias("target"))
+    second = rows.where("s = 'MACHINERY' AND prev IS NOT NULL").select(name("o_orderkey").alias("alias"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("target"))
+    return joins.closure(pairs.unionByName(second))
 
 
 @query(TABLE, "SELECT 'customer' AS kind, c_custkey AS key, c_acctbal < 0 AS in_debt FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_acctbal < 0 FROM supplier")

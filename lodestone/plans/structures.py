@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import papers
+from ..sources import connectors
+from ..streaming import events as E, items
 from .base import query, read
 
 TABLE: dict = {}
@@ -59,3 +61,84 @@ def extraction_contexts(spark, sf_dir):
     text = F.expr(_EN.format(s="STRING", n="'\\n'"))
     bodies = read(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
     return papers.extraction_contexts(bodies, "doc_id", most=_MOST).select("doc_id", "text", "strategy", F.array_join("sections", ",").alias("sections"))
+
+
+# Users of the event stream as items of a session.
+_STEP = "CASE event_type WHEN 'signup' THEN 'queue' WHEN 'view' THEN 'start' WHEN 'click' THEN 'complete' WHEN 'error' THEN CASE WHEN value < 20 THEN 'fail' ELSE 'cancel' END WHEN 'purchase' THEN CASE WHEN value < 5 THEN 'accept' WHEN value < 10 THEN 'reject' WHEN value < 60 THEN 'hold' ELSE 'retry' END END"
+_PATIENCE, _RETRIES = 30, 4
+_NEXT = " ".join(f"WHEN status = '{a}' AND event = '{e}' THEN '{b}'" for (a, e), b in items.TRANSITIONS.items())
+
+
+@query(TABLE, f"""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS item, ts, event_id, {_STEP} AS event, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+s AS (SELECT item, 0::BIGINT AS k, '' AS status, NULL::TIMESTAMP AS began, NULL::TIMESTAMP AS since, 0 AS attempts, 0 AS taken, 0 AS timed_out, 0 AS refused FROM e WHERE k = 1
+UNION ALL SELECT item, k, CASE WHEN ok THEN goes ELSE status END, CASE WHEN ok THEN CASE WHEN goes = 'running' THEN ts END ELSE began END, CASE WHEN ok THEN ts ELSE since END, attempts + CASE WHEN ok AND event = 'retry' THEN 1 ELSE 0 END, taken + CASE WHEN ok THEN 1 ELSE 0 END, timed_out, refused + CASE WHEN ok THEN 0 ELSE 1 END
+FROM (SELECT *, goes IS NOT NULL AND NOT (event = 'retry' AND attempts >= {_RETRIES}) AS ok FROM (SELECT *, CASE {_NEXT} END AS goes FROM (
+ SELECT s.item, e.k, e.ts, e.event, s.attempts, s.taken, s.refused, CASE WHEN late THEN 'failed' ELSE status END AS status, CASE WHEN late THEN NULL ELSE began END AS began, CASE WHEN late THEN began + INTERVAL {_PATIENCE} HOUR ELSE since END AS since, timed_out + CASE WHEN late THEN 1 ELSE 0 END AS timed_out
+ FROM (SELECT s.*, e.ts AS at, coalesce(status = 'running' AND e.ts > began + INTERVAL {_PATIENCE} HOUR, false) AS late FROM s JOIN e ON e.item = s.item AND e.k = s.k + 1) s JOIN e ON e.item = s.item AND e.k = s.k + 1)))),
+f AS (SELECT s.*, coalesce(status = 'running' AND began + INTERVAL {_PATIENCE} HOUR <= (SELECT max(ts) FROM events), false) AS late FROM s WHERE (item, k) IN (SELECT (item, max(k)) FROM e GROUP BY item))
+SELECT item, CASE WHEN late THEN 'failed' ELSE status END AS status, CASE WHEN late THEN began + INTERVAL {_PATIENCE} HOUR ELSE since END AS since, attempts, taken, timed_out + CASE WHEN late THEN 1 ELSE 0 END AS timed_out, refused FROM f""")
+def item_states(spark, sf_dir):
+    step = lambda rows: rows.select(F.col("user_id").alias("item"), "ts", "event_id", F.expr(_STEP).alias("event"))
+    return items.states_of_files(spark, sf_dir, E.SCHEMA, step, "events.parquet", patience=f"{_PATIENCE} hours", retries=_RETRIES)
+
+
+# Parts as what search services answer: three primary ones, of which two fail on the way, and a fallback; pages are sizes.
+_PAGE_SIZE, _TARGET, _PAGES = 12, 260, 10
+_OFF = {"openalex": (6, 1, 500), "europe_pmc": (2, 2, 429), "semantic_scholar": (1, 1, 403)}
+_PLACED = "SELECT *, p_size - 1 AS page, CAST(p_partkey % 3 AS INT) AS query, row_number() OVER (PARTITION BY p_size, p_partkey % 3 ORDER BY p_partkey) - 1 AS pos FROM part"
+
+
+def _answers(spark, sf_dir):
+    read(spark, sf_dir, "part").createOrReplaceTempView("lodestone_part")
+    rows = spark.sql(_PLACED.replace("FROM part", "FROM lodestone_part"))
+    doi = lambda n: F.concat(F.lit(f"10.{n}/"), F.col("p_partkey").cast("string"))
+    item = {
+        "openalex": F.struct(doi(1).alias("doi"), F.col("p_name").alias("display_name"), F.lit(2001).alias("publication_year")), "europe_pmc": F.struct(F.col("p_partkey").cast("string").alias("pmid"), F.col("p_name").alias("title")),
+        "crossref": F.struct(F.array("p_name").alias("title")), "semantic_scholar": F.struct(F.col("p_name").alias("title"), F.struct(doi(2).alias("DOI")).alias("externalIds")),
+    }
+    wrap = {"openalex": lambda x: F.struct(x.alias("results")), "europe_pmc": lambda x: F.struct(F.struct(x.alias("result")).alias("resultList")), "crossref": lambda x: F.struct(F.struct(x.alias("items")).alias("message")), "semantic_scholar": lambda x: F.struct(x.alias("data"))}
+    out = None
+    for source, i in item.items():
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", i.alias("x")))), lambda e: e["x"])
+        page, query, status = _OFF.get(source, (None, None, None))
+        code = F.lit(200) if page is None else F.when((F.col("page") > page) & (F.col("query") == 0) | (F.col("page") == page) & (F.col("query") == query), status).otherwise(200)
+        one = rows.groupBy("page", "query").agg(F.to_json(wrap[source](listed)).alias("payload")).select(F.lit(source).alias("source"), "query", "page", code.alias("status"), "payload")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _run(spark, sf_dir):
+    return connectors.candidate_run(_answers(spark, sf_dir), _PAGE_SIZE, 3, _TARGET, _PAGES)
+
+
+def _first_failure(page: int, query: int) -> str:
+    return f"min(page * 100 + query) FILTER (page > {page} AND query = 0 OR page = {page} AND query = {query})"
+
+
+_SCAN = f"""WITH a AS ({_PLACED}), o AS (SELECT {', '.join(f'{_first_failure(p, q)} AS {s}' for s, (p, q, _) in _OFF.items())} FROM a), r AS (
+SELECT 1 AS c, 'europe_pmc' AS source, query, page, pos, 'pmid:' || p_partkey AS key, page AS slot FROM a, o WHERE page * 100 + query < coalesce(europe_pmc, 1000000) UNION ALL SELECT 2, 'openalex', query, page, pos, '10.1/' || p_partkey, page FROM a, o WHERE page * 100 + query < coalesce(openalex, 1000000)
+UNION ALL SELECT 3, 'crossref', query, page, pos, lower(p_name), page FROM a UNION ALL SELECT 0, 'semantic_scholar', query, page, pos, '10.2/' || p_partkey, page + {_PAGES} FROM a, o WHERE page < 2 AND page * 100 + query < coalesce(semantic_scholar, 1000000)),
+k AS (SELECT * FROM r WHERE pos < {_PAGE_SIZE // 3} AND (source = 'semantic_scholar' OR slot < {_PAGES})), f1 AS (SELECT key, min(slot) AS slot FROM k WHERE slot < {_PAGES} GROUP BY key),
+p1 AS (SELECT i AS slot, (SELECT count(*) FROM k WHERE k.slot = i) AS raw, (SELECT count(*) FROM f1 WHERE f1.slot = i) AS new FROM range({_PAGES}) t(i)), t1 AS (SELECT *, sum(new) OVER (ORDER BY slot) AS total FROM p1),
+e1 AS (SELECT coalesce(min(slot) FILTER (total >= {_TARGET} OR new = 0), {_PAGES - 1}) AS last FROM t1), d1 AS (SELECT last, total, total >= {_TARGET} AS full FROM t1, e1 WHERE slot = last),
+f2 AS (SELECT key, min(slot) AS slot FROM k WHERE slot >= {_PAGES} AND key NOT IN (SELECT key FROM f1, e1 WHERE slot <= last) GROUP BY key),
+p2 AS (SELECT i AS slot, (SELECT count(*) FROM k WHERE k.slot = i) AS raw, (SELECT count(*) FROM f2 WHERE f2.slot = i) AS new FROM range({_PAGES}, {_PAGES} + 2) t(i), d1 WHERE NOT "full"), t2 AS (SELECT p2.*, sum(new) OVER (ORDER BY slot) + d1.total AS total FROM p2, d1),
+e2 AS (SELECT coalesce(min(slot) FILTER (total >= {_TARGET} OR new = 0), {_PAGES + 1}) AS last FROM t2),
+pages AS (SELECT slot, 'primary' AS mode, slot AS page, raw, new, total FROM t1, e1 WHERE slot <= last UNION ALL SELECT slot, 'fallback', slot - {_PAGES}, raw, new, total FROM t2, e2 WHERE slot <= last),
+"""
+
+
+@query(TABLE, _SCAN + f"kept AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY slot, c, query, pos) AS n FROM k WHERE slot IN (SELECT slot FROM pages)) SELECT key, source, query, page, slot FROM kept WHERE n = 1 ORDER BY slot, c, query, pos LIMIT {_TARGET}")
+def candidate_run(spark, sf_dir):
+    return _run(spark, sf_dir)["candidates"].select("key", "source", "query", "page", "slot")
+
+
+@query(TABLE, _SCAN + f"x AS (SELECT 1) SELECT slot, mode, page, raw, new, total, CASE WHEN total >= {_TARGET} THEN 'target_reached' WHEN new = 0 THEN 'no_new_unique_candidates' END AS stop FROM pages")
+def candidate_run_pages(spark, sf_dir):
+    return _run(spark, sf_dir)["pages"]
+
+
+@query(TABLE, _SCAN + f"""f AS (SELECT 'openalex' AS source, openalex AS v, 0 AS base, 'retrieval_error' AS code FROM o UNION ALL SELECT 'europe_pmc', europe_pmc, 0, 'rate_limited' FROM o UNION ALL SELECT 'semantic_scholar', semantic_scholar, {_PAGES}, 'blocked' FROM o)
+SELECT source, v % 100 AS query, v // 100 AS page, code FROM f WHERE v // 100 + base IN (SELECT slot FROM pages)""")
+def candidate_run_failures(spark, sf_dir):
+    return _run(spark, sf_dir)["failures"]

@@ -6,7 +6,7 @@ rows (source, query, page, status, payload); the engine reads them, so that ever
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import normalize_doi, year_of
 
@@ -132,3 +132,78 @@ def refilled(primary: DataFrame, fallback: DataFrame, key: str, wanted: int) ->
         return primary
     rest = fallback.join(primary.select(key), key, "left_anti")
     return primary.unionByName(rest.orderBy("query", "pos", key).limit(short).select(*primary.columns))
+
+
+def collected(answers: DataFrame, page_size: int, queries: int, names: list[str]) -> DataFrame:
+    """The citations of all pages of some connectors, each query cut to its share of the page, with ``collector``, its place in the list."""
+    found = None
+    for i, name in enumerate(names):
+        one = pubmed_citations(answers) if name == "pubmed" else web_citations(answers) if name == "firecrawl" else citations(answers, name)
+        one = one.withColumn("collector", F.lit(i))
+        found = one if found is None else found.unionByName(one)
+    share = F.lit(page_size // queries) + (F.col("query") < page_size % queries).cast("int")
+    return found.where((F.col("pos") < share) & (F.col("query") < queries))
+
+
+def citation_key() -> Column:
+    """What makes two citations one: the DOI, else the PMID, else the title without regard to case."""
+    return F.coalesce(F.nullif("doi", F.lit("")), F.concat(F.lit("pmid:"), F.nullif(F.trim("pmid"), F.lit(""))), F.lower(F.trim("title")))
+
+
+def candidate_run(answers: DataFrame, page_size: int, queries: int, target: int, max_pages: int, fallback_pages: int = 2) -> dict[str, DataFrame]:
+    """A whole run over stored answers: ``candidates`` (the first of each key, in order, ``target`` at most), ``pages`` and ``failures``.
+
+    The primary connectors are asked page by page, then the fallback ones, until the target is reached or a page brings
+    nothing new, which ends its group. A connector is off from its first failure on: that query's answer, later queries and
+    all later pages of the run do not count, and only this failure is told. Pages have slot, mode, page, raw, new and total;
+    the last page's ``stop`` says why the run ended.
+
+    Cases: pages without answers are empty pages; answers beyond a page's queries do not count; repeated answers count
+    once more as raw; without answers there is one empty page of each group.
+    """
+    own = F.when(F.col("source") == "pubmed_abstracts", "pubmed").otherwise(F.col("source"))
+    names = {"primary": PRIMARY, "fallback": FALLBACK}
+    spark = answers.sparkSession
+    asked = answers.where((F.col("query") < queries) & own.isin(*PRIMARY, *FALLBACK))
+    broken = asked.where("status <> 200 AND source <> 'pubmed_abstracts'").withColumn("at", F.struct("page", "query"))
+    off = broken.groupBy("source").agg(F.min("at").alias("off"), F.min_by("status", "at").alias("status"))
+    rows = None
+    for mode, limit, base in (("primary", max_pages, 0), ("fallback", min(fallback_pages, max_pages), max_pages)):
+        one = collected(asked, page_size, queries, names[mode]).where(F.col("page") < limit)
+        one = one.join(F.broadcast(off.select("source", "off")), "source", "left").where(F.col("off").isNull() | (F.struct("page", "query") < F.col("off"))).drop("off")  # one row a connector
+        one = one.withColumn("mode", F.lit(mode)).withColumn("slot", F.col("page") + base)
+        rows = one if rows is None else rows.unionByName(one)
+    rows = rows.withColumn("key", citation_key()).withColumn("at", F.struct("slot", "collector", "query", "pos"))
+
+    def report(some: DataFrame, mode: str, limit: int, base: int, before) -> DataFrame:
+        """The pages of a group in order, and whether the run ends after each; few rows, one for each page that may be asked."""
+        first = some.groupBy("key").agg(F.min("at.slot").alias("slot")).groupBy("slot").agg(F.count("*").alias("new"))
+        raw = some.groupBy("slot").agg(F.count("*").alias("raw"))
+        pages = spark.range(base, base + limit).select(F.col("id").cast("int").alias("slot")).join(raw, "slot", "left").join(first, "slot", "left")
+        order = Window.orderBy("slot")
+        pages = pages.select("slot", F.lit(mode).alias("mode"), (F.col("slot") - base).alias("page"), F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("new", F.lit(0)).alias("new"))
+        pages = pages.withColumn("total", before + F.sum("new").over(order))
+        stop = F.when(F.col("total") >= target, "target_reached").when(F.col("new") == 0, "no_new_unique_candidates")
+        pages = pages.withColumn("stop", stop)
+        return pages.withColumn("ended", F.max(F.col("stop").isNotNull().cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))).where("coalesce(ended, 0) = 0").drop("ended")
+
+    primary = rows.where("mode = 'primary'")
+    pages = report(primary, "primary", max_pages, 0, F.lit(0))
+    done = pages.agg(F.max("slot").alias("last"), F.max("total").alias("total"), F.max((F.col("stop") == "target_reached").cast("int")).alias("full")).first()  # one row
+    kept = primary.where(F.col("slot") <= (-1 if done.last is None else done.last))
+    if not done.full:
+        rest = rows.where("mode = 'fallback'").join(kept.select(F.col("key").alias("known")).distinct(), F.col("key") == F.col("known"), "left_anti")
+        more = report(rest, "fallback", min(fallback_pages, max_pages), max_pages, F.lit(done.total or 0))
+        last = more.agg(F.max("slot")).first()[0]
+        raw = rows.where("mode = 'fallback'").groupBy("slot").agg(F.count("*").alias("all"))
+        more = more.join(raw, "slot", "left").withColumn("raw", F.coalesce("all", F.lit(0))).drop("all")
+        pages = pages.unionByName(more)
+        kept = kept.unionByName(rows.where(F.col("mode") == "fallback").where(F.col("slot") <= (-1 if last is None else last)))
+    else:
+        last = done.last
+    first = kept.groupBy("key").agg(F.min("at").alias("at"), F.min_by(F.struct("source", "query", "page", "doi", "pmid", "title", "year", "abstract"), "at").alias("c"))
+    candidates = first.orderBy("at").limit(target).select("key", "c.*", F.col("at.slot").alias("slot"))
+    slot = F.when(F.col("source").isin(*FALLBACK), F.col("off.page") + max_pages).otherwise(F.col("off.page"))
+    told = off.where(slot <= (-1 if last is None else last)) if last is not None else off.limit(0)
+    told = told.where(~F.col("source").isin(*PRIMARY) | (F.col("off.page") <= (-1 if done.last is None else done.last)))
+    return {"candidates": candidates, "pages": pages, "failures": failures(told.select("source", "off.query", "off.page", "status"))}

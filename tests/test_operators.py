@@ -53,9 +53,8 @@ def test_joins(spark):
     b = spark.createDataFrame([(10, "x one two three four five six y"), (11, "one two  three four five\nsix"), (12, "a fine detail"), (13, None)], "bid long, b string")
     got = {tuple(r) for r in joins.grounded(q, b, "qid", "q", "bid", "b").collect()}
     assert got == {(10, 1, "exact"), (11, 1, "whitespace"), (12, 2, "normalized")}
-    assert joins.closure({"a": "b", "b": "c"}) == {"a": "c", "b": "c"}
-    with pytest.raises(ValueError, match="alias_cycle"):
-        joins.closure({"a": "b", "b": "a"})
+    pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("z", "x"), ("m", "b"), ("m", "n"), (None, "q"), ("q", " "), ("self", "self")], "alias string, target string")
+    assert {tuple(r) for r in joins.closure(pairs).collect()} == {("a", "c", 2, "resolved"), ("b", "c", 1, "resolved"), ("m", "c", 2, "ambiguous"), *((k, None, None, "cycle") for k in ("x", "y", "z", "self"))}
     base = spark.createDataFrame([(1, "n"), (2, "m")], "k int, v string")
     over = spark.createDataFrame([(1, ""), (2, "o")], "k int, v string")
     assert {tuple(r) for r in joins.overlay(base, "k", [over], ["v"]).collect()} == {(1, "n"), (2, "o")}

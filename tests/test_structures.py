@@ -1,12 +1,13 @@
 """Nested documents, bodies of papers on their headings, item states, aliases, pages of collectors and published bundles."""
 
+import datetime
 import json
 import random
 
-import pytest
-from pyspark.sql import functions as F
 
-from lodestone.operators import nested, papers
+from lodestone.operators import joins, nested, papers
+from lodestone.sources import connectors
+from lodestone.streaming import items
 
 
 def flat(value, skipped=("coredata", "link")):
@@ -103,3 +104,103 @@ def test_extraction_contexts(spark):
     assert context("Abstract in short. Introduction and more").text == "Introduction and more"
     inline = context("Start. Methods Search terms were set. Authors' conclusions In short, " + "z" * 60, 50)
     assert inline.sections == ["methods", "conclusions"] and inline.text.startswith("Methods Search terms were set.\n\nAuthors' ")
+
+
+# Sessions
+
+
+def replayed(events, patience, retries):
+    """The changes of events in order of time, each item by itself; no watermark."""
+    out, held = [], {}
+    for item, ts, number, event in sorted(events, key=lambda e: (e[1], e[2])):
+        status, since, attempts = held.get(item, ("", None, 0))
+        if status == "running" and ts > since + patience:
+            out.append((item, None, "time_out", "running", "failed", "timed_out"))
+            status = "failed"
+        after = items.TRANSITIONS.get((status, event))
+        if after is None or event == "retry" and attempts >= retries:
+            out.append((item, number, event, status, status, "illegal" if after is None else "retries_spent"))
+        else:
+            out.append((item, number, event, status, after, "taken"))
+            status, since, attempts = after, ts, attempts + (event == "retry")
+        held[item] = status, since, attempts
+    return out
+
+
+def test_session_goes_on_from_its_checkpoint(spark, tmp_path):
+    rng = random.Random(3)
+    start = datetime.datetime(2024, 1, 1)
+    steps = ["queue", "start", "complete", "fail", "cancel", "accept", "reject", "hold", "retry", "nonsense"]
+    events = [(f"i{rng.randrange(12)}", start + datetime.timedelta(minutes=rng.randrange(20_000)), k, rng.choice(steps)) for k in range(1500)]
+    events.sort(key=lambda e: (e[1], e[2]))
+    schema = "item string, ts timestamp, event_id long, event string"
+    patience = datetime.timedelta(hours=8)
+
+    def session(parts, name):
+        folder = str(tmp_path / name)
+        for k, (a, b) in enumerate(zip(parts, parts[1:])):
+            spark.createDataFrame(events[a:b], schema).coalesce(1).write.parquet(f"{folder}/in/part={k}")
+            stream = spark.readStream.schema(schema).parquet(f"{folder}/in/*")
+            items.run_session(stream, folder, patience=patience, retries=2).awaitTermination()
+        return items.log_of(spark, folder)
+
+    one, three = session([0, 1500], "one"), session([0, 400, 1100, 1500], "three")
+    assert sorted(map(tuple, items.states(one).collect())) == sorted(map(tuple, items.states(three).collect()))
+    want = replayed(events, patience, 2)
+    told = [(r.item, r.event_id, r.event, r.before, r.after, r.outcome) for r in three.where("outcome <> 'timed_out' OR event_id IS NOT NULL").collect()]
+    assert sorted(told) == sorted(w for w in want if w[5] != "timed_out") and {w[5] for w in want} == {"taken", "illegal", "retries_spent", "timed_out"}
+    late = spark.createDataFrame([("i1", start, 9999, "queue")], schema)  # before the watermark: the stream's own filter drops it
+    late.coalesce(1).write.parquet(f"{tmp_path}/three/in/part=9")
+    items.run_session(spark.readStream.schema(schema).parquet(f"{tmp_path}/three/in/*"), f"{tmp_path}/three", patience=patience, retries=2).awaitTermination()
+    assert items.log_of(spark, f"{tmp_path}/three").count() == three.count()
+
+
+def test_events_of_one_batch_that_come_too_late(spark, tmp_path):
+    schema = "item string, ts timestamp, event_id long, event string"
+    at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
+    for k, rows in enumerate([[("a", at(60), 1, "queue"), ("a", at(90), 2, "start")], [("a", at(70), 3, "cancel"), ("b", at(95), 4, "queue")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/part={k}")
+        items.run_session(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*"), str(tmp_path), late="1 hour").awaitTermination()
+    got = {(r.item, r.event_id): r.outcome for r in items.log_of(spark, str(tmp_path)).collect()}
+    assert got == {("a", 1): "taken", ("a", 2): "taken", ("a", 3): "late", ("b", 4): "taken"}
+
+
+# Aliases and pages
+
+
+def test_closure_of_long_chains(spark):
+    rng = random.Random(5)
+    n = 60_000
+    names = list(range(n))
+    rng.shuffle(names)
+    pairs = [(f"a{names[k]}", f"a{names[k + 1]}") for k in range(n - 1) if k % 20_000 != 19_999]  # three chains
+    pairs += [("r0", "r1"), ("r1", "r2"), ("r2", "r0"), ("into", "r1")]
+    got = {r.alias: r for r in joins.closure(spark.createDataFrame(pairs, "alias string, target string")).collect()}
+    assert len(got) == len(pairs)
+    for k in range(0, n - 1, 997):
+        if k % 20_000 != 19_999:
+            end = (k // 20_000 + 1) * 20_000 - 1
+            assert (got[f"a{names[k]}"].root, got[f"a{names[k]}"].steps) == (f"a{names[end]}", end - k)
+    assert {k for k, r in got.items() if r.status == "cycle"} == {"r0", "r1", "r2", "into"}
+    assert joins.closure(spark.createDataFrame([], "alias string, target string")).count() == 0
+
+
+def test_run_over_pages(spark):
+    def page(source, query, number, titles, status=200):
+        body = {"crossref": {"message": {"items": [{"title": [t]} for t in titles]}}, "europe_pmc": {"resultList": {"result": [{"title": t} for t in titles]}}, "semantic_scholar": {"data": [{"title": t} for t in titles]}}[source]
+        return source, query, number, status, json.dumps(body) if status == 200 else None
+
+    rows = [
+        page("europe_pmc", 0, 0, ["a", "b"]), page("europe_pmc", 1, 0, ["c"]), page("europe_pmc", 0, 1, ["d"]), page("europe_pmc", 1, 1, [], 500), page("europe_pmc", 0, 2, ["lost"]), page("europe_pmc", 1, 2, ["lost too"]),
+        page("crossref", 0, 0, ["A", "x", "too many"]), page("crossref", 0, 1, ["y"]), page("crossref", 1, 2, [" Y "]), page("crossref", 0, 3, ["never asked"]),
+        page("semantic_scholar", 0, 0, ["s", "a"]), page("semantic_scholar", 0, 1, [], 403), page("semantic_scholar", 1, 1, ["off"]),
+    ]
+    answers = spark.createDataFrame(rows, "source string, query int, page int, status int, payload string")
+    run = connectors.candidate_run(answers, 4, 2, 100, 5)
+    assert [(r.title, r.source, r.slot) for r in run["candidates"].collect()] == [("a", "europe_pmc", 0), ("b", "europe_pmc", 0), ("c", "europe_pmc", 0), ("x", "crossref", 0), ("d", "europe_pmc", 1), ("y", "crossref", 1), ("s", "semantic_scholar", 5)]
+    assert [(r.slot, r.mode, r.raw, r.new, r.total, r.stop) for r in run["pages"].orderBy("slot").collect()] == [(0, "primary", 5, 4, 4, None), (1, "primary", 2, 2, 6, None), (2, "primary", 1, 0, 6, "no_new_unique_candidates"), (5, "fallback", 2, 1, 7, None), (6, "fallback", 0, 0, 7, "no_new_unique_candidates")]
+    assert {(r.source, r.query, r.page, r.code) for r in run["failures"].collect()} == {("europe_pmc", 1, 1, "retrieval_error"), ("semantic_scholar", 0, 1, "blocked")}
+    short = connectors.candidate_run(answers, 4, 2, 3, 5)
+    assert [r.title for r in short["candidates"].collect()] == ["a", "b", "c"] and [r.stop for r in short["pages"].collect()] == ["target_reached"] and short["failures"].count() == 0
+    none = connectors.candidate_run(answers.limit(0), 4, 2, 3, 5)
+    assert none["candidates"].count() == 0 and none["pages"].count() == 2

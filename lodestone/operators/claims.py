@@ -83,6 +83,39 @@ def rerouted(cautions: Column, regular: Column) -> Column:
     return F.aggregate(cautions, F.struct(F.filter(cautions, lambda _: F.lit(False)).alias("cautions"), regular.alias("regular")), step)
 
 
+#: Buckets of regular effects, and the one of cautions.
+REGULAR, NEGATIVE = ["strong_evidence", "medium_evidence", "low_evidence"], "negative_or_cautionary_effects"
+
+
+def _moved_to(bucket: str) -> Column:
+    return F.transform(F.filter("_r.moved", lambda m: m["to"] == bucket), lambda m: m["effect"])
+
+
+def reroute(rows: DataFrame, carry: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows with false cautions moved to the bucket of their evidence, and the log of the moves (carry, place, effect_slug, moved_to, effect).
+
+    Cautions are taken in order. One stays if its slug is that of a regular effect or of one moved before it; an empty slug
+    blocks nothing until a caution without one has moved. Null buckets are empty.
+    """
+    kind = rows.schema[NEGATIVE].dataType.elementType
+    none = F.array().cast(f"array<{kind.simpleString()}>")
+    of = lambda b: F.coalesce(F.col(b), none)
+    slug = lambda e: F.coalesce(e["effect_slug"], F.lit(""))
+    taken = F.filter(F.flatten(F.array(*(F.transform(of(b), slug) for b in REGULAR))), lambda s: s != "")
+
+    def step(state, e):
+        stays = F.array_contains(state["slugs"], slug(e)) | ~F.coalesce(is_false_caution(e), F.lit(False))
+        kept = F.struct(F.concat(state["stays"], F.array(e)).alias("stays"), state["moved"].alias("moved"), state["slugs"].alias("slugs"))
+        moved = F.struct(state["stays"].alias("stays"), F.concat(state["moved"], F.array(F.struct(regular_bucket(e).alias("to"), e.alias("effect")))).alias("moved"), F.concat(state["slugs"], F.array(slug(e))).alias("slugs"))
+        return F.when(stays, kept).otherwise(moved)
+
+    start = F.struct(none.alias("stays"), F.array().cast(f"array<struct<to:string,effect:{kind.simpleString()}>>").alias("moved"), taken.alias("slugs"))
+    done = rows.withColumn("_r", F.aggregate(of(NEGATIVE), start, step))
+    out = done.select(*(F.col("_r.stays").alias(c) if c == NEGATIVE else F.concat(of(c), _moved_to(c)).alias(c) if c in REGULAR else F.col(c) for c in rows.columns))
+    log = done.select(*carry, F.posexplode("_r.moved").alias("place", "m")).select(*carry, "place", F.coalesce("m.effect.effect_slug", F.lit("")).alias("effect_slug"), F.lit(NEGATIVE).alias("moved_from"), F.col("m.to").alias("moved_to"), F.col("m.effect").alias("effect"))
+    return out, log
+
+
 def is_cautionary(effect: Column, nutrients: list[str]) -> Column:
     """A cautionary stem in slug, label or summary, and a cautionary nutrient or none at all."""
     own = F.coalesce(effect["supporting_nutrients"], F.array().cast("array<string>"))

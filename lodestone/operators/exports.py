@@ -7,10 +7,10 @@ and model_name. Rows that break a rule leave by a side output with the rule's co
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import collapse, name_key, uuid5
-from ..sources.sinks import json_cell, write_csv, write_jsonl
+from ..sources.sinks import json_cell, write_csv
 
 # Output columns, in order.
 MAIN = [
@@ -170,25 +170,93 @@ def health_evidence(claims: DataFrame, citations: DataFrame, lookup: DataFrame,
     return {"evidence": evidence, "new_effects": new, "exposure": exposure, "rejected": rows.where("type IS NOT NULL").select("type", *key, "citation_id", "proposed_claim_id", message.alias("message"))}
 
 
-def write_export(folder: str, tables: dict[str, DataFrame]) -> DataFrame:
-    """The export bundle: three CSV tables, rejected rows and row counts as JSON lines; returns the counts."""
-    for name, columns in (("evidence", EVIDENCE), ("new_effects", None), ("exposure", None)):
-        df = tables[name]
-        write_csv(df, f"{folder}/{name}", columns or df.columns, ["id"])
-    write_jsonl(tables["rejected"], f"{folder}/rejected")
-    counts = None
-    for name, df in tables.items():
-        n = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows")
-        counts = n if counts is None else counts.unionByName(n)
-    write_jsonl(counts, f"{folder}/summary")
-    return counts
+def new_entities(claims: DataFrame, lookup: DataFrame, at: str, seq: str = "seq") -> DataFrame:
+    """Entities of the claims whose folded name the lookup lacks: type, id, name of their first claim, and a note."""
+    known = lookup.select(name_key(F.col("bioactive_name")).alias("_key")).where("_key <> ''").distinct()
+    named = claims.select(name_key(F.col("bioactive_name")).alias("_key"), F.col(seq).alias("_seq"), "bioactive_type", "bioactive_id", "bioactive_name").where("_key <> ''")
+    first = named.groupBy("_key").agg(F.min_by(F.struct("bioactive_type", "bioactive_id", "bioactive_name"), "_seq").alias("e"))
+    rows = first.join(known, "_key", "left_anti")
+    return rows.select("e.*", F.lit(at).alias("created_at"), F.lit("Generated because no normalized-name match existed in the lookup CSV.").alias("resolution_note"))
+
+
+#: What goes into a store, in this order, and what is only to be read.
+IMPORTS = ["new_effects", "evidence"]
+REVIEW = {"new_entities": "entities that the lookup lacks", "exposure": "exposure that the evidence table has no columns for", "rejected": "claims that repeat known evidence or lack their source"}
+
+
+def import_note(tables: dict[str, DataFrame]) -> str:
+    """Markdown: which tables to import, in order, with their columns, and which are for review."""
+    steps = [f"{i}. `{name}`: {', '.join(tables[name].columns)}" for i, name in enumerate((n for n in IMPORTS if n in tables), 1)]
+    return "\n".join(["# Import order", "", *steps, "", "Effects come first: evidence refers to their slugs. The two tables have different columns and go to different places.", "", "# For review only", "", *(f"- `{n}`: {what}" for n, what in REVIEW.items() if n in tables), ""])
+
+
+def write_export(folder: str, tables: dict[str, DataFrame]) -> dict[str, str]:
+    """The export bundle, published as a whole: CSV tables, evidence and rejected rows as JSON lines, row counts in the manifest, a note on imports."""
+    from ..sources.sinks import write_bundle
+
+    csv = {name: (EVIDENCE if name == "evidence" else tables[name].columns, ["bioactive_id" if name == "new_entities" else "id"]) for name in ("evidence", "new_effects", "new_entities", "exposure") if name in tables}
+    every = tables | {"evidence_lines": tables["evidence"]}
+    return write_bundle(folder, every, notes={"IMPORT.md": import_note(tables)}, csv=csv)
 
 
 def report_rows(claims: DataFrame) -> DataFrame:
     """Accepted claims as report lines: (place, effect, citation_id, claim_id, line), by effect without regard to case, citation and claim.
 
-    A report is read by people: its claims are those of one run. Places come from one sort over all rows.
+    Places are numbers within an effect plus those of the effects before it, so no task orders all claims.
     """
+    from .folds import places
+
     line = F.concat(F.lit("- "), F.concat_ws(" ", "statement", F.concat(F.lit("["), "citation_id", F.lit("]")), F.when(F.size("limitations") > 0, F.concat(F.lit("Limitations: "), F.array_join("limitations", "; ")))))
-    places = F.row_number().over(Window.orderBy(F.lower("effect"), "citation_id", "claim_id"))
-    return claims.where("accepted").withColumn("place", places).select("place", "effect", "citation_id", "claim_id", line.alias("line"))
+    rows = claims.where("accepted").select("effect", "citation_id", "claim_id", line.alias("line"))
+    return places(rows, [], [F.lower("effect"), "citation_id", "claim_id"], F.lower("effect")).select("place", "effect", "citation_id", "claim_id", "line")
+
+
+# How levels of support are told to the public.
+PUBLIC_LEVELS = {
+    "human_systematic_review": "Human systematic review", "human_rct": "Human RCT", "human_observational": "Human observational study", "human_mechanistic": "Human mechanistic study", "review_author_interpretation": "Review of human evidence", "unsupported": "Unsupported",
+}
+
+
+def _told_level(level: Column) -> Column:
+    known = F.create_map(*(F.lit(x) for kv in PUBLIC_LEVELS.items() for x in kv))
+    return F.coalesce(F.try_element_at(known, level), F.initcap(F.replace(level, F.lit("_"), F.lit(" "))))
+
+
+#: Columns of the report's table that a reader sees, with their headings.
+REPORT = {"health_effect": "Health effect", "direction": "Direction", "population": "Population", "oral_exposure": "Oral exposure", "evidence": "Evidence", "finding": "Finding", "status": "Status", "source_title": "Source"}
+
+
+def public_report(validated: DataFrame, proposed: DataFrame, sources: DataFrame) -> DataFrame:
+    """The rows of a public report, one for each validated claim, with ``place`` in the report.
+
+    ``validated``: proposed_claim_id, citation_id, verdict, support_level, validated_statement, limitations; ``proposed``: id,
+    proposed_effect_label, proposed_effect_slug, direction, population, dose_or_exposure, exposure_category, study_type,
+    statement; ``sources``: id, title, doi, pmid, url.
+    """
+    from .folds import places
+
+    told = lambda c: F.nullif(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
+    rows = validated.join(proposed.withColumnRenamed("id", "proposed_claim_id"), "proposed_claim_id").join(sources.select(F.col("id").alias("citation_id"), F.col("title").alias("_title"), "doi", "pmid", F.col("url").alias("source_url")), "citation_id", "left")
+    rows = rows.select(
+        F.col("proposed_claim_id").alias("claim_id"), "citation_id", F.col("proposed_effect_slug").alias("effect_slug"), F.col("proposed_effect_label").alias("health_effect"), F.initcap("direction").alias("direction"), F.coalesce(told("population"), F.lit("Not reported")).alias("population"),
+        F.coalesce(told("dose_or_exposure"), F.replace("exposure_category", F.lit("_"), F.lit(" "))).alias("oral_exposure"), "dose_or_exposure", "exposure_category", "study_type", _told_level(F.col("support_level")).alias("evidence"), F.coalesce(told("validated_statement"), F.col("statement")).alias("finding"),
+        F.when(F.col("verdict") == "supported_with_limitations", "Supported with limitations").otherwise("Supported").alias("status"), F.to_json(F.coalesce("limitations", F.array().cast("array<string>"))).alias("limitations"), F.coalesce("_title", "citation_id").alias("source_title"), "doi", "pmid", "source_url",
+    )
+    return places(rows, [], [F.lower("health_effect"), "citation_id", "claim_id"], F.lower("health_effect"))
+
+
+def report_table(rows: DataFrame) -> DataFrame:
+    """Lines of a Markdown table of the report, by place; cells in one line, bars escaped."""
+    cell = lambda c: F.replace(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " "), F.lit("|"), F.lit("\\|"))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, REPORT)), F.lit(" |"))
+    return rows.select("place", line.alias("line"))
+
+
+def write_report(folder: str, substance: str, rows: DataFrame, counts: dict[str, int]) -> dict[str, str]:
+    """The public report, published as a whole: rows as CSV and JSON lines, the table's lines, and a Markdown summary of the counts."""
+    from ..sources.sinks import write_bundle
+
+    head = ["| " + " | ".join(REPORT.values()) + " |", "|" + " --- |" * len(REPORT)]
+    summary = "\n".join([f"## {substance} Human-Health Evidence", "", *(f"- {name.replace('_', ' ').capitalize()}: {n}" for name, n in counts.items()), "", *head, ""])
+    table = report_table(rows).orderBy("place")
+    return write_bundle(folder, {"claims": rows, "claims_csv": rows, "table": table}, notes={"REPORT.md": summary}, csv={"claims_csv": (rows.columns, ["place"])})

@@ -25,6 +25,55 @@ def candidate_lookup(df: DataFrame, key: str, candidates: Column, index: DataFra
     return found.groupBy(key).agg(F.min_by(value, "pos").alias(value), F.min("pos").alias("pos"))
 
 
+def coverage_index(rows: DataFrame, names: str, order: list[str], fields: list[str]) -> DataFrame:
+    """(key, place, fields): for each name in a JSON list column the first row that lists it, by ``order``, then place in the list.
+
+    Cells are read leniently: null, broken and other JSON cells list nothing, numbers and truth values count as their text.
+    Names are folded (case, white space); blank ones do not count. Postings are reduced before the shuffle, so a name that
+    very many rows list costs one row a task.
+    """
+    from ..functions.text import name_key
+
+    listed = rows.select(*order, *(f for f in fields if f not in order), F.posexplode(F.from_json(names, "array<string>")).alias("place", "_name"))
+    keyed = listed.withColumn("key", name_key(F.col("_name"))).where("key <> ''")
+    best = keyed.groupBy("key").agg(F.min_by(F.struct("place", *fields), F.struct(*order, "place")).alias("_row"))
+    return best.select("key", "_row.*")
+
+
+def compared(expected: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
+    """Both sides by key: keys, ``side`` (both, missing, extra), ``n_answers``; a null key equals a null key."""
+    count = lambda df, n: df.groupBy(*keys).agg(F.count("*").alias(n))
+    a, b = count(expected, "_e"), count(answers.select(*(F.col(k).alias(f"_{k}") for k in keys)).toDF(*keys), "n_answers").toDF(*(f"_{k}" for k in keys), "n_answers")
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    side = F.when(F.col("n_answers").isNull(), "missing").when(F.col("_e").isNull(), "extra").otherwise("both")
+    joined = a.join(b, same, "full_outer")
+    return joined.select(*(F.when(F.col("_e").isNull(), F.col(f"_{k}")).otherwise(F.col(k)).alias(k) for k in keys), side.alias("side"), F.coalesce("n_answers", F.lit(0)).alias("n_answers"))
+
+
+def completed(expected: DataFrame, answers: DataFrame, keys: list[str], values: list[str], order: list[str], fallback: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Each expected row with its answer, and the keys that do not match (keys, side, n_answers).
+
+    Without ``fallback`` the join is strict: missing or extra keys raise ``incomplete_answers`` with the first few. With it,
+    missing answers take the fallback's columns and ``is_fallback``; extra answers are left out. The first of several answers
+    by ``order`` counts.
+    """
+    report = compared(expected, answers, keys).where("side <> 'both'")
+    if fallback is None:
+        bad = [f"{r['side']}:{'|'.join(str(r[k]) for k in keys)}" for r in report.orderBy("side", *keys).limit(5).collect()]
+        if bad:
+            raise ValueError(f"incomplete_answers:{','.join(bad)}")
+        fallback = {}
+    first = answers.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.min_by(F.struct(*values), F.struct(*order)).alias("_v"))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    none = F.col("_v").isNull()
+    out = expected.join(first, same, "left")
+    return out.select(*expected.columns, *(F.when(none, fallback.get(v, F.lit(None))).otherwise(F.col(f"_v.{v}")).alias(v) for v in values), none.alias("is_fallback")), report
+
+
 def nest_matches(probe: DataFrame, build: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
     """Each probe row with the array of its matches in order, and their number. A key's matches are one cell: they must fit a row."""
     nested = build.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *[f for f in fields if f not in order]))).alias("matches"))

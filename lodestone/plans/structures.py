@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import papers
+from ..functions import tables
+from ..operators import claims as C, exports as X, joins, papers
 from ..sources import connectors
 from ..streaming import events as E, items
 from .base import query, read
@@ -142,3 +143,98 @@ def candidate_run_pages(spark, sf_dir):
 SELECT source, v % 100 AS query, v // 100 AS page, code FROM f WHERE v // 100 + base IN (SELECT slot FROM pages)""")
 def candidate_run_failures(spark, sf_dir):
     return _run(spark, sf_dir)["failures"]
+
+
+# Parts as rows that list the names they cover, some cells broken.
+_CELL = "CASE WHEN p_size < 4 THEN '[broken' WHEN p_size < 6 THEN '\"text\"' WHEN p_size < 8 THEN NULL ELSE concat('[\"', replace(p_name, ' ', '\", \" '), '\", ', CAST(p_size AS {s}), ', \"  \", null, \"', p_brand, '\"]') END"
+
+
+@query(TABLE, f"""WITH c AS (SELECT p_partkey, p_brand, p_size, p_name FROM part WHERE p_size >= 8), n AS (SELECT p_partkey, p_brand, unnest(string_split(p_name, ' ') || [CAST(p_size AS VARCHAR), '', NULL, p_brand]) AS name, unnest(range(len(string_split(p_name, ' ')) + 4)) AS place FROM c)
+SELECT lower(trim(name)) AS key, arg_min(place, (p_partkey, place)) AS place, arg_min(p_partkey, (p_partkey, place)) AS p_partkey, arg_min(p_brand, (p_partkey, place)) AS p_brand FROM n WHERE trim(coalesce(name, '')) <> '' GROUP BY 1""")
+def coverage_index(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").select("p_partkey", "p_brand", F.expr(_CELL.format(s="STRING")).alias("names"))
+    return joins.coverage_index(rows, "names", ["p_partkey"], ["p_partkey", "p_brand"])
+
+
+# Customers as the rows that were asked for; orders and users as answers, of which some were not.
+_ANSWERED = "SELECT o_custkey AS k, o_orderkey AS seq, o_orderstatus AS v FROM orders WHERE o_totalprice > 250000 UNION ALL SELECT user_id + 100000, event_id, event_type FROM events WHERE value > 150"
+
+
+@query(TABLE, f"WITH a AS (SELECT k, count(*) AS n FROM ({_ANSWERED}) GROUP BY k) SELECT coalesce(c_custkey, k) AS k, CASE WHEN k IS NULL THEN 'missing' WHEN c_custkey IS NULL THEN 'extra' ELSE 'both' END AS side, coalesce(n, 0) AS n_answers FROM customer FULL JOIN a ON k = c_custkey")
+def answers_compared(spark, sf_dir):
+    expected, answers = _expected(spark, sf_dir)
+    return joins.compared(expected, answers, ["k"])
+
+
+@query(TABLE, f"WITH a AS (SELECT k, arg_min(v, (seq, v)) AS v FROM ({_ANSWERED}) GROUP BY k) SELECT c_custkey AS k, c_name, CASE WHEN k IS NULL THEN 'unknown ' || c_mktsegment ELSE v END AS v, k IS NULL AS is_fallback FROM customer LEFT JOIN a ON k = c_custkey")
+def answers_completed(spark, sf_dir):
+    expected, answers = _expected(spark, sf_dir)
+    rows, _ = joins.completed(expected, answers, ["k"], ["v"], ["seq", "v"], {"v": F.concat(F.lit("unknown "), F.col("c_mktsegment"))})
+    return rows.drop("c_mktsegment")
+
+
+def _expected(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("v"))
+    users = read(spark, sf_dir, "events").where("value > 150").select((F.col("user_id") + 100000).alias("k"), F.col("event_id").alias("seq"), F.col("event_type").alias("v"))
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_name", "c_mktsegment"), orders.unionByName(users)
+
+
+# Orders as rows whose cautions are partly benefits; the evidence of a line is its level or its score.
+_LEVEL = "CASE l_linenumber WHEN 1 THEN 'Strong trials' WHEN 2 THEN 'moderate' ELSE '' END"
+_TO = f"CASE WHEN l_linenumber = 1 OR l_discount * 10 >= 0.8 THEN 'strong_evidence' WHEN l_linenumber = 2 OR l_discount * 10 >= 0.55 THEN 'medium_evidence' ELSE 'low_evidence' END"
+_REROUTED = f"""WITH l AS (SELECT *, 's' || (l_suppkey % 3) AS slug, l_linenumber || '/' || l_partkey AS name, {_TO} AS goes, (l_linenumber, l_partkey, l_quantity) AS seq FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
+r AS (SELECT l_orderkey AS k, list(DISTINCT slug) AS slugs FROM l WHERE l_returnflag = 'A' GROUP BY 1),
+m AS (SELECT *, l_returnflag <> 'A' AND l_linestatus = 'F' AND NOT coalesce(list_contains(slugs, slug), false) AS good FROM l LEFT JOIN r ON k = l_orderkey),
+x AS (SELECT *, good AND row_number() OVER (PARTITION BY l_orderkey, slug, good ORDER BY seq) = 1 AS moved FROM m)
+"""
+
+
+def _effects(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    label = F.when(F.col("l_linestatus") == "F", "Soluble fiber for satiety").otherwise("Bloating after soluble fiber, satiety")
+    name = F.concat(F.col("l_linenumber").cast("string"), F.lit("/"), F.col("l_partkey").cast("string"))
+    effect = F.struct(F.concat(F.lit("s"), (F.col("l_suppkey") % 3).cast("string")).alias("effect_slug"), label.alias("effect_label"), name.alias("summary"), F.expr(_LEVEL).alias("evidence_level"), (F.col("l_discount") * 10).alias("score"), F.array(F.lit("Fiber")).alias("supporting_nutrients"))
+    listed = lambda test: F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("l_linenumber", "l_partkey", "l_quantity", effect.alias("e"))))), lambda s: s["e"])
+    rows = lines.groupBy("o_orderkey").agg(listed(F.col("l_returnflag") == "A").alias("strong_evidence"), listed(F.col("l_returnflag") != "A").alias(C.NEGATIVE))
+    kind = rows.schema["strong_evidence"].dataType.simpleString()
+    return C.reroute(rows.withColumn("medium_evidence", F.lit(None).cast(kind)).withColumn("low_evidence", F.array().cast(kind)), ["o_orderkey"])
+
+
+@query(TABLE, _REROUTED + """SELECT l_orderkey AS o_orderkey, coalesce(string_agg(name, ',' ORDER BY CASE WHEN moved THEN 1 ELSE 0 END, seq) FILTER (l_returnflag = 'A' OR moved AND goes = 'strong_evidence'), '') AS strong_evidence, coalesce(string_agg(name, ',' ORDER BY seq) FILTER (moved AND goes = 'medium_evidence'), '') AS medium_evidence,
+coalesce(string_agg(name, ',' ORDER BY seq) FILTER (moved AND goes = 'low_evidence'), '') AS low_evidence, coalesce(string_agg(name, ',' ORDER BY seq) FILTER (l_returnflag <> 'A' AND NOT moved), '') AS negative_or_cautionary_effects FROM x GROUP BY 1""")
+def rerouted_rows(spark, sf_dir):
+    rows, _ = _effects(spark, sf_dir)
+    return rows.select("o_orderkey", *(F.array_join(F.transform(b, lambda e: e["summary"]), ",").alias(b) for b in (*C.REGULAR, C.NEGATIVE)))
+
+
+@query(TABLE, _REROUTED + "SELECT l_orderkey AS o_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY seq) - 1 AS INT) AS place, slug AS effect_slug, 'negative_or_cautionary_effects' AS moved_from, goes AS moved_to, name AS summary FROM x WHERE moved")
+def rerouted_log(spark, sf_dir):
+    _, log = _effects(spark, sf_dir)
+    return log.select("o_orderkey", "place", "effect_slug", "moved_from", "moved_to", F.col("effect.summary").alias("summary"))
+
+
+@query(TABLE, "SELECT o_custkey, o_orderpriority AS tag, o_orderstatus AS tag_type, CASE WHEN o_totalprice > 100000 THEN 'high' ELSE 'low' END AS source_bucket, max(o_totalprice) AS score, count(*) AS n FROM orders GROUP BY ALL")
+def table_function_tags(spark, sf_dir):
+    tables.register(spark)
+    read(spark, sf_dir, "orders").createOrReplaceTempView("lodestone_orders")
+    return spark.sql("SELECT * FROM max_tags(TABLE(SELECT o_custkey, o_orderpriority AS tag, o_orderstatus AS tag_type, CASE WHEN o_totalprice > 100000 THEN 'high' ELSE 'low' END AS source_bucket, o_totalprice AS score FROM lodestone_orders), 'o_custkey')")
+
+
+@query(TABLE, "SELECT 'polyphenol' AS bioactive_type, 'c' || min(c_custkey) AS bioactive_id, arg_min(' ' || c_name || ' ', c_custkey) AS bioactive_name FROM customer WHERE lower(c_name) NOT IN (SELECT lower(replace(s_name, 'Supplier', 'Customer')) FROM supplier) GROUP BY lower(c_name)")
+def new_entity_rows(spark, sf_dir):
+    claims = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("seq"), F.lit("polyphenol").alias("bioactive_type"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("bioactive_id"), F.concat(F.lit(" "), "c_name", F.lit(" ")).alias("bioactive_name"))
+    lookup = read(spark, sf_dir, "supplier").select(F.upper(F.replace("s_name", F.lit("Supplier"), F.lit("Customer"))).alias("bioactive_name"))
+    return X.new_entities(claims, lookup, "2024-01-01").select("bioactive_type", "bioactive_id", "bioactive_name")
+
+
+@query(TABLE, """SELECT row_number() OVER (ORDER BY lower(p_type), CAST(l_suppkey AS VARCHAR), l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_quantity || '-' || l_extendedprice) AS place, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_quantity || '-' || l_extendedprice AS claim_id, p_type AS health_effect, 'Positive' AS direction, CASE WHEN p_size > 25 THEN 'Not reported' ELSE p_brand END AS population,
+CASE WHEN p_size > 30 THEN 'natural food level' ELSE 'dose ' || p_size END AS oral_exposure, CASE l_returnflag WHEN 'A' THEN 'Human RCT' WHEN 'N' THEN 'Human observational study' ELSE 'Other Kind' END AS evidence, CASE WHEN l_linestatus = 'F' THEN 'validated' ELSE p_name END AS finding, CASE WHEN l_tax > 0.05 THEN 'Supported with limitations' ELSE 'Supported' END AS status, coalesce(s_name, CAST(l_suppkey AS VARCHAR)) AS source_title
+FROM lineitem JOIN part ON p_partkey = l_partkey LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) ON s_suppkey = l_suppkey""")
+def public_report_rows(spark, sf_dir):
+    claim = F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")))
+    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).withColumn("claim", claim)
+    level = F.when(F.col("l_returnflag") == "A", "human_rct").when(F.col("l_returnflag") == "N", "human_observational").otherwise("other_kind")
+    validated = lines.select(F.col("claim").alias("proposed_claim_id"), F.col("l_suppkey").cast("string").alias("citation_id"), F.when(F.col("l_tax") > 0.05, "supported_with_limitations").otherwise("supported").alias("verdict"), level.alias("support_level"), F.when(F.col("l_linestatus") == "F", "validated").alias("validated_statement"), F.array(F.col("l_shipmode") if "l_shipmode" in lines.columns else F.lit("none")).alias("limitations"))
+    proposed = lines.select(F.col("claim").alias("id"), F.col("p_type").alias("proposed_effect_label"), F.lit("slug").alias("proposed_effect_slug"), F.lit("positive").alias("direction"), F.when(F.col("p_size") > 25, " ").otherwise(F.col("p_brand")).alias("population"), F.when(F.col("p_size") <= 30, F.concat(F.lit("dose "), F.col("p_size").cast("string"))).alias("dose_or_exposure"), F.lit("natural_food_level").alias("exposure_category"), F.lit("rct").alias("study_type"), F.col("p_name").alias("statement"))
+    sources = read(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("title"), *(F.lit(None).cast("string").alias(c) for c in ("doi", "pmid", "url")))
+    return X.public_report(validated, proposed, sources).select("place", "claim_id", "health_effect", "direction", "population", "oral_exposure", "evidence", "finding", "status", "source_title")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -38,18 +39,96 @@ def markdown_lines(df: DataFrame, title: str, heading: Column, fields: dict[str,
     return df.select(F.concat_ws("\n", *lines).alias("block")).withColumn("document", F.lit(title))
 
 
-def write_bundle(folder: str, tables: dict[str, DataFrame]) -> dict[str, str]:
-    """Each table as JSON lines below the folder, and a manifest with their row counts."""
-    out = {}
-    rows = None
+#: The file whose presence makes a version of a bundle visible; where tables are written before that; the names of versions.
+MANIFEST, STAGED, VERSION = "manifest.json", "_staged", "v{:012d}"
+
+
+def _system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path, path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written as a whole: under another name first, renamed without overwriting."""
+    path_, system = _system(spark, path)
+    work = path_(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = system.create(work, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if not system.rename(work, path_(path)):
+        system.delete(work, False)
+        raise FileExistsError(path)
+
+
+def versions(spark: SparkSession, folder: str) -> list[str]:
+    """The folders of a bundle's versions that have a manifest, the newest last."""
+    path, system = _system(spark, folder)
+    if not system.exists(path(folder)):
+        return []
+    found = sorted(str(x.getPath()) for x in system.listStatus(path(folder)) if x.isDirectory() and x.getPath().getName().startswith("v"))
+    return [x for x in found if system.exists(path(f"{x}/{MANIFEST}"))]
+
+
+def write_bundle(folder: str, tables: dict[str, DataFrame], keep: int = 2, notes: dict[str, str] | None = None, csv: dict[str, tuple] | None = None) -> dict[str, str]:
+    """Publish tables together, as a new version of a bundle: readers see all of them or the version before.
+
+    Tables are staged below the folder, as JSON lines or, where ``csv`` names them with (columns, order), as CSV; ``notes``
+    are texts beside them. The manifest, with the rows of each table, is written last; then the staged folder gets the
+    next version's name by one rename. A run that fails leaves only a staged folder, which nobody reads. Two runs at once
+    get two versions. ``keep``: versions that stay for readers that have begun (at least this one).
+    """
+    if not tables:
+        return {}
+    spark = next(iter(tables.values())).sparkSession
+    path, system = _system(spark, folder)
+    staged = f"{folder}/{STAGED}/{uuid.uuid4().hex}"
+    rows = {}
     for name, df in tables.items():
-        out[name] = f"{folder}/{name}"
-        write_jsonl(df, out[name])
-        n = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows")
-        rows = n if rows is None else rows.unionByName(n)
-    if rows is not None:
-        write_jsonl(rows.coalesce(1), f"{folder}/manifest")
-    return out
+        if csv and name in csv:
+            write_csv(df, f"{staged}/{name}", *csv[name])
+        else:
+            write_jsonl(df, f"{staged}/{name}")
+        written = spark.read.text(f"{staged}/{name}") if not (csv and name in csv) else spark.read.csv(f"{staged}/{name}", header=True, escape='"', multiLine=True)
+        rows[name] = written.count()
+    for name, text in (notes or {}).items():
+        _put(spark, f"{staged}/{name}", text)
+    _put(spark, f"{staged}/{MANIFEST}", json.dumps({"tables": rows}, indent=2) + "\n")
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(folder).toUri(), spark._jsc.hadoopConfiguration())
+    none = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    last = versions(spark, folder)
+    number = int(last[-1].rsplit("v", 1)[1]) + 1 if last else 0
+    while True:
+        target = f"{folder}/{VERSION.format(number)}"
+        try:
+            context.rename(path(staged), path(target), none)
+            break
+        except Exception as e:  # another run took the number
+            if not system.exists(path(target)):
+                raise e
+            number += 1
+    for old in versions(spark, folder)[: -max(keep, 1)]:
+        system.delete(path(old), True)
+    return {name: f"{target}/{name}" for name in tables}
+
+
+def manifest(spark: SparkSession, folder: str) -> dict | None:
+    """The newest version's manifest with its folder; null where nothing was published."""
+    found = versions(spark, folder)
+    if not found:
+        return None
+    text = "\n".join(r[0] for r in spark.read.text(f"{found[-1]}/{MANIFEST}").collect())  # a few lines
+    return json.loads(text) | {"folder": found[-1]}
+
+
+def read_bundle(spark: SparkSession, folder: str, name: str, schema: str | None = None) -> DataFrame:
+    """A table (JSON lines) of the newest version."""
+    found = versions(spark, folder)
+    if not found:
+        raise FileNotFoundError(f"nothing is published in {folder}")
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.json(f"{found[-1]}/{name}")
 
 
 def updated_counts(counts: Column, updates: Column) -> Column:

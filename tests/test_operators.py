@@ -116,7 +116,7 @@ def test_sinks(spark, tmp_path):
     sinks.write_csv(df, str(tmp_path / "c"), ["id", "name", "l"], ["id"])
     assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "c")).orderBy("id").collect()] == [("1", "", "[]"), ("2", "b", "[1,2]")]
     sinks.write_bundle(str(tmp_path / "bundle"), {"rows": df})
-    assert spark.read.json(str(tmp_path / "bundle/manifest")).first()["rows"] == 2
+    assert sinks.manifest(spark, str(tmp_path / "bundle"))["tables"] == {"rows": 2}
     nested = spark.createDataFrame([(1, [("x", [1, 2])])], "id int, c array<struct<n:string,l:array<int>>>")
     assert tuple(sinks.flat(nested, "c").first()) == (1, "x", "1;2")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import tables
 from lodestone.operators import claims, exports, joins
-from lodestone.sources import connectors, files, sinks
+from lodestone.sources import connectors, datasource, files, sinks
 
 
 def frame(spark, n):
@@ -154,3 +154,41 @@ def test_small_pieces(spark, tmp_path):
     assert [tuple(r) for r in order] == [("a", 1), ("A", 3), ("b", 2)]
     placed = claims.numbered(spark.range(1000).repartition(7), ["id"], F.expr("id div 10")).collect()
     assert all(r.place == r.id + 1 for r in placed)
+
+
+def record(folder, source, page, query, payload, kind="json"):
+    path = folder / source / str(page)
+    path.mkdir(parents=True, exist_ok=True)
+    (path / f"{query}.{kind}").write_bytes(payload if isinstance(payload, bytes) else json.dumps(payload).encode())
+
+
+def test_recorded_answers(spark, tmp_path):
+    datasource.register(spark)
+    folder = tmp_path / "answers"
+    works = lambda *titles: {"message": {"items": [{"title": [t]} for t in titles]}}
+    for page in range(3):
+        record(folder, "crossref", page, 0, works(f"a{page}", f"b{page}"))
+        record(folder, "crossref", page, 1, works(f"c{page}"))
+    record(folder, "europe_pmc", 0, 0, {"resultList": {"result": [{"title": "e"}]}})
+    record(folder, "europe_pmc", 0, 1, b"", "429")
+    record(folder, "pubmed_abstracts", 0, 0, b"<S/>", "xml")
+    record(folder, "openalex", 0, 0, b"\xff\xfe broken")
+    rows = spark.read.format("recorded_answers").option("path", str(folder)).load()
+    assert rows.schema.simpleString() == "struct<source:string,query:int,page:int,status:int,payload:string>" and rows.rdd.getNumPartitions() == 6
+    got = {(r.source, r.page, r.query): r.status for r in rows.collect()}
+    assert got == {**{("crossref", p, q): 200 for p in range(3) for q in range(2)}, ("europe_pmc", 0, 0): 200, ("europe_pmc", 0, 1): 429, ("pubmed_abstracts", 0, 0): 200, ("openalex", 0, 0): datasource.UNREADABLE}
+    run = connectors.candidate_run(rows, 4, 2, 100, 5)
+    assert [r.title for r in run["candidates"].where("source = 'crossref'").collect()] == ["a0", "b0", "c0", "a1", "b1", "c1", "a2", "b2", "c2"]
+    assert {(r.source, r.code) for r in run["failures"].collect()} == {("europe_pmc", "rate_limited"), ("openalex", "retrieval_error")}
+    assert spark.read.format("recorded_answers").option("path", f"file://{folder}").option("sources", "crossref").option("pages", "2").load().count() == 4
+    assert spark.read.format("recorded_answers").option("path", str(tmp_path / "nothing")).load().count() == 0
+
+    def taken():
+        stream = spark.readStream.format("recorded_answers").option("path", str(folder)).option("sources", "crossref").load()
+        stream.writeStream.format("json").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        return sorted({r.page for r in spark.read.schema(datasource.SCHEMA).json(str(tmp_path / "out")).collect()}), spark.read.schema(datasource.SCHEMA).json(str(tmp_path / "out")).count()
+
+    assert taken() == ([0, 1, 2], 6)
+    record(folder, "crossref", 3, 0, works("d"))
+    record(folder, "crossref", 5, 0, works("after a gap"))
+    assert taken() == ([0, 1, 2, 3], 7)

@@ -121,10 +121,16 @@ def dose_thresholds(override: Column, reference: Column, limit: Column, share: f
     return F.when(override.isNotNull(), row(override, "override", "reviewed")).when(reference > 0, row(reference * share, "reference", "draft_meaningful_baseline")).when(limit > 0, row(limit * share, "caution_limit", "draft_meaningful_baseline")).otherwise(none)
 
 
+def not_above(amount: Column, unit: Column, upper: Column, upper_unit: Column) -> Column:
+    """Whether an upper threshold of the same unit, by its first word, is not above the lower one."""
+    primary = lambda u: F.regexp_extract(u, r"^\s*(\S+)", 1)
+    return F.coalesce((primary(unit) == primary(upper_unit)) & (primary(unit) != "") & (upper <= amount), F.lit(False))
+
+
 def band_status(amount: Column, unit: Column, upper: Column, upper_unit: Column, excluded: Column) -> Column:
     """The review status of a lower threshold against an upper one of the same unit; blank parts need a review."""
     known = amount.isNotNull() & F.coalesce(F.trim(unit) != "", F.lit(False))
-    above = F.coalesce((unit == upper_unit) & (amount >= upper), F.lit(False))
+    above = not_above(amount, unit, upper, upper_unit)
     return F.when(excluded, "not_applicable").when(~known, "needs_meaningful_review").when(above, "needs_meaningful_review_non_monotonic").otherwise("draft_meaningful_baseline")
 
 
@@ -133,6 +139,23 @@ NO_THRESHOLD = "No meaningful threshold set; needs reference-backed meaningful-d
 NO_SUPPLEMENT = "Not yet reviewed; populate after supplement-dose reference review."
 
 
+# What the bands of a dose mean, with {a} and {u} for the meaningful amount and unit, {b} and {v} for those of supplements.
+UNDEFINED = "Not yet defined; reviewer must set meaningful threshold before dose routing."
+TRACE = "< {a} {u}; do not surface direct health-effect claims, only optional background presence language."
+OPEN_BAND = ">= {a} {u}; eligible for normal food-level/naturally occurring health-effect summaries when evidence context supports the effect."
+CROSSED_BAND = OPEN_BAND + " Supplement threshold is not above the meaningful threshold; review thresholds before routing supplement-level effects."
+CLOSED_BAND = ">= {a} {u} and below {b} {v}; eligible for normal food-level/naturally occurring health-effect summaries."
+ACID = "pH <= {b}; high-acidity context may be considered when the effect context matches the recipe acidity. This is not a supplement-dose threshold."
+SUPPLEMENT = ">= {b} {v}; supplement-level, therapeutic-dose, high-caution, or high-exposure effects may be considered when the effect context matches the recipe dose."
+
+
+def filled_in(text: str, **cells: Column) -> Column:
+    """A text with columns in place of names in braces."""
+    import re
+
+    return F.concat(*(cells[p[1:-1]] if p.startswith("{") else F.lit(p) for p in re.split(r"(\{\w\})", text) if p))
+
+
 def migrated_thresholds(rows: DataFrame, reference: DataFrame, name: str = "canonical_bioactive_name") -> DataFrame:
     """Rows of the old three-column threshold schema in the new one: amount, unit, basis, source and status, each for meaningful and supplement doses.
 
@@ -153,10 +176,14 @@ def migrated_thresholds(rows: DataFrame, reference: DataFrame, name: str = "cano
     basis = F.when(has("meaningful"), drafted).when(context, about("No meaningful threshold set")).otherwise(NO_THRESHOLD)
     amount = F.col("meaningful_threshold_amount").try_cast("double")
     upper = F.col("supplement_threshold_amount").try_cast("double")
-    status = band_status(F.when(has("meaningful"), amount), F.col("meaningful_threshold_unit"), upper, F.col("supplement_threshold_unit"), F.col(name) == "Ph")
+    status = band_status(F.when(has("meaningful"), amount), F.col("meaningful_threshold_unit"), upper, F.col("supplement_threshold_unit"), F.col(name).cast("string") == "Ph")
+    said = lambda text: filled_in(text, a=F.col("meaningful_threshold_amount"), u=F.col("meaningful_threshold_unit"), b=F.col("supplement_threshold_amount"), v=F.col("supplement_threshold_unit"))
+    crossed = not_above(amount, F.col("meaningful_threshold_unit"), upper, F.col("supplement_threshold_unit"))
     return flat.select(
         name, "meaningful_threshold_amount", "meaningful_threshold_unit", first(F.col("meaningful_threshold_basis"), basis).alias("meaningful_threshold_basis"), first(F.col("meaningful_threshold_source"), F.col("_source"), F.col("source")).alias("meaningful_threshold_source"),
         first(F.col("meaningful_review_status"), status).alias("meaningful_review_status"), "supplement_threshold_amount", "supplement_threshold_unit",
         F.when(has("supplement"), first(F.col("supplement_threshold_basis"), F.col("threshold_basis"))).otherwise(NO_SUPPLEMENT).alias("supplement_threshold_basis"), F.when(has("supplement"), first(F.col("supplement_threshold_source"), F.col("source"))).otherwise("").alias("supplement_threshold_source"),
-        first(F.col("supplement_review_status"), F.when(has("supplement"), F.col("review_status")).otherwise(""), F.lit("needs_supplement_dose_review")).alias("supplement_review_status"), "notes",
+        first(F.col("supplement_review_status"), F.when(has("supplement"), F.col("review_status")).otherwise(""), F.lit("needs_supplement_dose_review")).alias("supplement_review_status"),
+        F.when(has("meaningful"), said(TRACE)).otherwise(UNDEFINED).alias("trace_definition"), F.when(~has("meaningful"), UNDEFINED).when(~has("supplement"), said(OPEN_BAND)).when(crossed, said(CROSSED_BAND)).otherwise(said(CLOSED_BAND)).alias("meaningful_definition"),
+        F.when(~has("supplement"), NO_SUPPLEMENT).when(F.col("supplement_threshold_unit") == "pH", said(ACID)).otherwise(said(SUPPLEMENT)).alias("supplement_definition"), "notes",
     )

@@ -11,11 +11,13 @@ BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``most`` rows and ``size`` bytes; else as it is, for a shuffled join."""
-    if df.limit(most + 1).count() > most:
-        return df
-    held = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
-    return F.broadcast(df) if held <= size else df
+    """``df`` marked for broadcast if it has at most ``most`` rows and ``size`` bytes; else as it is, for a shuffled join. One job over ``most`` rows."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    text = lambda c: F.octet_length(f"`{c}`" if kinds[c] in ("string", "varchar", "char", "binary") else F.to_json(F.struct(f"`{c}`")))
+    plain = ("byte", "short", "integer", "long", "float", "double", "boolean", "date", "timestamp", "timestamp_ntz", "decimal")
+    held = sum((F.lit(16) if kinds[c] in plain else F.coalesce(text(c), F.lit(0)) for c in df.columns), F.lit(16))
+    n, total = df.limit(most + 1).agg(F.count("*"), F.sum(held)).first()
+    return F.broadcast(df) if n <= most and (total or 0) <= size else df
 
 
 def candidate_lookup(df: DataFrame, key: str, candidates: Column, index: DataFrame, on: str, value: str) -> DataFrame:
@@ -93,27 +95,39 @@ def tier3(c: Column) -> Column:
     return collapse(dehyphenate(expand_ligatures(c)))
 
 
+_TRIGRAM = r"(?s)(?=(.{3}))"
+
+
 def grounded(quotes: DataFrame, bodies: DataFrame, quote_id: str, quote: str, body_id: str, body: str) -> DataFrame:
     """(body id, quote id, tier): quotes that a body holds exactly, after white space, or after ligatures and hyphens.
 
-    Each tier's match is also a match of the normalised texts, whose inner words then agree. So quotes are joined by their
-    longest inner word to the distinct words of the bodies (no text is compared with all quotes); quotes of
-    under three words, a stated set, meet all bodies in blocks of about BROADCAST_ROWS.
+    Each tier's match is also a match of the normalised texts, whose inner words then agree. So quotes of three words and
+    more are joined by their longest inner word to the distinct words of the bodies, shorter ones by one of their
+    trigrams to the distinct trigrams; no text is compared with all quotes. Only what has under three characters meets all
+    bodies, in blocks of BROADCAST_ROWS. Pairs stay rows: a body that very many quotes share a word with is no large cell.
     """
     # never null, so that Spark adds no null test that normalises every text once more
     plain = lambda c: F.coalesce(tier3(F.col(c)), F.lit(""))
     q = quotes.select(F.col(quote_id).alias("qid"), F.col(quote).alias("q")).where("q is not null and trim(q) <> ''").withColumn("qn", plain("q")).withColumn("qw", F.split("qn", " "))
     raw = bodies.select(F.col(body_id).alias("bid"), F.col(body).alias("b")).where("b is not null")
     longest = F.array_max(F.transform(F.slice("qw", F.lit(2), F.size("qw") - 2), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    long = q.where(F.size("qw") >= 3).withColumn("gram", longest)
-    grams = raw.select("bid", F.explode(F.array_distinct(F.split(plain("b"), " "))).alias("gram"))
-    tried = grams.join(small(long.select("gram", "qid")), "gram").groupBy("bid").agg(F.collect_set("qid").alias("qids"))
-    some = raw.join(tried, "bid").withColumn("bn", plain("b")).select("bid", "b", "bn", F.explode("qids").alias("qid"))
-    both = some.join(small(long.select("qid", "q", "qn")), "qid").where(F.col("bn").contains(F.col("qn"))).select("bid", "qid", "q", "b")
-    brief = q.where(F.size("qw") < 3)
-    blocks = -(-brief.count() // BROADCAST_ROWS)
+    long, brief = F.size("qw") >= 3, F.length("qn") >= 3
+    of = lambda text: F.regexp_extract_all(text, F.lit(_TRIGRAM), F.lit(1))
+    spread = F.array_max(F.transform(of(F.col("qn")), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
+    n = q.agg(F.count_if(long), F.count_if(~long & brief), F.count_if(~long & ~brief)).first()
+    both = raw.limit(0).select("bid", F.lit(None).cast(q.schema["qid"].dataType).alias("qid"), F.col("b").alias("q"), "b")
+    for have, some, gram, parts in ((n[0], q.where(long), longest, lambda: F.split(plain("b"), " ")), (n[1], q.where(~long & brief), spread, lambda: of(plain("b")))):
+        if not have:
+            continue
+        keyed = some.withColumn("gram", gram)
+        grams = raw.select("bid", F.explode(F.array_distinct(parts())).alias("gram"))
+        pairs = grams.join(small(keyed.select("gram", "qid")), "gram").select("bid", "qid").distinct()
+        found = raw.join(pairs, "bid").join(small(some.select("qid", "q", "qn")), "qid").where(F.contains(plain("b"), F.col("qn"))).select("bid", "qid", "q", "b")
+        both = both.unionByName(found)
+    tiny = q.where(~long & ~brief)
+    blocks = -(-n[2] // BROADCAST_ROWS)
     for i in range(blocks):
-        block = F.broadcast(brief.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i))
+        block = F.broadcast(tiny.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i))  # of under three characters each
         both = both.unionByName(raw.withColumn("bn", plain("b")).join(block, F.col("bn").contains(F.col("qn"))).select("bid", "qid", "q", "b"))
     tier = F.when(F.col("b").contains(F.col("q")), "exact").when(collapse(F.col("b")).contains(collapse(F.col("q"))), "whitespace").otherwise("normalized")
     return both.select(F.col("bid").alias(body_id), F.col("qid").alias(quote_id), tier.alias("tier"))

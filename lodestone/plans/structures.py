@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import tables
-from ..operators import claims as C, exports as X, joins, papers
+from ..operators import assembly as A, claims as C, evidence as V, exports as X, joins, papers
 from ..sources import connectors
 from ..streaming import events as E, items
 from .base import query, read
@@ -238,3 +238,47 @@ def public_report_rows(spark, sf_dir):
     proposed = lines.select(F.col("claim").alias("id"), F.col("p_type").alias("proposed_effect_label"), F.lit("slug").alias("proposed_effect_slug"), F.lit("positive").alias("direction"), F.when(F.col("p_size") > 25, " ").otherwise(F.col("p_brand")).alias("population"), F.when(F.col("p_size") <= 30, F.concat(F.lit("dose "), F.col("p_size").cast("string"))).alias("dose_or_exposure"), F.lit("natural_food_level").alias("exposure_category"), F.lit("rct").alias("study_type"), F.col("p_name").alias("statement"))
     sources = read(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("title"), *(F.lit(None).cast("string").alias(c) for c in ("doi", "pmid", "url")))
     return X.public_report(validated, proposed, sources).select("place", "claim_id", "health_effect", "direction", "population", "oral_exposure", "evidence", "finding", "status", "source_title")
+
+
+# Suppliers as rows of a report and their lines as accepted claims; some have a text and tags of their own.
+_CHARS = 400
+_SENTENCE = "'Line ' || l_linenumber || ' of  part ' || l_partkey || CASE WHEN l_quantity > 25 THEN ' (dose/exposure: ' || CAST(CAST(l_quantity AS INT) AS VARCHAR) || ' mg' || CASE WHEN l_linestatus = 'F' THEN '; evidence form: natural food level' ELSE '' END || ').' WHEN l_linestatus = 'F' THEN ' (evidence form: natural food level).' ELSE '' END"
+
+
+@query(TABLE, f"""WITH c AS (SELECT l_suppkey AS k, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS seq, CASE l_returnflag WHEN 'A' THEN 'positive' WHEN 'N' THEN 'negative' END AS side, regexp_replace({_SENTENCE}, ' +', ' ', 'g') AS s, 't' || l_linenumber AS tag, CASE WHEN l_discount > 0.05 THEN 0.9::DOUBLE ELSE 0.55::DOUBLE END AS confidence FROM lineitem),
+d AS (SELECT *, CASE WHEN s LIKE '%.' THEN s ELSE s || '.' END AS e FROM c WHERE side IS NOT NULL), t AS (SELECT k, side, string_agg(e, ' ' ORDER BY seq) AS text FROM (SELECT *, sum(length(e) + 1) OVER (PARTITION BY k, side ORDER BY seq) - 1 AS z FROM d) WHERE z <= {_CHARS} GROUP BY k, side),
+g AS (SELECT k, side, string_agg(tag || ':' || CAST(confidence AS VARCHAR), ',' ORDER BY f) AS tags FROM (SELECT k, side, tag, min(seq) AS f, max(confidence) AS confidence FROM d GROUP BY ALL) GROUP BY k, side),
+own AS (SELECT s_suppkey AS k, CASE WHEN s_acctbal > 5000 THEN s_name ELSE '' END AS text, CASE WHEN s_acctbal > 5000 THEN 'own:0.5' ELSE '' END AS tags FROM supplier)
+SELECT own.k, coalesce(p.text, own.text) AS positive, coalesce(pg.tags, own.tags) AS positive_tags, coalesce(n.text, own.text) AS negative, coalesce(ng.tags, own.tags) AS negative_tags FROM own LEFT JOIN t p ON p.k = own.k AND p.side = 'positive' LEFT JOIN t n ON n.k = own.k AND n.side = 'negative'
+LEFT JOIN g pg ON pg.k = own.k AND pg.side = 'positive' LEFT JOIN g ng ON ng.k = own.k AND ng.side = 'negative'""")
+def packet_reports(spark, sf_dir):
+    seq = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"))
+    lines = read(spark, sf_dir, "lineitem")
+    said = F.concat(F.lit("Line "), F.col("l_linenumber").cast("string"), F.lit(" of  part "), F.col("l_partkey").cast("string"))
+    none = F.lit(None).cast("string")
+    sentence = V.claim_sentence(said, F.when(F.col("l_quantity") > 25, F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" mg"))), none, F.when(F.col("l_linestatus") == "F", "natural_food_level").otherwise("unclear"), none)
+    direction = F.when(F.col("l_returnflag") == "A", "beneficial").when(F.col("l_returnflag") == "N", "harmful").otherwise("mixed")
+    claims = lines.select(F.col("l_suppkey").alias("k"), seq.alias("seq"), direction.alias("direction"), sentence.alias("sentence"), F.concat(F.lit("t"), F.col("l_linenumber").cast("string")).alias("tag"), F.when(F.col("l_discount") > 0.05, 0.9).otherwise(0.55).alias("confidence"))
+    text, own = F.when(F.col("s_acctbal") > 5000, F.col("s_name")).otherwise(""), F.when(F.col("s_acctbal") > 5000, '[{"tag": "own", "confidence": 0.5}]').otherwise("[broken")
+    rows = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), text.alias("positive"), text.alias("negative"), own.alias("positive_tags"), own.alias("negative_tags"))
+    reports, _ = V.packet_reports(rows, claims, "k", most=_CHARS)
+    told = lambda c: F.array_join(F.transform(c, lambda t: F.concat(t["tag"], F.lit(":"), t["confidence"].cast("string"))), ",").alias(c)
+    return reports.select("k", "positive", told("positive_tags"), "negative", told("negative_tags"))
+
+
+_UNIT = "CASE WHEN p_size % 3 = 0 THEN 'mg' WHEN p_size % 3 = 1 THEN 'mg per day' ELSE 'pH' END"
+
+
+@query(TABLE, f"""WITH p AS (SELECT p_partkey AS name, CASE WHEN p_size > 10 THEN CAST(p_size AS VARCHAR) ELSE '' END AS a, CASE WHEN p_size > 10 THEN 'mg' ELSE '' END AS u, CASE WHEN p_size > 20 THEN CAST(p_partkey % 50 AS VARCHAR) ELSE '' END AS b, CASE WHEN p_size > 20 THEN {_UNIT} ELSE '' END AS v FROM part),
+c AS (SELECT *, a <> '' AND b <> '' AND split_part(u, ' ', 1) = split_part(v, ' ', 1) AND TRY_CAST(b AS DOUBLE) <= TRY_CAST(a AS DOUBLE) AS crossed FROM p)
+SELECT name, CASE WHEN a = '' THEN '{A.UNDEFINED}' ELSE '< ' || a || ' ' || u || '; do not surface direct health-effect claims, only optional background presence language.' END AS trace_definition,
+CASE WHEN a = '' THEN '{A.UNDEFINED}' ELSE '>= ' || a || ' ' || u || CASE WHEN b <> '' AND NOT crossed THEN ' and below ' || b || ' ' || v || '; eligible for normal food-level/naturally occurring health-effect summaries.' ELSE '; eligible for normal food-level/naturally occurring health-effect summaries when evidence context supports the effect.' || CASE WHEN crossed THEN ' Supplement threshold is not above the meaningful threshold; review thresholds before routing supplement-level effects.' ELSE '' END END END AS meaningful_definition,
+CASE WHEN b = '' THEN '{A.NO_SUPPLEMENT}' WHEN v = 'pH' THEN 'pH <= ' || b || '; high-acidity context may be considered when the effect context matches the recipe acidity. This is not a supplement-dose threshold.' ELSE '>= ' || b || ' ' || v || '; supplement-level, therapeutic-dose, high-caution, or high-exposure effects may be considered when the effect context matches the recipe dose.' END AS supplement_definition,
+CASE WHEN a = '' THEN 'needs_meaningful_review' WHEN crossed THEN 'needs_meaningful_review_non_monotonic' ELSE 'draft_meaningful_baseline' END AS meaningful_review_status, CASE WHEN b = '' THEN 'needs_supplement_dose_review' ELSE 'reviewed' END AS supplement_review_status FROM c""")
+def threshold_definitions(spark, sf_dir):
+    given = lambda test, value: F.when(test, value).otherwise("")
+    some, more = F.col("p_size") > 10, F.col("p_size") > 20
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"), given(some, F.col("p_size").cast("string")).alias("meaningful_threshold_amount"), given(some, "mg").alias("meaningful_threshold_unit"), given(more, (F.col("p_partkey") % 50).cast("string")).alias("supplement_threshold_amount"), given(more, F.expr(_UNIT)).alias("supplement_threshold_unit"), F.lit("reviewed").alias("review_status"))
+    reference = rows.limit(0).select("name", *(F.lit("").alias(c) for c in ("reference_type", "threshold_notes", "source")))
+    out = A.migrated_thresholds(rows, reference, "name")
+    return out.select("name", "trace_definition", "meaningful_definition", "supplement_definition", "meaningful_review_status", "supplement_review_status")

@@ -2,12 +2,14 @@
 
 import json
 import os
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import tables
-from lodestone.operators import claims, exports, joins
+from lodestone.operators import claims, evidence, exports, joins
 from lodestone.sources import connectors, datasource, files, sinks
 
 
@@ -192,3 +194,29 @@ def test_recorded_answers(spark, tmp_path):
     record(folder, "crossref", 3, 0, works("d"))
     record(folder, "crossref", 5, 0, works("after a gap"))
     assert taken() == ([0, 1, 2, 3], 7)
+
+
+def test_short_quotes(spark):
+    rng = random.Random(4)
+    letters = "abcé 漢"
+    bodies = [(i, "".join(rng.choice(letters) for _ in range(rng.randrange(60)))) for i in range(60)] + [(60, None), (61, ""), (62, "ﬁne de- tail ab")]
+    quotes = sorted({"".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 3, 4, 5]))) for _ in range(80)} | {"fine detail", "tail ab", " "})
+    q, b = spark.createDataFrame(list(enumerate(quotes)), "qid int, q string"), spark.createDataFrame(bodies, "bid int, b string")
+    got = {(r.bid, r.qid) for r in joins.grounded(q, b, "qid", "q", "bid", "b").collect()}
+    plain = lambda t: re.sub(r"(?<=[^\W_])-\s*(?=[^\W_])", "", " ".join((t or "").replace("ﬁ", "fi").split()))
+    assert got == {(i, k) for i, t in bodies if t is not None for k, w in enumerate(quotes) if w.strip() and plain(w) in plain(t)}
+    assert joins.grounded(q.limit(0), b, "qid", "q", "bid", "b").count() == 0
+
+
+def test_packet_reports(spark):
+    rows = spark.createDataFrame([(1, "own text", "", '[{"tag": "t", "confidence": 0.4}, {"x": 1}]', "[]"), (2, "own", "bad", "[broken", "not a list"), (3, None, None, None, None)], "k int, positive string, negative string, positive_tags string, negative_tags string")
+    made = [(1, 1, "beneficial", "First  one", "a", 0.5), (1, 2, "beneficial", None, "b", 0.9), (1, 3, "beneficial", "Second!", "a", 0.8), (1, 4, "beneficial", "x" * 60, "c", 0.1), (1, 5, "beneficial", "Short.", "c", 0.1), (1, 6, "mixed", "No side", "d", 0.1), (2, 1, "harmful", "Harm", "h", 0.7)]
+    claims_ = spark.createDataFrame(made, "k int, seq int, direction string, sentence string, tag string, confidence double")
+    out, rejected = evidence.packet_reports(rows, claims_, "k", most=30)
+    got = {r.k: r for r in out.collect()}
+    tags = lambda x: [(t.tag, t.confidence) for t in x]
+    assert got[1].positive == "First one. Second!" and tags(got[1].positive_tags) == [("a", 0.8), ("b", 0.9), ("c", 0.1)] and got[1].negative == "" and got[1].negative_tags == []
+    assert got[2].positive == "own" and got[2].positive_tags == [] and got[2].negative == "Harm." and tags(got[2].negative_tags) == [("h", 0.7)]
+    assert got[3].positive == "" and got[3].positive_tags == [] and [(r.k, r.direction, r.type) for r in rejected.collect()] == [(1, "mixed", "unsupported_direction_for_report_side")]
+    said = spark.createDataFrame([("S", "1 mg", None, "natural_food_level", "few"), ("S", " ", "", "unclear", None)], "s string, d string, p string, f string, c string").select(evidence.claim_sentence(*(F.col(c) for c in "sdpfc")).alias("x")).collect()
+    assert [r.x for r in said] == ["S (dose/exposure: 1 mg; evidence form: natural food level; caveat: few).", "S"]

@@ -337,3 +337,39 @@ def model_answers(spark, sf_dir):
     told = events.where("event_id % 5 <> 0").select(F.col("event_id").cast("string").alias("key"), F.explode(F.when(F.col("event_id") % 2 == 1, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("attempt"), body.alias("answer"))
     done, failed = stages.answered(asked, told, "label string", ["label"])
     return done.select("key", F.lit("answered").alias("state")).unionByName(failed.select("key", F.col("problem").alias("state")))
+
+
+# The same tables with all their columns.
+_LISTED = "coalesce(to_json(list({{'effect_slug': slug, 'effect_label': 'Label ' || l_returnflag, 'summary': 'Line status ' || l_linestatus, 'evidence_level': l_linestatus, 'score': CAST(l_quantity AS DOUBLE), 'supporting_nutrients': [nutrient]}} ORDER BY l_orderkey, l_linenumber, slug, l_returnflag, l_linestatus, l_quantity, nutrient) FILTER (bucket = '{0}')), '[]')"
+
+
+@query(TABLE, f"""WITH l AS ({_LINES}), g AS (SELECT pid, {', '.join(f"CAST({_LISTED.format(b)} AS VARCHAR) AS {b}_json" for b in X.BUCKETS)} FROM l GROUP BY pid)
+SELECT p.pid AS canonical_beverage_id, p_name AS canonical_beverage_name, {_KIND} AS summary_source_type, p_type AS summary_confidence_status, p_brand AS final_positive_summary, p_type AS final_negative_summary, {', '.join(f"coalesce({b}_json, '[]') AS {b}_json" for b in X.BUCKETS)},
+'["' || p_brand || '"]' AS caveats_json, 'local' AS model_provider, '' AS model_name, '{AT}' AS created_at, '{AT}' AS updated_at FROM ({_SOUND}) p LEFT JOIN g ON g.pid = p.pid""")
+def final_main_whole(spark, sf_dir):
+    return X.main_rows(X.checked(_merges(spark, sf_dir))[0], AT)
+
+
+@query(TABLE, """WITH c AS (SELECT p_partkey AS id, p_name, p_type, p_brand, CASE WHEN p_name LIKE '%bolt%' THEN 'natural' WHEN p_size % 4 < 2 THEN 'natural' WHEN p_size % 4 = 2 THEN 'supplement' ELSE 'unclear' END AS e, p_size FROM part)
+SELECT id, p_name AS nutrient_name, p_brand AS citation_id, p_type AS statement, 'slug' AS proposed_effect_slug, p_name || '!' AS proposed_effect_label, p_name AS compound, 'e' || p_size AS effect, CASE WHEN p_size > 25 THEN 'harmful' ELSE 'beneficial' END AS direction, 'adults' AS population, CASE WHEN p_size % 5 = 0 THEN 'by mouth' ELSE p_brand END AS dose_or_exposure, 'oral' AS intake_route,
+CASE e WHEN 'natural' THEN 'natural_food_level' WHEN 'supplement' THEN 'supplement_level' ELSE 'unclear' END AS exposure_category, CASE e WHEN 'natural' THEN 'Ingredient-level evidence.' END AS natural_concentration_relevance, CASE e WHEN 'supplement' THEN 'Concentrated, powder, or extract-like ingredient evidence.' END AS supplement_level_relevance, CAST(NULL AS VARCHAR) AS concentration_notes FROM c""")
+def claim_adaptation_whole(spark, sf_dir):
+    given = F.when(F.col("p_size") % 4 == 0, "whole_food").when(F.col("p_size") % 4 == 1, "juice_or_beverage").when(F.col("p_size") % 4 == 2, "extract_or_supplement").otherwise("other")
+    claims = read(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("ingredient_name"), F.col("p_brand").alias("citation_id"), F.col("p_type").alias("statement"), F.lit("slug").alias("proposed_effect_slug"), F.concat("p_name", F.lit("!")).alias("proposed_effect_label"), F.concat(F.lit("e"), F.col("p_size").cast("string")).alias("effect"), F.when(F.col("p_size") > 25, "harmful").otherwise("beneficial").alias("claim_direction"), F.lit("adults").alias("population"),
+        F.lit("by mouth").alias("oral_exposure"), F.when(F.col("p_size") % 5 == 0, "").otherwise(F.col("p_brand")).alias("dose_or_serving"), F.when(F.col("p_name").contains("bolt"), "Fruit juice").alias("food_matrix"), F.lit(None).cast("string").alias("ingredient_form"), F.lit(None).cast("string").alias("concentration_notes"), given.alias("exposure_category"),
+    )
+    return C.to_general_claim(claims)
+
+
+@query(TABLE, f"""WITH x AS (SELECT l_orderkey, (l_linenumber, l_partkey, l_quantity) AS seq, CASE l_returnflag WHEN 'A' THEN 'ldl' WHEN 'N' THEN 'sleep' ELSE 'mood' END AS slug, CASE WHEN l_linestatus = 'F' THEN 'Higher Risk' ELSE 'Calm' END AS label, CASE l_suppkey % 3 WHEN 0 THEN 'salt' WHEN 1 THEN 'zinc' END AS nutrient FROM lineitem),
+y AS (SELECT *, {_CAUTION} AND (nutrient IS NULL OR nutrient = 'salt') AS caution, slug || '/' || label || '/' || coalesce(nutrient, '') AS name FROM x)
+SELECT l_orderkey, coalesce(string_agg(name, ',' ORDER BY seq) FILTER (caution), '') AS cautionary, coalesce(string_agg(name, ',' ORDER BY seq) FILTER (NOT caution), '') AS regular FROM y GROUP BY l_orderkey""")
+def caution_split_effects(spark, sf_dir):
+    slug, label = F.when(F.col("l_returnflag") == "A", "ldl").when(F.col("l_returnflag") == "N", "sleep").otherwise("mood"), F.when(F.col("l_linestatus") == "F", "Higher Risk").otherwise("Calm")
+    nutrient = F.when(F.col("l_suppkey") % 3 == 0, F.array(F.lit("salt"))).when(F.col("l_suppkey") % 3 == 1, F.array(F.lit("zinc"))).otherwise(F.array().cast("array<string>"))
+    effect = F.struct(slug.alias("effect_slug"), label.alias("effect_label"), F.lit(None).cast("string").alias("summary"), nutrient.alias("supporting_nutrients"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", effect.alias("e")))), lambda x: x["e"])
+    out = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(listed.alias("e")).select("l_orderkey", C.split_cautions(F.col("e"), ["salt"]).alias("s"))
+    told = lambda c: F.array_join(F.transform(f"s.{c}", lambda e: F.concat_ws("/", e["effect_slug"], e["effect_label"], F.array_join(e["supporting_nutrients"], ""))), ",").alias(c)
+    return out.select("l_orderkey", told("cautionary"), told("regular"))

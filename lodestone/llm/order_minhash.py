@@ -7,7 +7,7 @@
 3. Rows (sketch, representative) are range-partitioned by both, so that a sketch that very many documents share is
    spread over tasks. At first each member of a group is a candidate with the group's first. Groups are then
    completed in rounds: of their members that are not yet in one class, all pairs are candidates unless lengths and
-   outlines (counts of words in ``BINS`` bins) prove that they are no link. Large groups meet block by block, across
+   outlines (counts of words by place and hash) prove that they are no link. Large groups meet block by block, across
    tasks; earlier rounds only try each member's nearest partners, the last tries all. So every pair that agrees on a
    sketch is in one class in the end, or aligned, or proven to be below the threshold.
 4. Candidates are aligned word by word (64-bit hashes) inside a band: similarity = 1 - edit distance / words of the
@@ -32,6 +32,9 @@ from .common import IDS, U64, Words, chunks, cut, mix, numbered, parts, ranges,
 SHINGLE, SKETCHES, TAKE, SIMILARITY = 3, 32, 2, 0.8
 #: Bins of an outline, rows of a group that is paired at once, rows of a block when groups are completed, pairs held at a time.
 BINS, SMALL, WIDE, PAIRS = 768, 64, 4096, 25_000
+AT_ONCE = 2_048
+#: Sections of a text in its outline: they end at halves of the largest power of two of words that it holds, at that, and at its end.
+SECTIONS = 3
 #: Partners of a row and block in the rounds that complete the groups; the last takes all.
 PARTNERS = (2, None)
 #: Links that one task may label.
@@ -104,9 +107,18 @@ def sketches(w: Words) -> np.ndarray:
 
 
 def outlines(w: Words) -> np.ndarray:
-    """How many words of a document fall into each of ``BINS`` hash bins, at most 255."""
-    bin_ = (w.hash >> U64(32)) % U64(BINS)
-    return np.minimum(np.bincount(w.doc * BINS + bin_.astype(np.int64), minlength=BINS * len(w.n)), 255).astype(np.uint8).reshape(-1, BINS)
+    """How many words of each section of a document fall into each of ``BINS`` / ``SECTIONS`` hash bins, at most 255."""
+    bins = BINS // SECTIONS
+    bin_ = ((w.hash >> U64(32)) % U64(bins)).astype(np.int64)
+    place = np.arange(len(w.hash)) - np.repeat(w.first[:-1], w.n)
+    power = np.repeat(_power(w.n), w.n)
+    section = (place >= power // 2).astype(np.int64) + (place >= power)
+    return np.minimum(np.bincount((w.doc * SECTIONS + section) * bins + bin_, minlength=BINS * len(w.n)), 255).astype(np.uint8).reshape(-1, BINS)
+
+
+def _power(n: np.ndarray) -> np.ndarray:
+    """The largest power of two that is not above each number of words."""
+    return 1 << np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
 
 
 def _rows(m: np.ndarray) -> pa.Array:
@@ -218,12 +230,40 @@ def _blocked(rows: DataFrame) -> DataFrame:
 def _far(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, least: float) -> np.ndarray:
     """The distance of the outlines, row by row; -1 where it, or the lengths, show that the texts are no link.
 
-    One edit changes the outline by 2 at most, and a link has at most (1 - least) * longer edits, so none is lost.
+    A link has at most t = (1 - least) * longer edits. One edit changes the counts of a whole text by 2 at most. Cut two
+    texts at one place: an alignment shifts the cut by s places, and half of the s + |difference of lengths| that this
+    takes are insertions or deletions on the other side. So the counts before the cut and those after it differ by at most
+    2 t + |difference of lengths| together. Bins that are full in either text count as equal; no link is lost.
     """
+    if len(x) > AT_ONCE:  # a few megabytes of counts at a time
+        return np.concatenate([_far(x[k : k + AT_ONCE], y[k : k + AT_ONCE], nx[k : k + AT_ONCE], ny[k : k + AT_ONCE], least) for k in range(0, len(x), AT_ONCE)])
     longer = np.maximum(nx, ny)
-    d = np.abs(x.astype(np.int16) - y).sum(1)
+    gap = np.abs(nx.astype(np.int64) - ny)
     most = (1 - least) * longer + 1e-6
-    return np.where((d <= 2 * most) & (np.abs(nx.astype(np.int64) - ny) <= most), d, -1)
+    out = np.full(len(x), -1, np.int64)
+    at = np.flatnonzero(gap <= most)
+    x, y = (v[at].reshape(len(at), SECTIONS, BINS // SECTIONS) for v in (x, y))
+    open_ = ~((x == 255) | (y == 255)).any(1)
+    x, y = ((v * open_[:, None]).astype(np.int16) for v in (x, y))
+    d = np.abs(x.sum(1, dtype=np.int16) - y.sum(1, dtype=np.int16)).sum(1)
+    near = np.flatnonzero(d <= 2 * most[at])
+    at, x, y, d = at[near], x[near], y[near], d[near]
+    ok = np.ones(len(at), bool)
+    px, py = _power(nx[at]), _power(ny[at])
+    for cut in (0, 1):  # the smaller of the two powers, or half of it
+        place = np.minimum(px, py) >> cut
+        known = (place == px) | (place == px // 2)
+        known &= (place == py) | (place == py // 2)
+        sides = np.zeros(len(at), np.int64)
+        for k in range(SECTIONS - 1):
+            for j in range(SECTIONS - 1):
+                here = np.flatnonzero(known & ok & (place == (px if k else px // 2)) & (place == (py if j else py // 2)))
+                if len(here):
+                    head = np.abs(x[here, : k + 1].sum(1, dtype=np.int16) - y[here, : j + 1].sum(1, dtype=np.int16)).sum(1)
+                    sides[here] = head + np.abs(x[here, k + 1 :].sum(1, dtype=np.int16) - y[here, j + 1 :].sum(1, dtype=np.int16)).sum(1)
+        ok &= ~known | (sides <= 2 * most[at] + gap[at])
+    out[at[ok]] = d[ok]
+    return out
 
 
 def _crossed(most: int | None, least: float):

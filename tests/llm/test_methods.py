@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from lodestone.llm.common import Words
 from lodestone.llm import cotraining, decontaminate, html, language, licences, mixing, order_minhash, queries, suffix, toxicity
 from test_queries import TABLES, rows as comparable
 
@@ -284,15 +285,27 @@ def test_order_minhash_row_identity(spark):
 
 def test_order_minhash_bounds_lose_nothing():
     rng = np.random.default_rng(3)
-    for _ in range(300):
-        a = rng.integers(0, 60, rng.integers(1, 150))
+    for case in range(600):
+        a = list(rng.integers(0, (60, 4000)[case % 2], rng.integers(1, 150)))
         b = [x for x in a if rng.random() > 0.08]
+        if case % 3 == 0:  # a stretch stands elsewhere
+            i, j = sorted(rng.integers(0, len(b) + 1, 2))
+            moved, rest = b[i:j], b[:i] + b[j:]
+            k = rng.integers(0, len(rest) + 1)
+            b = rest[:k] + moved + rest[k:]
         for _ in range(rng.integers(0, 20)):
             b.insert(rng.integers(0, len(b) + 1), int(rng.integers(0, 60)))
+        if not b:
+            continue
+        w = Words(pa.array([" ".join(f"w{x}" for x in t) for t in (a, b)], pa.string()))
+        outline = order_minhash.outlines(w)
+        far = order_minhash._far(outline[:1], outline[1:], w.n[:1], w.n[1:], 0.8)[0] < 0
         true = 1 - edit_distance(list(a), list(b)) / max(len(a), len(b))
-        x, y = (np.minimum(np.bincount(z, minlength=order_minhash.BINS), 255).astype(np.uint8)[None] for z in (np.array(a), np.array(b, np.int64)))
-        far = order_minhash._far(x, y, np.array([len(a)]), np.array([len(b)]), 0.8)[0] < 0
         assert not (far and true >= 0.8)
+    same = [f"w{x}" for x in rng.permutation(400)]
+    w = Words(pa.array([" ".join(same), " ".join(same[200:] + same[:200])], pa.string()))
+    outline = order_minhash.outlines(w)
+    assert order_minhash._far(outline[:1], outline[1:], w.n[:1], w.n[1:], 0.8)[0] < 0  # the same words, halves exchanged
 
 
 @pytest.mark.parametrize("rate", [0.1, 0.15, 0.2])

@@ -58,9 +58,18 @@ def read_decisions(spark: SparkSession, path: str, key: str) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, folder: str, manifest: DataFrame, name: str = "file_name", status: str = "status", found: str = "full_text_found") -> DataFrame:
-    """Manifest rows with their text bodies; rows of another status or without a file have none."""
-    bodies = spark.read.text(folder, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("_f"), F.col("value").alias("body"))
-    return manifest.join(bodies, (F.col(name) == F.col("_f")) & (F.col(status) == found), "left").drop("_f")
+    """Manifest rows with their text bodies, from any folder below; rows of another status or without a file have none.
+
+    A name may be a path: then the file's own path must end with it. Of several files that fit, the first by path counts.
+    """
+    decoded = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
+    bodies = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True).select(decoded.alias("_p"), F.col("value").alias("body"))
+    bodies = bodies.withColumn("_f", F.element_at(F.split("_p", "/"), -1))
+    rows = manifest.select(F.col(name).alias("_n"), F.col(status).alias("_s")).distinct()
+    fits = F.col("_p").endswith(F.concat(F.lit("/"), F.regexp_replace("_n", "^(\\./|/)+", "")))
+    hit = rows.where(F.col("_s") == found).withColumn("_last", F.element_at(F.split("_n", "/"), -1)).join(bodies, (F.col("_last") == F.col("_f")) & fits)
+    first = hit.groupBy("_n").agg(F.min_by("body", "_p").alias("body"))
+    return manifest.join(first.withColumnRenamed("_n", "_name"), (F.col(name) == F.col("_name")) & (F.col(status) == found), "left").drop("_name")
 
 
 def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:

@@ -220,3 +220,58 @@ def deduplicate(citations):
     from .operators import dedupe
 
     return {"unique": dedupe.citations(citations)}
+
+
+@stage("collect", ["answers"], ["candidates", "pages", "failures"], page_size=10, queries=1, target=100, max_pages=5)
+def collect(answers, page_size, queries, target, max_pages):
+    from .sources import connectors
+
+    return connectors.candidate_run(answers, page_size, queries, target, max_pages)
+
+
+@stage("read_payloads", ["payloads"], ["texts"])
+def read_payloads(payloads):
+    from .operators import nested
+
+    return {"texts": nested.json_text(payloads, "source_id", "payload")}
+
+
+@stage("reroute", ["profiles"], ["profiles", "moved"])
+def reroute(profiles):
+    from .operators import claims as C
+
+    rows, log = C.reroute(profiles, [c for c in ("canonical_beverage_id", "canonical_beverage_name", "id", "name") if c in profiles.columns])
+    return {"profiles": rows, "moved": log}
+
+
+@stage("report", ["validated", "proposed", "sources"], ["claims", "table"])
+def report(validated, proposed, sources):
+    from .operators import exports
+
+    rows = exports.public_report(validated, proposed, sources)
+    return {"claims": rows, "table": exports.report_table(rows)}
+
+
+@stage("packet", ["rows", "claims"], ["reports", "rejected"], key="id", most=1_800)
+def packet(rows, claims, key, most):
+    from .operators import evidence as E
+
+    reports, rejected = E.packet_reports(rows, claims, key, most=most)
+    return {"reports": reports, "rejected": rejected}
+
+
+@stage("aliases", ["pairs"], ["roots"])
+def aliases(pairs):
+    from .operators import joins
+
+    return {"roots": joins.closure(pairs)}
+
+
+@stage("complete", ["expected", "answers"], ["rows", "report"], keys="key", values="value", order="seq", fallback="")
+def complete(expected, answers, keys, values, order, fallback):
+    """``keys``, ``values`` and ``order`` are names separated by commas; ``fallback`` stands for each missing value, without one the join is strict."""
+    from .operators import joins
+
+    names = values.split(",")
+    rows, told = joins.completed(expected, answers, keys.split(","), names, order.split(","), {v: F.lit(fallback) for v in names} if fallback else None)
+    return {"rows": rows, "report": told}

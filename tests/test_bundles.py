@@ -8,6 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import stages
 from lodestone.functions import tables
 from lodestone.operators import claims, evidence, exports, joins
 from lodestone.sources import connectors, datasource, files, sinks
@@ -139,6 +140,11 @@ def test_files_of_runs(spark, tmp_path):
     (tmp_path / "texts" / "one.txt").write_text("body\nof one")
     manifest = spark.createDataFrame([("one.txt", "full_text_found"), ("two.txt", "full_text_found"), ("one.txt", "paywalled")], "file_name string, status string")
     assert sorted((r.file_name, r.status, r.body) for r in files.read_texts(spark, str(tmp_path / "texts"), manifest).collect() if r.body) == [("one.txt", "full_text_found", "body\nof one")]
+    for folder, text in (("a", "in a"), ("b", "in b")):
+        (tmp_path / "texts" / folder).mkdir()
+        (tmp_path / "texts" / folder / "two +x.txt").write_text(text)
+    paths = spark.createDataFrame([("b/two +x.txt", "full_text_found"), ("two +x.txt", "full_text_found"), ("c/two +x.txt", "full_text_found")], "file_name string, status string")
+    assert {r.file_name: r.body for r in files.read_texts(spark, str(tmp_path / "texts"), paths).collect()} == {"b/two +x.txt": "in b", "two +x.txt": "in a", "c/two +x.txt": None}
 
 
 def test_small_pieces(spark, tmp_path):
@@ -220,3 +226,19 @@ def test_packet_reports(spark):
     assert got[3].positive == "" and got[3].positive_tags == [] and [(r.k, r.direction, r.type) for r in rejected.collect()] == [(1, "mixed", "unsupported_direction_for_report_side")]
     said = spark.createDataFrame([("S", "1 mg", None, "natural_food_level", "few"), ("S", " ", "", "unclear", None)], "s string, d string, p string, f string, c string").select(evidence.claim_sentence(*(F.col(c) for c in "sdpfc")).alias("x")).collect()
     assert [r.x for r in said] == ["S (dose/exposure: 1 mg; evidence form: natural food level; caveat: few).", "S"]
+
+
+def test_more_stages(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{source}/{name}.parquet")
+    put("pairs", [("a", "b"), ("b", "c")], "alias string, target string")
+    put("payloads", [(1, '{"x": ["a", "b"], "link": "no"}'), (2, "{")], "source_id int, payload string")
+    put("expected", [(1,), (2,)], "key int")
+    put("answers", [(1, 1, "v"), (3, 1, "w")], "key int, seq int, value string")
+    assert stages.respond(spark, {"tool": "aliases", "input": {"source": source, "target": target}}) == {"ok": True, "output": {"roots": 2}}
+    assert stages.run_stage(spark, "read_payloads", source, target) == {"texts": 2}
+    assert {r.text for r in stages.read_table(spark, target, "texts").collect()} == {"a b", None}
+    strict = stages.respond(spark, {"tool": "complete", "input": {"source": source, "target": target}})
+    assert not strict["ok"] and strict["error"]["message"] == "incomplete_answers:extra:3,missing:2"
+    assert stages.run_stage(spark, "complete", source, target, fallback="none") == {"rows": 2, "report": 2}
+    assert {"collect", "reroute", "report", "packet"} <= set(stages.respond(spark, {"tool": "list"})["output"])

@@ -122,6 +122,15 @@ def write_final(merges: DataFrame, folder: str, at: str) -> DataFrame:
     return broken.unionByName(slugless(sound))
 
 
+def publish_final(merges: DataFrame, folder: str, at: str) -> dict[str, str]:
+    """The same tables and the rows left out as one published bundle: readers see all of them or the version before."""
+    from ..sources.sinks import write_bundle
+
+    sound, broken = checked(merges)
+    tables = {"main": main_rows(sound, at), "effects": effect_rows(sound, at), "tags": tag_rows(sound, at), "rejected": broken.unionByName(slugless(sound))}
+    return write_bundle(folder, tables, csv={"main": (MAIN, order()), "effects": (EFFECTS, order("effect_bucket", "effect_slug")), "tags": (TAGS, order("tag_type", "tag", "source_bucket"))})
+
+
 def stable_id(kind: str, *parts: Column) -> Column:
     """A name-based UUID of the kind and the normalised parts."""
     return uuid5(NAMESPACE, F.concat_ws("|", F.lit(kind), *(name_key(p) for p in parts)))

@@ -44,6 +44,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, mode="FAILFAST")
 
 
+def distinct_names(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The different names in a field of JSON lines, trimmed, without blank ones, in order."""
+    rows = read_jsonl(spark, path, f"`{name}` string").select(F.trim(F.col(f"`{name}`")).alias(name))
+    return rows.where(F.col(name) != "").distinct().orderBy(name)
+
+
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A file that holds an array of records (or one record)."""
     return spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")

@@ -125,6 +125,8 @@ def test_files_of_runs(spark, tmp_path):
     lines = tmp_path / "lines.jsonl"
     lines.write_text('{"a": 1}\n\n{"a": 2}\n')
     assert sorted(r.a for r in files.read_jsonl(spark, str(lines), "a int").collect()) == [1, 2]
+    (tmp_path / "names.jsonl").write_text('{"n": " b"}\n{"n": "a"}\n\n{"n": "b"}\n{"n": " "}\n{"m": "x"}\n')
+    assert [r.n for r in files.distinct_names(spark, str(tmp_path / "names.jsonl"), "n").collect()] == ["a", "b"]
     (tmp_path / "bad.jsonl").write_text('{"a": 1}\n{"a":\n')
     with pytest.raises(Exception):
         files.read_jsonl(spark, str(tmp_path / "bad.jsonl"), "a int").collect()

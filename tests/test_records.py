@@ -153,6 +153,8 @@ def test_final_export(spark, tmp_path):
     assert read("main").columns == exports.MAIN and [r[1] for r in read("main").collect()] == ["Alpha", "beta"] and read("effects").columns == exports.EFFECTS and read("effects").count() == 3
     tags = {(r.tag, r.tag_type, r.source_bucket): r.score for r in read("tags").collect() if r.canonical_beverage_id == "2"}
     assert tags["b", "effect_slug", "strong_evidence"] == "0.9" and ("label x", "effect_label", "strong_evidence") in tags and ("has_cautionary_effects", "routing_flag", "negative_or_cautionary_effects") in tags and ("unknown", "source_type", "ingredient") in tags
+    paths = exports.publish_final(merges, f"{tmp_path}/bundle", "T")
+    assert sinks.manifest(spark, f"{tmp_path}/bundle")["tables"] == {"main": 2, "effects": 3, "tags": read("tags").count(), "rejected": 2} and spark.read.csv(paths["main"], header=True, escape='"').columns == exports.MAIN
     assert exports.checked(merges.unionAll(merges.where("id = '1'")))[1].where("problem = 'duplicate_canonical_beverage_id:1'").count() == 2
 
 

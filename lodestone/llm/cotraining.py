@@ -12,7 +12,8 @@ and class, if that is more; all unlabelled documents compete for these places.
 
 Cases: null source, language or length have a bucket of their own; a null text counts as empty and is scored by its
 metadata and an empty trigram profile; with labels of one class only, every score is that class; with none, 0.5;
-repeated rows, rows without an id and rows that share an id each get their row; ids may be of any type; an empty table
+repeated rows, rows without an id and rows that share an id each get their row; ids may be of any type; documents with
+equal confidence go by the smaller id; very long texts are profiled whole, in chunks of whole documents; an empty table
 gives no rows; columns other than the named ones are ignored.
 """
 

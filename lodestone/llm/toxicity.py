@@ -12,7 +12,9 @@ that look most suspicious by the log odds of its words and their beginnings, and
 
 Cases: a null, empty or wordless text has one window without words and gets that window's calibrated score; documents
 shorter than a window have one; without labels of both classes every score is the share of the class seen (0
-without labels); repeated rows each get their row; an empty table gives no rows; other columns are ignored.
+without labels); repeated rows and rows that share an id each get their row, judged by their own text; very long texts are
+read whole, window by window; windows with equal scores are as good as each other, as only their largest score and their
+sum count; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

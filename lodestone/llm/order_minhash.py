@@ -602,7 +602,8 @@ def classes(heads: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> Dat
 
 def _aligned(heads: DataFrame, rows: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     """The links (a, b, similarity) among the pairs (a, b) of nodes."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    each = [pairs.select(F.col(c).alias("node")).distinct() for c in "ab"]  # a node stands in many pairs: reduced before both sides meet
+    wanted = each[0].unionByName(each[1]).distinct()
     wanted = cut(heads.select("node", F.col("id").alias("_id"), F.col("key").alias("_key")).join(wanted, "node", "left_semi"))
     wanted = F.broadcast(wanted) if wanted.count() <= IDS else wanted
     some = rows.join(wanted, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")))

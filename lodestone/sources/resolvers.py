@@ -111,12 +111,14 @@ def resolved(sources: DataFrame, answers: DataFrame) -> DataFrame:
     no = F.lit(None).cast("string")
     own = F.concat(F.array(_candidate(F.concat(F.lit("pmc:"), F.nullif(F.col("pmcid"), F.lit(""))), "pmc_oa_xml", "pmc", no, 0)), F.array(*(_candidate(F.concat(page, F.lit(tail)), m, k, no, 1, i) for i, (tail, m, k) in enumerate(MDPI_FORMS))))
     asked = answers.join(sources.where(doi.isNotNull()).select("source_id"), "source_id", "left_semi")
-    told = None
-    for service, schema, read in (("unpaywall", UNPAYWALL, _unpaywall), ("openalex", OPENALEX, _openalex), ("crossref", CROSSREF, _crossref)):
-        # one parse of each answer: a generator keeps the parsed value from being copied into the expressions above it
-        parsed = asked.where(F.col("service") == service).select("source_id", F.explode(F.array(F.from_json("payload", schema))).alias("p"))
-        found = parsed.select("source_id", F.explode(read(F.col("p"))).alias("c"))
-        told = found if told is None else told.unionByName(found)
+    services = {"unpaywall": (UNPAYWALL, _unpaywall), "openalex": (OPENALEX, _openalex), "crossref": (CROSSREF, _crossref)}
+    # one parse of each answer: a generator keeps the parsed value from being copied into the expressions above it
+    parsed = F.struct(*(F.when(F.col("service") == s, F.from_json("payload", schema)).alias(s) for s, (schema, _) in services.items()))
+    asked = asked.where(F.col("service").isin(*services)).select("source_id", "service", F.explode(F.array(parsed)).alias("p"))
+    of = F.lit(None).cast(_NONE)
+    for service, (_, read) in services.items():
+        of = F.when(F.col("service") == service, read(F.col("p")[service])).otherwise(of)
+    told = asked.select("source_id", F.explode(of).alias("c"))
     every = sources.select("source_id", F.explode(own).alias("c")).unionByName(told).select("source_id", "c.*").where("coalesce(url, '') <> ''")
     every = every.where(is_url(F.col("url")) | F.col("url").startswith("pmc:"))
     order = ["tier", "o0", "o1", "o2"]

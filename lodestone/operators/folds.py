@@ -63,9 +63,12 @@ def places(df: DataFrame, keys: list[str], order: list[str], bucket: Column, nam
     return numbered.join(before, same).withColumn(name, F.col("_i") + F.col("_before")).select(*df.columns, name)
 
 
-def attempts(df: DataFrame, key: str, order: list[str], previous: DataFrame | None = None) -> DataFrame:
-    """Attempt numbers of each key from 1, or from the largest number that ``previous`` has, plus 1."""
-    out = df.withColumn("attempt", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+def attempts(df: DataFrame, key: str, order: list[str], previous: DataFrame | None = None, bucket: Column | None = None) -> DataFrame:
+    """Attempt numbers of each key from 1, or from the largest number that ``previous`` has, plus 1.
+
+    With a ``bucket`` that never falls as ``order`` rises, as for ``places``, no task orders all attempts of a key.
+    """
+    out = df.withColumn("attempt", F.row_number().over(Window.partitionBy(key).orderBy(*order))) if bucket is None else places(df, [key], order, bucket, "attempt")
     if previous is None:
         return out
     most = previous.groupBy(key).agg(F.max("attempt").alias("_most"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone import stages
 from lodestone.functions import tables
-from lodestone.operators import claims, evidence, exports, joins
+from lodestone.operators import claims, evidence, exports, folds, joins
 from lodestone.sources import connectors, datasource, files, sinks
 
 
@@ -244,3 +244,11 @@ def test_more_stages(spark, tmp_path):
     assert not strict["ok"] and strict["error"]["message"] == "incomplete_answers:extra:3,missing:2"
     assert stages.run_stage(spark, "complete", source, target, fallback="none") == {"rows": 2, "report": 2}
     assert {"collect", "reroute", "report", "packet"} <= set(stages.respond(spark, {"tool": "list"})["output"])
+
+
+def test_attempts_of_a_hot_key(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "rare").otherwise("hot").alias("k"), F.col("id").alias("at"))
+    before = spark.createDataFrame([("hot", 7)], "k string, attempt int")
+    one = folds.attempts(rows, "k", ["at"], before)
+    split = folds.attempts(rows.repartition(5), "k", ["at"], before, F.expr("at div 100"))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, split.select(*one.columns).collect()))

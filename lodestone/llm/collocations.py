@@ -9,7 +9,7 @@ lengths the counts. Counts of shards meet by key in Spark:
 2. pairs, then triples, all of whose parts may be frequent, by a hash: which may be frequent themselves;
 3. phrases of 2 to 4 words all of whose parts may be frequent, by their text.
 
-No phrase can be more frequent than its parts, so nothing that reaches ``LEAST`` is lost on the way; where hashes meet,
+No phrase can be more frequent than its parts, so nothing that reaches ``least`` is lost on the way; where hashes meet,
 more passes and is counted by its text. What is known of words, pairs and triples travels as bitmaps of ``BITS`` bits,
 whatever the corpus; on a very large one more phrases pass them, and the counts stay the same. Cuts, containment and
 ranks are joins and aggregates over the frequent phrases.

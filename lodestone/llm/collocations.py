@@ -60,9 +60,12 @@ def shards(batches, size: int = SHARD):
 
 
 class Shard:
-    """The words of a shard: an id for each place, the pieces' ends, and the distinct words."""
+    """The words of a shard: an id for each place, the pieces' ends, and the distinct words.
 
-    def __init__(self, low: np.ndarray, at: np.ndarray, langs: np.ndarray):
+    ``exact`` tells words with one hash apart by their bytes; where hashes are all that counts, they may stay one.
+    """
+
+    def __init__(self, low: np.ndarray, at: np.ndarray, langs: np.ndarray, exact: bool = True):
         inside = ~(_GAPS[low] | _ENDS[low])
         first = np.zeros(len(low), bool)
         first[at] = True
@@ -78,7 +81,7 @@ class Shard:
         lang = lang[piece]
         key = mix(span_hash(prefix_sums(low), start, end) * U64(0xD6E8FEB86659FD93) + salt[lang]) if len(start) else np.zeros(0, U64)
         self.hash, where, self.id = np.unique(key, return_index=True, return_inverse=True)
-        if (lang != lang[where][self.id]).any() or not same_bytes(low, start, end, where, self.id):  # two words with one hash: told apart by their bytes
+        if exact and ((lang != lang[where][self.id]).any() or not same_bytes(low, start, end, where, self.id)):  # two words with one hash: told apart by their bytes
             known: dict = {}
             self.id = np.array([known.setdefault((c, low[a:b].tobytes()), len(known)) for c, a, b in zip(lang.tolist(), start.tolist(), end.tolist())])
             where = np.unique(self.id, return_index=True)[1]
@@ -209,16 +212,16 @@ def _rows(s: Shard, places: np.ndarray, counts: np.ndarray, n: int, extra: dict
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """Every word of every language: lang, phrase, size (1), h (the upper half of its hash), n."""
+    """Every word of every language: lang, phrase, h (the upper half of its hash), n."""
 
     def found(batches):
         for x in shards(batches):
             s = Shard(*x)
             [(places, counts)] = s.counts([1])
-            yield _rows(s, places, counts, 1, {"h": pa.array(_upper(s.hash[s.id[places]]))})
+            yield _rows(s, places, counts, 1, {"h": pa.array(_upper(s.hash[s.id[places]]))}).drop_columns(["size"])
 
-    rows = docs.mapInArrow(found, "lang string, phrase string, size int, n long, h int")
-    return rows.groupBy("lang", "phrase", "size", "h").agg(F.sum("n").alias("n"))
+    rows = docs.mapInArrow(found, "lang string, phrase string, n long, h int")
+    return rows.groupBy("lang", "phrase", "h").agg(F.sum("n").alias("n"))
 
 
 def count_hashes(docs: DataFrame, bits: list, n: int) -> DataFrame:
@@ -226,7 +229,7 @@ def count_hashes(docs: DataFrame, bits: list, n: int) -> DataFrame:
 
     def found(batches):
         for x in shards(batches):
-            s = Shard(*x)
+            s = Shard(*x, exact=False)
             words = s.hash[s.id]
             s.narrow(bits, n)
             [(places, counts)] = s.counts([n])
@@ -263,7 +266,7 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     for n in range(2, longest):
         bits.append(_bitmap(count_hashes(docs, bits, n).where(F.col("n") >= least).select("h")))
     phrases = count_phrases(docs, bits, longest).where(F.col("n") >= least)
-    return cut(known.drop("h").unionByName(phrases)), totals
+    return cut(known.select("lang", "phrase", F.lit(1).alias("size"), "n").unionByName(phrases)), totals
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, longest: int = LONGEST, covered: int = 80, top: int | None = 2000) -> DataFrame:

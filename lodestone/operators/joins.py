@@ -137,8 +137,8 @@ def closure(pairs: DataFrame, alias: str = "alias", target: str = "target") -> D
     """(alias, root, steps, status) of a table of aliases: the end of each chain, by doubling the pointers.
 
     Each round looks up the rows that have not arrived at where they point to and goes on from there, so that a chain of n
-    steps takes log2 n rounds. What has not arrived after as many rounds as the longest possible chain needs goes in a
-    circle or runs into one: status ``cycle``, root and steps null. An alias with several targets takes the smallest and is
+    steps takes log2 n rounds. A chain that ends has a row at each distance from its end, so that each round lets rows
+    arrive until all have: what is left when none arrives goes in a circle or runs into one: status ``cycle``, root and steps null. An alias with several targets takes the smallest and is
     ``ambiguous``; others are ``resolved``. Null and blank aliases and targets are no aliases; one that points to itself is a
     circle.
     """
@@ -148,12 +148,11 @@ def closure(pairs: DataFrame, alias: str = "alias", target: str = "target") -> D
     # ``done``: nothing stands for the target
     rows = rows.join(known, F.col("to") == F.col("k"), "left").select("alias", "to", F.lit(1).cast("long").alias("steps"), F.col("k").isNull().alias("done"), "several")
     rows = _saved(rows)
-    n = rows.count()
     ready = []
-    for _ in range(max(n, 1).bit_length() + 1):
+    while True:
         ready.append(rows.where("done"))
         open_ = rows.where("not done")
-        if not open_.limit(1).count():
+        if not ready[-1].limit(1).count() or not open_.limit(1).count():
             break
         # a row that has arrived is looked up as well: all rows so far, arrived in any round
         every = ready[0]

@@ -204,3 +204,15 @@ def test_run_over_pages(spark):
     assert [r.title for r in short["candidates"].collect()] == ["a", "b", "c"] and [r.stop for r in short["pages"].collect()] == ["target_reached"] and short["failures"].count() == 0
     none = connectors.candidate_run(answers.limit(0), 4, 2, 3, 5)
     assert none["candidates"].count() == 0 and none["pages"].count() == 2
+
+
+def test_circles_take_no_further_rounds(spark, monkeypatch):
+    rounds = []
+    saved = joins._saved
+    monkeypatch.setattr(joins, "_saved", lambda df: rounds.append(1) or saved(df))
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(5)]
+    circles = [(f"a{i}", f"b{i}") for i in range(200)] + [(f"b{i}", f"a{i}") for i in range(200)] + [("into", "a7")]
+    got = {r.alias: (r.root, r.steps, r.status) for r in joins.closure(spark.createDataFrame(chain + circles, "alias string, target string")).collect()}
+    assert [got[f"c{i}"] for i in range(5)] == [("c5", 5 - i, "resolved") for i in range(5)]
+    assert len(got) == 406 and all(v == (None, None, "cycle") for k, v in got.items() if k[0] != "c")
+    assert len(rounds) <= 6  # of the chain, not of the circles

@@ -46,12 +46,15 @@ def deltas(df: DataFrame, order: str, total: str) -> DataFrame:
     return out.withColumn("zero_rounds", F.col("_n") - F.coalesce(last, F.lit(0))).drop("_n")
 
 
-def places(df: DataFrame, keys: list[str], order: list[str], bucket: Column, name: str = "place") -> DataFrame:
+def places(df: DataFrame, keys: list[str], order: list[str], bucket: Column, name: str = "place", within: Column | None = None) -> DataFrame:
     """Each row's number from 1 among the rows of its keys (none: all rows) by ``order``, without ordering a key in one task.
 
     ``bucket`` never falls as ``order`` rises, such as the hour of a time or the quotient of an id. Rows are numbered
     within their bucket; the numbers of rows in earlier buckets, counted before the shuffle, are added. Null keys are a key.
+    ``within`` parts the rows of a bucket, for buckets that are large themselves: it never falls as ``order`` rises in a bucket.
     """
+    if within is not None:
+        return _places_within(df, keys, order, bucket, within, name)
     rows = df.withColumn("_b", bucket)
     counts = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
     earlier = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
@@ -63,6 +66,17 @@ def places(df: DataFrame, keys: list[str], order: list[str], bucket: Column, nam
     return numbered.join(before, same).withColumn(name, F.col("_i") + F.col("_before")).select(*df.columns, name)
 
 
+def _places_within(df: DataFrame, keys: list[str], order: list[str], bucket: Column, within: Column, name: str) -> DataFrame:
+    # structs are never null: rows are numbered and joined in one partitioning
+    rows = df.withColumn("_b", F.struct(F.struct(*keys, bucket.alias("_of")).alias("of"), within.alias("part")))
+    counts = rows.groupBy("_b").agg(F.count("*").alias("_n"))
+    earlier = lambda *of: F.coalesce(F.sum("_n").over(Window.partitionBy(*of[:-1]).orderBy(of[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = counts.groupBy(F.col("_b.of").alias("_of")).agg(F.sum("_n").alias("_n")).withColumn("_earlier", earlier(*(f"_of.{k}" for k in keys), "_of._of")).drop("_n")
+    before = counts.withColumn("_own", earlier("_b.of", "_b.part")).join(whole, F.col("_b.of") == F.col("_of")).select(F.col("_b").alias("_at"), (F.col("_own") + F.col("_earlier")).alias("_before"))
+    numbered = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
+    return numbered.join(before, F.col("_b") == F.col("_at")).withColumn(name, F.col("_i") + F.col("_before")).select(*df.columns, name)
+
+
 def attempts(df: DataFrame, key: str, order: list[str], previous: DataFrame | None = None, bucket: Column | None = None) -> DataFrame:
     """Attempt numbers of each key from 1, or from the largest number that ``previous`` has, plus 1.
 

@@ -1,43 +1,84 @@
 """Strings of nested JSON documents, at any depth and of any length, in document order.
 
-A document is taken apart into its strings and its punctuation, one row each. Depth is a running sum over the rows, the end
-of a value is the next comma or closing bracket on its level, and what stands between a skipped key and that end goes. So
-neither the depth of a document nor the length of a string meets a recursive pattern or a parser's tree, and a document
-that is large for one task is rows that may spill.
+A document is read once from left to right, token by token: depth is a number, and what stands between a skipped key and
+the next comma or closing bracket on its level goes. So neither the depth of a document nor the length of a string meets a
+recursive pattern or a parser's tree, the strings of a document stay in its row, and nothing is sorted or shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import json
+import re
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import collapse
 
 #: Keys whose values the article services repeat (fixed values).
 SKIPPED_KEYS = ("coredata", "link")
-# A document has no raw control characters, so these stand for an escaped backslash and an escaped quote meanwhile.
-_SLASH, _QUOTE = "\x01", "\x02"
-_TOKEN = r'"[^"]*+"|[\[\]{},:]'
-
-
-def _masked(payload: Column) -> Column:
-    return F.replace(F.replace(payload, F.lit("\\\\"), F.lit(_SLASH)), F.lit('\\"'), F.lit(_QUOTE))
+_TOKEN = re.compile(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[\[\]{},:]', re.DOTALL)
 
 
 def _string(token: Column) -> Column:
-    """The string that a masked token writes."""
-    written = F.replace(F.replace(token, F.lit(_QUOTE), F.lit('\\"')), F.lit(_SLASH), F.lit("\\\\"))
+    """The string that a token writes."""
     plain = F.substring(token, F.lit(2), F.length(token) - 2)
-    escaped = F.contains(token, F.lit("\\")) | F.contains(token, F.lit(_QUOTE)) | F.contains(token, F.lit(_SLASH))
-    return F.when(escaped, F.get(F.from_json(F.concat(F.lit("["), written, F.lit("]")), "array<string>"), F.lit(0))).otherwise(plain)
-
-
-def json_tokens(rows: DataFrame, id_col: str, payload_col: str) -> DataFrame:
-    """(id, at, token, depth, level): strings and punctuation of valid documents; ``depth`` after the token, ``level`` of the container that it belongs to or ends."""
-    valid = F.get_json_object(F.col(payload_col), "$").isNotNull()
-    tokens = rows.where(valid).select(F.col(id_col).alias("id"), F.posexplode(F.regexp_extract_all(_masked(F.col(payload_col)), F.lit(_TOKEN), F.lit(0))).alias("at", "token"))
-    step = F.when(F.col("token").isin("{", "["), 1).when(F.col("token").isin("}", "]"), -1).otherwise(0)
-    depth = F.sum(step).over(Window.partitionBy("id").orderBy("at"))
-    return tokens.withColumn("depth", depth).withColumn("level", F.col("depth") + F.when(step == -1, 1).otherwise(0))
+    return F.when(F.contains(token, F.lit("\\")), F.get(F.from_json(F.concat(F.lit("["), token, F.lit("]")), "array<string>"), F.lit(0))).otherwise(plain)
+
+
+def _named(token: str, names: tuple[str, ...]) -> bool:
+    if "\\" in token:
+        try:
+            return json.loads(token, strict=False) in names
+        except ValueError:
+            return False
+    return token[1:-1] in names
+
+
+def string_tokens(document: str, skipped: tuple[str, ...] = SKIPPED_KEYS):
+    """(number, token) of the strings of a document as they are written, keys and the values of skipped keys left out."""
+    depth, quiet, held = 0, None, None  # quiet: the level of the skipped key
+    for at, m in enumerate(_TOKEN.finditer(document)):
+        token = m.group()
+        kind = token[0]
+        if held is not None:
+            if kind != ":":
+                if quiet is None:
+                    yield held
+            elif quiet is None and _named(held[1], skipped):
+                quiet = depth
+            held = None
+        if kind == '"':
+            held = at, token
+        elif kind in "[{":
+            depth += 1
+        elif kind in ",]}":
+            if quiet == depth:
+                quiet = None
+            depth -= kind != ","
+    if held is not None and quiet is None:
+        yield held
+
+
+def _strings(payload: Column, skipped: tuple[str, ...]) -> Column:
+    """The strings of a document as array<struct<at, text>>, white space collapsed and blank ones gone; null for a broken one."""
+
+    @F.arrow_udf("array<struct<at:int,token:string>>")
+    def run(documents: pa.Array) -> pa.Array:
+        upto, places, tokens, known = [0], [], [], []
+        for x in documents:
+            if x.is_valid:
+                for at, token in string_tokens(x.as_py(), skipped):
+                    places.append(at)
+                    tokens.append(token)
+            known.append(x.is_valid)
+            upto.append(len(tokens))
+        fields = [pa.field("at", pa.int32()), pa.field("token", pa.string())]
+        return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.StructArray.from_arrays([pa.array(places, pa.int32()), pa.array(tokens, pa.string())], fields=fields), mask=pa.array([not k for k in known], pa.bool_()))
+
+    found = run(F.when(F.get_json_object(payload, "$").isNotNull(), payload))
+    told = F.transform(found, lambda t: F.struct(t["at"].alias("at"), collapse(_string(t["token"])).alias("text")))
+    return F.filter(told, lambda t: t["text"] != "")
 
 
 def json_strings(rows: DataFrame, id_col: str, payload_col: str, skipped: tuple[str, ...] = SKIPPED_KEYS) -> DataFrame:
@@ -46,21 +87,10 @@ def json_strings(rows: DataFrame, id_col: str, payload_col: str, skipped: tuple[
     Cases: null and broken documents have no strings; a document may be a lone string; a repeated key counts each time;
     numbers, truth values and nulls are no strings; ids name one document each; an empty table gives no rows.
     """
-    tokens = json_tokens(rows, id_col, payload_col)
-    in_order = Window.partitionBy("id").orderBy("at")
-    tokens = tokens.withColumn("key", F.coalesce(F.lead("token").over(in_order) == ":", F.lit(False)) & F.col("token").startswith('"'))
-    ends = F.when(F.col("token").isin(",", "}", "]"), F.col("at"))
-    after = F.min(ends).over(Window.partitionBy("id", "level").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1))
-    skips = F.col("key") & _string(F.col("token")).isin(*skipped)
-    tokens = tokens.withColumn("until", F.when(skips, after))
-    silent = F.coalesce(F.max("until").over(in_order) > F.col("at"), F.lit(False))
-    kept = tokens.withColumn("silent", silent).where(~F.col("silent") & ~F.col("key") & F.col("token").startswith('"'))
-    return kept.select(F.col("id").alias(id_col), "at", collapse(_string(F.col("token"))).alias("text")).where("text <> ''")
+    each = rows.select(F.col(id_col), F.explode(_strings(F.col(payload_col), skipped)).alias("_s"))
+    return each.select(id_col, "_s.at", "_s.text")
 
 
 def json_text(rows: DataFrame, id_col: str, payload_col: str, skipped: tuple[str, ...] = SKIPPED_KEYS) -> DataFrame:
     """(id, text): the strings of each document joined by spaces; '' for a document without strings, null for a broken one."""
-    found = json_strings(rows, id_col, payload_col, skipped).groupBy(F.col(id_col).alias("_id")).agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("all"))
-    joined = F.array_join(F.transform("all", lambda s: s["text"]), " ")
-    valid = F.get_json_object(F.col(payload_col), "$").isNotNull()
-    return rows.select(id_col, valid.alias("_valid")).join(found, F.col(id_col) == F.col("_id"), "left").select(id_col, F.when(F.col("_valid"), F.coalesce(joined, F.lit(""))).alias("text"))
+    return rows.select(id_col, F.array_join(F.transform(_strings(F.col(payload_col), skipped), lambda t: t["text"]), " ").alias("text"))

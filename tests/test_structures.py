@@ -5,6 +5,8 @@ import json
 import random
 
 
+from pyspark.sql import functions as F
+
 from lodestone.operators import joins, nested, papers
 from lodestone.sources import connectors
 from lodestone.streaming import items
@@ -216,3 +218,52 @@ def test_circles_take_no_further_rounds(spark, monkeypatch):
     assert [got[f"c{i}"] for i in range(5)] == [("c5", 5 - i, "resolved") for i in range(5)]
     assert len(got) == 406 and all(v == (None, None, "cycle") for k, v in got.items() if k[0] != "c")
     assert len(rounds) <= 6  # of the chain, not of the circles
+
+
+def test_strings_of_documents_stay_in_their_rows(spark):
+    rows = spark.createDataFrame([(1, '{"a": ["x\\"y", {"link": {"b": ["gone", "gone"]}, "c": " z  w "}], "lin\\u006b": "gone", "d": ["", "link"]}'), (2, "[broken"), (3, '"alone"')], "id long, payload string")
+    out = nested.json_text(rows, "id", "payload")
+    assert {r.id: r.text for r in out.collect()} == {1: 'x"y z w link', 2: None, 3: "alone"}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_candidates_are_shuffled_once(spark):
+    from lodestone.sources import resolvers
+
+    sources = spark.createDataFrame([(1, "10.1/x", None)], "source_id long, doi string, pmcid string")
+    place = {"url": "https://a.org/1", "url_for_pdf": "https://a.org/1.pdf", "version": "publishedVersion"}
+    answers = spark.createDataFrame([(1, "unpaywall", json.dumps({"is_oa": True, "oa_locations": [place, place]})), (1, "crossref", json.dumps({"link": [{"URL": "https://a.org/1.pdf", "content-type": "application/pdf"}]}))], "source_id long, service string, payload string")
+    out = resolvers.resolved(sources, answers)
+    assert [tuple(r) for r in out.orderBy("rank").select("rank", "url", "method").collect()] == [(1, "https://a.org/1.pdf", "unpaywall_pdf"), (2, "https://a.org/1", "unpaywall_landing_page")]
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_places_part_large_buckets(spark):
+    from lodestone.operators import folds
+
+    rows = [(e, c, i) for e in ("a", "B", None) for c in ("1", "2", None) for i in range(3)]
+    df = spark.createDataFrame(rows, "e string, c string, i int")
+    got = {tuple(r)[:3]: r.place for r in folds.places(df, [], [F.lower("e"), "c", "i"], F.lower("e"), within=F.col("c")).collect()}
+    first = lambda x: (x is not None, x or "")
+    want = sorted(rows, key=lambda r: (first(r[0] and r[0].lower()), first(r[1]), r[2]))
+    assert got == {r: k for k, r in enumerate(want, 1)}
+
+
+def test_spans_are_cut_from_packed_batches(spark, monkeypatch):
+    from lodestone.operators import evidence
+
+    monkeypatch.setattr(evidence, "HELD", 5)
+    df = spark.createDataFrame([(i, f"one two  three {i}", s) for i, s in enumerate(["TWO three", None, " ", "absent", "one"] * 3)] + [(99, None, "x")], "i int, t string, s string")
+    got = {r.i: r.x for r in df.select("i", evidence.remove_spans(F.col("t"), F.col("s")).alias("x")).collect()}
+    assert [got[k] for k in range(5)] == ["one   0", "one two  three 1", "one two  three 2", "one two  three 3", "two  three 4"] and got[99] is None and len(got) == 16
+
+
+def test_file_names_of_long_texts(spark):
+    import re
+
+    from lodestone.functions import text as T
+
+    values = ["ab c" * 500, " " * 600 + "x y", "a" + "_" * 900, "a" + "_" * 900 + "b", "_" * 470 + "q" * 300, "ü" * 481, "w-" * 241, "x" * 120 + " " * 500]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(values)), "i int, v string").orderBy("i").select(T.safe_file_name(F.col("v"))).collect()]
+    assert got == [re.sub("^_+|_+$", "", re.sub("[^a-zA-Z0-9._-]+", "_", v))[:120] for v in values]

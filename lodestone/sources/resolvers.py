@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import normalize_doi
+from ..functions.text import let, normalize_doi
 
 # Formats of the services (the fields that are used), versions by preference, ISSNs by journal code.
 _PLACE = "struct<url:string,url_for_pdf:string,url_for_landing_page:string,landing_page_url:string,pdf_url:string,version:string,host_type:string,license:string>"
@@ -122,8 +122,10 @@ def resolved(sources: DataFrame, answers: DataFrame) -> DataFrame:
     every = sources.select("source_id", F.explode(own).alias("c")).unionByName(told).select("source_id", "c.*").where("coalesce(url, '') <> ''")
     every = every.where(is_url(F.col("url")) | F.col("url").startswith("pmc:"))
     order = ["tier", "o0", "o1", "o2"]
-    once = every.groupBy("source_id", "url").agg(F.min(F.struct(*order, "method", "kind", "license")).alias("c"))
-    ranked = once.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("c", "url"))).alias("all"))
+    # one shuffle: a source's addresses are brought together once, and the first place of each is found there
+    whole = every.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("url", F.struct(*order, "method", "kind", "license").alias("c")))).alias("all"))
+    once = let(F.col("all"), lambda s: F.filter(s, lambda x, i: (i == 0) | (x["url"] != F.get(s, i - 1)["url"])))
+    ranked = whole.select("source_id", F.sort_array(F.transform(once, lambda x: F.struct(x["c"].alias("c"), x["url"].alias("url")))).alias("all"))
     flat = ranked.select("source_id", F.posexplode("all").alias("i", "x"))
     return flat.select("source_id", (F.col("i") + 1).alias("rank"), F.col("x.url").alias("url"), F.col("x.c.method").alias("method"), F.col("x.c.kind").alias("kind"), F.col("x.c.license").alias("license"))
 

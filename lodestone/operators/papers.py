@@ -37,7 +37,8 @@ PREVIEWS = [("this is a preview of subscription content",), ("restricted access"
 
 _EDGE = r"[\p{L}\p{N}_]"
 _WORD = "(?i:" + "|".join([*(r"\s+".join(r"\s*".join(w) for w in s.split()) for s in SPACED), *PLAIN]) + f")(?!{_EDGE})"
-_CUT = rf"(?<!{_EDGE})(?<!(?i:materials?)\s{{1,9}}(?i:and|&)\s{{1,9}})(?={_WORD})"
+# cheap tests first: the look back over "materials and" is made only where a heading's word stands
+_CUT = rf"(?=[abcdikmprswABCDIKMPRSW])(?<!{_EDGE})(?={_WORD})(?<!(?i:materials?)\s{{1,9}}(?i:and|&)\s{{1,9}})"
 #: Characters of a piece that are looked at around its word.
 _NEAR = 240
 

@@ -5,7 +5,8 @@
    sketch. It agrees for documents that share the strings and their order, as edit-similar texts do.
 2. Documents with the same words are one class at once; a representative stands for them.
 3. Rows (sketch, representative) are range-partitioned by both, so that a sketch that very many documents share is
-   spread over tasks. At first each member of a group is a candidate with the group's first. Groups are then
+   spread over tasks. At first each member of a group is a candidate with the group's first, in groups of more than
+   two only with the ``LEADS`` firsts that it shares most sketches with. Groups are then
    completed in rounds: of their members that are not yet in one class, all pairs are candidates unless lengths and
    outlines (counts of words by place and hash) prove that they are no link. Large groups meet block by block, across
    tasks; earlier rounds only try each member's nearest partners, the last tries all. So every pair that agrees on a
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import IDS, U64, Words, chunks, cut, mix, numbered, parts, ranges, renumbered
 
@@ -37,6 +38,8 @@ AT_ONCE = 2_048
 SECTIONS = 3
 #: Partners of a row and block in the rounds that complete the groups; the last takes all.
 PARTNERS = (2, None)
+#: First ids of its groups that a row is compared with at first; those of groups that are completed anyway wait beyond.
+LEADS = 4
 #: Links that one task may label.
 EDGES = 1_000_000
 #: Rows of a partition of sketches, and rows of it that are read at a time.
@@ -159,7 +162,9 @@ def _dealt(batches):
 
 
 def _first_pairs(batches):
-    """Of a sorted range of (sketch, id): each group's first id with the others, as (sketch null, a, b); rows (sketch, id, null) of groups with further pairs.
+    """Of a sorted range of (sketch, id): each group's first id with the others, as (sketch null, a, b, last); rows (sketch, id, null, null) of groups with further pairs.
+
+    ``last``: the pair stands in a group without further pairs, which is not completed later.
 
     A group that goes on in the next batch keeps its first id; one at an end of the range may go on in another task.
     """
@@ -182,12 +187,12 @@ def _first_pairs(batches):
         open_[-1] = True
         key, lead = sketch[-1], head[-1]
         mine = np.repeat(head, size)
-        pair = np.unique(np.stack([mine, ids], 1)[mine != ids], axis=0)
         row = np.repeat(open_, size)
+        pair = np.unique(np.stack([mine, ids, ~row], 1)[mine != ids], axis=0)
         k = int(row.sum())
         gone = np.arange(k + len(pair)) >= k
         return pa.record_batch(
-            [pa.array(np.append(sketch[row], np.zeros(len(pair), np.int64)), mask=gone), pa.array(np.append(ids[row], np.minimum(pair[:, 0], pair[:, 1]))), pa.array(np.append(np.zeros(k, np.int64), np.maximum(pair[:, 0], pair[:, 1])), mask=~gone)], ["sketch", "a", "b"]
+            [pa.array(np.append(sketch[row], np.zeros(len(pair), np.int64)), mask=gone), pa.array(np.append(ids[row], np.minimum(pair[:, 0], pair[:, 1]))), pa.array(np.append(np.zeros(k, np.int64), np.maximum(pair[:, 0], pair[:, 1])), mask=~gone), pa.array(np.append(np.zeros(k, np.int64), pair[:, 2]) > 0, mask=~gone)], ["sketch", "a", "b", "last"]
         )
 
     first = True
@@ -201,6 +206,15 @@ def _first_pairs(batches):
         yield settle(first, True)
 
 
+def _spread(batches):
+    """A row (sketch, id, label) for each sketch of a row (id, sketches, label)."""
+    for batch in batches:
+        if batch.num_rows:
+            listed = batch.column("sketches")
+            at = pa.array(np.repeat(np.arange(batch.num_rows), listed.value_lengths().to_numpy()))
+            yield pa.record_batch([listed.flatten(), batch.column("id").take(at), batch.column("label").take(at)], ["sketch", "id", "label"])
+
+
 def _blocked(rows: DataFrame) -> DataFrame:
     """Rows (key, sketch, left, right, id, label) of groups with several labels, a copy for each pair of blocks that a row meets.
 
@@ -575,17 +589,21 @@ def classes(heads: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> Dat
     count = heads.count() * SKETCHES
     dealt = heads.select("node", "sketches").mapInArrow(_dealt, "sketch long, id long")
     ranged = dealt.repartitionByRange(max(parts(spark), count // ROWS + 1), "sketch", "id").sortWithinPartitions("sketch", "id")
-    first = cut(ranged.mapInArrow(_first_pairs, "sketch long, a long, b long"))
+    first = cut(ranged.mapInArrow(_first_pairs, "sketch long, a long, b long, last boolean"))
     shape = heads.select("node", "n", "outline", "sketches")
     of = lambda x: shape.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("outline").alias(f"o{x}"))
-    star = first.where("sketch IS NULL").select("a", "b").distinct()
+    star = first.where("sketch IS NULL").groupBy("a", "b").agg(F.count("*").alias("n"), F.bool_or("last").alias("last"))
+    shared = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))
+    star = star.withColumn("_k", shared).where((F.col("_k") <= LEADS) | F.col("last")).select("a", "b")
     tried = cut(star.join(of("a"), "a").join(of("b"), "b").mapInArrow(_likely(least), "a long, b long"))
     found = _aligned(heads, rows, tried, least)
     label = components(found)
     hot = first.where("sketch IS NOT NULL").select("sketch", F.col("a").alias("id"))
     width = max(parts(spark), hot.count() // ROWS + 1)
+    hot = cut(hot.groupBy("id").agg(F.collect_list("sketch").alias("sketches")))  # labels are looked up once for each row
     for most in PARTNERS:
-        named = hot.join(label.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select("sketch", "id", F.coalesce("label", "id").alias("label"))
+        named = hot.join(label.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select("id", "sketches", F.coalesce("label", "id").alias("label"))
+        named = named.mapInArrow(_spread, "sketch long, id long, label long")
         met = _blocked(cut(named)).join(shape.withColumnRenamed("node", "id"), "id").repartition(width, "key").sortWithinPartitions("key")
         crossed = cut(met.mapInArrow(_crossed(most, least), "a long, b long").distinct())
         more = cut(crossed.where("a is not null").join(tried, ["a", "b"], "left_anti"))

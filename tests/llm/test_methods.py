@@ -375,3 +375,16 @@ def test_proximity_with_several_documents_in_a_chunk(spark):
         lead = min(range(4), key=lambda j: (counts[item[j]], j))
         return any(all(any(abs(p - (s - lead + j)) <= 3 for p in at[t]) for j, t in enumerate(item)) for s in at[item[lead]])
     assert got == {i: near(t.split()) for i, t in enumerate(texts)}
+
+
+def test_first_pairs_tell_which_groups_are_not_completed():
+    import pyarrow as pa
+
+    from lodestone.llm import order_minhash
+
+    batch = pa.record_batch([pa.array([1, 1, 1, 2, 2, 3, 3, 3]), pa.array([1, 2, 3, 4, 5, 1, 2, 3])], ["sketch", "id"])
+    rows = [r for out in order_minhash._first_pairs([batch]) for r in out.to_pylist()]
+    assert {(r["a"], r["b"]): r["last"] for r in rows if r["sketch"] is None} == {(1, 2): False, (1, 3): False, (4, 5): True}
+    assert sorted((r["sketch"], r["a"]) for r in rows if r["sketch"] is not None) == [(1, 1), (1, 2), (1, 3), (3, 1), (3, 2), (3, 3)]
+    spread = pa.record_batch([pa.array([7, 8]), pa.array([[1, 2], [3]]), pa.array([5, 6])], ["id", "sketches", "label"])
+    assert [tuple(r.values()) for out in order_minhash._spread([spread]) for r in out.to_pylist()] == [(1, 7, 5), (2, 7, 5), (3, 8, 6)]

@@ -29,6 +29,8 @@ from .common import U64, cut, parts, prefix_sums, ranges, same_bytes, span_hash,
 
 #: Pieces that are encoded once for the corpus, at most, and their bytes, at most; bytes of a block.
 KNOWN, KNOWN_BYTES, BLOCK = 1 << 18, 48, 1 << 21
+#: Pairs whose ranks a worker remembers (about 170 bytes each).
+PAIRS = 1 << 18
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 0
 #: White space as the pattern's ``\s`` has it.
 _SPACES = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -157,7 +159,7 @@ class Merges:
         key = left << 32 | right
         found = self.pair.get(key)
         if found is None:
-            if len(self.pair) > 1 << 20:
+            if len(self.pair) >= PAIRS:
                 self.pair.clear()
             found = self.pair[key] = self.ranks.get(self.token[left] + self.token[right], -1)
         return found
@@ -304,7 +306,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
     def coded(batch):
         ids, done = batch.column(0), []
         row = -1
-        for data, off, rows in blocks(batch):
+        for data, off, rows in blocks(batch, BLOCK // 2):  # beside the broadcast pieces a worker holds less
             pieces, number, start = distinct(data, off)
             found = list(map(common.value.get, pieces))
             new = [k for k, x in enumerate(found) if x is None]

@@ -243,3 +243,14 @@ def test_suffix_array():
         for k in range(1, 300):
             same = [x == y for x, y in zip(keys[k - 1], keys[k])]
             assert common[k] == (same.index(False) if False in same else len(same))
+
+
+def test_bpe_remembers_a_bounded_number_of_pairs(monkeypatch):
+    from lodestone.llm import bpe
+
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"cd": 257, b"abcd": 258, b"ef": 259}
+    pieces = [b"abcdef", b"xabyz", b"cdcdab", bytes(range(97, 123))]
+    want = bpe.Merges(ranks).replay(pieces)
+    monkeypatch.setattr(bpe, "PAIRS", 4)
+    merges = bpe.Merges(ranks)
+    assert merges.replay(pieces) == want and len(merges.pair) <= 4

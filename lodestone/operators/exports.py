@@ -154,18 +154,25 @@ def health_evidence(claims: DataFrame, citations: DataFrame, lookup: DataFrame,
     support_level, effect_slug, effect_label, effect_description, description, tags, review_notes, exposure_category,
     dose_or_exposure, concentration_notes. The first claim of each (type, id, slug) passes unless ``lookup`` has that
     key; a passing claim without its citation is rejected after it has taken the slug. Slugs that the lookup knows keep
-    its label and make no new effect.
+    its label and make no new effect. Of claims with one place in the order one passes; a claim given twice, in all columns, counts once.
+
+    Only the first claim of each key meets the citations and labels; the others are held against it, and not moved again.
     """
     key = ["bioactive_type", "bioactive_id", "effect_slug"]
     known = lookup.where("coalesce(id, '') <> '' AND coalesce(bioactive_id, '') <> '' AND coalesce(effect_slug, '') <> ''").select(*(F.trim(c).alias(c) for c in key)).distinct().withColumn("_known", F.lit(True))
     labels = lookup.where("trim(coalesce(effect_slug, '')) <> ''").groupBy(F.trim("effect_slug").alias("effect_slug")).agg(F.min_by(F.trim("effect_label"), "lookup_seq").alias("_label"))
     labels = labels.withColumn("_has", F.lit(True))
-    first = claims.groupBy(*key).agg(F.min(seq).alias("_first"))
-    rows = claims.join(first, key).join(known, key, "left")
+    told = [c for c in claims.columns if c not in key and c != seq]
+    at_ = F.struct(F.col(seq).alias("seq"), F.xxhash64(*told).alias("same"))
+    named = claims.where(" AND ".join(f"{c} IS NOT NULL" for c in key))
+    first = named.groupBy(*key).agg(F.min(F.struct(at_.alias("at"), F.struct(*told).alias("claim"))).alias("_b"))
+    rows = first.select(*key, F.col("_b.at").alias("_first"), "_b.claim.*").join(known, key, "left")
     rows = rows.join(citations.select(F.col("id").alias("citation_id"), F.struct("title", "url", "doi", "pmid", "year").alias("_source")), "citation_id", "left").join(labels, "effect_slug", "left")
-    skipped = F.coalesce("_known", F.lit(False)) | (F.col(seq) != F.col("_first"))
-    kind = F.when(skipped, "existing_entity_effect_skipped").when(F.col("_source").isNull(), "invalid_csv_format")
+    kind = F.when(F.col("_known"), "existing_entity_effect_skipped").when(F.col("_source").isNull(), "invalid_csv_format")
     rows = rows.withColumn("type", kind).withColumn("score", support_score(F.col("support_level")))
+    judged = rows.select(*key, "_first", F.col("type").alias("_type")).distinct()
+    others = named.withColumn("_at", at_).join(judged, key)
+    others = others.withColumn("type", F.when(F.col("_at") != F.col("_first"), "existing_entity_effect_skipped").otherwise(F.col("_type")))
     kept = rows.where("type IS NULL").withColumn("id", stable_id("evidence", F.col("bioactive_type"), F.col("bioactive_id"), F.col("effect_slug")))
     long = F.size(F.split(collapse(F.col("description")), " ")) >= 8
     evidence = kept.select(
@@ -176,7 +183,7 @@ def health_evidence(claims: DataFrame, citations: DataFrame, lookup: DataFrame,
     refs = F.array(F.struct("citation_id", "proposed_claim_id"))
     exposure = kept.select(stable_id("exposure", F.col("id")).alias("id"), F.col("id").alias("evidence_row_id"), "bioactive_type", "bioactive_id", "bioactive_name", "effect_slug", "exposure_category", "dose_or_exposure", "concentration_notes", json_cell(refs).alias("source_claims"), F.lit(at).alias("created_at"))
     message = F.when(F.col("type") == "invalid_csv_format", "Missing source metadata for the validated claim.")
-    return {"evidence": evidence, "new_effects": new, "exposure": exposure, "rejected": rows.where("type IS NOT NULL").select("type", *key, "citation_id", "proposed_claim_id", message.alias("message"))}
+    return {"evidence": evidence, "new_effects": new, "exposure": exposure, "rejected": others.where("type IS NOT NULL").select("type", *key, "citation_id", "proposed_claim_id", message.alias("message"))}
 
 
 def new_entities(claims: DataFrame, lookup: DataFrame, at: str, seq: str = "seq") -> DataFrame:

@@ -11,7 +11,8 @@
    outlines (counts of words by place and hash) prove that they are no link. Large groups meet block by block, across
    tasks; earlier rounds only try each member's nearest partners, the last tries all. So every pair that agrees on a
    sketch is in one class in the end, or aligned, or proven to be below the threshold.
-4. Candidates are aligned word by word (64-bit hashes) inside a band: similarity = 1 - edit distance / words of the
+4. Candidates are dealt into tiles by buckets of their texts, so that a text's words are sent once for each tile and not for
+   each pair, and are aligned word by word (64-bit hashes) inside a band: similarity = 1 - edit distance / words of the
    longer. Pairs at ``SIMILARITY`` or more are links; connected components of links are the classes, found by
    pointing to the smallest neighbour and contracting, with distributed checkpoints and only counts on the driver.
 
@@ -24,6 +25,8 @@ are kept if no row of their class has one; very long texts are read whole; ids m
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -34,6 +37,8 @@ SHINGLE, SKETCHES, TAKE, SIMILARITY = 3, 32, 2, 0.8
 #: Bins of an outline, rows of a group that is paired at once, rows of a block when groups are completed, pairs held at a time.
 BINS, SMALL, WIDE, PAIRS = 768, 64, 4096, 25_000
 AT_ONCE = 2_048
+#: Bytes of words of a bucket of texts that are aligned, and of the pairs that one call aligns.
+BUCKET, HELD = 1 << 24, 1 << 23
 #: Sections of a text in its outline: they end at halves of the largest power of two of words that it holds, at that, and at its end.
 SECTIONS = 3
 #: Partners of a row and block in the rounds that complete the groups; the last takes all.
@@ -244,7 +249,8 @@ def _blocked(rows: DataFrame) -> DataFrame:
 def _far(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, least: float) -> np.ndarray:
     """The distance of the outlines, row by row; -1 where it, or the lengths, show that the texts are no link.
 
-    A link has at most t = (1 - least) * longer edits. One edit changes the counts of a whole text by 2 at most. Cut two
+    A link has at most t = (1 - least) * longer edits. One edit takes one count away and adds one, at most: both the counts
+    that one text has above the other and those below are at most t, and they differ by the difference of lengths. Cut two
     texts at one place: an alignment shifts the cut by s places, and half of the s + |difference of lengths| that this
     takes are insertions or deletions on the other side. So the counts before the cut and those after it differ by at most
     2 t + |difference of lengths| together. Bins that are full in either text count as equal; no link is lost.
@@ -260,7 +266,7 @@ def _far(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, least: fl
     open_ = ~((x == 255) | (y == 255)).any(1)
     x, y = ((v * open_[:, None]).astype(np.int16) for v in (x, y))
     d = np.abs(x.sum(1, dtype=np.int16) - y.sum(1, dtype=np.int16)).sum(1)
-    near = np.flatnonzero(d <= 2 * most[at])
+    near = np.flatnonzero(d + gap[at] <= 2 * most[at])
     at, x, y, d = at[near], x[near], y[near], d[near]
     ok = np.ones(len(at), bool)
     px, py = _power(nx[at]), _power(ny[at])
@@ -485,14 +491,33 @@ def similarities(pairs: list[tuple[np.ndarray, np.ndarray]], least: float = SIMI
 
 
 def _verified(least: float):
+    """The links among the pairs of each tile: rows (tile, a, null, words of a) come before its rows (tile, a, b, null)."""
+
     def run(batches):
+        tile, words, wait, size = None, {}, [], 0
+
+        def settle():
+            nonlocal size
+            s = similarities([(x, y) for _, _, x, y in wait], least)
+            ok = np.flatnonzero(s >= least)
+            out = pa.record_batch([pa.array([wait[k][0] for k in ok], pa.int64()), pa.array([wait[k][1] for k in ok], pa.int64()), pa.array(s[ok])], ["a", "b", "similarity"])
+            wait.clear()
+            size = 0
+            return out
+
         for batch in batches:
-            for z in range(0, batch.num_rows, 1024):
-                part = batch.slice(z, 1024)
-                pairs = [tuple(np.frombuffer(x.as_buffer(), U64) for x in p) for p in zip(part.column("wa"), part.column("wb"), strict=True)]
-                s = similarities(pairs, least)
-                ok = s >= least
-                yield pa.record_batch([part.column("a").filter(pa.array(ok)), part.column("b").filter(pa.array(ok)), pa.array(s[ok])], ["a", "b", "similarity"])
+            for at, a, b, text in zip(*(batch.column(c).to_pylist() for c in ("tile", "a", "b")), batch.column("words"), strict=True):
+                if at != tile:
+                    tile, words = at, {}
+                if b is None:
+                    words[a] = np.frombuffer(text.as_py(), U64)
+                    continue
+                wait.append((a, b, words[a], words[b]))
+                size += words[a].nbytes + words[b].nbytes
+                if len(wait) >= 1024 or size >= HELD:
+                    yield settle()
+        if wait:
+            yield settle()
 
     return run
 
@@ -619,7 +644,13 @@ def classes(heads: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> Dat
 
 
 def _aligned(heads: DataFrame, rows: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """The links (a, b, similarity) among the pairs (a, b) of nodes."""
+    """The links (a, b, similarity) among the pairs (a, b) of nodes.
+
+    Nodes are dealt into buckets, and pairs into tiles by their two buckets. A text's words go to a tile once, not to each
+    pair: a node among very many pairs is copied as often as there are buckets, at most. Buckets are as many as keep all tasks
+    busy with tiles, more if their words would pass ``BUCKET`` bytes.
+    """
+    spark = heads.sparkSession
     each = [pairs.select(F.col(c).alias("node")).distinct() for c in "ab"]  # a node stands in many pairs: reduced before both sides meet
     wanted = each[0].unionByName(each[1]).distinct()
     wanted = cut(heads.select("node", F.col("id").alias("_id"), F.col("key").alias("_key")).join(wanted, "node", "left_semi"))
@@ -627,9 +658,15 @@ def _aligned(heads: DataFrame, rows: DataFrame, pairs: DataFrame, least: float)
     some = rows.join(wanted, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")))
     worded = some.select(F.col("node").alias("id"), "text").mapInArrow(_worded, "id long, words binary")
     worded = cut(worded.groupBy("id").agg(F.first("words").alias("words")))
-    first = pairs.join(worded.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
-    second = first.join(worded.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
-    return cut(second.mapInArrow(_verified(least), "a long, b long, similarity double"))
+    held = worded.agg(F.coalesce(F.sum(F.length("words")), F.lit(0))).first()[0]
+    buckets = max(math.isqrt(6 * parts(spark)), held // BUCKET) + 1
+    bucket = [F.pmod(F.xxhash64(c), F.lit(buckets)) for c in "ab"]
+    tiled = pairs.select((F.least(*bucket) * buckets + F.greatest(*bucket)).alias("tile"), "a", "b")
+    each = [tiled.select("tile", F.col(c).alias("id")).distinct() for c in "ab"]
+    placed = each[0].unionByName(each[1]).distinct().join(worded, "id").select("tile", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "words")
+    both = placed.unionByName(tiled.withColumn("words", F.lit(None).cast("binary")))
+    both = both.repartition(max(parts(spark), held // BUCKET + 1), "tile").sortWithinPartitions("tile", F.col("b").asc_nulls_first())
+    return cut(both.mapInArrow(_verified(least), "a long, b long, similarity double"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -273,6 +274,44 @@ def test_order_minhash_completes_large_groups(spark, monkeypatch):
     assert [p for p in want if got[p[0]] != got[p[1]]] == []
 
 
+def test_order_minhash_sends_words_once_a_tile(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+    texts = [[f"x{i}y{k}" if rng.random() < 0.13 else w for k, w in enumerate(base)][: rng.randrange(36, 41)] for i in range(80)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string").selectExpr("id", "text", "xxhash64(text) as key").cache()
+    heads = docs.selectExpr("id as node", "id", "key")
+    pairs = spark.createDataFrame(list(itertools.combinations(range(80), 2)), "a long, b long").repartition(3)
+    sent, verified = spark.sparkContext.accumulator(0), order_minhash._verified
+
+    def counted(least):
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    sent.add(sum(len(c) - c.null_count for c in batch.columns if pa.types.is_binary(c.type)))
+                    yield batch
+
+            yield from verified(least)(seen())
+
+        return run
+
+    monkeypatch.setattr(order_minhash, "_verified", counted)
+    for bucket in (order_minhash.BUCKET, 3000):  # as many buckets as there are tasks to keep busy; as their bytes ask for
+        monkeypatch.setattr(order_minhash, "BUCKET", bucket)
+        monkeypatch.setattr(order_minhash, "HELD", 50_000)
+        got = {(r.a, r.b) for r in order_minhash._aligned(heads, docs, pairs, 0.8).collect()}
+        close = {(a, b) for a, b in itertools.combinations(range(80), 2) if edit_distance(texts[a], texts[b]) <= 0.2 * max(len(texts[a]), len(texts[b])) + 1e-9}
+        assert got == close and 300 < len(close) < 2900
+        assert 80 <= sent.value <= 80 * max(math.isqrt(6 * int(spark.conf.get("spark.sql.shuffle.partitions"))) + 1, 80 * 40 * 8 // bucket + 1) < 3160  # not two for each of the 3160 pairs
+        sent.value = 0
+
+
+def test_order_minhash_outline_counts_both_ways():
+    same = [f"w{k}" for k in range(75)]
+    w = Words(pa.array([" ".join(same + [f"a{k}" for k in range(25)]), " ".join(same + [f"b{k}" for k in range(10)])], pa.string()))
+    outline = order_minhash.outlines(w)  # 25 words of the longer lack in the other, 20 may
+    assert order_minhash._far(outline[:1], outline[1:], w.n[:1], w.n[1:], 0.8)[0] < 0
+
+
 def test_order_minhash_row_identity(spark):
     rng = random.Random(9)
     a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3))

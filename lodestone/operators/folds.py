@@ -68,13 +68,23 @@ def places(df: DataFrame, keys: list[str], order: list[str], bucket: Column, nam
 
 def _places_within(df: DataFrame, keys: list[str], order: list[str], bucket: Column, within: Column, name: str) -> DataFrame:
     # structs are never null: rows are numbered and joined in one partitioning
-    rows = df.withColumn("_b", F.struct(F.struct(*keys, bucket.alias("_of")).alias("of"), within.alias("part")))
-    counts = rows.groupBy("_b").agg(F.count("*").alias("_n"))
+    rows = df.withColumns({"_of": F.struct(*keys, bucket.alias("_of")), "_part": F.struct(within.alias("part"))})
+    out = numbered_parts(rows, keys, order, rows.groupBy("_of", "_part").agg(F.count("*").alias("_n")))
+    return out.withColumn(name, F.col("_i") + F.col("_before")).select(*df.columns, name)
+
+
+def numbered_parts(rows: DataFrame, keys: list[str], order: list[str], counts: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """Rows with their number from 1 within their part of a bucket (``_i``), and the count of all that come before that part (``_before``).
+
+    Rows have ``_of`` (a struct of the keys and, as its own ``_of``, the bucket) and ``_part`` (a struct); ``counts`` has how many
+    there are of each as ``_n``. What ``more`` tells of a ``_part`` comes with its count (a row each), so that rows are not
+    shuffled for it; parts that it lacks keep nulls.
+    """
     earlier = lambda *of: F.coalesce(F.sum("_n").over(Window.partitionBy(*of[:-1]).orderBy(of[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    whole = counts.groupBy(F.col("_b.of").alias("_of")).agg(F.sum("_n").alias("_n")).withColumn("_earlier", earlier(*(f"_of.{k}" for k in keys), "_of._of")).drop("_n")
-    before = counts.withColumn("_own", earlier("_b.of", "_b.part")).join(whole, F.col("_b.of") == F.col("_of")).select(F.col("_b").alias("_at"), (F.col("_own") + F.col("_earlier")).alias("_before"))
-    numbered = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
-    return numbered.join(before, F.col("_b") == F.col("_at")).withColumn(name, F.col("_i") + F.col("_before")).select(*df.columns, name)
+    whole = counts.groupBy(F.col("_of").alias("_w")).agg(F.sum("_n").alias("_n")).withColumn("_earlier", earlier(*(f"_w.{k}" for k in keys), "_w._of")).drop("_n")
+    before = counts.withColumn("_own", earlier("_of", "_part")).join(whole, F.col("_of") == F.col("_w")).select("_of", "_part", (F.col("_own") + F.col("_earlier")).alias("_before"))
+    before = before if more is None else before.join(more, "_part", "left")
+    return rows.withColumn("_i", F.row_number().over(Window.partitionBy("_of", "_part").orderBy(*order))).join(before, ["_of", "_part"])
 
 
 def attempts(df: DataFrame, key: str, order: list[str], previous: DataFrame | None = None, bucket: Column | None = None) -> DataFrame:
